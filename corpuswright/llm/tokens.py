@@ -17,6 +17,9 @@ from tokenizers import Tokenizer
 # fixed values: the pre-token pattern of byte-level BPE, written for the characters that _OTHER leaves
 _PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
 _OTHER = re.compile(r"[^\t\n\r\x20-\x7e\xa0\xa1-\xb1\xb4-\xb8\xba\xbb\xbf-ɏ‐-‧‰-⁞]")
+# fixed values: the bytes that a byte-level vocabulary writes as themselves; the others take the code points from 256 on
+_SHOWN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+_BYTES = {b: 256 + i for i, b in enumerate(sorted(set(range(256)) - set(_SHOWN)))}
 _made: dict[str, Encoder] = {}
 
 
@@ -31,7 +34,7 @@ def tokenizer_json(name: str = "byte_bpe_50k.json") -> str:
 class Pieces(dict):
     """Pre-token -> what the library makes of it. It holds at most two generations of `most` entries; a piece in use moves to the younger."""
 
-    def __init__(self, make, most: int = 250_000):
+    def __init__(self, make, most: int = 400_000):
         self.make, self.most, self.old = make, most, {}
 
     def __missing__(self, piece: str):
@@ -53,12 +56,16 @@ class Encoder:
         self.library.no_truncation()
         special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(map(re.escape, special))) if special else None
-        self.pieces = Pieces(lambda p: self.ids_of(p).tobytes())
-        self.lengths = Pieces(lambda p: len(self.ids_of(p)))
+        self.model = self.library.model
+        self.pieces = Pieces(lambda p: np.array(self.piece_ids(p), "<u4").tobytes())
 
     def ids_of(self, text: str) -> np.ndarray:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4")
 
+    def piece_ids(self, piece: str) -> list[int]:
+        """Ids of one pre-token, by the library's merges alone."""
+        return [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(_BYTES))]
+
     def plain(self, text: str) -> bool:
         return not _OTHER.search(text) and not (self.special and self.special.search(text))
 
