@@ -57,6 +57,7 @@ class Encoder:
         special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(map(re.escape, special))) if special else None
         self.model = self.library.model
+        self.lengths = Pieces(lambda p: len(self.piece_ids(p)))
         self.pieces = Pieces(lambda p: np.array(self.piece_ids(p), "<u4").tobytes())
 
     def ids_of(self, text: str) -> np.ndarray:
