@@ -4,16 +4,17 @@ A text is lower-cased (A-Z) and its distinct runs of five words are hashed to 64
 element one random permutation of the registers with ranks that fall step by step, so registers are correlated and less
 variable than with independent hashes, and a document is done as soon as no further step can lower a register.
 
-Rows with equal sets are one node. Registers are banded; nodes that share a band's bucket are candidates. A bucket is
-compared with its smallest node only (an aggregate and a join, which a hot bucket doesn't hold up), verified links are
-joined to components, and just the buckets that still hold several components are compared further, by signature, within
-windows of set size. A pair is verified on the full sets unless its signatures already differ by far more than chance allows.
+Rows with equal sets are one node. Registers are banded; nodes that share a band's bucket are candidates, and plausible
+unless their sizes rule a link out or their signatures differ by far more than chance allows. Plausible candidates are
+joined to blocks without listing them all: a bucket is compared with its smallest node (an aggregate and a join, which a
+hot bucket doesn't hold up), and only buckets that then still hold several blocks are compared further, each giving a
+spanning forest. Inside a block every plausible pair is verified on the full sets unless links found before join its ends
+already; large blocks are dealt as a grid. Verified links are joined to components by union-find.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections import OrderedDict
 from collections.abc import Iterator
 
 import numpy as np
@@ -173,32 +174,6 @@ def plausible(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     return joined.mapInArrow(run, "a long, b long, like double")
 
 
-def verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) with 100 * intersection >= percent * union of their full sets. texts: node, text."""
-    x = texts.select(F.col("node").alias("a"), F.col("text").alias("ta"))
-    y = texts.select(F.col("node").alias("b"), F.col("text").alias("tb"))
-
-    def run(batches):
-        kept: OrderedDict[int, np.ndarray] = OrderedDict()
-
-        def of(node: int, text: str) -> np.ndarray:
-            if node not in kept:
-                kept[node] = shingle_set(text)
-                if len(kept) > 512:
-                    kept.popitem(last=False)
-            return kept[node]
-
-        for batch in batches:
-            stay = []
-            for a, b, ta, tb in zip(*(batch.column(k).to_pylist() for k in range(4))):
-                p, q = of(a, ta), of(b, tb)
-                same = len(np.intersect1d(p, q, assume_unique=True))
-                stay.append(same * 100 >= percent * (len(p) + len(q) - same))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(stay, pa.bool_()))
-
-    return pairs.select("a", "b").join(x, "a").join(y, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
-
-
 def node_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """node and text of the wanted nodes (node, doc_id, set_id). Ids may repeat, so a row counts if its set is the node's."""
     found = docs.join(wanted, "doc_id").select("node", "set_id", "text")
@@ -211,45 +186,114 @@ def node_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return found.mapInArrow(run, "node long, text string")
 
 
-def mixed_pairs(members: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different components inside a bucket that sizes and signatures allow. members: key, node, n, comp, sig.
+def groups(batches, width: int) -> Iterator[list[tuple]]:
+    """Runs of rows that agree in their first `width` columns."""
+    key, rows = None, []
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns)):
+            if row[:width] != key:
+                if rows:
+                    yield rows
+                key, rows = row[:width], []
+            rows.append(row)
+    if rows:
+        yield rows
+
+
+def pair_batch(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([min(x) for x in pairs], pa.int64()), pa.array([max(x) for x in pairs], pa.int64())], ["a", "b"])
+
+
+def bridging_pairs(members: DataFrame, percent: int) -> DataFrame:
+    """Plausible pairs that join different components inside a bucket: a spanning forest. members: key, node, n, comp, sig.
 
     A bucket is split by classes of set size, a factor apart; a node goes to its class and the next, so that a pair of
-    similar size meets in one of them. Only pairs that signatures allow leave the task.
+    similar size meets in one of them.
     """
     step = float(np.log(100 / percent)) if percent < 100 else 1e-9
     cls = F.floor(F.log("n") / step).cast("long")
-    dealt = members.withColumn("own", cls).withColumn("cls", F.explode(F.array(F.col("own"), F.col("own") + 1)))
-    dealt = dealt.repartition("key", "cls").sortWithinPartitions("key", "cls", "n", "node").select("key", "cls", "own", "node", "n", "comp", "sig")
+    dealt = members.withColumn("cls", F.explode(F.array(cls, cls + 1)))
+    dealt = dealt.repartition("key", "cls").sortWithinPartitions("key", "cls", "node").select("key", "cls", "node", "n", "comp", "sig")
 
     def run(batches):
-        group, rows = None, []
-        for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns)):
-                if row[:2] != group:
-                    yield from compared(rows)
-                    group, rows = row[:2], []
-                rows.append(row)
-        yield from compared(rows)
-
-    def compared(rows):
-        if len({r[5] for r in rows}) < 2:
-            return
-        own, node, n, comp = (np.array([r[k] for r in rows]) for k in (2, 3, 4, 5))
-        sig = np.frombuffer(b"".join(r[6] for r in rows), np.uint8).reshape(len(rows), -1)
-        high = rows[0][1]
-        for i in range(len(rows) - 1):
-            # both of the class below meet there, not here
-            js = np.flatnonzero((comp[i + 1 :] != comp[i]) & (n[i + 1 :] * percent <= n[i] * 100) & ((own[i] == high) | (own[i + 1 :] == high))) + i + 1
-            for k in range(0, len(js), 4096):
-                part = js[k : k + 4096]
-                part = part[(sig[part] == sig[i]).mean(axis=1) >= PLAUSIBLE]
-                if len(part):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[i], node[part])), pa.array(np.maximum(node[i], node[part]))], ["a", "b"])
+        for rows in groups(batches, 2):
+            node, n, comp = (np.array([r[k] for r in rows]) for k in (2, 3, 4))
+            if comp.min() == comp.max():
+                continue
+            sig, found = np.frombuffer(b"".join(r[5] for r in rows), np.uint8).reshape(len(rows), -1), []
+            for x in range(1, len(rows)):
+                for y in _partners(x, sig, n, comp, percent).tolist():
+                    if comp[x] != comp[y]:
+                        comp[comp == comp[x]] = comp[y]
+                        found.append((rows[x][2], rows[y][2]))
+            if found:
+                yield pair_batch(found)
 
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
+def _partners(x: int, sig: np.ndarray, n: np.ndarray, comp: np.ndarray, percent: int, block: int = 8192) -> np.ndarray:
+    """Places before x with which a link is plausible and not known yet, the likeliest first."""
+    js = np.flatnonzero((comp[:x] != comp[x]) & (np.minimum(n[:x], n[x]) * 100 >= np.maximum(n[:x], n[x]) * percent))
+    like = np.concatenate([(sig[js[k : k + block]] == sig[x]).mean(axis=1) for k in range(0, len(js), block)]) if len(js) else np.zeros(0)
+    keep = like >= PLAUSIBLE
+    return js[keep][np.argsort(-like[keep], kind="stable")]
+
+
+def similar(p: np.ndarray, q: np.ndarray, percent: int) -> bool:
+    if len(p) > len(q):
+        p, q = q, p
+    at = np.searchsorted(q, p)
+    same = int((q[np.minimum(at, len(q) - 1)] == p).sum())
+    return same * 100 >= percent * (len(p) + len(q) - same)
+
+
+def block_links(members: DataFrame, percent: int, most_nodes: int = 1024, most_shingles: int = 2_000_000) -> DataFrame:
+    """Verified links inside each block: a spanning forest of them. members: block, node, n, sig, text.
+
+    A block beyond the sizes is dealt to g slots by hash and compared as a grid of slot pairs, so that no task holds more
+    than two slots.
+    """
+    sizes = members.groupBy("block").agg(F.greatest(F.ceil(F.count(F.lit(1)) / most_nodes), F.ceil(F.sum("n") / most_shingles)).cast("int").alias("g")).filter("g > 1")
+    dealt = members.join(sizes, "block", "left").withColumn("g", F.coalesce("g", F.lit(1))).withColumn("slot", F.pmod(F.xxhash64("node"), F.col("g")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
+    dealt = dealt.select("block", F.least("slot", "other").alias("i"), F.greatest("slot", "other").alias("j"), "slot", "node", "n", "sig", "text")
+    dealt = dealt.repartition("block", "i", "j").sortWithinPartitions("block", "i", "j", "node")
+
+    def run(batches):
+        for rows in groups(with_sets(batches), 3):
+            grid, slot = rows[0][1] != rows[0][2], np.array([r[3] for r in rows])
+            n, label = np.array([r[5] for r in rows]), np.arange(len(rows))
+            sig, found = np.frombuffer(b"".join(r[6] for r in rows), np.uint8).reshape(len(rows), -1), []
+            for x in range(1, len(rows)):
+                for y in _partners(x, sig, n, label, percent).tolist():
+                    if label[x] != label[y] and not (grid and slot[x] == slot[y]) and similar(rows[x][7], rows[y][7], percent):
+                        label[label == label[x]] = label[y]
+                        found.append((rows[x][4], rows[y][4]))
+            if found:
+                yield pair_batch(found)
+
+    def with_sets(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
+                yield _Rows([*part.columns[:7], [shingle_set(t) for t in part.column(7).to_pylist()]])
+
+    return dealt.mapInArrow(run, "a long, b long")
+
+
+class _Rows:
+    """Columns that groups() can read, of which some are lists already."""
+
+    def __init__(self, columns):
+        self.columns = [_Listed(c) if isinstance(c, list) else c for c in columns]
+
+
+class _Listed(list):
+    def to_pylist(self):
+        return self
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75) -> DataFrame:
     """One row for each row of docs: doc_id, n_shingles, component_id, kept.
 
@@ -267,30 +311,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     entries = nodes.select("node", F.explode("bands").alias("key"))
     buckets = entries.groupBy("key").agg(F.min("node").alias("leader"), F.count(F.lit(1)).alias("size")).filter("size > 1")
     members = staged(entries.join(buckets, "key").select("key", "node", "leader", "size"), "members")
-    stars = staged(plausible(members.filter("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct(), nodes, percent), "stars")
-    ends = stars.select(F.col("a").alias("node")).unionByName(stars.select(F.col("b").alias("node"))).distinct()
-    reps = sets.select("node", F.col("of_doc").alias("doc_id"), "set_id")
-    texts = staged(node_texts(docs, reps.join(ends, "node")), "texts")
-    # each node with its likeliest leader first; the other leaders only where that leaves different components
-    best = stars.groupBy("b").agg(F.max_by("a", F.struct("like", "a")).alias("a")).select("a", "b")
-    links = staged(verified(best, texts, percent), "links")
-    comps = components(links)
-    rest = apart(stars.join(best, ["a", "b"], "left_anti").select("a", "b"), comps)
-    more = staged(verified(rest, texts, percent), "links")
-    if not more.isEmpty():
-        links = links.unionByName(more)
-        comps = components(links)
-    # buckets that still hold several components, where a pair may not have met
-    named = members.filter("size > 2").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    stars = staged(plausible(members.filter("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct(), nodes, percent).select("a", "b"), "stars")
+    blocks = components(stars)
+    # buckets that hold several blocks, where a plausible pair may not have met
+    named = members.filter("size > 2").join(blocks, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     mixed = named.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("key")
     within = named.join(mixed, "key").join(nodes.select("node", "n", "sig"), "node").select("key", "node", "n", "comp", "sig")
-    pairs = staged(mixed_pairs(within, percent).join(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "pairs")
-    if not pairs.isEmpty():
-        new = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct().join(ends, "node", "left_anti")
-        texts = texts.unionByName(staged(node_texts(docs, reps.join(new, "node")), "texts"))
-        more = staged(verified(pairs, texts, percent), "links")
-        if not more.isEmpty():
-            comps = components(links.unionByName(more))
+    bridges = staged(bridging_pairs(within, percent), "bridges")
+    if not bridges.isEmpty():
+        blocks = components(stars.unionByName(bridges))
+    reps = sets.select("node", F.col("of_doc").alias("doc_id"), "set_id")
+    texts = staged(node_texts(docs, reps.join(blocks.select("node"), "node")), "texts")
+    held = blocks.withColumnRenamed("comp", "block").join(nodes.select("node", "n", "sig"), "node").join(texts, "node").select("block", "node", "n", "sig", "text")
+    comps = components(staged(block_links(held, percent), "links"))
     least = sets.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node")).select("set_id", "comp", "least_doc", "uses")
     ids = least.groupBy("comp").agg(F.min("least_doc").alias("component_id"), F.sum("uses").alias("total")).filter("total > 1")
     known = least.join(ids, "comp").select("set_id", "component_id")
@@ -299,13 +332,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return found.select("doc_id", "n_shingles", own.alias("component_id"), F.col("doc_id").eqNullSafe(own).alias("kept"))
 
 
-def apart(pairs: DataFrame, comps: DataFrame) -> DataFrame:
-    """The pairs whose ends are in different components."""
-    x, y = comps.toDF("a", "ca"), comps.toDF("b", "cb")
-    joined = pairs.join(x, "a", "left").join(y, "b", "left")
-    return joined.filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
-
-
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """The rows of docs that near_duplicates keeps, with all their columns."""
     dropped = near_duplicates(docs).filter(~F.col("kept")).select(F.col("doc_id").alias("__id")).distinct()
