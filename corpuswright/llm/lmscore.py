@@ -1,7 +1,7 @@
 """Cross-entropy difference: how much more a text looks like the target documents than like the corpus.
 
-Target and background are bigram models over one vocabulary: the corpus's most frequent words by exact count; other words
-are one unknown word. Bigram counts live in 2**bits hashed cells, so a model's size is fixed whatever the corpus holds.
+Target and background are bigram models over one vocabulary: the corpus's most frequent words by exact count over all
+texts; other words are one unknown word. Bigram counts live in 2**bits hashed cells, so a model's size is fixed whatever the corpus holds.
 The models are matched: same order, vocabulary and smoothing, and background counts are scaled to the target's mass, so that
 the smoothing weighs the same in both. P(w|v) = (c(v,w) + mu P(w)) / (c(v) + mu) with P(w) = (c(w) + 1) / (N + V).
 
@@ -76,7 +76,7 @@ def cells(ids: np.ndarray, size: int, bits: int) -> np.ndarray:
 
 
 def vocabulary(texts: DataFrame, most_words: int) -> dict[bytes, int]:
-    """The most frequent words of all texts, ties by the word, with ids from 2. Bounded by most_words."""
+    """Ids from 2 for the words of all texts at or above a frequency level: the lowest of sixteen levels an octave at which at most most_words words are left."""
 
     def count(batches):
         counts: Counter = Counter()
@@ -92,8 +92,16 @@ def vocabulary(texts: DataFrame, most_words: int) -> dict[bytes, int]:
         return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], ["word", "n"])
 
     summed = texts.mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    top = summed.orderBy(F.desc("n"), "word").limit(most_words).collect()
-    return {bytes(r.word): i + 2 for i, r in enumerate(top)}
+    leveled = staged(summed.withColumn("level", F.floor(F.log2("n") * 16).cast("int")), "words")
+    # a row for each level, at most about a thousand
+    sizes, least, total = leveled.groupBy("level").agg(F.count(F.lit(1)).alias("words")).collect(), None, 0
+    for level, words in sorted(sizes, reverse=True):
+        total += words
+        if total > most_words:
+            break
+        least = level
+    kept = leveled.filter(F.col("level") >= least).select("n", "word").collect() if least is not None else []
+    return {w: i + 2 for i, (_, w) in enumerate(sorted((-r.n, bytes(r.word)) for r in kept))}
 
 
 def counted(docs: DataFrame, words: dict[bytes, int], bits: int, target, most_tasks: int) -> tuple[np.ndarray, np.ndarray]:

@@ -17,8 +17,9 @@ def rows_of():
 
 def brute(rows, target, most_words, mu):
     words = [[w.lower() if w.isascii() else w for w in (t or "").split()] for _, t in rows]
-    top = sorted(Counter(w for x in words for w in x).items(), key=lambda x: (-x[1], x[0].encode()))[:most_words]
-    vocab = {w for w, _ in top}
+    counts = Counter(w for x in words for w in x)
+    level = {w: math.floor(16 * math.log2(n)) for w, n in counts.items()}
+    vocab = {w for w in counts if sum(x >= level[w] for x in level.values()) <= most_words}
     seqs = [["<s>", *(w if w in vocab else "<unk>" for w in x)] for x in words]
     size = len(vocab) + 2
     tables = []
