@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -58,7 +59,7 @@ def map_arrow(df: DataFrame, schema: StructType | str, f: Callable[[pa.RecordBat
     out = to_arrow_schema(schema)
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches, 1000):
             for columns in f(batch):
                 yield pa.RecordBatch.from_arrays([pa.array(columns[x.name], x.type) for x in out], schema=out)
 
@@ -70,6 +71,37 @@ def id_and_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
-def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[str]:
-    """The batch's texts; null becomes the empty text."""
-    return [x or "" for x in batch.column(batch.schema.get_field_index(column)).to_pylist()]
+def texts_of(batch: pa.RecordBatch, column: str = "text", step: int = 256) -> Iterator[str]:
+    """The batch's texts, a few rows at a time as Python strings; null becomes the empty text."""
+    found = batch.column(batch.schema.get_field_index(column))
+    for at in range(0, len(found), step):
+        yield from (x or "" for x in found.slice(at, step).to_pylist())
+
+
+def slices(batches, rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """Batches cut to at most `rows` rows, so that what is made of one stays small."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
+_held: dict = {}
+
+
+def worker_cache(name, make: Callable):
+    """What a worker process keeps between tasks. A worker serves many operators in turn, so it holds one operator's cache at a time."""
+    if name not in _held:
+        _held.clear()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError):  # not glibc
+            pass
+        _held[name] = make()
+    return _held[name]
+
+
+def without_ids(docs: DataFrame, gone: DataFrame, most: int = 2_000_000) -> DataFrame:
+    """The rows of docs whose doc_id isn't in gone (a column doc_id). Up to `most` ids (8 bytes each) are broadcast; more are joined, which moves the rows of docs once."""
+    gone = gone.select(F.col("doc_id").alias("__gone"))
+    few = gone.limit(most + 1).count() <= most
+    return docs.join(F.broadcast(gone) if few else gone, F.col("doc_id") == F.col("__gone"), "left_anti")

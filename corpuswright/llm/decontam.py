@@ -16,11 +16,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text, map_arrow, texts_of
+from .common import id_and_text, map_arrow, slices, texts_of, worker_cache
 
 _KEEP = {*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)}
 _TABLE = bytes(b + 32 if 0x41 <= b <= 0x5A else b if b in _KEEP else 0x20 for b in range(256))
-_automata: dict[str, ahocorasick.Automaton] = {}
 
 
 def words_of(text: str) -> list[bytes]:
@@ -54,15 +53,16 @@ def item_blocks(items: DataFrame, window: int, block_bytes: int) -> Iterator[dic
 
 def automaton(key: str, block: dict[str, list[str]]) -> ahocorasick.Automaton:
     """Built once a worker process; key names the block."""
-    if key not in _automata:
-        if len(_automata) > 4:
-            _automata.clear()
+    automata = worker_cache("automata", dict)
+    if key not in automata:
+        if len(automata) > 4:
+            automata.clear()
         found = ahocorasick.Automaton()
         for w, ids in block.items():
             found.add_word(w, (w.count(" ") - 1, ids))
         found.make_automaton()
-        _automata[key] = found
-    return _automata[key]
+        automata[key] = found
+    return automata[key]
 
 
 def char_offsets(text: str, wanted: list[tuple[int, int]]) -> list[dict]:
@@ -96,7 +96,7 @@ def scan(state: DataFrame, block: dict[str, list[str]]) -> DataFrame:
     def find(batch: pa.RecordBatch) -> Iterator[dict]:
         found = automaton(key, sent.value)
         rows = batch.to_pydict()
-        texts, before = texts_of(batch), rows.get("runs") or [None] * batch.num_rows
+        texts, before = list(texts_of(batch)), rows.get("runs") or [None] * batch.num_rows
         out: dict[str, list] = {k: [] for k in ("n_words", "n_hit", "item_ids", "spans", "runs")} | {"doc_id": rows["doc_id"], "text": rows["text"]}
         for at, text in enumerate(texts):
             words = words_of(text)
@@ -140,7 +140,7 @@ def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     at = docs.columns.index("text")
 
     def keep(batches):
-        for batch in batches:
+        for batch in slices(batches):
             stay = []
             for text in batch.column(at).to_pylist():
                 words = words_of(text or "")

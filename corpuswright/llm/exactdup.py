@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import id_and_text, map_arrow, staged, texts_of
+from .common import id_and_text, map_arrow, staged, texts_of, without_ids
 
 _SPACE = re.compile(rb"[\x20\x09-\x0D]+")
 _GEAR = np.random.default_rng(9).integers(0, 2**32, 256, dtype=np.uint32)
@@ -123,13 +123,18 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
-    """The rows of docs that exact_duplicates keeps, with all their columns; rows that repeat id and text stay once."""
-    found = exact_duplicates(docs).filter(~F.col("kept"))
-    dropped = staged(found.groupBy("doc_id", "text_sha256").agg(F.max(~F.col("doc_id").eqNullSafe(F.col("keep_id"))).alias("__whole")), "dropped")
-    mark = dropped.select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__of"), "__whole")
+    """The rows of docs that exact_duplicates keeps, with all their columns; rows that repeat id and text stay once.
+
+    Ids of which no row stays are taken out by id alone. Only where an id has rows of both kinds are texts compared.
+    """
+    rows = staged(exact_duplicates(docs), "marked")
+    ids = staged(rows.groupBy("doc_id").agg(F.count_if("kept").alias("stay"), F.count_if(~F.col("kept")).alias("go")).filter("go > 0"), "dropped")
+    out = without_ids(docs, ids.filter("stay = 0").select("doc_id"))
+    mixed = ids.filter("stay > 0 or doc_id is null").select(F.col("doc_id").alias("__id"))
+    if mixed.isEmpty():
+        return out
+    same = F.col("doc_id").eqNullSafe(F.col("__id"))
+    kept = rows.filter("kept").join(mixed, same, "left_semi").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__of")).distinct()
     sha = F.sha2(F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+", " "), 256)
-    stay = docs.join(mark, F.col("doc_id").eqNullSafe(F.col("__id")) & (sha == F.col("__of")), "left_anti")
-    repeated = mark.filter("not __whole")
-    again = docs.join(repeated.select("__id").distinct(), F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
-    again = again.join(repeated, F.col("doc_id").eqNullSafe(F.col("__id")) & (sha == F.col("__of"))).dropDuplicates(["__id", "__of"])
-    return stay.unionByName(again.select(*docs.columns))
+    again = docs.join(mixed, same, "left_semi").join(kept, same & (sha == F.col("__of"))).dropDuplicates(["__id", "__of"])
+    return out.join(mixed, same, "left_anti").unionByName(again.select(*docs.columns))

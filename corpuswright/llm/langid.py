@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text, texts_of
+from .common import id_and_text, slices, texts_of
 
 _LETTER = re.compile(r"[^\W\d_]")
 _ASCII = bytes(b if b >= 0x80 or 0x61 <= b <= 0x7A else 0x20 for b in range(256))
@@ -71,7 +71,7 @@ def bags(texts: list[str], bits: int) -> list[np.ndarray]:
     return out
 
 
-def logits(texts: list[str], table: np.ndarray, bias: np.ndarray, bits: int, block: int = 1 << 20) -> np.ndarray:
+def logits(texts: list[str], table: np.ndarray, bias: np.ndarray, bits: int, block: int = 1 << 18) -> np.ndarray:
     """Mean logits of each whole text, in blocks of about `block` bytes, so that memory doesn't follow a text's length."""
     sums, counts = np.zeros((len(texts), table.shape[1])), np.zeros(len(texts))
 
@@ -180,7 +180,7 @@ def training_fragments(labelled: DataFrame, per_lang: int) -> list[tuple[str, st
     chosen = labelled.filter(drawn < share[F.col("lang")]) if max(counts.values()) > per_lang else labelled
 
     def cut(batches):
-        for batch in batches:
+        for batch in slices(batches):
             rows = [(lang, x) for i, text, lang in zip(*(batch.column(k).to_pylist() for k in range(3))) for x in fragments(text, abs(i or 0))]
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in rows], pa.string()), pa.array([x for _, x in rows], pa.string())], ["lang", "fragment"])
 
@@ -209,8 +209,8 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        for batch in batches:
-            langs, scores, rejected = predict(sent.value, texts_of(batch))
+        for batch in slices(batches):
+            langs, scores, rejected = predict(sent.value, list(texts_of(batch)))
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(rejected, pa.bool_())], ["doc_id", "lang_pred", "score", "rejected"])
 
     return id_and_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, lang_pred string, score double, rejected boolean")
@@ -221,7 +221,7 @@ def keep_identified(docs: DataFrame, model: Model) -> DataFrame:
     sent, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             rejected = predict(sent.value, [x or "" for x in batch.column(at).to_pylist()])[2]
             yield batch.filter(pa.array([not x for x in rejected], pa.bool_()))
 

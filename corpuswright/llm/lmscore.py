@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text, staged, texts_of
+from .common import id_and_text, slices, staged, texts_of
 
 _LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 _U = np.uint64
@@ -124,19 +124,15 @@ def counted(docs: DataFrame, words: dict[bytes, int], bits: int, target, most_ta
                 to[: 1 << bits] += np.bincount(cells(ids, size, bits)[follows], minlength=1 << bits)
                 to[1 << bits : (1 << bits) + size] += np.bincount(ids, minlength=size)
 
-        for batch in batches:
-            doc_ids, marks = batch.column(0).to_pylist(), batch.column(2).to_pylist()
-            texts = texts_of(batch)
-            for at in range(0, len(texts), 2000):
-                parts = [ids_of(known, t) for t in texts[at : at + 2000]]
-                here, flags = doc_ids[at : at + 2000], marks[at : at + 2000]
-                if target is not None:
-                    wanted = target.value
-                    where = [i is not None and (k := int(np.searchsorted(wanted, i))) < len(wanted) and wanted[k] == i for i in here]
-                else:
-                    where = flags
-                add(every, parts)
-                add(hits, [p for p, hit in zip(parts, where) if hit])
+        for batch in slices(batches, 2000):
+            parts = [ids_of(known, t) for t in texts_of(batch)]
+            if target is not None:
+                wanted = target.value
+                where = [i is not None and (k := int(np.searchsorted(wanted, i))) < len(wanted) and wanted[k] == i for i in batch.column(0).to_pylist()]
+            else:
+                where = batch.column(2).to_pylist()
+            add(every, parts)
+            add(hits, [p for p, hit in zip(parts, where) if hit])
         for b in range(total // _BLOCK):
             part = slice(b * _BLOCK, (b + 1) * _BLOCK)
             if every[part].any():

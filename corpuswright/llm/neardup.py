@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text, map_arrow, staged, texts_of
+from .common import id_and_text, map_arrow, slices, staged, texts_of, without_ids, worker_cache
 from .graph import components
 
 SHINGLE, BANDS, ROWS = 5, 44, 5
@@ -50,19 +50,17 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 class _Words(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
+        if len(self) > 200_000:
             self.clear()
         self[word] = value = xxhash.xxh3_64_intdigest(word)
         return value
 
 
-_words = _Words()
-
-
 def shingle_set(text: str) -> np.ndarray:
     """Sorted distinct hashes of the text's runs of five words; of fewer words, the whole sequence as one."""
     words = text.encode("utf-8", "surrogatepass").translate(_LOWER).split()
-    w = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
+    known = worker_cache("words", _Words)
+    w = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
     if len(w) == 0:
         return w
     k = min(SHINGLE, len(w))
@@ -133,17 +131,16 @@ def sketches(docs: DataFrame) -> DataFrame:
     """row_id, doc_id, n_shingles, set_id, sig (a byte a register) and bands of every row."""
 
     def run(batch: pa.RecordBatch) -> Iterator[dict]:
-        part, ids = TaskContext.get().partitionId(), batch.column(0).to_pylist()
-        texts = texts_of(batch)
-        for at in range(0, len(texts), 256):
-            sets = [shingle_set(t) for t in texts[at : at + 256]]
+        part = TaskContext.get().partitionId()
+        for few in slices([batch]):
+            sets = [shingle_set(t) for t in texts_of(few)]
             sig = signatures(sets)
             keys = band_keys(sig)
             first = seen.get(part, 0)
             seen[part] = first + len(sets)
             yield {
                 "row_id": [part << 33 | first + i for i in range(len(sets))],
-                "doc_id": ids[at : at + 256],
+                "doc_id": few.column(0).to_pylist(),
                 "n_shingles": [len(s) for s in sets],
                 "set_id": [set_key(s) for s in sets],
                 "sig": [x.tobytes() for x in (sig & _U(255)).astype(np.uint8)],
@@ -179,7 +176,7 @@ def node_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     found = docs.join(wanted, "doc_id").select("node", "set_id", "text")
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             stay = [set_key(shingle_set(t or "")) == s for s, t in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2)], ["node", "text"]).filter(pa.array(stay, pa.bool_()))
 
@@ -334,5 +331,4 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """The rows of docs that near_duplicates keeps, with all their columns."""
-    dropped = near_duplicates(docs).filter(~F.col("kept")).select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(dropped, F.col("doc_id") == F.col("__id"), "left_anti")
+    return without_ids(docs, staged(near_duplicates(docs).filter(~F.col("kept")).select("doc_id").distinct(), "dropped"))

@@ -14,13 +14,14 @@ import re
 import numpy as np
 from tokenizers import Tokenizer
 
+from .common import worker_cache
+
 # fixed values: the pre-token pattern of byte-level BPE, written for the characters that _OTHER leaves
 _PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
 _OTHER = re.compile(r"[^\t\n\r\x20-\x7e\xa0\xa1-\xb1\xb4-\xb8\xba\xbb\xbf-ɏ‐-‧‰-⁞]")
 # fixed values: the bytes that a byte-level vocabulary writes as themselves; the others take the code points from 256 on
 _SHOWN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 _BYTES = {b: 256 + i for i, b in enumerate(sorted(set(range(256)) - set(_SHOWN)))}
-_made: dict[str, Encoder] = {}
 
 
 def tokenizer_json(name: str = "byte_bpe_50k.json") -> str:
@@ -34,7 +35,7 @@ def tokenizer_json(name: str = "byte_bpe_50k.json") -> str:
 class Pieces(dict):
     """Pre-token -> what the library makes of it. It holds at most two generations of `most` entries; a piece in use moves to the younger."""
 
-    def __init__(self, make, most: int = 400_000):
+    def __init__(self, make, most: int = 250_000):
         self.make, self.most, self.old = make, most, {}
 
     def __missing__(self, piece: str):
@@ -82,8 +83,4 @@ class Encoder:
 
 def encoder(spec: str) -> Encoder:
     """One for each vocabulary and worker process."""
-    key = hashlib.sha256(spec.encode()).hexdigest()
-    if key not in _made:
-        _made.clear()
-        _made[key] = Encoder(spec)
-    return _made[key]
+    return worker_cache(("encoder", hashlib.sha256(spec.encode()).hexdigest()), lambda: Encoder(spec))
