@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..plans.shared import fixed
+from .windows import place
+
 
 def seeded(seed: int, *cols: str) -> Column:
     """A pseudo-random number fixed by the seed and the row's keys."""
@@ -49,16 +52,16 @@ def unflipped(winner: Column, flip: Column) -> Column:
     return F.when(flip & (winner == "A"), "B").when(flip & (winner == "B"), "A").otherwise(winner)
 
 
-def disjoint_edges(edges: DataFrame, seed: int, rounds: int = 50) -> DataFrame:
+def disjoint_edges(edges: DataFrame, seed: int) -> DataFrame:
     """A maximal set of edges (source, target) without a common node: in each round edges that come first at both ends are taken and their neighbours leave. The result is the greedy one in seeded order."""
     left = edges.filter("source <> target").withColumn("p", F.struct(seeded(seed, "source", "target").alias("h"), "source", "target"))
-    spark, taken = edges.sparkSession, None
-    for _ in range(rounds):
+    taken = None
+    while True:
         ends = left.select(F.col("source").alias("n"), "p").unionByName(left.select(F.col("target").alias("n"), "p"))
         first = ends.groupBy("n").agg(F.min("p").alias("first"))
         a, b = first.toDF("source", "fa"), first.toDF("target", "fb")
         won = left.join(a, "source").join(b, "target").filter("p = fa and p = fb").select("source", "target", "p")
-        won = won.checkpoint() if spark.sparkContext.getCheckpointDir() else won.cache()
+        won = fixed(won)
         if won.isEmpty():
             break
         taken = won if taken is None else taken.unionByName(won)
@@ -69,10 +72,10 @@ def disjoint_edges(edges: DataFrame, seed: int, rounds: int = 50) -> DataFrame:
 
 def specifications(sources: DataFrame, key: str, n: int) -> DataFrame:
     """n rows that go round the sources in order: spec_no from 0, the source, and variant from 1."""
-    numbered = sources.select(key, (F.row_number().over(Window.orderBy(key)) - 1).alias("i"))
+    numbered = place(sources.select(key), key).withColumnRenamed("place", "i")
     size = numbered.count()
-    specs = sources.sparkSession.range(n).select(F.col("id").alias("spec_no"), F.pmod("id", F.lit(max(size, 1))).cast("int").alias("i"), (F.floor(F.col("id") / max(size, 1)) + 1).cast("int").alias("variant"))
-    return specs.join(F.broadcast(numbered), "i").select("spec_no", key, "variant")
+    specs = sources.sparkSession.range(n).select(F.col("id").alias("spec_no"), F.pmod("id", F.lit(max(size, 1))).alias("i"), (F.floor(F.col("id") / max(size, 1)) + 1).cast("int").alias("variant"))
+    return specs.join(numbered, "i").select("spec_no", key, "variant")
 
 
 def shared_ids(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
@@ -84,4 +87,4 @@ def export_packet(questions: DataFrame, known: DataFrame, prefix: str = "Q") ->
     """The first of each question by hash, without known hashes, numbered. questions: question, question_hash, ord."""
     new = questions.join(known.select("question_hash"), "question_hash", "left_anti")
     once = new.groupBy("question_hash").agg(F.min_by("question", "ord").alias("question"), F.min("ord").alias("ord"))
-    return once.select(F.concat(F.lit(prefix), F.lpad(F.row_number().over(Window.orderBy("ord")).cast("string"), 4, "0")).alias("item_id"), "question", "question_hash")
+    return place(once, "ord").select(F.concat(F.lit(prefix), F.lpad((F.col("place") + 1).cast("string"), 4, "0")).alias("item_id"), "question", "question_hash")

@@ -6,13 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..plans.shared import fixed
+
 
 def place(rows: DataFrame, order: str) -> DataFrame:
     """rows with their place, from 0, in a total order over the whole table: ranges are dealt out, counted and shifted, so that no task sorts all rows."""
     parts = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     dealt = rows.repartitionByRange(parts, order).withColumn("__part", F.spark_partition_id())
-    # the part is fixed by a checkpoint, as another run may choose other ranges
-    dealt = dealt.checkpoint() if rows.sparkSession.sparkContext.getCheckpointDir() else dealt
+    dealt = fixed(dealt)  # as another run may choose other ranges
     local = dealt.withColumn("__n", F.row_number().over(Window.partitionBy("__part").orderBy(order)))
     before, start = 0, []
     for part, n in sorted(local.groupBy("__part").count().collect()):  # one number a range

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import evidence, gate, metrics, mlgate, routing, sampling
+from ..functions import text
+from ..operators import evidence, gate, grounding, metrics, mlgate, retrieval, routing, sampling
 from . import pipeline
 from .catalogue import query, table
 
@@ -141,3 +142,47 @@ def answer_batch(spark, sf_dir):
     names = articles.select("doc_id", "article_id")
     edges = pairs.join(names.toDF("l_orderkey", "source"), "l_orderkey").join(names.toDF("l_suppkey", "target"), "l_suppkey").select("source", "target", "ord")
     return pipeline.answer_batch(asked, articles, edges)
+
+
+@query(f"""WITH {_SCORED}, m(mode, cut, back) AS (VALUES ('current_baseline', 0.1::DOUBLE, 0.0::DOUBLE), ('refinement_enabled', 0.05, 0.2)),
+r AS (SELECT mode, label AS answerable, CASE WHEN risk < cut THEN 'refuse' WHEN risk < back THEN 'refine_once' ELSE 'answer' END AS decision, CASE WHEN doc_id % 7 BETWEEN 1 AND 5 THEN doc_id % 7 END AS hit_rank,
+ CASE WHEN toxic AND NOT label THEN 'rescue' WHEN label AND NOT toxic THEN 'regression' ELSE 'neutral' END AS outcome FROM s, m)
+SELECT mode, count(*) AS queries, count(*) FILTER (answerable AND hit_rank IS NOT NULL)::DOUBLE / nullif(count(*) FILTER (answerable), 0) AS recall, round(avg(CASE WHEN answerable THEN coalesce(1.0 / hit_rank, 0) END), 9) AS mrr,
+ count(*) FILTER (decision = 'refuse' AND NOT answerable)::DOUBLE / nullif(count(*) FILTER (decision = 'refuse'), 0) AS refusal_precision, count(*) FILTER (decision = 'refuse' AND NOT answerable)::DOUBLE / nullif(count(*) FILTER (NOT answerable), 0) AS refusal_recall,
+ count(*) FILTER (decision = 'refine_once')::DOUBLE / count(*) AS activation_rate, count(*) FILTER (outcome = 'rescue') AS rescues, count(*) FILTER (outcome = 'regression') AS regressions FROM r GROUP BY 1""")
+def mode_summary(spark, sf_dir):
+    modes = spark.createDataFrame([("current_baseline", 0.1, 0.0), ("refinement_enabled", 0.05, 0.2)], "mode string, cut double, back double")
+    rows = scored(spark, sf_dir).crossJoin(F.broadcast(modes))
+    rank = F.col("doc_id") % 7
+    made = rows.select("mode", F.col("label").alias("answerable"), F.when(F.col("risk") < F.col("cut"), "refuse").when(F.col("risk") < F.col("back"), "refine_once").otherwise("answer").alias("decision"), F.when(rank.between(1, 5), rank).alias("hit_rank"), gate.corrective_outcome(F.col("label"), F.col("toxic")).alias("outcome"))
+    return metrics.summed_modes(made).withColumn("mrr", F.round("mrr", 9))
+
+
+@query("""WITH c AS (SELECT DISTINCT l_orderkey AS answer_id, l_partkey AS article_id FROM lineitem), g AS (SELECT DISTINCT l_orderkey AS answer_id, l_partkey AS article_id FROM lineitem WHERE l_returnflag = 'R')
+SELECT c.answer_id, count(*) AS citations, count(*) FILTER (c.article_id IN (SELECT p_partkey FROM part WHERE p_size > 10))::DOUBLE / count(*) AS validity, count(g.article_id)::DOUBLE / count(*) AS correctness
+FROM c LEFT JOIN g ON g.answer_id = c.answer_id AND g.article_id = c.article_id GROUP BY 1""")
+def citation_metrics(spark, sf_dir):
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("answer_id"), F.col("l_partkey").alias("article_id"), "l_returnflag")
+    known = table(spark, sf_dir, "part").filter("p_size > 10").select(F.col("p_partkey").alias("article_id"))
+    return metrics.citation_metrics(lines.drop("l_returnflag"), known, lines.filter("l_returnflag = 'R'").drop("l_returnflag"))
+
+
+@query(r"""WITH q AS (SELECT conv_id * 1000 + turn AS ord, text, sha256(lower(trim(regexp_replace(text, '\s+', ' ', 'g')))) AS h FROM conversations),
+u AS (SELECT h AS question_hash, min(ord) AS ord FROM q WHERE h NOT IN (SELECT sha256(lower(trim(regexp_replace(text, '\s+', ' ', 'g')))) FROM benchmark) GROUP BY 1)
+SELECT 'Q' || lpad(row_number() OVER (ORDER BY ord)::VARCHAR, 4, '0') AS item_id, question_hash FROM u""")
+def export_packet(spark, sf_dir):
+    turns = table(spark, sf_dir, "conversations")
+    asked = turns.select((F.col("conv_id") * 1000 + F.col("turn")).alias("ord"), F.col("text").alias("question"), text.question_hash(F.col("text")).alias("question_hash"))
+    known = table(spark, sf_dir, "benchmark").select(text.question_hash(F.col("text")).alias("question_hash"))
+    return sampling.export_packet(asked, known).select("item_id", "question_hash")
+
+
+@query("""WITH r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS rank FROM documents QUALIFY rank <= 5)
+SELECT source AS query_id, md5(string_agg('《' || lang || '》第 ' || doc_id || ' 條：' || chr(10) || text, chr(10) || chr(10) ORDER BY rank)) AS context FROM r GROUP BY 1""")
+def context_assembly(spark, sf_dir):
+    """The five longest documents of each source as one prompt's context."""
+    docs = table(spark, sf_dir, "documents")
+    top = retrieval.ranked(docs.select("source", "doc_id", "n_chars"), 5, "source", "doc_id", "n_chars").select("source", "doc_id", "rank")
+    best = top.join(docs.select("doc_id", "lang", "text"), "doc_id").withColumn("parent_id", F.col("doc_id").cast("string"))
+    articles = best.select("parent_id", F.col("lang").alias("law_name"), F.col("parent_id").alias("article_no"), F.lit(None).cast("string").alias("content"))
+    return grounding.context_text(best.select(F.col("source").alias("query_id"), "parent_id", "rank", "text"), articles).withColumn("context", F.md5("context"))

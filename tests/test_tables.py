@@ -133,6 +133,9 @@ def test_sampling(spark):
     picked = [tuple(r) for r in sampling.disjoint_edges(e, 3).collect()]
     used = [n for p in picked for n in p]
     assert len(used) == len(set(used)) and all(a in used or b in used for a, b in map(tuple, e.collect()) if a != b)
+    asked = spark.createDataFrame([("b", "h2", 3), ("a", "h1", 1), ("a!", "h1", 2), ("c", "h3", 4)], "question string, question_hash string, ord int")
+    packet = sampling.export_packet(asked, spark.createDataFrame([("h3",)], "question_hash string"))
+    assert {(r.item_id, r.question) for r in packet.collect()} == {("Q0001", "a"), ("Q0002", "b")}
     assert [r.variant for r in sampling.specifications(spark.createDataFrame([("x",), ("y",)], "k string"), "k", 5).orderBy("spec_no").collect()] == [1, 1, 2, 2, 3]
 
 
