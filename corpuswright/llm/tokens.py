@@ -10,6 +10,7 @@ from __future__ import annotations
 import hashlib
 import os
 import re
+from struct import pack
 
 import numpy as np
 from tokenizers import Tokenizer
@@ -21,7 +22,8 @@ _PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+
 _OTHER = re.compile(r"[^\t\n\r\x20-\x7e\xa0\xa1-\xb1\xb4-\xb8\xba\xbb\xbf-ɏ‐-‧‰-⁞]")
 # fixed values: the bytes that a byte-level vocabulary writes as themselves; the others take the code points from 256 on
 _SHOWN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-_BYTES = {b: 256 + i for i, b in enumerate(sorted(set(range(256)) - set(_SHOWN)))}
+_BYTES: dict[int, int] = {b: 256 + i for i, b in enumerate(sorted(set(range(256)) - set(_SHOWN)))}
+_SPACE = chr(_BYTES[0x20])
 
 
 def tokenizer_json(name: str = "byte_bpe_50k.json") -> str:
@@ -35,7 +37,7 @@ def tokenizer_json(name: str = "byte_bpe_50k.json") -> str:
 class Pieces(dict):
     """Pre-token -> what the library makes of it. It holds at most two generations of `most` entries; a piece in use moves to the younger."""
 
-    def __init__(self, make, most: int = 250_000):
+    def __init__(self, make, most: int = 300_000):
         self.make, self.most, self.old = make, most, {}
 
     def __missing__(self, piece: str):
@@ -59,14 +61,16 @@ class Encoder:
         self.special = re.compile("|".join(map(re.escape, special))) if special else None
         self.model = self.library.model
         self.lengths = Pieces(lambda p: len(self.piece_ids(p)))
-        self.pieces = Pieces(lambda p: np.array(self.piece_ids(p), "<u4").tobytes())
+        self.pieces = Pieces(lambda p: pack(f"<{len(ids := self.piece_ids(p))}I", *ids))
 
     def ids_of(self, text: str) -> np.ndarray:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4")
 
     def piece_ids(self, piece: str) -> list[int]:
         """Ids of one pre-token, by the library's merges alone."""
-        return [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(_BYTES))]
+        # of printable ASCII only the space is written otherwise
+        shown = piece.replace(" ", _SPACE) if piece.isascii() and piece.isprintable() else piece.encode().decode("latin-1").translate(_BYTES)
+        return [t.id for t in self.model.tokenize(shown)]
 
     def plain(self, text: str) -> bool:
         return not _OTHER.search(text) and not (self.special and self.special.search(text))

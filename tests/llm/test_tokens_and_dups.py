@@ -25,13 +25,15 @@ def library():
 def test_encoder_equals_the_library(library):
     enc = encoder(tokenizer_json())
     r = random.Random(1)
+    for text in ["".join(r.choices("a b's 1.\n", k=r.randrange(40))) for _ in range(3000)]:
+        assert np.frombuffer(enc.encode(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)
     pool = "ab cZ'sté\n\t09._-ßœ“” ² ​<|endoftext|>中"
     for text in ODD + ["".join(r.choices(pool, k=r.randrange(60))) for _ in range(1500)]:
         assert np.frombuffer(enc.encode(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, text
 
 
 def test_token_counts(spark, library):
-    rows = [(i, t) for i, t in enumerate(ODD)] + [(50, None), (50, None), (None, "one two")]
+    rows = [(i, t) for i, t in enumerate(ODD)] + [(50, None), (50, None), (None, "one two"), (51, "long text, " * 100_000)]
     got = tokencount.count_tokens(docs_of(spark, rows).repartition(3), limit=3, each=4, most=3).collect()
     want = [(i, len((t or "").encode()), len(library.encode(t or "", add_special_tokens=False).ids)) for i, t in rows]
     key = lambda x: tuple(-1 if y is None else y for y in x)
@@ -42,7 +44,7 @@ def test_token_counts(spark, library):
 
 def test_packing_round_trip(spark, library):
     r = random.Random(2)
-    rows = [(i, " ".join(r.choices(["alpha", "Beta,", "ñu", "x"], k=r.randrange(70)))) for i in range(40)] + [(90, None), (90, "same"), (90, "same"), (None, "q")] + list(enumerate(ODD, 100))
+    rows = [(i, " ".join(r.choices(["alpha", "Beta,", "ñu", "x"], k=r.randrange(70)))) for i in range(40)] + [(90, None), (90, "same"), (90, "same"), (None, "q"), (91, "very long\n" * 20_000)] + list(enumerate(ODD, 100))
     pieces = packing.pack(docs_of(spark, rows).repartition(3), length=16).collect()
     taken = {}
     for p in pieces:
@@ -112,7 +114,7 @@ def test_decontamination(spark, block_bytes):
     r = random.Random(4)
     word = lambda k: " ".join(r.choices(["a", "b", "É", "c1"], k=k))
     items = [(i, word(r.randrange(1, 14))) for i in range(12)] + [(2, "z z"), (None, "n n"), (30, None), (31, "?!"), (31, "Q")]
-    rows = [(i, word(r.randrange(0, 60)).replace(" ", r.choice([" ", ", ", "\n"]))) for i in range(60)] + [(70, None), (70, "Q-z Z!"), (71, "n N"), (72, "zz")]
+    rows = [(i, word(r.randrange(0, 60)).replace(" ", r.choice([" ", ", ", "\n"]))) for i in range(60)] + [(70, None), (70, "Q-z Z!"), (71, "n N"), (72, "zz"), (73, "far " * 100_000 + "q z,Z")]
     bench = spark.createDataFrame(items, "item_id long, text string").coalesce(1)
     got = decontam.find_contamination(docs_of(spark, rows), bench, block_bytes=block_bytes).collect()
     want = sorted((i, *brute_hits(t, items)) for i, t in rows)
