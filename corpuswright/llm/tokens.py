@@ -18,7 +18,8 @@ from tokenizers import Tokenizer
 from .common import worker_cache
 
 # fixed values: the pre-token pattern of byte-level BPE, written for the characters that _OTHER leaves
-_PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
+_LETTER, _MARK = r"a-zA-Zªµºà-öø-ɏÀ-ÖØ-ß", r"!-/:-@\[-`{-~¡-©«-±´¶-¸»¿×÷‐-‧‰-⁞"
+_PIECE = re.compile(rf" ?[{_LETTER}]+| ?[0-9]+|'(?:[stmd]|re|ve|ll)| ?[{_MARK}]+|\s+(?!\S)|\s+")
 _OTHER = re.compile(r"[^\t\n\r\x20-\x7e\xa0\xa1-\xb1\xb4-\xb8\xba\xbb\xbf-ɏ‐-‧‰-⁞]")
 # fixed values: the bytes that a byte-level vocabulary writes as themselves; the others take the code points from 256 on
 _SHOWN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
