@@ -75,7 +75,7 @@ def char_offsets(text: str, wanted: list[tuple[int, int]]) -> list[dict]:
     return [{"start": int(starts[a]), "end": int(ends[b - 1])} for a, b in wanted]
 
 
-def find_contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 10, block_bytes: int = 64 << 20) -> DataFrame:
+def find_contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 10, block_bytes: int = 4 << 20) -> DataFrame:
     """One row for each row of docs: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, item_ids and spans (character offsets of runs of hit words).
 
     Null texts have no words; null item ids mark words but aren't listed; ids and windows that repeat count once. With no
@@ -135,7 +135,7 @@ def merged(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
 def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of docs in which no benchmark window occurs, with all their columns. The scan works beside the row, so that no join follows."""
     sc = docs.sparkSession.sparkContext
-    blocks = item_blocks(items.select(F.col("item_id").cast("string"), F.col("text").cast("string")), 10, 64 << 20)
+    blocks = item_blocks(items.select(F.col("item_id").cast("string"), F.col("text").cast("string")), 10, 4 << 20)
     handles = [(uuid.uuid4().hex, sc.broadcast(b)) for b in blocks if b]
     at = docs.columns.index("text")
 
