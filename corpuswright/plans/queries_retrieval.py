@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import citations, gate, metrics, retrieval, windows
+from . import index_build
 from .catalogue import query, table
 
 _TOKENS = r"list_filter(string_split_regex(lower({}), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '')"
@@ -276,3 +277,14 @@ SELECT query_id, s1 AS top1_rerank, 0.0::DOUBLE AS top1_missing, round(margin, 6
 def ml_features(spark, sf_dir):
     made = _signals(spark, sf_dir).select("query_id", *gate.gate_features())
     return made.withColumn("top1_top2_margin", F.round("top1_top2_margin", 6)).withColumn("bm25_dense_overlap_jaccard", F.round("bm25_dense_overlap_jaccard", 9))
+
+
+@query()
+def index_regression(spark, sf_dir):
+    """Recall among the fused twenty of an index over the documents, with the hashing embedder."""
+    docs, truth = table(spark, sf_dir, "documents"), gold(spark, sf_dir)
+    rows = docs.select(F.col("doc_id").alias("chunk_id"), F.col("doc_id").alias("parent_id"), "text")
+    chunks = rows.join(index_build.hashed_vectors(rows.select("chunk_id", "text")), "chunk_id")
+    asked = questions(spark, sf_dir).join(truth.select("query_id").distinct(), "query_id", "left_semi")
+    found = index_build.regression(chunks, asked, truth.select("query_id", F.col("doc_id").alias("article_id")), index_build.hashed_vectors, 0.9)
+    return spark.createDataFrame([(found["recall"], found["passed"])], "recall double, passed boolean")
