@@ -38,7 +38,7 @@ _ENDS = {"li": ("li", "ul ol menu"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl"
 _ENDS = {k: (frozenset(a.split()), frozenset(b.split())) for k, (a, b) in _ENDS.items()}
 _ASIDE = frozenset("nav aside form button footer dialog menu head label fieldset".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar status".split())
-_WORDS = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices popup modal overlay sidebar menu nav navbar navigation breadcrumb breadcrumbs pagination pager footer masthead comment comments disqus respond replies related recommended share sharing social newsletter subscribe subscription signup login search widget toolbar hidden".split())
+_WORDS = frozenset("ad ads adsbygoogle adv advert adverts advertisement advertising alert announcement sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices popup modal overlay sidebar menu nav navbar navigation breadcrumb breadcrumbs pagination pager footer masthead comment comments disqus respond replies related recommended share sharing social newsletter subscribe subscription signup login search widget toolbar hidden".split())
 _TEXT = frozenset("article story post entry content".split())
 _SPARED = frozenset("html body main article".split())
 
@@ -57,8 +57,8 @@ def attributes(raw: str) -> dict[str, str]:
 
 
 @lru_cache(4096)
-def described(tag: str, raw: str) -> tuple[str, bool, int]:
-    """An element's label, whether its role is beside the text, and its rank as a container of text."""
+def described(tag: str, raw: str) -> tuple[str, bool, bool, int]:
+    """An element's label, whether its role is beside the text, whether it is a header (which is beside the text outside of an article), and its rank as a container of text."""
     at = attributes(raw)
     names = f"{at.get('class', '')} {at.get('id', '')}"
     words = {w.lower() for w in _NAME.findall(names)}
@@ -68,7 +68,8 @@ def described(tag: str, raw: str) -> tuple[str, bool, int]:
     if tag not in _SPARED or (tag == "article" and words & {"comment", "comments"}):
         aside = aside or bool(words & _WORDS and not words & {"has", "with", "no"})
     rank = 3 if tag == "article" else 2 if tag == "main" or role == "main" else 1 if words & _TEXT and tag in _BLOCK else 0
-    return label, aside, rank
+    header = tag == "header" or ("header" in words and not words & _TEXT and tag not in _SPARED and not re.fullmatch("h[1-6]", tag))
+    return label, aside, header, rank
 
 
 def parse(page: str) -> tuple[Node, list[tuple[Node, str, bool, int]]]:
@@ -138,9 +139,9 @@ def parse(page: str) -> tuple[Node, list[tuple[Node, str, bool, int]]]:
                     flush()
                     del stack[k:]
                     break
-        label, aside, rank = described(tag, m[3])
+        label, aside, header, rank = described(tag, m[3])
         up = stack[-1]
-        if tag == "header" and not any(s[0] in ("article", "main") for s in stack):
+        if header and not any(s[0] in ("article", "main") for s in stack):
             aside = True
         if tag in _BLOCK or aside:
             flush()

@@ -37,6 +37,8 @@ def test_pages_without_an_article(spark, most_bytes):
 def test_articles_and_roles():
     main = "<div class='menu-top'>m</div><main><p>intro</p><article class=post><header><h1>T</h1></header><p>a<aside>s</aside><p>b<ul><li>one<li>two</ul><div class='share-links'>s</div><p hidden>h</p></article><article class=comment>c</article></main>"
     assert H.main_text(main, None) == "T\n\na\n\nb\n\none\n\ntwo"
+    assert H.main_text("<div class='site-header'>x</div><h1 class='page-header'>T</h1><div class='alert'>n</div><article><div class='header'>h</div>a</article>", None) == "h\n\na"
+    assert H.main_text("<div id='header'>x</div><h1 class='page-header'>T</h1><p>a</p>", None) == "T\n\na"
     assert H.main_text("<p>a <span>b</span>c<p>d</b></p>e < f &nbsp; g", None) == "a bc\n\nd\n\ne < f g"
     assert H.main_text("<script>x<p>y</p>", None) == "" and H.main_text("<!-- open <p>x</p>", None) == ""
     assert H.main_text("<table><tr><td>1<td>2<tr><td>3</table>", None) == "1\n\n2\n\n3"
