@@ -1,5 +1,6 @@
 import io
 import json
+import random
 import zipfile
 
 import pytest
@@ -125,6 +126,25 @@ def test_windows(spark):
     assert {(r.key, r.v) for r in windows.first_wins(dup, "key", "ord").collect()} == {("k", "a"), ("m", "c")}
 
 
+def test_windows_over_hot_keys_equal_plain_ones(spark):
+    r = random.Random(6)
+    rows = [("hot" if i % 3 else r.choice(["a", "b", None]), i // 2, i, r.choice([None, "x", "y"]), r.random() < 0.1) for i in range(600)]
+    frame = spark.createDataFrame(rows, "k string, t long, id long, v string, h boolean").withColumn("ts", (F.col("t") * 700).cast("timestamp")).repartition(5)
+    calls = [
+        lambda m: windows.previous(frame, "v", "k", "t", "id", most=m), lambda m: windows.running_sum(frame, F.col("t"), "k", "t", "id", name="s", most=m),
+        lambda m: windows.nearest_preceding(frame, F.col("h"), F.col("v"), "k", "t", "id", most=m), lambda m: windows.gap_runs(frame, "ts", 900, "k", "t", "id", most=m),
+    ]
+    for f in calls:
+        one, two = (sorted(map(tuple, f(m).select("id", f(m).columns[-1]).collect())) for m in (10**9, 10))
+        assert one == two and len({x[1] for x in one}) > 1
+    value, seen = {}, {}
+    for k, t, i, v, h in sorted(rows, key=lambda x: (x[1], x[2])):
+        value[k] = v if h else value.get(k)
+        seen[i] = value[k]
+    got = {x.id: x.nearest for x in windows.nearest_preceding(frame, F.col("h"), F.col("v"), "k", "t", "id", most=10).collect()}
+    assert got == seen
+
+
 def test_sampling(spark):
     sizes = spark.createDataFrame([("a", 72), ("b", 58), ("c", 15), ("d", 38), ("e", 22)], "stratum string, n long")
     got = {r.stratum: r.quota for r in sampling.quotas(sizes, 30).collect()}
