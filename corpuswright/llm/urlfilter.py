@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from .common import staged
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-WILD = "{var}"
+WILD, DEPTH = "{var}", 12
 
 
 @dataclass(frozen=True)
@@ -80,8 +80,9 @@ def shape(segment: Column) -> Column:
 
 
 def shaped(path: Column) -> Column:
-    """The path's segments by shape; a trailing slash is a last empty segment."""
-    return F.transform(F.split(F.regexp_replace(path, "^/", ""), "/"), shape)
+    """The path's segments by shape; a trailing slash is a last empty segment. What lies deeper than DEPTH levels is one segment of a template."""
+    segs = F.split(F.regexp_replace(path, "^/", ""), "/")
+    return F.concat(F.transform(F.slice(segs, 1, DEPTH), shape), F.when(F.size(segs) > DEPTH, F.array(F.lit("{rest}"))).otherwise(F.array().cast("array<string>")))
 
 
 def generalised(paths: DataFrame, most_children: int) -> DataFrame:

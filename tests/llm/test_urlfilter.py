@@ -19,7 +19,7 @@ def brute(url):
     return host, path, best.name if best else None, best.verdict if best else None
 
 
-ODD = [None, "", "nothing", "http://", "://x", "HTTP://A.Example.ORG/en/12?x=/es/", "https://example.org", "http://org/", "http://borg/", "http://x.com/de/1#a/b", "http://x.com/FR/2", "http://É.com/de/", "a://b://c/d", "http://h.net/a\nb/c?d", "//x.com/de/1", "http://x.com?/de/", "http://x.com:80/de/7", "http://u@x.com/de/"]
+ODD = [None, "", "nothing", "http://", "://x", "HTTP://A.Example.ORG/en/12?x=/es/", "https://example.org", "http://org/", "http://borg/", "http://x.com/de/1#a/b", "http://x.com/FR/2", "http://É.com/de/", "a://b://c/d", "http://h.net/a\nb/c?d", "//x.com/de/1", "http://x.com?/de/", "http://x.com:80/de/7", "http://u@x.com/de/", "http://deep.net/" + "a/" * 400, "http://long.net/" + "x" * 100_000]
 
 
 def test_rules_and_parts(spark):
