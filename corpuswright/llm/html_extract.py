@@ -26,7 +26,8 @@ from pyspark.sql import functions as F
 from .common import staged
 from .neardup import groups
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|([^<]+|<)", re.S)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|([^<]+|<)", re.S)
+_REST = re.compile(r"()()()((?:(?!<(?:!--|/?[a-zA-Z])).)*)", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=\"'>/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 # fixed values: elements by their part in a page
@@ -41,6 +42,8 @@ _ROLES = frozenset("navigation banner contentinfo complementary search form aler
 _WORDS = frozenset("ad ads adsbygoogle adv advert adverts advertisement advertising alert announcement sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices popup modal overlay sidebar menu nav navbar navigation breadcrumb breadcrumbs pagination pager footer masthead comment comments disqus respond replies related recommended share sharing social newsletter subscribe subscription signup login search widget toolbar hidden".split())
 _TEXT = frozenset("article story post entry content".split())
 _SPARED = frozenset("html body main article".split())
+#: Elements nested deeper than this open no node, as in browsers, so that no page makes a tree too deep to walk.
+DEEPEST = 200
 
 
 class Node:
@@ -87,10 +90,11 @@ def parse(page: str) -> tuple[Node, list[tuple[Node, str, bool, int]]]:
                 blocks.append((where[1], text, where[2], where[3]))
             buffer.clear()
 
-    at, end = 0, len(page)
+    at, end, last = 0, len(page), page.rfind(">")
     while at < end:
-        m = _TOKEN.match(page, at)
-        at = m.end()
+        # behind the last > there is only text, up to a tag or comment that doesn't end
+        m = _TOKEN.match(page, at) if at <= last else _REST.match(page, at)
+        at = m.end() if at <= last else end
         text = m[4]
         if text is not None:
             if not buffer:
@@ -98,7 +102,7 @@ def parse(page: str) -> tuple[Node, list[tuple[Node, str, bool, int]]]:
             buffer.append(html.unescape(text) if "&" in text else text)
             continue
         tag = m[2]
-        if tag is None:
+        if not tag:
             continue
         tag = tag.lower()
         if m[1]:
@@ -145,6 +149,8 @@ def parse(page: str) -> tuple[Node, list[tuple[Node, str, bool, int]]]:
             aside = True
         if tag in _BLOCK or aside:
             flush()
+        if len(stack) >= DEEPEST:  # its text counts as its parent's
+            continue
         parent = up[1]
         if parent.kids and parent.kids[-1].label == label:
             node = parent.kids[-1]

@@ -45,6 +45,18 @@ def test_articles_and_roles():
     assert H.main_text("<pre>" + "x " * 100_000, None).count("x") == 100_000
 
 
+def test_deep_and_broken_pages():
+    w = H.Wrapper()
+    for page in ("<div>" * 5000 + "x" + "</div>" * 9000 + "y", "<b>" * 20_000 + "x<p>y", "<p><i>" * 3000 + "x<p>y", "<" * 10_000 + "<p>x", "</p></div>x<p>y", '<p title="a>x</p><p>y', "<p>x" + "<a " * 50_000, "<p>x" + "<a '" * 50_000, "<p>x" + "<!--" * 30_000, "x<p>y<"):
+        w.add(page)
+        assert H.main_text(page, H.Wrapper.load(w.dump()))
+
+
+def test_what_does_not_end_is_left_out():
+    for page, text in (("<p>x<!-- hidden", "x"), ("<p>x<div class='a", "x"), ("<p>a < b", "a < b"), ("x", "x"), ("<p>x</p", "x"), (">", ">"), ("<p", "")):
+        assert H.main_text(page, None) == text
+
+
 def test_copies_are_not_constant():
     w = H.Wrapper()
     for _ in range(50):
