@@ -4,6 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from ..plans.shared import fixed
+from .windows import MOST, hot
 
 
 def rate(part: Column, whole: Column) -> Column:
@@ -115,3 +119,31 @@ def faithfulness(scores: DataFrame, low: float = 0.7) -> DataFrame:
 def adopted(candidate: Column, rule: Column) -> Column:
     """Whether a candidate's metrics are at least the rule's in accuracy, recall and specificity, with no more activations."""
     return (candidate["accuracy"] >= rule["accuracy"]) & (candidate["recall"] >= rule["recall"]) & (candidate["specificity"] >= rule["specificity"]) & (candidate["activation_rate"] <= rule["activation_rate"])
+
+
+def group_percentiles(rows: DataFrame, by: str, value: str, qs: list[float], most: int = MOST) -> DataFrame:
+    """by, q, linear (interpolated) and nearest (value at rank ceil(q n)), exact for groups of any size; nulls don't count.
+
+    Groups of up to `most` rows are aggregated at once. Larger ones are narrowed first: an approximate pass gives each
+    quantile a band that must hold it, rows below the band are counted, and only the band's distinct values are ordered.
+    """
+    rows = rows.select(F.col(by).alias("k"), F.col(value).cast("double").alias("v")).filter("v is not null")
+    if not hot(rows, "k", most):
+        each = [F.struct(F.lit(q).alias("q"), F.percentile("v", q).alias("linear"), nearest_rank("v", q).alias("nearest")) for q in qs]
+        out = rows.groupBy("k").agg(F.array(*each).alias("p")).select("k", F.inline("p"))
+        return out.select(F.col("k").alias(by), "q", "linear", "nearest")
+    slack = 2e-4  # twice the error of an approximate percentile of accuracy 10,000
+    ends = [0.0, 1.0] + [x for q in qs for x in (max(0.0, q - slack), min(1.0, q + slack))]
+    # in a small group the slack is less than a rank, so its band is all of it
+    end = lambda i, whole: F.when(F.col("n") < 20_000, F.col("e")[whole]).otherwise(F.col("e")[i])
+    bands = rows.groupBy("k").agg(F.count("v").alias("n"), F.percentile_approx("v", ends, 10_000).alias("e"))
+    bands = bands.select("k", "n", F.posexplode(F.array(*[F.struct(F.lit(q).alias("q"), end(2 * i + 2, 0).alias("low"), end(2 * i + 3, 1).alias("high")) for i, q in enumerate(qs)])).alias("i", "b")).select("k", "n", "b.*")
+    bands = fixed(bands).withColumnRenamed("k", "of")
+    met = rows.join(bands, F.col("k").eqNullSafe(F.col("of")) & (F.col("v") <= F.col("high"))).select("k", "n", "q", "low", "v")
+    counts = met.groupBy("k", "q", "n", F.when(F.col("v") >= F.col("low"), F.col("v")).alias("v")).agg(F.count(F.lit(1)).alias("c"))
+    w = Window.partitionBy("k", "q").orderBy(F.asc_nulls_first("v")).rowsBetween(Window.unboundedPreceding, 0)
+    upto = counts.withColumn("upto", F.sum("c").over(w)).filter("v is not null")
+    at = lambda rank: F.min(F.when(F.col("upto") > rank, F.col("v")))
+    place = F.col("q") * (F.col("n") - 1)
+    found = upto.groupBy("k", "q", "n").agg(at(F.floor(place)).alias("a"), at(F.ceil(place)).alias("b"), at(F.greatest(F.ceil(F.col("q") * F.col("n")) - 1, F.lit(0))).alias("nearest"))
+    return found.select(F.col("k").alias(by), "q", (F.col("a") + (F.col("b") - F.col("a")) * (place - F.floor(place))).alias("linear"), "nearest")

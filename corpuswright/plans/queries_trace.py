@@ -53,8 +53,9 @@ def trace_counts(spark, sf_dir):
 
 @query("""SELECT event_type, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, quantile_disc(value, 0.5) AS n50, quantile_disc(value, 0.95) AS n95 FROM events GROUP BY 1""")
 def percentiles(spark, sf_dir):
-    linear = [F.round(metrics.linear_percentile("value", q), 6).alias(n) for q, n in ((0.5, "p50"), (0.95, "p95"))]
-    return log(spark, sf_dir).groupBy("event_type").agg(*linear, metrics.nearest_rank("value", 0.5).alias("n50"), metrics.nearest_rank("value", 0.95).alias("n95"))
+    found = metrics.group_percentiles(log(spark, sf_dir), "event_type", "value", [0.5, 0.95])
+    at = lambda q, c: F.max(F.when(F.col("q") == q, F.col(c)))
+    return found.groupBy("event_type").agg(F.round(at(0.5, "linear"), 6).alias("p50"), F.round(at(0.95, "linear"), 6).alias("p95"), at(0.5, "nearest").alias("n50"), at(0.95, "nearest").alias("n95"))
 
 
 @query(f"WITH {_T}, u AS (SELECT event_type AS stage, k FROM t UNION ALL SELECT 'shadow.' || event_type, k FROM t WHERE k % 2 = 0) SELECT stage, sum(k)::BIGINT AS total_tokens FROM u GROUP BY 1")

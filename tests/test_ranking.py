@@ -137,3 +137,17 @@ def test_answer_batch(spark):
     assert got["meta"].route == "no_retrieval" and got["meta"].decision is None and got["meta"].final_text == "handled by meta_response"
     assert got["hit"].decision == "answer" and got["hit"].final_text.startswith("長照機構") and "許可" in got["hit"].final_text
     assert got["miss"].decision == "refuse" and got["miss"].final_text == grounding.REFUSAL_TEXT
+
+
+@pytest.mark.parametrize("most", [10**9, 5])
+def test_percentiles_of_hot_groups(spark, most):
+    r = np.random.default_rng(4)
+    rows = pd.DataFrame({"k": np.where(r.random(30_000) < 0.9, "hot", "b"), "v": np.round(r.normal(size=30_000), 2)})
+    rows = pd.concat([rows, pd.DataFrame({"k": ["one", "two", "two"], "v": [7.0, 1.0, 2.0]})])
+    qs = [0.0, 0.25, 0.5, 0.95, 1.0]
+    got = {(x.k, x.q): (x.linear, x.nearest) for x in metrics.group_percentiles(spark.createDataFrame(rows).repartition(4), "k", "v", qs, most=most).collect()}
+    for k, part in rows.groupby("k"):
+        v = np.sort(part["v"].to_numpy())
+        for q in qs:
+            assert got[k, q][0] == pytest.approx(np.percentile(v, q * 100)) and got[k, q][1] == v[max(0, int(np.ceil(q * len(v))) - 1)]
+    assert len(got) == 4 * len(qs)
