@@ -124,17 +124,20 @@ def train(texts: list[str], langs: list[str], bits: int = 16, dim: int = 16, epo
             lr = rate * max(0.05, 1 - step / steps)
             step += 1
             ids = np.concatenate([all_bags[i] for i in rows])
-            n = np.array([max(1, len(all_bags[i])) for i in rows])
-            owner = np.repeat(np.arange(len(rows)), [len(all_bags[i]) for i in rows])
+            sizes = np.array([len(all_bags[i]) for i in rows])
+            n = np.maximum(sizes, 1)
+            owner = np.repeat(np.arange(len(rows)), sizes)
             hidden = np.zeros((len(rows), dim), np.float32)
-            np.add.at(hidden, owner, emb[ids])
+            if len(ids):
+                full = sizes > 0
+                hidden[full] = np.add.reduceat(emb[ids], (np.cumsum(sizes) - sizes)[full], axis=0)
             hidden /= n[:, None]
             p = softmax(hidden @ w + bias)
             p[np.arange(len(rows)), y_all[rows]] -= 1
             back = (p @ w.T / n[:, None]).astype(np.float32)
             w -= lr * hidden.T @ p / len(rows) * 8
             bias -= lr * p.mean(axis=0)
-            np.add.at(emb, ids, -lr * back[owner] * 8)
+            np.add.at(emb.reshape(-1), (ids[:, None] * dim + np.arange(dim)).reshape(-1), (-lr * 8 * back)[owner].reshape(-1))
     table = (emb @ w).astype(np.float32)
     check = held if len(held) else learn
     z = logits([texts[i] for i in check], table, bias, bits)
