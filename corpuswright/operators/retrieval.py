@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -140,7 +141,8 @@ def hybrid(docs: DataFrame, questions: DataFrame, vectors: DataFrame | None = No
 
 
 def fused_with_overlap(lexical: DataFrame, docs: DataFrame, questions: DataFrame, top: int = TOP) -> DataFrame:
-    """BM25's candidates fused with their order by shared words."""
+    """BM25's candidates fused with their order by shared words. The candidates, `top` a question, are kept, as three parts of the plan read them."""
+    lexical = lexical.persist(StorageLevel.MEMORY_AND_DISK)
     full = lexical.select("query_id", "doc_id").join(docs.select("doc_id", "text"), "doc_id").join(questions.select("query_id", F.col("text").alias("question")), "query_id")
     second = ranked(full.select("query_id", "doc_id", F.round(overlap_score(F.col("question"), F.col("text")), 6).alias("score")), top)
     return rrf(lexical.withColumn("list", F.lit(0)).unionByName(second.withColumn("list", F.lit(1))))
