@@ -67,3 +67,47 @@ def test_empty_and_no_target(spark):
     docs = spark.createDataFrame([(1, "a b"), (1, "a b")], "doc_id long, text string")
     got = lmscore.score(docs, lmscore.learn(docs, empty, bits=12)).collect()
     assert len(got) == 2 and all(abs(r.score) < 1e-9 for r in got)
+
+
+def test_counts_grow_with_the_corpus(spark):
+    """More words than a fixed vocabulary held, in the documents learned from and in others."""
+    words = [f"w{i}" for i in range(70_000)]
+    rows = [(i, " ".join(words[i * 700 : i * 700 + 700] + ["rare", words[i]])) for i in range(100)] + [(100, "alpha beta"), (101, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    others = spark.createDataFrame([(1, "w3 w4 rare never w69999"), (None, "beta alpha")], "doc_id long, text string")
+    target = {i for i in range(0, 100, 3)}
+    models = lmscore.learn(docs, spark.createDataFrame([(i,) for i in target], "doc_id long"), mu=5.0)
+    (one, two, n), size = tables_of(rows, target), 70_001 + 2 + 2
+
+    def loss(text, k, scale):
+        words = text.split()
+        p = [(two[k][v, w] * scale + 5 * (one[k][w] * scale + 1) / (n[0] + size)) / (one[k][v] * scale + 5) for v, w in zip(["<s>", *words], words)]
+        return -sum(map(math.log, p)) / len(p)
+
+    for table, texts in ((docs, dict(rows)), (others, {1: "w3 w4 rare never w69999", None: "beta alpha"})):
+        got = lmscore.score(table, models).collect()
+        assert len(got) == len(texts)
+        for r in got:
+            if text := texts[r.doc_id]:
+                assert np.allclose((r.target_loss, r.background_loss), (loss(text, 0, 1.0), loss(text, 1, n[0] / n[1])), atol=1e-9)
+
+
+def tables_of(rows, target):
+    one, two, n = (Counter(), Counter()), (Counter(), Counter()), [0, 0]
+    for i, t in rows:
+        words = (t or "").split()
+        for k in (0, 1) if i in target else (1,):
+            one[k].update(["<s>", *words])
+            two[k].update(zip(["<s>", *words], words))
+            n[k] += len(words)
+    return one, two, n
+
+
+def test_things_that_share_a_key_are_told_apart():
+    a = lmscore.Batch()
+    for i, t in enumerate(("a b a", "", "b c")):
+        a.add(i, i == 2, t.encode().split())
+    keys = np.concatenate([np.cumsum(lmscore.unpack(r[2], np.uint64), dtype=np.uint64) for r in a.rows("x", 4, True, True)])
+    assert len(keys) == len(set(keys.tolist())) == 3 + 5 and (keys[1:] > keys[:-1]).all()
+    order, begin = lmscore.sorting(np.array([7, 7, 3, 7], np.uint64), np.array([2, 1, 5, 2], np.uint16))
+    assert begin.tolist() == [0, 1, 2] and lmscore.added(np.array([1, 10, 100, 1000]), order, begin).tolist() == [100, 10, 1001]
