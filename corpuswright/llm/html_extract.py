@@ -7,6 +7,8 @@ host's pages share at a node, over several different pages, is constant and so t
 roles say (navigation, adverts, forms, comments and so on) is left out as well, and within a page the article is preferred.
 
 Wrappers are built inside the tasks, a small record a host, and merged by host in two steps; a merge is an alignment too.
+A node forgets rare texts and knows how much that may have cost the others; where a host's wrapper has forgotten any, its
+candidates are counted exactly in a second pass over the host's pages.
 """
 
 from __future__ import annotations
@@ -49,10 +51,10 @@ DEEPEST = 200
 class Node:
     """A node of a folded tree: label and kids; in a wrapper also what was seen there."""
 
-    __slots__ = ("label", "kids", "seen")
+    __slots__ = ("label", "kids", "seen", "lost")
 
     def __init__(self, label: str):
-        self.label, self.kids, self.seen = label, [], {}
+        self.label, self.kids, self.seen, self.lost = label, [], {}, 0
 
 
 def attributes(raw: str) -> dict[str, str]:
@@ -197,12 +199,16 @@ def aligned(a: tuple, b: tuple) -> list[tuple[int, int]]:
 
 
 class Wrapper:
-    """A host's merged layout. At each node: texts by hash, with the number of pages and a few smallest page hashes."""
+    """A host's merged layout. At each node: texts by hash, with the number of pages and a few smallest page hashes.
+
+    A node with more than `most` texts forgets rare ones as long as no text's count can be short by more than
+    tolerance * pages; until then it grows. An exact wrapper counts its candidates and forgets nothing.
+    """
 
     most, sample = 24, 3
 
-    def __init__(self):
-        self.root, self.pages, self.maps = Node(""), 0, {}
+    def __init__(self, tolerance: float = 0.3):
+        self.root, self.pages, self.maps, self.tolerance, self.exact = Node(""), 0, {}, tolerance, False
 
     def place(self, layout: tuple, grow: bool) -> list[Node | None]:
         """The wrapper's node for each node of the layout, in document order; where it has none it grows or gives None."""
@@ -234,41 +240,63 @@ class Wrapper:
 
     @staticmethod
     def note(node: Node, text: int, pages: int, which: tuple[int, ...]) -> None:
-        """Frequent texts stay exact; when a node has too many, all lose what the rarest have (Misra and Gries)."""
         n, seen = node.seen.get(text, (0, ()))
         node.seen[text] = (n + pages, tuple(sorted({*seen, *which})[: Wrapper.sample]))
-        if len(node.seen) > Wrapper.most:
-            least = min(n for n, _ in node.seen.values())
+
+    def forget(self, node: Node) -> None:
+        """When a node has too many texts, all lose what the rarest have (Misra and Gries), within the tolerance."""
+        if self.exact or len(node.seen) <= self.most:
+            return
+        least = int(min(self.tolerance * self.pages - node.lost, min(n for n, _ in node.seen.values())))
+        if least >= 1:
+            node.lost += least
             node.seen = {t: (n - least, w) for t, (n, w) in node.seen.items() if n > least}
 
+    def candidates(self, share: float) -> Wrapper:
+        """Of the same layout, to count exactly: every text that may be on `share` of the pages, from zero."""
+        out = Wrapper.load(self.dump())
+        for node in walk(out.root):
+            node.seen, node.lost = {t: (0, ()) for t, (n, _) in node.seen.items() if n + node.lost >= share * self.pages}, 0
+        out.pages, out.exact = 0, True
+        return out
+
     def add(self, page: str) -> None:
+        """Takes the page in; an exact wrapper counts its candidates there."""
         root, blocks = parse(page)
-        places = self.place(skeleton(root), True)
+        places = self.place(skeleton(root), not self.exact)
         of = {id(x): w for x, w in zip(walk(root), places)}
         which = (xxhash.xxh3_64_intdigest("\n".join(b[1] for b in blocks)),)
-        for node, text in {(id(b[0]), hashed(b[1])) for b in blocks}:
-            self.note(of[node], text, 1, which)
         self.pages += 1
+        # by the wrapper's node, as several nodes of a page may have one place
+        for node, text in {(of[id(b[0])], hashed(b[1])) for b in blocks}:
+            if not self.exact or (node is not None and text in node.seen):
+                self.note(node, text, 1, which)
+        if not self.exact:
+            for node in {of[id(b[0])] for b in blocks}:
+                self.forget(node)
 
     def merge(self, other: Wrapper) -> None:
+        self.exact = other.exact
+        self.pages += other.pages
         for mine, theirs in zip(self.place(skeleton(other.root), True), walk(other.root)):
             for text, (n, which) in sorted(theirs.seen.items()):
                 self.note(mine, text, n, which)
-        self.pages += other.pages
+            mine.lost += theirs.lost
+            self.forget(mine)
 
     def dump(self) -> bytes:
-        flat = lambda x: (x.label, x.seen, [flat(k) for k in x.kids])
-        return pickle.dumps((self.pages, flat(self.root)))
+        flat = lambda x: (x.label, x.seen, x.lost, [flat(k) for k in x.kids])
+        return pickle.dumps((self.pages, self.tolerance, self.exact, flat(self.root)))
 
     @staticmethod
     def load(data: bytes) -> Wrapper:
         def node(x):
             out = Node(x[0])
-            out.seen, out.kids = x[1], [node(k) for k in x[2]]
+            out.seen, out.lost, out.kids = x[1], x[2], [node(k) for k in x[3]]
             return out
 
         out = Wrapper()
-        out.pages, tree = pickle.loads(data)
+        out.pages, out.tolerance, out.exact, tree = pickle.loads(data)
         out.root = node(tree)
         return out
 
@@ -299,7 +327,32 @@ def main_text(page: str, wrapper: Wrapper | None, share: float = 0.6, least: int
     return "\n\n".join(b[1] for b in blocks if b[3] == rank)
 
 
-def wrappers(pages: DataFrame) -> DataFrame:
+def merged(parts: DataFrame) -> DataFrame:
+    """One wrapper for each host. parts: host, slot, wrapper."""
+
+    def merge(batches):
+        for rows_ in groups(batches, 2):
+            total = None
+            for _, _, data, _ in rows_:
+                now = Wrapper.load(data)
+                total = total or Wrapper(now.tolerance)
+                total.merge(now)
+            yield dumped({rows_[0][0]: total}, 0)
+
+    for keys in (("host", "slot"), ("host",)):
+        parts = parts.repartition(*keys).sortWithinPartitions("host", "slot").mapInArrow(merge, _PARTS)
+    return parts.select("host", "wrapper", "lost")
+
+
+_PARTS = "host string, slot int, wrapper binary, lost boolean"
+
+
+def dumped(found: dict[str, Wrapper], part: int) -> pa.RecordBatch:
+    lost = [any(n.lost for n in walk(w.root)) for w in found.values()]
+    return pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array([part % 64] * len(found), pa.int32()), pa.array([w.dump() for w in found.values()], pa.binary()), pa.array(lost, pa.bool_())], ["host", "slot", "wrapper", "lost"])
+
+
+def wrappers(pages: DataFrame, share: float = 0.6, most_bytes: int = 32 << 20) -> DataFrame:
     """host and wrapper (pickled) of each host. pages: host, html. Pages without a host share no layout and bring none."""
 
     def build(batches):
@@ -307,27 +360,48 @@ def wrappers(pages: DataFrame) -> DataFrame:
         part = TaskContext.get().partitionId()
         for batch in batches:
             for host, page in zip(*(c.to_pylist() for c in batch.columns)):
-                found.setdefault(host, Wrapper()).add(page or "")
+                if host not in found:
+                    found[host] = Wrapper(share / 2)
+                found[host].add(page or "")
             if len(found) > 20_000:
-                yield rows(found, part)
+                yield dumped(found, part)
                 found.clear()
-        yield rows(found, part)
+        yield dumped(found, part)
 
-    def rows(found, part):
-        return pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array([part % 64] * len(found), pa.int32()), pa.array([w.dump() for w in found.values()], pa.binary())], ["host", "slot", "wrapper"])
+    pages = pages.filter("host <> ''").select("host", "html")
+    found = staged(merged(pages.mapInArrow(build, _PARTS)), "wrappers")
+    short = found.filter("lost").select("host", "wrapper")
+    if short.isEmpty():
+        return found.select("host", "wrapper")
+    rows, get = beside(pages.join(F.broadcast(short.select("host")) if within(short, most_bytes) else short.select("host"), "host", "left_semi"), short, most_bytes)
 
-    def merge(batches):
-        for rows_ in groups(batches, 2):
-            total = Wrapper()
-            for _, _, data in rows_:
-                total.merge(Wrapper.load(data))
-            yield rows({rows_[0][0]: total}, 0)
+    def count(batches):
+        now: dict[str, Wrapper] = {}
+        part = TaskContext.get().partitionId()
+        for batch in batches:
+            for host, page, data in zip(*(c.to_pylist() for c in batch.columns)):
+                if host not in now:
+                    if len(now) > 5000:
+                        yield dumped(now, part)
+                        now.clear()
+                    now[host] = Wrapper.load(get(host, data)).candidates(share)
+                now[host].add(page or "")
+        yield dumped(now, part)
+
+    counted = merged(rows.select("host", "html", "wrapper").mapInArrow(count, _PARTS)).select("host", "wrapper")
+    return staged(found.filter("not lost").select("host", "wrapper").unionByName(counted), "counted")
 
-    schema = "host string, slot int, wrapper binary"
-    now = pages.filter("host <> ''").select("host", "html").mapInArrow(build, schema)
-    for keys in (("host", "slot"), ("host",)):
-        now = now.repartition(*keys).sortWithinPartitions("host", "slot").mapInArrow(merge, schema)
-    return now.select("host", "wrapper")
+
+def within(found: DataFrame, most_bytes: int) -> bool:
+    return (found.agg(F.sum(F.length("wrapper"))).first()[0] or 0) <= most_bytes
+
+
+def beside(rows: DataFrame, found: DataFrame, most_bytes: int):
+    """rows with a column wrapper, and how a task gets a host's: from a broadcast up to most_bytes, else joined by host."""
+    if within(found, most_bytes):
+        sent = rows.sparkSession.sparkContext.broadcast({r.host: bytes(r.wrapper) for r in found.collect()})
+        return rows.withColumn("wrapper", F.lit(None).cast("binary")), lambda host, data: sent.value.get(host)
+    return rows.join(found, "host", "left"), lambda host, data: data
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", share: float = 0.6, most_bytes: int = 32 << 20) -> DataFrame:
@@ -340,22 +414,15 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     url = F.coalesce(F.col(url_col).cast("string"), F.lit(""))
     host = F.lower(F.regexp_extract(url, r"(?s)^.*?://([^/?#]*)", 1))
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"), host.alias("host"), F.col(html_col).cast("string").alias("html"))
-    found = staged(wrappers(rows), "wrappers")
-    total = found.agg(F.sum(F.length("wrapper"))).first()[0] or 0
+    rows, get = beside(rows, wrappers(rows, share, most_bytes), most_bytes)
     known: dict[str, Wrapper] = {}
-    if total <= most_bytes:
-        sent = rows.sparkSession.sparkContext.broadcast({r.host: bytes(r.wrapper) for r in found.collect()})
-        rows = rows.withColumn("wrapper", F.lit(None).cast("binary"))
-    else:
-        sent = None
-        rows = rows.join(found, "host", "left")
 
     def run(batches):
         for batch in batches:
             out = []
             for host, page, data in zip(*(batch.column(batch.schema.get_field_index(k)).to_pylist() for k in ("host", "html", "wrapper"))):
                 if host not in known:
-                    data = sent.value.get(host) if sent is not None else data
+                    data = get(host, data)
                     if len(known) > 5000:
                         known.clear()
                     known[host] = Wrapper.load(data) if data else None

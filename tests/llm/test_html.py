@@ -95,3 +95,28 @@ def test_merge_is_like_adding():
         total.merge(H.Wrapper.load(p.dump()))
     assert total.pages == one.pages == 30
     assert [H.main_text(p, one) for p in pages] == [H.main_text(p, total) for p in pages]
+
+
+@pytest.mark.parametrize("most_bytes", [1 << 20, 0])
+def test_a_notice_among_many_paragraphs(spark, most_bytes):
+    """A notice on 70 % of a host's pages goes, one on half of them stays, with 40 other paragraphs a page."""
+    rows, want = [], {}
+    for i in range(200):
+        ps = [f"page {i} paragraph {k}" for k in range(40)]
+        want[i] = "\n\n".join([*ps, *["Half of the pages."] * (i % 2)])
+        notes = ["On most pages."] * (i % 10 < 7) + ["Half of the pages."] * (i % 2)
+        rows.append((i, f"http://h.org/{i}", "<div>" + "".join(f"<p>{x}</p>" for x in [*ps[:20], *notes[:-1], *ps[20:], *notes[-1:]]) + "</div>"))
+        if len(notes) == 1 and i % 10 < 7 and not i % 2:
+            want[i] = "\n\n".join(ps)
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    got = {x.page_id: x.text for x in H.extract(pages, most_bytes=most_bytes).collect()}
+    assert got == want
+
+
+def test_what_is_forgotten_is_bounded():
+    w = H.Wrapper()
+    for i in range(300):
+        w.add("<div>" + "".join(f"<p>{x}</p>" for x in ["notice", *(f"{i} {k}" for k in range(50))]) + "</div>")
+    nodes = [n for n in H.walk(w.root) if n.seen]
+    assert all(0 < n.lost <= 0.3 * 300 and len(n.seen) < 1000 for n in nodes)
+    assert any(n.seen[H.hashed("notice")][0] + n.lost >= 300 for n in nodes)
