@@ -16,6 +16,7 @@ from __future__ import annotations
 import html
 import pickle
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -44,7 +45,7 @@ _ROLES = frozenset("navigation banner contentinfo complementary search form aler
 _WORDS = frozenset("ad ads adsbygoogle adv advert adverts advertisement advertising alert announcement sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices popup modal overlay sidebar menu nav navbar navigation breadcrumb breadcrumbs pagination pager footer masthead comment comments disqus respond replies related recommended share sharing social newsletter subscribe subscription signup login search widget toolbar hidden".split())
 _TEXT = frozenset("article story post entry content".split())
 _SPARED = frozenset("html body main article".split())
-#: Elements nested deeper than this open no node, as in browsers, so that no page makes a tree too deep to walk.
+#: Elements nested deeper than this share their parent's node, so that no page makes a tree too deep to walk.
 DEEPEST = 200
 
 
@@ -80,7 +81,9 @@ def described(tag: str, raw: str) -> tuple[str, bool, bool, int]:
 def parse(page: str) -> tuple[Node, list[tuple[Node, str, bool, int]]]:
     """The page's folded tree and its blocks in order: node, text, whether beside the text, rank of the container."""
     root = Node("")
-    stack: list[tuple[str, Node, bool, int]] = [("", root, False, 0)]
+    # tag, node, whether beside the text, rank, place of the element that its text is a block of
+    stack: list[tuple[str, Node, bool, int, int]] = [("", root, False, 0, 0)]
+    opened: defaultdict[str, list[int]] = defaultdict(list)  # the places of open elements by tag
     blocks: list[tuple[Node, str, bool, int]] = []
     buffer: list[str] = []
     where = stack[0]
@@ -92,6 +95,13 @@ def parse(page: str) -> tuple[Node, list[tuple[Node, str, bool, int]]]:
                 blocks.append((where[1], text, where[2], where[3]))
             buffer.clear()
 
+    def last_of(tags) -> int:
+        return max((opened[x][-1] for x in tags if opened[x]), default=0)
+
+    def close(place: int) -> None:
+        while len(stack) > place:
+            opened[stack.pop()[0]].pop()
+
     at, end, last = 0, len(page), page.rfind(">")
     while at < end:
         # behind the last > there is only text, up to a tag or comment that doesn't end
@@ -100,7 +110,7 @@ def parse(page: str) -> tuple[Node, list[tuple[Node, str, bool, int]]]:
         text = m[4]
         if text is not None:
             if not buffer:
-                where = next((s for s in reversed(stack) if s[0] in _BLOCK or s[2] != stack[-1][2]), stack[0])
+                where = stack[stack[-1][4]]
             buffer.append(html.unescape(text) if "&" in text else text)
             continue
         tag = m[2]
@@ -108,16 +118,11 @@ def parse(page: str) -> tuple[Node, list[tuple[Node, str, bool, int]]]:
             continue
         tag = tag.lower()
         if m[1]:
-            if any(s[0] == tag for s in stack):
-                gone: set[str] = set()
-                while True:
-                    name = stack[-1][0]
-                    if name in _BLOCK or stack[-1][2] != stack[-2][2]:
+            if place := last_of((tag,)):
+                while len(stack) > place:
+                    if stack[-1][0] in _BLOCK or stack[-1][2] != stack[-2][2]:
                         flush()
-                    stack.pop()
-                    gone.add(name)
-                    if name == tag:
-                        break
+                    close(len(stack) - 1)
             continue
         if tag == "br":
             buffer.append(" ")
@@ -131,34 +136,30 @@ def parse(page: str) -> tuple[Node, list[tuple[Node, str, bool, int]]]:
                 found = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
                 at = found.end() if found else (end if tag in ("script", "style", "template") else at)
             continue
-        if tag in _ENDS_P and any(s[0] == "p" for s in stack):
+        if tag in _ENDS_P and opened["p"]:
             flush()
-            while stack[-1][0] != "p":
-                stack.pop()
-            stack.pop()
+            close(last_of(("p",)))
         elif tag in _ENDS:
             closes, limits = _ENDS[tag]
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] in limits:
-                    break
-                if stack[k][0] in closes:
-                    flush()
-                    del stack[k:]
-                    break
+            place = last_of(closes)
+            if place > last_of(limits):
+                flush()
+                close(place)
         label, aside, header, rank = described(tag, m[3])
         up = stack[-1]
-        if header and not any(s[0] in ("article", "main") for s in stack):
+        if header and not last_of(("article", "main")):
             aside = True
         if tag in _BLOCK or aside:
             flush()
-        if len(stack) >= DEEPEST:  # its text counts as its parent's
-            continue
-        parent = up[1]
-        if parent.kids and parent.kids[-1].label == label:
+        parent, beside = up[1], up[2] or aside
+        if len(stack) >= DEEPEST:
+            node = parent
+        elif parent.kids and parent.kids[-1].label == label:
             node = parent.kids[-1]
         else:
             parent.kids.append(node := Node(label))
-        stack.append((tag, node, up[2] or aside, max(up[3], rank)))
+        opened[tag].append(len(stack))
+        stack.append((tag, node, beside, max(up[3], rank), len(stack) if tag in _BLOCK else len(stack) - 1 if beside != up[2] else up[4]))
     flush()
     return root, blocks
 

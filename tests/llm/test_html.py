@@ -120,3 +120,12 @@ def test_what_is_forgotten_is_bounded():
     nodes = [n for n in H.walk(w.root) if n.seen]
     assert all(0 < n.lost <= 0.3 * 300 and len(n.seen) < 1000 for n in nodes)
     assert any(n.seen[H.hashed("notice")][0] + n.lost >= 300 for n in nodes)
+
+
+def test_below_the_deepest_node():
+    deep, out = "<div>" * 250, "</div>" * 250
+    assert H.main_text(f"<div id=page><article><p>first</p>{deep}in{out}<p>rest</p></article>after</div>", None) == "first\n\nin\n\nrest"
+    assert H.main_text(f"<article>{deep}<nav>n<b>m</b></nav>a<div class=ad>b<p>c</p></div>d{out}e</article>", None) == "a\n\nd\n\ne"
+    n = 30_000  # in linear time
+    for page in ("<dl><dt><dl>" + "<b>" * n + "<dt>x</dt>" * n, "<b>" * n + "x<i>y</i>" * n, "<div>" * n + "<p>x" * n + "</div>" * n):
+        assert H.parse(page)[1]
