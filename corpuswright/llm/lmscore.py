@@ -222,7 +222,7 @@ def answered(messages: DataFrame, slots: int) -> DataFrame:
 
 
 def vocabulary(texts: DataFrame, most_words: int) -> dict[bytes, int]:
-    """Ids from 2 for the words of all texts at or above a frequency level: the lowest of sixteen levels an octave at which at most most_words words are left."""
+    """Ids from 2 for the most_words most frequent words of all texts by exact count, equal ones by word. Only the level of frequency that doesn't fit as a whole is sorted."""
 
     def count(batches):
         counts: Counter = Counter()
@@ -241,12 +241,15 @@ def vocabulary(texts: DataFrame, most_words: int) -> dict[bytes, int]:
     leveled = staged(summed.withColumn("level", F.floor(F.log2("n") * 16).cast("int")), "words")
     # a row for each level, at most about a thousand
     sizes, least, total = leveled.groupBy("level").agg(F.count(F.lit(1)).alias("words")).collect(), None, 0
+    border = None
     for level, words in sorted(sizes, reverse=True):
-        total += words
-        if total > most_words:
+        if total + words > most_words:
+            border = level
             break
-        least = level
+        total, least = total + words, level
     kept = leveled.filter(F.col("level") >= least).select("n", "word").collect() if least is not None else []
+    if border is not None:
+        kept += leveled.filter(F.col("level") == border).orderBy(F.desc("n"), "word").limit(most_words - total).select("n", "word").collect()
     return {w: i + 2 for i, (_, w) in enumerate(sorted((-r.n, bytes(r.word)) for r in kept))}
 
 

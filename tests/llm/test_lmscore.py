@@ -111,3 +111,10 @@ def test_things_that_share_a_key_are_told_apart():
     assert len(keys) == len(set(keys.tolist())) == 3 + 5 and (keys[1:] > keys[:-1]).all()
     order, begin = lmscore.sorting(np.array([7, 7, 3, 7], np.uint64), np.array([2, 1, 5, 2], np.uint16))
     assert begin.tolist() == [0, 1, 2] and lmscore.added(np.array([1, 10, 100, 1000]), order, begin).tolist() == [100, 10, 1001]
+
+
+def test_a_vocabulary_is_filled_from_the_border_level(spark):
+    docs = spark.createDataFrame([("d c b a é",), ("a e",), ("z " * 40,), ("y " * 41,)], "text string")
+    assert lmscore.vocabulary(docs, 5) == {b"y": 2, b"z": 3, b"a": 4, b"b": 5, b"c": 6}
+    assert lmscore.vocabulary(docs, 1) == {b"y": 2} and len(lmscore.vocabulary(docs, 99)) == 8
+    assert lmscore.vocabulary(spark.createDataFrame([("b a c",)], "text string"), 2) == {b"a": 2, b"b": 3}
