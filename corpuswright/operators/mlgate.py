@@ -63,23 +63,27 @@ def train(rows: DataFrame, features=gate.FEATURES, label: str = "label", most: i
     return LinearGate(float(b), named(w), named(mean), named(scale), len(y), int(y.sum()))
 
 
-def out_of_fold(rows: DataFrame, order: str, features=gate.FEATURES, label: str = "label", folds: int = 5, epochs: int = 1000) -> DataFrame:
-    """rows with fold and the risk that a model of the other folds gives. A fold is the row's place by `order` modulo folds; each fold's fit is a task."""
+def out_of_fold(rows: DataFrame, order: str, features=gate.FEATURES, label: str = "label", folds: int = 5, epochs: int = 1000, most: int = 10_000, seed: int = 7) -> DataFrame:
+    """rows with fold and the risk that a model of the other folds gives. A fold is the row's place by `order` modulo folds; each fold's fit is a task.
+
+    All rows get a risk. The models are fitted on the `most` rows that the seed puts first, those of the other folds, as a fit holds its rows in memory.
+    """
+    from .sampling import sample
     from .windows import place
 
     placed = place(rows, order).withColumn("fold", (F.col("place") % folds).cast("int")).drop("place")
-    held = placed.select(*features, F.col(label).cast("double").alias("__y"), F.col("fold").alias("__of"), F.col(order).alias("__id"))
-    dealt = held.withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(folds - 1))))
+    held = sample(placed.filter(F.col(label).isNotNull()), order, most, seed).select(*features, F.col(label).cast("double").alias("__y"), F.col("fold").alias("__of"))
+    dealt = held.withColumn("__fold", F.explode(F.sequence(F.lit(0), F.lit(folds - 1)))).filter("__of <> __fold")
 
     def fit(part: pd.DataFrame) -> pd.DataFrame:
-        test = part["__of"] == part["fold"]
-        x = part[list(features)].to_numpy(float)
-        b, w, mean, scale = fitted(x[~test], part["__y"].to_numpy()[~test], epochs=epochs)
-        risk = 1 / (1 + np.exp(-(b + ((x[test] - mean) / scale) @ w)))
-        return pd.DataFrame({"__id": part["__id"][test], "risk": risk})
-
-    risks = dealt.groupBy("fold").applyInPandas(fit, f"__id {dict(held.dtypes)['__id']}, risk double")
-    return placed.join(risks, placed[order] == risks["__id"]).drop("__id")
+        b, w, mean, scale = fitted(part[list(features)].to_numpy(float), part["__y"].to_numpy(), epochs=epochs)
+        return pd.DataFrame({"__fold": [part["__fold"].iloc[0]], "__b": [b], "__w": [w], "__mean": [mean], "__scale": [scale]})
+
+    models = dealt.groupBy("__fold").applyInPandas(fit, "__fold int, __b double, __w array<double>, __mean array<double>, __scale array<double>")
+    z = F.col("__b")
+    for k, f in enumerate(features):
+        z = z + F.col("__w")[k] * (F.col(f) - F.col("__mean")[k]) / F.col("__scale")[k]
+    return placed.join(F.broadcast(models), F.col("fold") == F.col("__fold"), "left").select(*placed.columns, gate.sigmoid(z).alias("risk"))
 
 
 def evaluate(rows: DataFrame, label: str = "label", threshold: float = 0.5) -> DataFrame:

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpuswright.operators import evidence, gate, grounding, metrics, mlgate, retrieval, routing
-from corpuswright.plans import pipeline
+from corpuswright.plans import pipeline, queries_gate
 
 
 def test_fusion_order_and_ties(spark):
@@ -118,6 +118,26 @@ def test_linear_gate(spark):
     assert folds.count() == 80 and {r.fold for r in folds.collect()} == set(range(5)) and mlgate.evaluate(folds).first().accuracy > 0.9
 
 
+def test_out_of_fold_scores_all_rows(spark, tmp_path):
+    """The fit is bounded, what is scored and evaluated isn't."""
+    r = np.random.default_rng(3)
+    rows = pd.DataFrame({"id": range(2500), "x": r.normal(size=2500)})
+    rows["label"] = rows["x"] + r.normal(size=2500) / 2 > 0
+    frame = spark.createDataFrame(rows)
+    for most in (300, 10_000):
+        risks = mlgate.out_of_fold(frame, "id", ("x",), epochs=200, most=most)
+        got = mlgate.evaluate(risks).first()
+        assert got["count"] == 2500 and got.tp + got.fp + got.fn + got.tn == 2500 and got.accuracy > 0.8
+    by = {x.id: x.risk for x in risks.collect()}
+    for fold in range(5):
+        rest, own = rows[rows["id"] % 5 != fold], rows[rows["id"] % 5 == fold]
+        b, w, mean, scale = mlgate.fitted(rest[["x"]].to_numpy(), rest["label"].to_numpy(float), epochs=200)
+        assert np.allclose([by[i] for i in own["id"]], 1 / (1 + np.exp(-(b + (own["x"] - mean[0]) / scale[0] * w[0]))))
+    spark.range(2500).selectExpr("id AS doc_id", "id % 9000 AS n_chars", "'a' AS text").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.range(2500).selectExpr("id AS doc_id", "1 AS quality", "cast(id % 3 = 0 AS int) AS toxic").write.parquet(f"{tmp_path}/labels.parquet")
+    assert queries_gate.ml_train_eval(spark, str(tmp_path)).first()["count"] == 2500
+
+
 def test_grounding(spark):
     said = spark.createDataFrame([("a", 0, 1, "甲。"), ("a", 0, 2, "乙。"), ("a", 2, 3, "丙。"), ("b", 0, 1, "丁。")], "answer_id string, para int, sentence_no int, sentence string")
     replies = spark.createDataFrame([("a", '```json\n[{"index":1,"supported":true,"context_no":1},{"index":2,"supported":true,"context_no":9},{"index":3,"supported":false},{"index":3,"supported":true,"context_no":1}]```'), ("b", "no json")], "answer_id string, reply string")
