@@ -80,16 +80,18 @@ def shape(segment: Column) -> Column:
 
 
 def shaped(path: Column) -> Column:
-    """The path's segments by shape; a trailing slash is a last empty segment. What lies deeper than DEPTH levels is one segment of a template."""
-    segs = F.split(F.regexp_replace(path, "^/", ""), "/")
-    return F.concat(F.transform(F.slice(segs, 1, DEPTH), shape), F.when(F.size(segs) > DEPTH, F.array(F.lit("{rest}"))).otherwise(F.array().cast("array<string>")))
+    """The path's segments by shape; a trailing slash is a last empty segment."""
+    return F.transform(F.split(F.regexp_replace(path, "^/", ""), "/"), shape)
 
 
 def generalised(paths: DataFrame, most_children: int) -> DataFrame:
-    """paths (host, segs, ...) with `template`: literal children of a node beyond most_children become one wildcard, from the top down."""
+    """paths (host, segs, ...) with `template`: literal children of a node beyond most_children become one wildcard, from the top down.
+
+    Down to DEPTH the table is read a level at a time; what a branch has below that is finished in one task.
+    """
     deepest = paths.agg(F.max(F.size("segs"))).first()[0] or 0
     now = paths.withColumn("template", F.array().cast("array<string>"))
-    for level in range(deepest):
+    for level in range(min(deepest, DEPTH)):
         seg = F.get("segs", F.lit(level))
         literal = seg.isNotNull() & ~seg.startswith("{")
         wide = (
@@ -102,7 +104,31 @@ def generalised(paths: DataFrame, most_children: int) -> DataFrame:
         now = joined.withColumn("template", F.when(seg.isNull(), F.col("template")).otherwise(F.concat("template", F.array(word)))).drop("wide")
         if level % 3 == 2:
             now = staged(now, "templates")
-    return now
+    if deepest <= DEPTH:
+        return now
+    deep = now.filter(F.size("segs") > DEPTH)
+    names = now.columns
+
+    def finish(rows: pd.DataFrame) -> pd.DataFrame:
+        return rows.assign(template=below([list(x) for x in rows["segs"]], [list(x) for x in rows["template"]], most_children))[names]
+
+    return now.filter(F.size("segs") <= DEPTH).unionByName(deep.groupBy("host", "template").applyInPandas(finish, now.schema))
+
+
+def below(segs: list[list[str]], templates: list[list[str]], most_children: int) -> list[list[str]]:
+    """The templates of paths that share one so far, carried on to the end of each path."""
+    todo = [(len(templates[0]), list(range(len(segs))))]
+    while todo:
+        level, rows = todo.pop()
+        rows = [i for i in rows if len(segs[i]) > level]
+        wide, kids = len({segs[i][level] for i in rows if not segs[i][level].startswith("{")}) > most_children, {}
+        for i in rows:
+            word = segs[i][level]
+            word = WILD if wide and not word.startswith("{") else word
+            templates[i].append(word)
+            kids.setdefault(word, []).append(i)
+        todo += [(level + 1, x) for x in kids.values()]
+    return templates
 
 
 def differ(block_a: float, n_a: float, block_b: float, n_b: float, z: float = 1.96) -> bool:

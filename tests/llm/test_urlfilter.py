@@ -53,3 +53,16 @@ def test_templates_learn_from_labels(spark):
 def test_without_any_label(spark, labels):
     pages = spark.createDataFrame([(1, "http://a.net/x/1"), (2, None)], "page_id long, url string")
     assert {x.verdict for x in judge(pages).collect()} == {"allow"}
+
+
+def test_branches_that_differ_deep_down(spark, monkeypatch):
+    """Labels tell apart what differs only at the fifteenth level, and templates are those of reading level by level."""
+    up = "/".join("abcdefghijklmn")
+    rows = [(i, f"http://a.net/{up}/{('bad', 'good')[i % 2]}/{i}/" + "x" * (i % 3) + "/" + "abcdefghijklmnopqrstuvwxyz"[i % 26] * (i % 2), ("block", "allow")[i % 2] if i < 60 else None) for i in range(120)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, known string").repartition(3)
+    got = {x.page_id: x for x in judge(pages, labels=pages["known"], most_children=5).collect()}
+    assert all(got[i].verdict == ("block", "allow")[i % 2] for i in range(120))
+    assert got[1].template == f"/{up}/good/{{num}}/x/{{var}}" and got[0].template == f"/{up}/bad/{{num}}//"
+    monkeypatch.setattr("corpuswright.llm.urlfilter.DEPTH", 99)
+    level = {x.page_id: x for x in judge(pages, labels=pages["known"], most_children=5).collect()}
+    assert {i: x.template for i, x in got.items()} == {i: x.template for i, x in level.items()}
