@@ -127,3 +127,15 @@ def test_components(spark):
         up[max(x, y)] = min(x, y)
     got = {x.node: x.comp for x in components(spark.createDataFrame(edges, "a long, b long").repartition(6)).collect()}
     assert got == {x: root(x) for e in edges for x in e if e[0] != e[1] or x in got}
+
+
+def test_dropping_where_ids_repeat(spark):
+    r = random.Random(9)
+    text = lambda: " ".join("".join(r.choices("abcdefg", k=6)) for _ in range(60))
+    a, b, c, d, e = (text() for _ in range(5))
+    near = lambda t: t + " more"
+    rows = [(1, a), (2, near(a)), (2, b), (3, c), (3, near(c)), (4, d), (4, d), (4, e), (5, ""), (5, None), (None, a), (6, near(d))]
+    docs = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, k int").repartition(3)
+    got = sorted(x.k for x in neardup.drop_near_duplicates(docs).collect())
+    assert [k for k in got if k not in (3, 4, 5, 6)] == [0, 2, 7, 8, 9, 10]
+    assert len({3, 4} & set(got)) == 1 and len({5, 6} & set(got)) == 1 and len(got) == 8
