@@ -4,7 +4,8 @@ A page is parsed to blocks of text, each under a node of the page's tree; runs o
 are folded into one node, so that a tree is its layout. Pages of a host are aligned by simple tree matching: a wrapper
 grows by the nodes that no earlier page had, and each of its nodes counts the block texts seen there. A text that most of a
 host's pages share at a node, over several different pages, is constant and so template; varying slots are content. What
-roles say (navigation, adverts, forms, comments and so on) is left out as well, and within a page the article is preferred.
+elements, roles and class names say (navigation, adverts, forms, comments and so on) is left out as well, inline elements
+too, and within a page the article is preferred.
 
 Wrappers are built inside the tasks, a small record a host, and merged by host in two steps; a merge is an alignment too.
 A node forgets rare texts and knows how much that may have cost the others; where a host's wrapper has forgotten any, its
@@ -36,16 +37,19 @@ _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 # fixed values: elements by their part in a page
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style noscript template textarea title iframe svg canvas object select".split())
-_BLOCK = frozenset("address article aside blockquote body center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
+_BLOCK = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 _ENDS_P = _BLOCK - frozenset("body head html li dd dt td th tr tbody thead tfoot figcaption summary".split())
 _ENDS = {"li": ("li", "ul ol menu"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl"), "tr": ("tr td th", "table"), "td": ("td th", "tr table"), "th": ("td th", "tr table"), "option": ("option", "select")}
 _ENDS = {k: (frozenset(a.split()), frozenset(b.split())) for k, (a, b) in _ENDS.items()}
 _ASIDE = frozenset("nav aside form button footer dialog menu head label fieldset".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar status".split())
-_WORDS = frozenset("ad ads adsbygoogle adv advert adverts advertisement advertising alert announcement sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices popup modal overlay sidebar menu nav navbar navigation breadcrumb breadcrumbs pagination pager footer masthead comment comments disqus respond replies related recommended share sharing social newsletter subscribe subscription signup login search widget toolbar hidden".split())
-_TEXT = frozenset("article story post entry content".split())
+_WORDS = frozenset("ad ads adsense adsbygoogle adv advert adverts advertisement advertising alert announcement sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices popup modal overlay sidebar menu nav navbar navigation breadcrumb breadcrumbs pagination pager footer masthead comment comments disqus respond replies related recommended share sharing social newsletter subscribe subscription signup login search widget toolbar hidden".split())
+_AROUND = frozenset("area article articles banner bar block bottom box btn button buttons center col column container content desktop entry fixed form global google group header icon icons inner item items left link links list main media message mobile module outer page panel policy post posts primary region right row secondary section site slot sticky story text title top unit visually wrap wrapper zone".split())
+_TOP = frozenset("header site page top main global primary bar inner wrap wrapper container".split())
+_UNSEEN = frozenset("sr-only screen-reader-text".split())
 _SPARED = frozenset("html body main article".split())
-#: Elements nested deeper than this share their parent's node, so that no page makes a tree too deep to walk.
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Elements nested deeper than this share their parent's node, so that no page makes a tree too deep to walk; their text and flags are those of any other.
 DEEPEST = 200
 
 
@@ -63,26 +67,35 @@ def attributes(raw: str) -> dict[str, str]:
 
 
 @lru_cache(4096)
-def described(tag: str, raw: str) -> tuple[str, bool, bool, int]:
-    """An element's label, whether its role is beside the text, whether it is a header (which is beside the text outside of an article), and its rank as a container of text."""
+def described(tag: str, raw: str) -> tuple[str, int, bool, int]:
+    """An element's label, whether it is beside the text (2 by what it is, 1 by its class or id), whether it is a header (which is beside the text outside of an article), and its rank as a container of text.
+
+    A class or id speaks for an element beside the text if it consists of such a word and of words for parts of a page:
+    `share`, `share-links` and `cookieNotice` do, `share-price`, `hidden-xs` and `no-sidebar` don't.
+    """
     at = attributes(raw)
-    names = f"{at.get('class', '')} {at.get('id', '')}"
-    words = {w.lower() for w in _NAME.findall(names)}
+    named = [(x.lower(), {w.lower() for w in _NAME.findall(x)}) for x in f"{at.get('class', '')} {at.get('id', '')}".split()]
     label = ".".join([tag, *sorted({w.lower() for w in _NAME.findall(at.get("class", ""))})])
-    role = at.get("role", "").lower()
-    aside = tag in _ASIDE or role in _ROLES or "hidden" in at or at.get("aria-hidden") == "true" or "display:none" in at.get("style", "").replace(" ", "").lower()
-    if tag not in _SPARED or (tag == "article" and words & {"comment", "comments"}):
-        aside = aside or bool(words & _WORDS and not words & {"has", "with", "no"})
-    rank = 3 if tag == "article" else 2 if tag == "main" or role == "main" else 1 if words & _TEXT and tag in _BLOCK else 0
-    header = tag == "header" or ("header" in words and not words & _TEXT and tag not in _SPARED and not re.fullmatch("h[1-6]", tag))
+    role, style = at.get("role", "").lower(), at.get("style", "").replace(" ", "").lower()
+    aside = 2 * (tag in _ASIDE or role in _ROLES or "hidden" in at or at.get("aria-hidden") == "true" or "display:none" in style or "visibility:hidden" in style)
+    if tag not in _SPARED:
+        aside = aside or +any(x in _UNSEEN or (words & _WORDS and words <= _WORDS | _AROUND) for x, words in named)
+    elif tag == "article":
+        aside = aside or +any(words & {"comment", "comments"} for _, words in named)
+    rank = 3 if tag == "article" else 2 if tag == "main" or role == "main" else 0
+    header = tag == "header" or (tag not in _SPARED | _HEADINGS and any("header" in words and words <= _TOP for _, words in named))
     return label, aside, header, rank
 
 
 def parse(page: str) -> tuple[Node, list[tuple[Node, str, bool, int]]]:
-    """The page's folded tree and its blocks in order: node, text, whether beside the text, rank of the container."""
+    """The page's folded tree and its blocks in order: node, text, whether a heading inside the article, rank of the container.
+
+    Text of an element beside the text is left out. Only elements that are blocks end a block, so an inline advert or hidden
+    span leaves the block around it whole; what is inside an element beside the text ends none.
+    """
     root = Node("")
-    # tag, node, whether beside the text, rank, place of the element that its text is a block of
-    stack: list[tuple[str, Node, bool, int, int]] = [("", root, False, 0, 0)]
+    # tag, node, whether beside the text, rank, place of the element that its text is a block of, whether a heading in the article
+    stack: list[tuple[str, Node, int, int, int, bool]] = [("", root, 0, 0, 0, False)]
     opened: defaultdict[str, list[int]] = defaultdict(list)  # the places of open elements by tag
     blocks: list[tuple[Node, str, bool, int]] = []
     buffer: list[str] = []
@@ -92,7 +105,7 @@ def parse(page: str) -> tuple[Node, list[tuple[Node, str, bool, int]]]:
         if buffer:
             text = " ".join("".join(buffer).split())
             if text:
-                blocks.append((where[1], text, where[2], where[3]))
+                blocks.append((where[1], text, where[5], where[3]))
             buffer.clear()
 
     def last_of(tags) -> int:
@@ -100,35 +113,31 @@ def parse(page: str) -> tuple[Node, list[tuple[Node, str, bool, int]]]:
 
     def close(place: int) -> None:
         while len(stack) > place:
-            opened[stack.pop()[0]].pop()
+            tag = stack.pop()[0]
+            opened[tag].pop()
+            if tag in _BLOCK and not stack[-1][2]:
+                flush()
 
     at, end, last = 0, len(page), page.rfind(">")
     while at < end:
         # behind the last > there is only text, up to a tag or comment that doesn't end
         m = _TOKEN.match(page, at) if at <= last else _REST.match(page, at)
         at = m.end() if at <= last else end
-        text = m[4]
-        if text is not None:
-            if not buffer:
-                where = stack[stack[-1][4]]
-            buffer.append(html.unescape(text) if "&" in text else text)
+        text, tag = m[4], (m[2] or "").lower()
+        if text is not None or tag == "br" and not m[1]:
+            if not stack[-1][2]:
+                if not buffer:
+                    where = stack[stack[-1][4]]
+                buffer.append(" " if text is None else html.unescape(text) if "&" in text else text)
             continue
-        tag = m[2]
         if not tag:
             continue
-        tag = tag.lower()
         if m[1]:
             if place := last_of((tag,)):
-                while len(stack) > place:
-                    if stack[-1][0] in _BLOCK or stack[-1][2] != stack[-2][2]:
-                        flush()
-                    close(len(stack) - 1)
-            continue
-        if tag == "br":
-            buffer.append(" ")
+                close(place)
             continue
         if tag in _VOID:
-            if tag == "hr":
+            if tag == "hr" and not stack[-1][2]:
                 flush()
             continue
         if tag in _RAW:
@@ -137,21 +146,22 @@ def parse(page: str) -> tuple[Node, list[tuple[Node, str, bool, int]]]:
                 at = found.end() if found else (end if tag in ("script", "style", "template") else at)
             continue
         if tag in _ENDS_P and opened["p"]:
-            flush()
             close(last_of(("p",)))
         elif tag in _ENDS:
             closes, limits = _ENDS[tag]
             place = last_of(closes)
             if place > last_of(limits):
-                flush()
                 close(place)
         label, aside, header, rank = described(tag, m[3])
         up = stack[-1]
         if header and not last_of(("article", "main")):
-            aside = True
-        if tag in _BLOCK or aside:
+            aside = 2
+        if tag in _BLOCK and not up[2]:
             flush()
-        parent, beside = up[1], up[2] or aside
+        # a main element inside one with the class sidebar-left or so shows that the class spoke of the layout
+        parent, beside = up[1], aside if up[2] == 1 and tag == "main" else max(up[2], aside)
+        if tag == "h1" and up[3] == 2:  # a title beside the article
+            rank = 3
         if len(stack) >= DEEPEST:
             node = parent
         elif parent.kids and parent.kids[-1].label == label:
@@ -159,7 +169,7 @@ def parse(page: str) -> tuple[Node, list[tuple[Node, str, bool, int]]]:
         else:
             parent.kids.append(node := Node(label))
         opened[tag].append(len(stack))
-        stack.append((tag, node, beside, max(up[3], rank), len(stack) if tag in _BLOCK else len(stack) - 1 if beside != up[2] else up[4]))
+        stack.append((tag, node, beside, max(up[3], rank), len(stack) if tag in _BLOCK else up[4], tag in _HEADINGS and up[3] >= 2))
     flush()
     return root, blocks
 
@@ -319,11 +329,11 @@ def hashed(text: str) -> int:
 
 
 def main_text(page: str, wrapper: Wrapper | None, share: float = 0.6, least: int = 5) -> str:
+    """The page's blocks that the wrapper doesn't call constant. Headings inside the article stay however often a host has them; of the blocks only those in the best container stay: article, else main, else the page."""
     root, blocks = parse(page)
     if wrapper is not None and wrapper.pages >= least:
         of = {id(x): w for x, w in zip(walk(root), wrapper.place(skeleton(root), False))}
-        blocks = [b for b in blocks if not wrapper.constant(of[id(b[0])], b[1], share, least)]
-    blocks = [b for b in blocks if not b[2]]
+        blocks = [b for b in blocks if b[2] or not wrapper.constant(of[id(b[0])], b[1], share, least)]
     rank = max((b[3] for b in blocks), default=0)
     return "\n\n".join(b[1] for b in blocks if b[3] == rank)
 

@@ -1,4 +1,5 @@
 import random
+from html.parser import HTMLParser
 
 import pytest
 
@@ -129,3 +130,111 @@ def test_below_the_deepest_node():
     n = 30_000  # in linear time
     for page in ("<dl><dt><dl>" + "<b>" * n + "<dt>x</dt>" * n, "<b>" * n + "x<i>y</i>" * n, "<div>" * n + "<p>x" * n + "</div>" * n):
         assert H.parse(page)[1]
+
+
+def test_inline_elements_beside_the_text():
+    """They go without ending the block around them."""
+    for inner in ("<span hidden>X</span>", "<a class=ad href=x>X</a>", "<button>X</button>", "<label>X</label>", "<span class='cookie-notice'>X</span>", "<span style='display: none'>X</span>", "<i aria-hidden=true>X</i>", "<span class=adBox><b>X</b> Y</span>", "<b class='sr-only'>X</b>"):
+        assert H.main_text(f"<article><p>a {inner} b</p><p>c{inner}d</p>{inner}e</article>", None) == "a b\n\ncd\n\ne", inner
+    assert H.main_text("<div>a <span hidden><div>X</div><br>Y<hr></span> b</div>", None) == "a b"
+    assert H.main_text("<p>a<div class=ad>X</div>b", None) == "a\n\nb"
+
+
+def test_class_names():
+    for name in ("social-science", "share-price", "related-work", "hidden-xs", "no-sidebar", "has-menu", "comment-free-zone", "adder", "section-header", "story", "post-meta"):
+        assert H.main_text(f"<p>a</p><div class='x {name}'><p>b</p></div>", None) == "a\n\nb", name
+    for name in ("social", "share-links", "shareButtons", "related-posts", "hidden", "sidebar-left", "menu-top", "post-comments", "google-ad", "ad_slot", "site-header", "no-print ad"):
+        assert H.main_text(f"<p>a</p><div class='x {name}'><p>b</p></div>", None) == "a", name
+    assert H.main_text("<div class='page sidebar-left'><div>x</div><main><p>a</p></main></div>", None) == "a"
+    assert H.main_text("<p>a</p><div class=content><p>b</p></div>", None) == "a\n\nb"
+    assert H.main_text("<main><h1>T</h1><p>x</p><article><p>a</p></article></main>", None) == "T\n\na"
+
+
+def test_recurring_headings_stay():
+    w = H.Wrapper()
+    pages = [f"<h2>Site</h2><article><h1>t{i}</h1><h2>Summary</h2><p>s{i}</p><p>Read on.</p><h2><i>Details</i></h2><p>d{i}</p></article>" for i in range(20)]
+    for p in pages:
+        w.add(p)
+    assert [H.main_text(p, w) for p in pages] == [f"t{i}\n\nSummary\n\ns{i}\n\nDetails\n\nd{i}" for i in range(20)]
+
+
+def test_deep_articles():
+    for n in (250, 5000):
+        inside = "<div>" * n + "in" + "</div>" * n
+        assert H.main_text(f"<div class=page><article><p>first</p>{inside}<p>tail</p></article></div>", None) == "first\n\nin\n\ntail"
+        assert H.main_text("<div>" * n + "<nav>x</nav><p>a <b hidden>x</b>b" + "</div>" * n + "<p>c", None) == "a b\n\nc"
+
+
+class Dom(HTMLParser):
+    """Well-formed pages as trees: [tag, attributes, children]."""
+
+    def __init__(self, page):
+        super().__init__(convert_charrefs=True)
+        self.stack = [["", {}, []]]
+        self.feed(page)
+        self.close()
+
+    def handle_starttag(self, tag, attrs):
+        now = [tag, {k: v or "" for k, v in attrs}, []]
+        self.stack[-1][2].append(now)
+        if tag != "br":
+            self.stack.append(now)
+
+    def handle_endtag(self, tag):
+        assert self.stack.pop()[0] == tag
+
+    def handle_data(self, data):
+        self.stack[-1][2].append(data)
+
+
+BLOCKS, GONE = ("div", "p", "h1", "h2", "article", "ul", "li", "section", "nav", "aside", "footer", "header", "form", "body"), ("nav", "aside", "footer", "form", "button", "label", "script")
+
+
+def brute(page):
+    """What main_text should give without a wrapper, from a tree: the articles' subtrees if they have text, else the page's."""
+
+    def gone(tag, at, inside):
+        return tag in GONE or "hidden" in at or at.get("class") in ("ad", "share-links", "comments") or (tag == "header" and not inside)
+
+    def find(x):
+        return [x] if x[0] == "article" else [y for k in x[2] if not isinstance(k, str) and not gone(k[0], k[1], False) for y in find(k)]
+
+    def write(x, inside):
+        if isinstance(x, str):
+            return x
+        tag, at, kids = x
+        if tag == "br":
+            return " "
+        if gone(tag, at, inside):
+            return "\0" if tag in BLOCKS else ""
+        text = "".join(write(k, inside or tag == "article") for k in kids)
+        return f"\0{text}\0" if tag in BLOCKS else text
+
+    root = Dom(page).stack[0]
+    found = find(root)
+    joined = lambda text: "\n\n".join(b for b in (" ".join(b.split()) for b in text.split("\0")) if b)
+    return joined("\0".join(write(x, True) for x in found)) or joined(write(root, False))
+
+
+def test_against_a_tree_of_the_page():
+    r = random.Random(8)
+    words = ["a", "b &amp; c", "é", "x\n y", " ", "&lt;p&gt;", "1&nbsp;2"]
+    marks = ["", "", "", " hidden", " class=ad", " class='share-links'", " class=comments", " class='share-price'", " class=body", " id='x'"]
+
+    def inline(d):
+        if d == 0 or r.random() < 0.5:
+            return r.choice([*words, "<br>"])
+        tag = r.choice(["b", "i", "span", "a", "button", "label"])
+        return f"<{tag}{r.choice(marks)}>{''.join(inline(d - 1) for _ in range(r.randrange(3)))}</{tag}>"
+
+    def block(d, in_article=False):
+        if d == 0 or r.random() < 0.3:
+            tag = r.choice(["p", "h1", "h2"])
+            return f"<{tag}{r.choice(marks)}>{' '.join(inline(2) for _ in range(r.randrange(4)))}</{tag}>"
+        tag = r.choice(["div", "div", "section", "ul", "nav", "aside", "footer", "header", "form", "div" if in_article else "article"])
+        kids = (f"<li>{inline(2)}</li>" if tag == "ul" else r.choice([inline(1), block(d - 1, in_article or tag == "article"), block(d - 1, in_article or tag == "article")]) for _ in range(r.randrange(4)))
+        return f"<{tag}{r.choice(marks) if tag != 'article' else ''}>{''.join(kids)}</{tag}>"
+
+    for _ in range(3000):
+        page = f"<html><body>{''.join(block(4) for _ in range(r.randrange(1, 5)))}<script>var a='<p>';</script></body></html>"
+        assert H.main_text(page, None) == brute(page), page
