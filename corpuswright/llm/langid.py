@@ -9,7 +9,6 @@ temperature, and the rejection threshold by the share of held-back training frag
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,7 +18,6 @@ from pyspark.sql import functions as F
 
 from .common import id_and_text, slices, texts_of
 
-_LETTER = re.compile(r"[^\W\d_]")
 _ASCII = bytes(b if b >= 0x80 or 0x61 <= b <= 0x7A else 0x20 for b in range(256))
 _SALTS = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F], np.uint32)
 UNKNOWN = "und"
@@ -35,7 +33,8 @@ class Model:
 
 
 def has_letter(text: str) -> bool:
-    return bool(_LETTER.search(text))
+    """A letter of any script; numerals such as ½, ② or Ⅷ are none."""
+    return any(map(str.isalpha, text))
 
 
 def features(data: np.ndarray, bits: int) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -191,7 +190,10 @@ def training_fragments(labelled: DataFrame, per_lang: int) -> list[tuple[str, st
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = 1500, **settings) -> Model:
-    """A model of the labelled rows. per_lang bounds the documents that it is fitted on."""
+    """A model of the rows with text and label. per_lang bounds the documents that it is fitted on, a language; without any such row it has no language.
+
+    Repeated rows are drawn alike, ties between languages go to the first by name, and other columns are ignored.
+    """
     labelled = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).filter("text is not null and lang is not null")
     rows = training_fragments(labelled, per_lang)
     if not rows:
@@ -200,7 +202,13 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 
 
 def held_out(id_col: str = "doc_id") -> F.Column:
-    return F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(5)) == 0
+    """Whether crc32 of the id as text leaves no remainder by 5; false without an id."""
+    return F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(5)) == 0, F.lit(False))
+
+
+def learnable(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """The rows that a model may learn from: those with an id that aren't held out."""
+    return docs.filter(F.col(id_col).isNotNull() & ~held_out(id_col))
 
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -220,7 +228,11 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
 
 def keep_identified(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of docs that aren't rejected, with all their columns; a map beside the row, so that no join follows."""
+    """The rows of docs that aren't rejected, with all their columns, whatever their names; a map beside the row, so that no join follows.
+
+    A null or empty text, or one without a letter, is rejected, and so is every text if the model has no language. Repeated
+    rows and rows without an id are judged each by their own text, of any length; an empty table gives an empty one.
+    """
     sent, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")
 
     def run(batches):

@@ -50,3 +50,50 @@ def test_nothing_learned(spark):
     model = langid.fit(empty)
     assert langid.identify(empty, model).collect() == []
     assert [r.lang_pred for r in langid.identify(frame(spark, [(1, "le", None, "")]), model).collect()] == ["und"]
+
+
+def test_letters():
+    for text in ("½", "② ①", "Ⅷ", "x²"[1], "12 ?! _", "", "\u3007"):
+        assert not langid.has_letter(text), text
+    for text in ("½ a", "é", "я", "中", "ª"):
+        assert langid.has_letter(text), text
+
+
+def slow_logits(model, text):
+    """n-gram by n-gram, in plain Python."""
+    bits, m32 = 16, 0xFFFFFFFF
+    data = list(langid.prepared(text))
+    total, n = [0.0] * len(model.langs), 0
+    for size, twist in ((2, 0), (3, 0x5BD1E995), (4, 0x1B873593)):
+        for i in range(len(data) - size + 1):
+            gram = data[i : i + size]
+            if (size == 2 and gram == [32, 32]) or (size > 2 and 32 in gram[1:-1]):
+                continue
+            h = sum(x * int(k) for x, k in zip(gram, langid._SALTS)) & m32
+            h ^= twist
+            h = ((h ^ h >> 15) * 0x2C1B3C6D) & m32
+            row = model.table[(h ^ h >> 13) >> 32 - bits]
+            total, n = [a + float(b) for a, b in zip(total, row)], n + 1
+    return [a / max(n, 1) + float(b) for a, b in zip(total, model.bias)]
+
+
+def test_against_a_slow_predictor(spark):
+    r = random.Random(5)
+    rows = [*rows_of(120, 9), (500, "Ärger, ça 1 où!", None, ""), (501, "x", None, ""), (502, "½ ② Ⅷ", None, ""), (503, "", None, ""), (504, "le la " * 20_000, None, ""), (505, "\ud83d\ude00 die".encode("utf-16", "surrogatepass").decode("utf-16"), None, "")]
+    rows += [(600 + i, "".join(r.choices("abc éß12  .", k=r.randrange(1, 60))), None, "") for i in range(40)]
+    docs = frame(spark, rows)
+    model = langid.fit(langid.learnable(docs), per_lang=60)
+    got = {x.doc_id: x for x in langid.identify(docs, model).collect()}
+    for i, text, *_ in rows:
+        if not any(c.isalpha() for c in text):
+            assert (got[i].lang_pred, got[i].score) == ("und", 0.0)
+            continue
+        z = np.array(slow_logits(model, text)) / model.temperature
+        p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+        assert abs(got[i].score - p.max()) < 1e-4 and p[model.langs.index(got[i].lang_pred)] > p.max() - 1e-4
+
+
+def test_without_an_id(spark):
+    docs = frame(spark, [(None, "the of and", "en", ""), (1, "le la les", "fr", ""), (2, "la les", "fr", "")])
+    assert [x[0] for x in docs.select(langid.held_out()).collect() if x[0] is None] == []
+    assert langid.fit(langid.learnable(docs)).langs == ["fr"]
