@@ -18,9 +18,11 @@ _made: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one where the setting is absent, as in tests."""
+    """The folder named by spark.checkpoint.dir; on a local master without the setting, as in tests, a temporary one. On a cluster that is an error, as executors couldn't read it."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="corpuswright-"))
         found = spark.sparkContext.getCheckpointDir()
     return found.rstrip("/")
@@ -100,8 +102,33 @@ def worker_cache(name, make: Callable):
     return _held[name]
 
 
+def fresh(docs: DataFrame, name: str) -> str:
+    """A column name that docs doesn't have."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def split_hot(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, least: int = 1000, most: int = 100_000) -> DataFrame:
+    """rows left-joined to groups by keys. groups' column `size` says how many of rows each has; the column isn't kept.
+
+    Groups of at least max(least, rows / most) rows are broadcast, and their rows aren't moved: there can't be more than
+    `most` such groups. So no task of the other rows' join gets a large group.
+    """
+    total = groups.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
+    large = F.col(size) >= max(least, -(-total // most))
+    hot, cold = groups.filter(large).drop(size), groups.filter(~large).drop(size)
+    if hot.isEmpty():
+        return rows.join(cold, keys, "left")
+    mine = rows.join(F.broadcast(hot), keys)
+    others = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti")
+    return mine.unionByName(others.join(cold, keys, "left"))
+
+
 def without_ids(docs: DataFrame, gone: DataFrame, most: int = 2_000_000) -> DataFrame:
-    """The rows of docs whose doc_id isn't in gone (a column doc_id). Up to `most` ids (8 bytes each) are broadcast; more are joined, which moves the rows of docs once."""
-    gone = gone.select(F.col("doc_id").alias("__gone"))
+    """The rows of docs whose doc_id isn't in gone (a column doc_id). Up to `most` ids (8 bytes each) are broadcast; more are joined, which moves the rows of docs once. Rows without an id stay; docs may have columns of any name."""
+    own = fresh(docs, "__gone")
+    gone = gone.select(F.col("doc_id").alias(own))
     few = gone.limit(most + 1).count() <= most
-    return docs.join(F.broadcast(gone) if few else gone, F.col("doc_id") == F.col("__gone"), "left_anti")
+    return docs.join(F.broadcast(gone) if few else gone, F.col("doc_id") == F.col(own), "left_anti")

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from .common import id_and_text, map_arrow, slices, staged, texts_of, without_ids, worker_cache
+from .common import fresh, id_and_text, map_arrow, slices, split_hot, staged, texts_of, without_ids, worker_cache
 from .graph import components
 
 SHINGLE, BANDS, ROWS = 5, 44, 5
@@ -328,36 +328,41 @@ def marked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", perc
     held = blocks.withColumnRenamed("comp", "block").join(nodes.select("node", "n", "sig"), "node").join(texts, "node").select("block", "node", "n", "sig", "text")
     comps = components(staged(block_links(held, percent), "links"))
     least = sets.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node")).select("set_id", "comp", "least_doc", "uses")
-    ids = least.groupBy("comp").agg(F.min("least_doc").alias("component_id"), F.sum("uses").alias("total")).filter("total > 1")
-    known = least.join(ids, "comp").select("set_id", "component_id", "comp")
+    least = staged(least, "least")
+    ids = staged(least.groupBy("comp").agg(F.min("least_doc").alias("component_id"), F.sum("uses").alias("total"), F.count(F.lit(1)).alias("sets")).filter("total > 1").drop("total"), "ids")
+    known = split_hot(least, ids, ["comp"], "sets").filter("component_id is not null").select("set_id", "component_id", "comp")
     found = rows.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.col("set_id")).alias("set_id")).join(known, "set_id", "left")
     own = F.coalesce("component_id", "doc_id")
     return found.select("doc_id", "n_shingles", own.alias("component_id"), F.col("doc_id").eqNullSafe(own).alias("kept"), "set_id", "comp")
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """The rows of docs that near_duplicates keeps, with all their columns; of those of one component that share the id one stays.
+    """The rows of docs that near_duplicates keeps, with all their columns, whatever their names; of those of one component that share the id one stays.
 
-    Ids of which no row stays are taken out by id alone. Only where an id repeats and has a row that stays are sets compared.
+    A null text, one without words or a row without an id is linked with nothing and stays; texts of any length are compared
+    whole; of a group the smallest doc_id stays, and an empty table gives an empty one. Ids of which no row stays are taken
+    out by id alone. Only where an id repeats and has a row that stays are sets compared.
     """
     rows = staged(marked(docs), "marked")
     ids = staged(rows.filter("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("kept")).alias("go")).filter("go > 0 or n > 1"), "dropped")
     out = without_ids(docs, ids.filter("go = n").select("doc_id"))
-    mixed = ids.filter("go < n").select(F.col("doc_id").alias("__id"))
+    id_, set_, of = (fresh(docs, x) for x in ("__id", "__set", "__of"))
+    mixed = ids.filter("go < n").select(F.col("doc_id").alias(id_))
     if mixed.isEmpty():
         return out
-    same = F.col("doc_id") == F.col("__id")
+    same = F.col("doc_id") == F.col(id_)
     some = rows.join(mixed, same, "left_semi")
     # a set that is alone has no component
     stay = some.filter("kept and set_id is not null").withColumn("comp", F.coalesce(F.col("comp").cast("string"), F.hex("set_id")))
-    stay = stay.groupBy(F.col("doc_id").alias("__id"), "comp").agg(F.min("set_id").alias("__of")).drop("comp")
+    stay = stay.groupBy(F.col("doc_id").alias(id_), "comp").agg(F.min("set_id").alias(of)).drop("comp")
+    at = docs.columns.index("text")
 
     def run(batches):
         for batch in slices(batches):
-            sets = [shingle_set(t) for t in texts_of(batch)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([set_key(x) if len(x) else None for x in sets], pa.binary())], [*batch.schema.names, "__set"])
+            sets = [shingle_set(t or "") for t in batch.column(at).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([set_key(x) if len(x) else None for x in sets], pa.binary())], [*batch.schema.names, set_])
 
     again = docs.join(mixed, same, "left_semi")
-    again = staged(again.mapInArrow(run, StructType([*again.schema.fields, StructField("__set", BinaryType())])), "again")
-    once = again.join(stay, same & (F.col("__set") == F.col("__of"))).dropDuplicates(["__id", "__set"])
-    return out.join(mixed, same, "left_anti").unionByName(once.select(*docs.columns)).unionByName(again.filter("__set is null").select(*docs.columns))
+    again = staged(again.mapInArrow(run, StructType([*again.schema.fields, StructField(set_, BinaryType())])), "again")
+    once = again.join(stay, same & (F.col(set_) == F.col(of))).dropDuplicates([id_, set_])
+    return out.join(mixed, same, "left_anti").unionByName(once.select(*docs.columns)).unionByName(again.filter(F.col(set_).isNull()).select(*docs.columns))

@@ -7,7 +7,9 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from corpuswright.llm import decontam, exactdup, packing, tokencount
+from pyspark.sql import functions as F
+
+from corpuswright.llm import common, decontam, exactdup, neardup, packing, tokencount
 from corpuswright.llm.tokens import encoder, tokenizer_json
 
 ODD = ["", " ", "a", "don't  stop\n\n\n ok", "²³ ¼x 12½", "日本語 text", "x<|endoftext|>y", "\x1c\x85 z", "é ñ Ünï", "  a", "a_b__c 1_2", "🙂 ok", "tab\t\tend \r\n"]
@@ -109,7 +111,7 @@ def brute_hits(text, items, n=10):
     return len(words), len(hit), sorted(of)
 
 
-@pytest.mark.parametrize("block_bytes", [1 << 20, 50])
+@pytest.mark.parametrize("block_bytes", [1 << 20, 2000])
 def test_decontamination(spark, block_bytes):
     r = random.Random(4)
     word = lambda k: " ".join(r.choices(["a", "b", "É", "c1"], k=k))
@@ -124,5 +126,47 @@ def test_decontamination(spark, block_bytes):
         assert x.contaminated == (x.n_hit > 0) == bool(x.spans) and x.n_items == len(x.item_ids)
     spans = {x.doc_id: x.spans for x in got if x.doc_id == 71}[71]
     assert [(s.start, s.end) for s in spans] == [(0, 3)]
-    assert sum(1 for x in got if not x.contaminated) == decontam.drop_contaminated(docs_of(spark, rows), bench).count()
+    assert sum(1 for x in got if not x.contaminated) == decontam.drop_contaminated(docs_of(spark, rows), bench, block_bytes=block_bytes).count()
     assert decontam.find_contamination(docs_of(spark, rows), bench.limit(0)).filter("contaminated").count() == 0
+
+
+def test_automata_are_built_once_a_pass(monkeypatch):
+    """A worker that reads many texts builds each block's automaton once."""
+    made = []
+    real = decontam.ahocorasick.Automaton
+    monkeypatch.setattr(decontam.ahocorasick, "Automaton", lambda: made.append(1) or real())
+    for key in ("one", "two", "three"):
+        for _ in range(50):
+            assert len(decontam.automaton(key, {" a b ": ["1"]})) == 1
+    assert len(made) == 3
+
+
+def test_clashing_fingerprints(spark, monkeypatch):
+    """Chunks whose fingerprints agree by chance are told apart by their digests."""
+    rows = [(1, "aa"), (2, "bb"), (3, "aa"), (4, "cc"), (5, "bb"), (6, "aaa")]
+    recipes = exactdup.chunk_recipes(docs_of(spark, rows).select("doc_id", "text"))
+    weak = recipes.select("row_id", "doc_id", "text_sha256", F.transform("chunks", lambda c: F.struct(F.lit(7).cast("long").alias("fp"), c["a"], c["b"], c["c"], c["d"])).alias("chunks"))
+    monkeypatch.setattr(exactdup, "chunk_recipes", lambda docs: weak)
+    got = {x.doc_id: (x.keep_id, x.group_size) for x in exactdup.exact_duplicates(docs_of(spark, rows)).collect()}
+    assert got == {1: (1, 2), 3: (1, 2), 2: (2, 2), 5: (2, 2), 4: (4, 1), 6: (6, 1)}
+
+
+def test_large_groups_and_odd_column_names(spark):
+    rows = [(i, "same" if i % 3 else f"own {i}") for i in range(4000)] + [(5, "x"), (None, "same"), (None, None)]
+    frame = spark.createDataFrame([(*x, 1, 2, 3, 4) for x in rows], "doc_id long, text string, __gone int, __id int, __of int, __set int").repartition(5)
+    got = exactdup.exact_duplicates(frame)
+    assert {(x.keep_id, x.group_size) for x in got.collect() if x.group_size > 1} == {(1, 2667)}
+    for drop in (exactdup.drop_exact_duplicates, neardup.drop_near_duplicates):
+        kept = drop(frame)
+        assert kept.columns == frame.columns
+        # one of the group, the rows of their own, the repeated id's other text and, where it counts as alone, the row without an id
+        assert sorted(x.doc_id for x in kept.filter("doc_id is not null").collect()) == sorted([1, 5, *range(0, 4000, 3)])
+    bench = spark.createDataFrame([(1, "same")], "item_id long, text string")
+    assert decontam.drop_contaminated(frame, bench).filter("text = 'same'").isEmpty()
+
+
+@pytest.mark.parametrize("most", [10, 2])
+def test_ids_beyond_the_broadcast(spark, most):
+    docs = docs_of(spark, [(i, "t") for i in (1, 2, 3, 3, None)])
+    gone = spark.createDataFrame([(1,), (3,), (9,)], "doc_id long")
+    assert sorted(str(x.doc_id) for x in common.without_ids(docs, gone, most).collect()) == ["2", "None"]
