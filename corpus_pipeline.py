@@ -13,7 +13,7 @@ from corpuswright.llm import common, decontam, exactdup, langid, neardup, packin
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can't be told with confidence, and those without a letter, go."""
-    return langid.keep_identified(docs, langid.fit(docs.filter(~langid.held_out())))
+    return langid.keep_identified(docs, langid.fit(langid.learnable(docs)))
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
