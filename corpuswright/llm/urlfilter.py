@@ -3,7 +3,7 @@
 A path is cut into segments and each segment has a shape: digits, hexadecimal, date, other text with digits, or the
 literal itself; an extension is kept beside it. Per host, distinct shaped paths are counted first, so what follows works on
 that much smaller table. Level by level from the host down, a node with more than `most_children` literal children has
-them generalised to one wildcard. What is left is the host's template tree. Sibling branches whose labelled shares don't
+them generalised to one wildcard, and if it has more children than that of one shape, these lose their extensions. What is left is the host's template tree. Sibling branches whose labelled shares don't
 differ significantly and whose children look alike are merged, and a template's share of blocked pages is smoothed
 towards its parent's, up to the share over all hosts. Templates with a smoothed share of at least `reject` are rejected.
 
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from .common import staged
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-WILD, DEPTH = "{var}", 12
+WILD, ANY, DEPTH = "{var}", ".{ext}", 12
 
 
 @dataclass(frozen=True)
@@ -66,7 +66,7 @@ def rule_of(host: Column, path: Column, rules: list[Rule]) -> Column:
 
 
 def shape(segment: Column) -> Column:
-    """A segment's class, with its extension; plain words stay as they are."""
+    """A segment's class, with its extension; plain words stay as they are, with braces written as %7B and %7D, so that only classes begin with one."""
     extension = F.regexp_extract(segment, r"(\.[A-Za-z][A-Za-z0-9]{0,5})$", 1)
     stem = F.regexp_replace(segment, r"\.[A-Za-z][A-Za-z0-9]{0,5}$", "")
     kind = (
@@ -74,7 +74,7 @@ def shape(segment: Column) -> Column:
         .when(stem.rlike(r"^\d+$"), "{num}")
         .when(stem.rlike(r"^[0-9a-fA-F-]{8,}$") & stem.rlike(r"\d"), "{hex}")
         .when(stem.rlike(r"\d"), "{mix}")
-        .otherwise(stem)
+        .otherwise(F.replace(F.replace(stem, F.lit("{"), F.lit("%7B")), F.lit("}"), F.lit("%7D")))
     )
     return F.concat(kind, extension)
 
@@ -84,8 +84,13 @@ def shaped(path: Column) -> Column:
     return F.transform(F.split(F.regexp_replace(path, "^/", ""), "/"), shape)
 
 
+def kind_of(seg: Column) -> Column:
+    """The class that a segment begins with; empty for a literal."""
+    return F.regexp_extract(seg, r"^(\{[a-z]+\})", 1)
+
+
 def generalised(paths: DataFrame, most_children: int) -> DataFrame:
-    """paths (host, segs, ...) with `template`: literal children of a node beyond most_children become one wildcard, from the top down.
+    """paths (host, segs, ...) with `template`: of a node's literal children, and of those of each class, more than most_children become one, from the top down.
 
     Down to DEPTH the table is read a level at a time; what a branch has below that is finished in one task.
     """
@@ -93,15 +98,15 @@ def generalised(paths: DataFrame, most_children: int) -> DataFrame:
     now = paths.withColumn("template", F.array().cast("array<string>"))
     for level in range(min(deepest, DEPTH)):
         seg = F.get("segs", F.lit(level))
-        literal = seg.isNotNull() & ~seg.startswith("{")
+        now = now.withColumn("kind", kind_of(seg))
         wide = (
-            now.filter(literal).select("host", "template", seg.alias("child")).distinct()
-            .groupBy("host", "template").agg(F.count(F.lit(1)).alias("children")).filter(F.col("children") > most_children)
-            .select("host", "template", F.lit(True).alias("wide"))
+            now.filter(seg.isNotNull()).select("host", "template", "kind", seg.alias("child")).distinct()
+            .groupBy("host", "template", "kind").agg(F.count(F.lit(1)).alias("children")).filter(F.col("children") > most_children)
+            .select("host", "template", "kind", F.lit(True).alias("wide"))
         )
-        joined = now.join(wide, ["host", "template"], "left")
-        word = F.when(literal & F.col("wide"), F.lit(WILD)).otherwise(seg)
-        now = joined.withColumn("template", F.when(seg.isNull(), F.col("template")).otherwise(F.concat("template", F.array(word)))).drop("wide")
+        now = beside(now, staged(wide, "wide"), ["host", "template", "kind"])
+        word = F.when(~F.coalesce("wide", F.lit(False)), seg).when(F.col("kind") == "", F.lit(WILD)).otherwise(F.concat("kind", F.lit(ANY)))
+        now = now.withColumn("template", F.when(seg.isNull(), F.col("template")).otherwise(F.concat("template", F.array(word)))).drop("wide", "kind")
         if level % 3 == 2:
             now = staged(now, "templates")
     if deepest <= DEPTH:
@@ -115,22 +120,36 @@ def generalised(paths: DataFrame, most_children: int) -> DataFrame:
     return now.filter(F.size("segs") <= DEPTH).unionByName(deep.groupBy("host", "template").applyInPandas(finish, now.schema))
 
 
+def beside(rows: DataFrame, found: DataFrame, keys: list[str], most: int = 100_000) -> DataFrame:
+    """rows left-joined to found, a row a key, which is broadcast up to `most` rows, so that a host that holds many rows isn't moved; without any found, rows with nulls."""
+    n = found.limit(most + 1).count()
+    if n == 0:
+        return rows.withColumns({c: F.lit(None).cast(t) for c, t in found.dtypes if c not in keys})
+    return rows.join(F.broadcast(found) if n <= most else found, keys, "left")
+
+
 def below(segs: list[list[str]], templates: list[list[str]], most_children: int) -> list[list[str]]:
     """The templates of paths that share one so far, carried on to the end of each path."""
     todo = [(len(templates[0]), list(range(len(segs))))]
     while todo:
         level, rows = todo.pop()
         rows = [i for i in rows if len(segs[i]) > level]
-        wide, kids = len({segs[i][level] for i in rows if not segs[i][level].startswith("{")}) > most_children, {}
+        of, kids = {}, {}
         for i in rows:
-            word = segs[i][level]
-            word = WILD if wide and not word.startswith("{") else word
+            of.setdefault(kind(segs[i][level]), set()).add(segs[i][level])
+        for i in rows:
+            word, of_kind = segs[i][level], kind(segs[i][level])
+            word = word if len(of[of_kind]) <= most_children else of_kind + ANY if of_kind else WILD
             templates[i].append(word)
             kids.setdefault(word, []).append(i)
         todo += [(level + 1, x) for x in kids.values()]
     return templates
 
 
+def kind(seg: str) -> str:
+    return seg[: seg.index("}") + 1] if seg.startswith("{") else ""
+
+
 def differ(block_a: float, n_a: float, block_b: float, n_b: float, z: float = 1.96) -> bool:
     """Whether two shares differ by a two-proportion test."""
     share = (block_a + block_b) / (n_a + n_b)
@@ -182,7 +201,8 @@ def judge(pages: DataFrame, labels: Column | None = None, rules: list[Rule] | No
 
     labels: a column of pages, allow, block or null; by default what the rules say. A null url, or one without ://, has an
     empty host and path. A url that a rule covers gets the longest rule's verdict; any other one is blocked if its template's
-    smoothed share is at least `reject`. Hosts without labels keep the overall share. Repeated rows count each; an empty
+    smoothed share is at least `reject`. Hosts without labels keep the overall share. Repeated rows count each, and rows
+    without an id as well; paths of any length and depth are read whole; ties between rules go to the last by name; an empty
     table gives an empty result; other columns of pages are ignored.
     """
     rules = rules or []
@@ -202,7 +222,7 @@ def judge(pages: DataFrame, labels: Column | None = None, rules: list[Rule] | No
 
     # a host's group is its templates, which wildcards keep few, not its pages
     shares = templates.groupBy("host").applyInPandas(per_host, "host string, template array<string>, share double")
-    known = paths.join(shares, ["host", "template"]).select("host", "segs", F.concat(F.lit("/"), F.array_join("template", "/")).alias("template"), "share")
-    judged = rows.join(known, ["host", "segs"], "left")
+    known = beside(paths, staged(shares, "shares"), ["host", "template"]).select("host", "segs", F.concat(F.lit("/"), F.array_join("template", "/")).alias("template"), "share")
+    judged = beside(rows, staged(known, "known"), ["host", "segs"])
     verdict = F.coalesce("ruled", F.when(F.col("share") >= reject, "block").otherwise("allow"))
     return judged.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "template", "share")
