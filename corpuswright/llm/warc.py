@@ -2,8 +2,12 @@
 
 The reader takes an archive as a stream of byte blocks. It inflates member by member, frames each record by its
 Content-Length, checks that a member holds just that record and verifies block and payload digests. It keeps one record in
-memory. An archive is a row (name, content) of whole members, about `archive_bytes` long, so that any store that Spark
-reads and writes can hold it; read_files takes .warc.gz files.
+memory. Tasks write archives of about `archive_bytes` as .warc.gz files to a folder that all executors reach, and a table
+lists those of the tasks that came to their end; readers stream the listed files in blocks. Any path that pyarrow's file
+systems know will do (file, s3, gs, hdfs and so on).
+
+Record ids are unique. A page's id is in a field of its own, and so is the id of the page that a revisit refers to, beside
+the standard's target URI and date.
 """
 
 from __future__ import annotations
@@ -11,17 +15,20 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+import uuid
 import zlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import new_path, split_hot, staged
 
+_PAGE, _OF_PAGE = "X-Page-Id", "X-Refers-To-Page-Id"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _END = b"\r\n\r\n"
 
@@ -138,68 +145,112 @@ def verify(record: Record) -> None:
         raise WarcError("a payload that differs from its digest")
 
 
-def page_record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, date: str) -> bytes:
-    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}".encode() + _END
-    own = "none" if page_id is None else str(page_id)
-    fields = {"WARC-Record-ID": f"<urn:page:{own}>", "WARC-Date": date, "WARC-Target-URI": re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url or "about:blank"), "Content-Type": "application/http; msgtype=response", "WARC-Payload-Digest": f"sha1:{digest(payload)}"}
-    if refers_to is None:
-        return written("response", fields, http + payload)
-    return written("revisit", fields | {"WARC-Refers-To": f"<urn:page:{refers_to}>", "WARC-Profile": _PROFILE}, http)
+def record_id() -> str:
+    return f"<{uuid.uuid4().urn}>"
 
 
-def with_first(pages: DataFrame, least_bytes: int) -> DataFrame:
-    """page_id, url, html and refers_to: the smallest page_id with an equal payload, null for that page itself and for payloads below least_bytes."""
-    body = F.coalesce(F.col("html"), F.lit(""))
-    keyed = pages.withColumn("key", F.sha2(body, 256)).withColumn("size", F.octet_length(body))
-    first = keyed.filter(F.col("page_id").isNotNull() & (F.col("size") >= least_bytes)).groupBy("key").agg(F.min("page_id").alias("first"), F.max("page_id").alias("last"))
-    several = first.filter("first <> last").select("key", "first")
-    joined = keyed.join(several, "key", "left")
-    return joined.select("page_id", "url", "html", F.when(F.col("page_id") != F.col("first"), F.col("first")).alias("refers_to"))
+def uri(url: str | None) -> str:
+    return re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url or "about:blank")
 
 
-def write_archives(pages: DataFrame, archive_bytes: int = 8 << 20, date: str = "2024-01-01T00:00:00Z") -> DataFrame:
-    """name and content of archives of the rows of pages: page_id, url, html, refers_to. Each is whole members, cut at about archive_bytes."""
+def info_record(name: str, date: str) -> bytes:
+    """The record that describes an archive, its first."""
+    block = b"software: corpuswright\r\nformat: WARC File Format 1.1\r\n"
+    return written("warcinfo", {"WARC-Record-ID": record_id(), "WARC-Date": date, "WARC-Filename": name, "Content-Type": "application/warc-fields"}, block)
 
-    def run(batches):
-        part, n, held, size = TaskContext.get().partitionId(), 0, [], 0
-        for batch in batches:
-            for page_id, url, page, refers_to in zip(*(c.to_pylist() for c in batch.columns)):
-                held.append(page_record(page_id, url, (page or "").encode("utf-8", "surrogatepass"), refers_to, date))
-                size += len(held[-1])
-                if size >= archive_bytes:
-                    yield row(part, n, held)
-                    n, held, size = n + 1, [], 0
-        if held:
-            yield row(part, n, held)
 
-    def row(part, n, held):
-        return pa.RecordBatch.from_arrays([pa.array([f"pages-{part:06d}-{n:05d}.warc.gz"]), pa.array([b"".join(held)], pa.binary())], ["name", "content"])
+def page_record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, date: str, first_url: str | None = None) -> bytes:
+    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}".encode() + _END
+    fields = {"WARC-Record-ID": record_id(), "WARC-Date": date, "WARC-Target-URI": uri(url), "Content-Type": "application/http; msgtype=response", "WARC-Payload-Digest": f"sha1:{digest(payload)}"}
+    if page_id is not None:
+        fields[_PAGE] = str(page_id)
+    if refers_to is None:
+        return written("response", fields, http + payload)
+    return written("revisit", fields | {_OF_PAGE: str(refers_to), "WARC-Refers-To-Target-URI": uri(first_url), "WARC-Refers-To-Date": date, "WARC-Profile": _PROFILE}, http)
 
-    return pages.select("page_id", "url", "html", "refers_to").mapInArrow(run, "name string, content binary")
 
+def with_first(pages: DataFrame, least_bytes: int, most: int = 200_000) -> DataFrame:
+    """page_id, url, html, refers_to and first_url: the smallest page_id with an equal payload and its url, null for that page itself and for payloads below least_bytes.
 
-def read_files(spark: SparkSession, path: str) -> DataFrame:
-    """name and content of .warc.gz files."""
-    return spark.read.format("binaryFile").load(path).select(F.col("path").alias("name"), "content")
+    Payloads are compared by their SHA-256, which alone is shuffled. Keys that several pages share are broadcast up to
+    `most`; beyond that pages are joined by key, large groups of them in place.
+    """
+    body = F.coalesce(F.col("html"), F.lit(""))
+    keyed = pages.withColumn("key", F.unhex(F.sha2(body, 256)))
+    first = keyed.filter(F.col("page_id").isNotNull() & (F.octet_length(body) >= least_bytes)).groupBy("key").agg(F.min(F.struct("page_id", "url")).alias("first"), F.max("page_id").alias("last"), F.count(F.lit(1)).alias("pages"))
+    several = staged(first.filter("first.page_id <> last").select("key", F.col("first.page_id").alias("first"), F.substring("first.url", 1, 4096).alias("first_url"), "pages"), "several")
+    joined = keyed.join(F.broadcast(several.drop("pages")), "key", "left") if several.limit(most + 1).count() <= most else split_hot(keyed, several, ["key"], "pages")
+    other = F.col("page_id") != F.col("first")
+    return joined.select("page_id", "url", "html", F.when(other, F.col("first")).alias("refers_to"), F.when(other, F.col("first_url")).alias("first_url"))
 
 
-def read_archives(archives: DataFrame) -> DataFrame:
-    """A row for each record: page_id, url, payload_bytes, payload_digest, record_type, refers_to and payload (null for revisits)."""
+def write_files(pages: DataFrame, folder: str, archive_bytes: int = 8 << 20, date: str = "2024-01-01T00:00:00Z") -> DataFrame:
+    """Writes archives of the rows of pages (page_id, url, html, refers_to, first_url) to folder and gives path, bytes and records of each, once written.
 
-    def number(urn: str | None) -> int | None:
-        found = re.search(r"urn:page:(-?\d+)", urn or "")
-        return int(found[1]) if found else None
+    Every attempt of a task writes files of its own, so that an attempt that is lost or beaten leaves only files that aren't
+    listed. A file is whole members, a warcinfo first, and ends at about archive_bytes.
+    """
+    store, base = fs.FileSystem.from_uri(folder)
+    store.create_dir(base, recursive=True)
+
+    def run(batches):
+        store, base = fs.FileSystem.from_uri(folder)
+        context, n, sink, path, size, records = TaskContext.get(), 0, None, "", 0, 0
+        rows = (row for batch in batches for at in range(0, batch.num_rows, 256) for row in zip(*(c.to_pylist() for c in batch.slice(at, 256).columns)))
+        for page_id, url, page, refers_to, first_url in rows:
+            if sink is None:
+                name = f"pages-{context.partitionId():06d}-{n:05d}-{uuid.uuid4().hex}.warc.gz"
+                path, size, records, n = f"{base}/{name}", 0, 0, n + 1
+                sink = store.open_output_stream(path, compression=None)
+                size += sink.write(info_record(name, date))
+            size += sink.write(page_record(page_id, url, (page or "").encode("utf-8", "surrogatepass"), refers_to, date, first_url))
+            records += 1
+            if size >= archive_bytes:
+                sink.close()
+                sink = None
+                yield row_of(path, size, records)
+        if sink is not None:
+            sink.close()
+            yield row_of(path, size, records)
+
+    def row_of(path, size, records):
+        return pa.RecordBatch.from_arrays([pa.array([path]), pa.array([size], pa.int64()), pa.array([records], pa.int64())], ["path", "bytes", "records"])
+
+    listed = pages.select("page_id", "url", "html", "refers_to", "first_url").mapInArrow(run, "path string, bytes long, records long")
+    root = folder[: len(folder) - len(base)] if folder.endswith(base) else ""
+    return staged(listed, "archives").withColumn("path", F.concat(F.lit(root), "path"))
+
+
+def stream(path: str, step: int = 1 << 20) -> Iterator[bytes]:
+    """A file's bytes in blocks; path is a URI or a local path."""
+    store, inner = fs.FileSystem.from_uri(path)
+    with store.open_input_stream(inner, compression=None) as source:
+        while block := source.read(step):
+            yield block
+
+
+def read_files(files: DataFrame) -> DataFrame:
+    """A row for each page's record of the listed files (path): page_id, url, payload_bytes, payload_digest, record_type, refers_to and payload (null for revisits).
+
+    Files are streamed, so a task's memory follows its largest record, not its files.
+    """
+
+    def number(text: str | None) -> int | None:
+        return int(text) if text and re.fullmatch(r"-?\d+", text) else None
 
     def run(batches):
         for batch in batches:
-            for content in batch.column(0):
-                rows = []
-                for r in read_records([content.as_py()]):
-                    size = int(r.http.get("content-length", len(r.payload)))
-                    rows.append((number(r.fields.get("warc-record-id")), r.fields.get("warc-target-uri"), size, r.fields.get("warc-payload-digest", "").removeprefix("sha1:"), r.kind, number(r.fields.get("warc-refers-to")), None if r.kind == "revisit" else r.payload))
-                    if len(rows) >= 500:
+            for path in batch.column(0).to_pylist():
+                rows, size = [], 0
+                for x in read_records(stream(path)):
+                    if x.kind not in ("response", "revisit"):
+                        continue
+                    length = int(x.http.get("content-length", len(x.payload)))
+                    rows.append((number(x.fields.get(_PAGE.lower())), x.fields.get("warc-target-uri"), length, x.fields.get("warc-payload-digest", "").removeprefix("sha1:"), x.kind, number(x.fields.get(_OF_PAGE.lower())), None if x.kind == "revisit" else x.payload))
+                    size += len(x.block)
+                    if len(rows) >= 500 or size >= 4 << 20:
                         yield out(rows)
-                        rows = []
+                        rows, size = [], 0
                 if rows:
                     yield out(rows)
 
@@ -208,16 +259,23 @@ def read_archives(archives: DataFrame) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names)
 
     names = ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"]
-    return archives.select("content").mapInArrow(run, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary")
+    return files.select("path").mapInArrow(run, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary")
+
+
+def listed(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """Files to read, as read_files takes them."""
+    return spark.createDataFrame([(p,) for p in paths], "path string").repartition(max(1, len(paths)))
 
 
 def round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_bytes: int = 0) -> DataFrame:
-    """Writes a record for each row of pages to archives in the shared folder and reads them back, as read_archives.
+    """Writes a record for each row of pages to .warc.gz files in the shared folder and reads them back, as read_files.
 
     A null html is an empty payload, a null url about:blank. Of records with equal payloads of at least least_bytes the one
     with the smallest page_id is a response and others revisit it; rows that repeat that id are responses too, and so are
-    rows without an id. An empty table gives an empty result; other
-    columns of pages are ignored.
+    rows without an id. An empty table gives an empty result; other columns of pages are ignored.
     """
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
-    return read_archives(staged(write_archives(with_first(rows, least_bytes)), "archives"))
+    folder = new_path(pages.sparkSession, "warc")
+    files = write_files(with_first(rows, least_bytes), folder if "://" in folder or folder.startswith("/") else folder.replace("file:", "file://", 1))
+    # a file each, so that all tasks read
+    return read_files(files.repartitionByRange(max(1, min(files.count(), 10_000)), "path"))

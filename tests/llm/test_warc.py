@@ -57,4 +57,34 @@ def test_reader_refuses_what_is_wrong():
 def test_files(spark, tmp_path):
     for k in range(2):
         (tmp_path / f"{k}.warc.gz").write_bytes(b"".join(records()))
-    assert warc.read_archives(warc.read_files(spark, str(tmp_path))).count() == 10
+    assert warc.read_files(warc.listed(spark, [str(tmp_path / f"{k}.warc.gz") for k in range(2)])).count() == 10
+
+
+@pytest.mark.parametrize("scheme", ["", "file://"])
+def test_written_files(spark, tmp_path, scheme):
+    """Gzip files of whole members with a warcinfo first and unique ids; a revisit names its target."""
+    rows = [(i, f"http://x/{i} a", "same" if i % 3 else f"own {i} " * 200) for i in range(300)] + [(None, None, None), (7, "u", "again")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    files = warc.write_files(warc.with_first(pages, 0), f"{scheme}{tmp_path}/a", archive_bytes=20_000)
+    made = files.collect()
+    assert sum(f.records for f in made) == 302 and len(made) > 3
+    ids, revisits = [], []
+    for f in made:
+        path = f.path.removeprefix("file://")
+        with open(path, "rb") as h:
+            data = h.read()
+        assert path.endswith(".warc.gz") and len(data) == f.bytes and gzip.decompress(data).startswith(b"WARC/1.1\r\nWARC-Type: warcinfo")
+        found = list(warc.read_records([data]))
+        assert [x.kind for x in found].count("warcinfo") == 1 and found[0].fields["warc-filename"] == path.rsplit("/", 1)[1]
+        ids += [x.fields["warc-record-id"] for x in found]
+        revisits += [x for x in found if x.kind == "revisit"]
+    assert len(set(ids)) == len(ids) == 302 + len(made)
+    assert len(revisits) == 199 and {x.fields["warc-refers-to-target-uri"] for x in revisits} == {"http://x/1%20a"}
+    back = warc.read_files(files)
+    assert back.count() == 302 and back.filter("refers_to = 1").count() == 199
+
+
+def test_many_shared_payloads_are_joined(spark):
+    pages = spark.createDataFrame([(i, "u", f"text {i % 50}") for i in range(200)], "page_id long, url string, html string")
+    got = {x.page_id: x.refers_to for x in warc.with_first(pages, 0, most=10).collect()}
+    assert got == {i: i % 50 if i >= 50 else None for i in range(200)}
