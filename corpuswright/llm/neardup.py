@@ -9,7 +9,7 @@ unless their sizes rule a link out or their signatures differ by far more than c
 joined to blocks without listing them all: a bucket is compared with its smallest node (an aggregate and a join, which a
 hot bucket doesn't hold up), and only buckets that then still hold several blocks are compared further, each giving a
 spanning forest. Inside a block every plausible pair is verified on the full sets unless links found before join its ends
-already; large blocks are dealt as a grid. Verified links are joined to components by union-find.
+already; large buckets and blocks are dealt as grids. Verified links are joined to components by union-find.
 """
 
 from __future__ import annotations
@@ -50,10 +50,14 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class _Words(dict):
+    """Hashes of words; of at most 200,000, none longer than 256 bytes."""
+
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 200_000:
-            self.clear()
-        self[word] = value = xxhash.xxh3_64_intdigest(word)
+        value = xxhash.xxh3_64_intdigest(word)
+        if len(word) <= 256:
+            if len(self) >= 200_000:
+                self.clear()
+            self[word] = value
         return value
 
 
@@ -202,28 +206,38 @@ def pair_batch(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([min(x) for x in pairs], pa.int64()), pa.array([max(x) for x in pairs], pa.int64())], ["a", "b"])
 
 
-def bridging_pairs(members: DataFrame, percent: int) -> DataFrame:
+def grid(members: DataFrame, by: list[str], cells: F.Column) -> DataFrame:
+    """members dealt to slots of their group by the node's hash, `cells` slots a group; each member is in the cells (i, j) of all pairs of slots that have its own. A group of one slot is one cell."""
+    sizes = members.groupBy(*by).agg(cells.cast("int").alias("g")).filter("g > 1")
+    dealt = members.join(sizes, by, "left").withColumn("g", F.coalesce("g", F.lit(1))).withColumn("slot", F.pmod(F.xxhash64("node"), F.col("g")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
+    return dealt.withColumns({"i": F.least("slot", "other"), "j": F.greatest("slot", "other")})
+
+
+def bridging_pairs(members: DataFrame, percent: int, most_nodes: int = 1024) -> DataFrame:
     """Plausible pairs that join different components inside a bucket: a spanning forest. members: key, node, n, comp, sig.
 
     A bucket is split by classes of set size, a factor apart; a node goes to its class and the next, so that a pair of
-    similar size meets in one of them.
+    similar size meets in one of them. A class beyond most_nodes is dealt as a grid.
     """
     step = float(np.log(100 / percent)) if percent < 100 else 1e-9
     cls = F.floor(F.log("n") / step).cast("long")
-    dealt = members.withColumn("cls", F.explode(F.array(cls, cls + 1)))
-    dealt = dealt.repartition("key", "cls").sortWithinPartitions("key", "cls", "node").select("key", "cls", "node", "n", "comp", "sig")
+    dealt = grid(members.withColumn("cls", F.explode(F.array(cls, cls + 1))), ["key", "cls"], F.ceil(F.count(F.lit(1)) / most_nodes))
+    at = ["key", "cls", "i", "j"]
+    dealt = dealt.repartition(*at).sortWithinPartitions(*at, "node").select(*at, "node", "n", "comp", "sig", "slot")
 
     def run(batches):
-        for rows in groups(batches, 2):
-            node, n, comp = (np.array([r[k] for r in rows]) for k in (2, 3, 4))
+        for rows in groups(batches, 4):
+            n, comp, slot = (np.array([r[k] for r in rows]) for k in (5, 6, 8))
             if comp.min() == comp.max():
                 continue
-            sig, found = np.frombuffer(b"".join(r[5] for r in rows), np.uint8).reshape(len(rows), -1), []
+            across = rows[0][2] != rows[0][3]
+            sig, found = np.frombuffer(b"".join(r[7] for r in rows), np.uint8).reshape(len(rows), -1), []
             for x in range(1, len(rows)):
                 for y in _partners(x, sig, n, comp, percent).tolist():
-                    if comp[x] != comp[y]:
+                    if comp[x] != comp[y] and not (across and slot[x] == slot[y]):
                         comp[comp == comp[x]] = comp[y]
-                        found.append((rows[x][2], rows[y][2]))
+                        found.append((rows[x][4], rows[y][4]))
             if found:
                 yield pair_batch(found)
 
@@ -252,10 +266,7 @@ def block_links(members: DataFrame, percent: int, most_nodes: int = 1024, most_s
     A block beyond the sizes is dealt to g slots by hash and compared as a grid of slot pairs, so that no task holds more
     than two slots.
     """
-    sizes = members.groupBy("block").agg(F.greatest(F.ceil(F.count(F.lit(1)) / most_nodes), F.ceil(F.sum("n") / most_shingles)).cast("int").alias("g")).filter("g > 1")
-    dealt = members.join(sizes, "block", "left").withColumn("g", F.coalesce("g", F.lit(1))).withColumn("slot", F.pmod(F.xxhash64("node"), F.col("g")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
-    dealt = dealt.select("block", F.least("slot", "other").alias("i"), F.greatest("slot", "other").alias("j"), "slot", "node", "n", "sig", "text")
+    dealt = grid(members, ["block"], F.greatest(F.ceil(F.count(F.lit(1)) / most_nodes), F.ceil(F.sum("n") / most_shingles))).select("block", "i", "j", "slot", "node", "n", "sig", "text")
     dealt = dealt.repartition("block", "i", "j").sortWithinPartitions("block", "i", "j", "node")
 
     def run(batches):
@@ -292,18 +303,19 @@ class _Listed(list):
         return self
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75, most_nodes: int = 1024) -> DataFrame:
     """One row for each row of docs: doc_id, n_shingles, component_id, kept.
 
     Documents are linked if 100 * intersection >= percent * union of their sets; component_id is the smallest doc_id
     reachable, and kept says that it is the row's own. A null text or one without words has an empty set and no link. Rows
     that repeat an id are documents of their own; a row without an id is linked with nothing, has a null component and is
-    kept. An empty table gives an empty result; other columns of docs are ignored.
+    kept. Texts of any length are read whole. An empty table gives an empty result; other columns of docs are ignored. A
+    task compares at most about twice most_nodes nodes with each other.
     """
-    return marked(docs, id_col, text_col, percent).drop("set_id", "comp")
+    return marked(docs, id_col, text_col, percent, most_nodes).drop("set_id", "comp")
 
 
-def marked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75) -> DataFrame:
+def marked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75, most_nodes: int = 1024) -> DataFrame:
     """near_duplicates with set_id, null for a row that is linked with nothing, and comp, which names the component where ids repeat."""
     docs = id_and_text(docs, id_col, text_col)
     rows = staged(sketches(docs), "sketches")
@@ -320,13 +332,13 @@ def marked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", perc
     named = members.filter("size > 2").join(blocks, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     mixed = named.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("key")
     within = named.join(mixed, "key").join(nodes.select("node", "n", "sig"), "node").select("key", "node", "n", "comp", "sig")
-    bridges = staged(bridging_pairs(within, percent), "bridges")
+    bridges = staged(bridging_pairs(within, percent, most_nodes), "bridges")
     if not bridges.isEmpty():
         blocks = components(stars.unionByName(bridges))
     reps = sets.select("node", F.col("of_doc").alias("doc_id"), "set_id")
     texts = staged(node_texts(docs, reps.join(blocks.select("node"), "node")), "texts")
     held = blocks.withColumnRenamed("comp", "block").join(nodes.select("node", "n", "sig"), "node").join(texts, "node").select("block", "node", "n", "sig", "text")
-    comps = components(staged(block_links(held, percent), "links"))
+    comps = components(staged(block_links(held, percent, most_nodes), "links"))
     least = sets.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node")).select("set_id", "comp", "least_doc", "uses")
     least = staged(least, "least")
     ids = staged(least.groupBy("comp").agg(F.min("least_doc").alias("component_id"), F.sum("uses").alias("total"), F.count(F.lit(1)).alias("sets")).filter("total > 1").drop("total"), "ids")

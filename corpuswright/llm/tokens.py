@@ -36,12 +36,14 @@ def tokenizer_json(name: str = "byte_bpe_50k.json") -> str:
 
 
 class Pieces(dict):
-    """Pre-token -> what the library makes of it. It holds at most two generations of `most` entries; a piece in use moves to the younger."""
+    """Pre-token -> what the library makes of it. It holds at most two generations of `most` entries, none longer than `longest` characters; a piece in use moves to the younger."""
 
-    def __init__(self, make, most: int = 300_000):
-        self.make, self.most, self.old = make, most, {}
+    def __init__(self, make, most: int = 300_000, longest: int = 128):
+        self.make, self.most, self.longest, self.old = make, most, longest, {}
 
     def __missing__(self, piece: str):
+        if len(piece) > self.longest:
+            return self.make(piece)
         if len(self) >= self.most:
             self.old = dict(self)
             self.clear()

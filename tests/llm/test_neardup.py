@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 
 from corpuswright.llm import neardup
 from corpuswright.llm.graph import components
@@ -79,16 +80,21 @@ def test_estimates():
         assert abs(np.mean(errors)) < 0.02 and max(map(abs, errors)) < 0.15
 
 
-def test_against_brute_force(spark):
-    for seed in (1, 2):
+@pytest.mark.parametrize("most_nodes", [1024, 4])
+def test_against_brute_force(spark, most_nodes):
+    """Whole buckets and blocks, or grids of them; with one very long text."""
+    for seed in (1, 2) if most_nodes > 4 else (3,):
         rows = corpus(seed)
+        long = [f"w{k % 9973}" for k in range(60_000)]
+        rows += [(3000, " ".join(long)), (3001, " ".join(long[:-50]))]
         docs = spark.createDataFrame([(i, t, 0, "k") for i, t in rows], "doc_id long, text string, n_shingles int, kept string").repartition(5)
-        got = [(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in neardup.near_duplicates(docs).collect()]
+        got = [(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in neardup.near_duplicates(docs, most_nodes=most_nodes).collect()]
         want = [(d, n, c, True if d is None else k) for d, n, c, k in brute(rows)]
         assert sorted(got, key=repr) == sorted(want, key=repr)
 
 
-def test_large_mixed_bucket(spark):
+@pytest.mark.parametrize("most_nodes", [1024, 4])
+def test_large_mixed_bucket(spark, most_nodes):
     """Members that are far from their bucket's first node still find each other."""
     r = random.Random(5)
     w = lambda: f"w{r.randrange(10**6)}"
@@ -100,7 +106,7 @@ def test_large_mixed_bucket(spark):
             t = list(tail)
             t[(5 * k) % 28] = w()
             rows.append((g * 10 + k, " ".join(common + t)))
-    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), most_nodes=most_nodes).collect()
     assert sorted((x.doc_id, x.n_shingles, x.component_id, x.kept) for x in got) == sorted(brute(rows))
 
 

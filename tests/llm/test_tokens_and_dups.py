@@ -70,6 +70,12 @@ def test_packing_round_trip(spark, library):
     assert packing.pack(docs_of(spark, [])).collect() == []
 
 
+def test_long_pieces_are_not_held():
+    enc = encoder(tokenizer_json())
+    enc.encode("z" * 5000 + " ok")
+    assert not any(len(p) > 128 for cache in (enc.pieces, enc.lengths) for p in cache)
+
+
 def brute_exact(rows):
     import re
 
