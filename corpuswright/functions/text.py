@@ -7,7 +7,7 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# fixed values: patterns for personal data and citations
+# fixed values: patterns for personal data and citations, numerals, marks and typing errors of questions, and procedural articles
 EMAIL = r"(?i)\b[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}\b"
 NATIONAL_ID = r"(?i)\b[A-Z][12]\d{8}\b"
 PHONE = r"(?<!\d)(?:\+?886[-\s]?)?(?:0?\d{1,2}[-\s]?)?\d{3,4}[-\s]?\d{3,4}(?!\d)"
@@ -20,6 +20,20 @@ FORBIDDEN_QUESTION_MARKERS = ("第1條", "第 1 條", "依本法", "依該法",
 TYPO_MAP = {"長照": "長炤", "機構": "機搆", "申請": "申晴", "補助": "補住", "許可": "許課", "服務": "服物", "主管機關": "主管機觀"}
 
 
+LONG_TAIL_PREFIX = "想請問一下，"
+PROCEDURAL = (
+    r"^(本法|本細則|本辦法)?[^。]{0,20}"
+    r"(自(中華民國)?[^。]{0,20}施行|由(中央|地方)?主管機關(另)?定之|"
+    r"依[^。]{0,60}(訂定|訂定之|定之))\s*[。.]?"
+    r"(\r?\n[^。]{0,40}(施行|訂定之)[。.]?)?\s*$"
+)
+
+
+def trivial(c: Column) -> Column:
+    """Whether an article only says when it takes effect, what it rests on or who decides the rest."""
+    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "").rlike(PROCEDURAL)
+
+
 def quoted(text: str) -> str:
     """text as a Java regular expression that matches just itself."""
     return r"\Q" + text.replace(r"\E", r"\E\\E\Q") + r"\E"
@@ -166,8 +180,8 @@ def valid_question(c: Column, law_names: Sequence[str] = ()) -> Column:
 
 
 def long_tail(c: Column) -> Column:
-    """A deterministic typing error: the first word of the table that occurs, replaced once."""
-    out = c
+    """A deterministic typing error: the first word of the table that occurs, replaced once; without any a phrase in front."""
+    out = F.concat(F.lit(LONG_TAIL_PREFIX), c)
     for word, typo in reversed(TYPO_MAP.items()):
         out = F.when(c.contains(word), F.regexp_replace(c, f"^((?s).*?){quoted(word)}", f"$1{typo}")).otherwise(out)
     return out

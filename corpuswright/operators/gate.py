@@ -91,14 +91,16 @@ def graded(signals: DataFrame, refinements: int = 0, policy: Policy = Policy())
 
 
 def with_modes(signals: DataFrame, policy: Policy = Policy()) -> DataFrame:
-    """Each query under each mode: mode, decision. Routes are masked where the mode doesn't count them; a mode that can't refine decides at once."""
+    """Each query under each mode: mode, decision and refused. Routes are masked where the mode doesn't count them; a mode that can't refine refuses what it would have to."""
     spark = signals.sparkSession
     modes = spark.createDataFrame(MODES, "mode string, gated boolean, refines boolean, routes boolean")
     both = signals.crossJoin(F.broadcast(modes))
     masked = both.withColumn("ambiguous_or_multi_hop", F.col("ambiguous_or_multi_hop") & F.col("routes"))
-    gate = grade(F.col, F.when(F.col("refines"), 0).otherwise(policy.max_refinements), policy)["decision"]
+    gate = grade(F.col, F.lit(0), policy)["decision"]
     base = F.when(F.coalesce(F.col("top1_rerank") < BASELINE_TOP1, F.lit(True)), "refuse").otherwise("answer")
-    return masked.withColumn("decision", F.when(F.col("gated"), gate).otherwise(base)).drop("gated", "refines", "routes")
+    decided = masked.withColumn("decision", F.when(F.col("gated"), gate).otherwise(base))
+    refused = F.when(F.col("refines"), F.col("decision") == "refuse").otherwise(F.col("decision") != "answer")
+    return decided.withColumn("refused", refused).drop("gated", "refines", "routes")
 
 
 def corrective_outcome(before: Column, after: Column) -> Column:

@@ -117,8 +117,11 @@ def faithfulness(scores: DataFrame, low: float = 0.7) -> DataFrame:
 
 
 def adopted(candidate: Column, rule: Column) -> Column:
-    """Whether a candidate's metrics are at least the rule's in accuracy, recall and specificity, with no more activations."""
-    return (candidate["accuracy"] >= rule["accuracy"]) & (candidate["recall"] >= rule["recall"]) & (candidate["specificity"] >= rule["specificity"]) & (candidate["activation_rate"] <= rule["activation_rate"])
+    """Whether a candidate has at least the rule's recall and accuracy, and activates and falsely activates less; a rate that isn't defined counts as 0."""
+    of = lambda c, name: F.coalesce(c[name], F.lit(0.0))
+    more = [of(candidate, x) >= of(rule, x) for x in ("recall", "accuracy")]
+    less = [of(candidate, x) < of(rule, x) for x in ("activation_rate", "false_activation_rate")]
+    return more[0] & more[1] & less[0] & less[1]
 
 
 def group_percentiles(rows: DataFrame, by: str, value: str, qs: list[float], most: int = MOST) -> DataFrame:

@@ -2,46 +2,58 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import hashlib
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import sigmoid
 from ..functions.tokenize import words
+from ..plans.shared import fixed
 
 TOP, POOL, FINAL, RRF_K = 20, 20, 5, 60
 K1, B = 1.5, 0.75
+Embedder = Callable[[DataFrame], DataFrame]
 
 
 @dataclass
 class Index:
-    """postings (term, doc_id, tf, dl), frequencies (term, df) and the corpus's size and mean length as one row."""
+    """The forward index: a row a document (doc_id, tokens, dl), written once, and the corpus's size and mean length as one row."""
 
-    postings: DataFrame
-    frequencies: DataFrame
+    lists: DataFrame
     totals: DataFrame
+    tokens: Callable[[Column], Column]
 
 
 def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokens: Callable[[Column], Column] = words) -> Index:
-    lists = docs.select(F.col(id_col).alias("doc_id"), tokens(F.col(text_col)).alias("tokens"))
-    sized = lists.select("doc_id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term"))
-    postings = sized.groupBy("term", "doc_id").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
-    totals = lists.agg(F.count(F.lit(1)).cast("double").alias("n"), F.avg(F.size("tokens")).alias("avgdl"))
-    return Index(postings, postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")), totals)
+    lists = fixed(docs.select(F.col(id_col).alias("doc_id"), tokens(F.col(text_col)).alias("tokens")).withColumn("dl", F.size("tokens")))
+    return Index(lists, lists.agg(F.count(F.lit(1)).cast("double").alias("n"), F.avg("dl").alias("avgdl")), tokens)
 
 
-def bm25(index: Index, questions: DataFrame, id_col: str = "query_id", text_col: str = "text", tokens: Callable[[Column], Column] = words, top: int = TOP) -> DataFrame:
+def small(rows: DataFrame, most: int) -> DataFrame:
+    """rows marked for broadcast if there are at most `most`."""
+    return F.broadcast(rows) if rows.limit(most + 1).count() <= most else rows
+
+
+def bm25(index: Index, questions: DataFrame, id_col: str = "query_id", text_col: str = "text", top: int = TOP, most_terms: int = 500_000) -> DataFrame:
     """query_id, doc_id, score, rank: the best documents with a term in common. idf = ln(1 + (N - df + 0.5) / (df + 0.5)).
 
-    Questions' terms meet the postings by term; a document's score is summed before it is ranked, and texts come later.
+    Only the questions' terms leave the documents' token lists: up to most_terms they are broadcast to them, so that what is
+    shuffled is a row for each document and asked term; beyond that they are joined. A document's score is summed before it
+    is ranked, and texts come later.
     """
-    asked = questions.select(F.col(id_col).alias("query_id"), F.explode(tokens(F.col(text_col))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
-    joined = index.postings.join(asked, "term").join(index.frequencies, "term").crossJoin(F.broadcast(index.totals))
+    asked = fixed(questions.select(F.col(id_col).alias("query_id"), F.explode(index.tokens(F.col(text_col))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf")))
+    wanted = small(asked.select("term").distinct(), most_terms)
+    found = index.lists.select("doc_id", "dl", F.explode("tokens").alias("term")).join(wanted, "term", "left_semi")
+    postings = fixed(found.groupBy("term", "doc_id").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl")))
+    weighed = asked.join(postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")), "term").crossJoin(F.broadcast(index.totals))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    joined = postings.join(small(weighed, most_terms), "term")
     part = F.col("qtf") * idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     scored = joined.groupBy("query_id", "doc_id").agg(F.round(F.sum(part), 6).alias("score"))
     return ranked(scored, top)
@@ -68,23 +80,102 @@ def truncated(v: Column, dim: int) -> Column:
     return F.transform(cut, lambda x: x.cast("double") / F.sqrt(dot(cut, cut)))
 
 
-def dense(corpus: DataFrame, queries: DataFrame, score: Callable[[Column, Column], Column] = cosine, top: int = TOP, most_queries: int = 100_000) -> DataFrame:
+def similarities(corpus: np.ndarray, query: np.ndarray, score: str) -> np.ndarray:
+    if score == "l1":
+        return -np.abs(corpus - query).sum(axis=1)
+    found = corpus @ query
+    if score == "dot":
+        return found
+    sizes = np.sqrt((corpus * corpus).sum(axis=1)) * np.sqrt((query * query).sum())
+    return np.divide(found, sizes, out=np.full(len(found), np.nan), where=sizes > 0)
+
+
+def dense(corpus: DataFrame, queries: DataFrame, score: str = "cosine", dim: int | None = None, top: int = TOP, skip_self: bool = False, most_bytes: int = 32 << 20) -> DataFrame:
     """query_id, doc_id, score, rank by exact comparison of every query with every document. corpus: doc_id, vector; queries: query_id, qvector.
 
-    The queries are broadcast in blocks of at most most_queries (bounded whatever their number), the corpus is never moved:
-    each task keeps its best `top` of each query, and only those are shuffled.
+    score: cosine, dot or l1 (negative distance), over the first dim places if given. A pair without a score (a null vector,
+    a cosine with a vector of zeros) is no hit. skip_self leaves out the document with the query's id, for searches of a
+    corpus in itself. Queries are broadcast in blocks of at most most_bytes, whatever their number; the corpus is never
+    moved: a task compares a batch with a block by matrix products and keeps its best `top` of each query, ties at the
+    border included as far as their ids decide.
     """
-    n = queries.count()
-    blocks = max(1, -(-n // most_queries))
-    out = None
+    queries = queries.filter("qvector is not null").select("query_id", F.col("qvector").cast("array<double>"))
+    size = queries.agg(F.coalesce(F.sum(F.size("qvector") * 8 + 64), F.lit(0))).first()[0]
+    blocks = max(1, -(-size // most_bytes))
+    kinds = {**dict(queries.dtypes), **dict(corpus.dtypes)}
+    schema = f"query_id {kinds['query_id']}, doc_id {kinds['doc_id']}, score double"
+    corpus, out = corpus.filter("vector is not null").select("doc_id", F.col("vector").cast("array<double>")), None
     for i in range(blocks):
         block = queries if blocks == 1 else queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i)
-        pairs = corpus.crossJoin(F.broadcast(block)).filter(F.col("doc_id") != F.col("query_id"))
-        part = ranked(pairs.select("query_id", "doc_id", F.round(score(F.col("vector"), F.col("qvector")), 6).alias("score")), top)
+        rows = block.collect()  # below most_bytes, or about that
+        sent = corpus.sparkSession.sparkContext.broadcast(([r[0] for r in rows], [np.array(r[1][:dim]) for r in rows]))
+        part = ranked(corpus.mapInArrow(_nearest(sent, score, dim, top, skip_self), schema), top)
         out = part if out is None else out.unionByName(part)
     return out
 
 
+def _nearest(sent, score: str, dim: int | None, top: int, skip_self: bool):
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        ids, vectors = sent.value
+        for whole in batches:
+            for at in range(0, whole.num_rows, 4096):
+                batch = whole.slice(at, 4096)
+                docs = batch.column(0).to_pylist()
+                found: list[tuple] = []
+                matrix = np.array(batch.column(1).to_pylist(), np.float64)[:, :dim] if docs and vectors else np.zeros((0, 1))
+                for query, vector in zip(ids, vectors):
+                    if not len(matrix):
+                        break
+                    got = np.round(similarities(matrix, vector, score), 6) + 0.0
+                    fine = np.flatnonzero(~np.isnan(got) & np.array([d != query for d in docs]) if skip_self else ~np.isnan(got))
+                    if len(fine) > top:
+                        least = np.partition(got[fine], len(fine) - top)[len(fine) - top]
+                        fine = fine[got[fine] >= least]
+                    best = sorted(((-got[j], docs[j]) for j in fine.tolist()))[:top]
+                    found += [(query, d, float(-s)) for s, d in best]
+                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], kind) for k, kind in enumerate((_kind(ids), batch.schema.field(0).type, pa.float64()))], ["query_id", "doc_id", "score"])
+
+    return run
+
+
+def _kind(ids: list) -> pa.DataType:
+    return pa.string() if ids and isinstance(ids[0], str) else pa.int64()
+
+
+def hashed_vectors(rows: DataFrame, dim: int = 64, tokens: Callable[[Column], Column] = words) -> DataFrame:
+    """chunk_id and vector: the default embedder in place of a model, signed counts of words hashed by MD5 to `dim` places, of unit length; zeros without words. rows: chunk_id, text.
+
+    As a model would, it runs on Arrow batches, a row at a time and without a shuffle.
+    """
+
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        known: dict[str, tuple[int, float]] = {}
+        for whole in batches:
+            for at in range(0, whole.num_rows, 256):
+                batch = whole.slice(at, 256)
+                out = np.zeros((batch.num_rows, dim))
+                for i, found in enumerate(batch.column(1).to_pylist()):
+                    for w in found or ():
+                        if w not in known:
+                            if len(known) >= 200_000:
+                                known.clear()
+                            h = hashlib.md5(w.encode()).digest()
+                            known[w] = int.from_bytes(h[:4]) % dim, 1.0 - 2 * (h[7] % 2)
+                        place, sign = known[w]
+                        out[i, place] += sign
+                sizes = np.sqrt((out * out).sum(axis=1, keepdims=True))
+                out = np.divide(out, sizes, out=out, where=sizes > 0)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(out), pa.list_(pa.float64()))], ["chunk_id", "vector"])
+
+    picked = rows.select("chunk_id", tokens(F.col("text")).alias("tokens"))
+    return picked.mapInArrow(run, f"chunk_id {dict(rows.dtypes)['chunk_id']}, vector array<double>")
+
+
+def embedded(rows: DataFrame, embed: Embedder, id_col: str, name: str) -> DataFrame:
+    """id_col and the embedder's vector of text, as `name`."""
+    return embed(rows.select(F.col(id_col).alias("chunk_id"), "text")).toDF(id_col, name)
+
+
 def rrf(lists: DataFrame, k: int = RRF_K) -> DataFrame:
     """Fusion of ranked lists (query_id, list, doc_id, rank; list is its number). score, sources and fused_rank; ties go to the first by list and rank.
 
@@ -132,20 +223,100 @@ def diagnostics(lexical: DataFrame, dense_hits: DataFrame, final: DataFrame, sco
     return both.select("query_id", x.alias("bm25_ids"), y.alias("dense_ids"), same.alias("overlap_ids"), F.size(same).cast("long").alias("overlap_count"), F.round(jaccard, 6).alias("overlap_jaccard"), F.round(F.col("s1") - F.col("s2"), 6).alias("top1_top2_margin"))
 
 
-def hybrid(docs: DataFrame, questions: DataFrame, vectors: DataFrame | None = None, query_vectors: DataFrame | None = None, top: int = TOP) -> DataFrame:
-    """BM25 and dense lists fused; without vectors the second list ranks BM25's candidates by shared words."""
-    lexical = bm25(build_index(docs), questions, top=top)
-    if vectors is None:
-        return fused_with_overlap(lexical, docs, questions, top)
-    return rrf(lexical.withColumn("list", F.lit(0)).unionByName(dense(vectors, query_vectors, top=top).withColumn("list", F.lit(1))))
+@dataclass
+class Retriever:
+    """An index and vectors over the same documents (doc_id, text), with what embeds questions."""
 
+    docs: DataFrame
+    index: Index
+    vectors: DataFrame
+    embed: Embedder
+
+    @staticmethod
+    def of(docs: DataFrame, embed: Embedder = hashed_vectors, tokens: Callable[[Column], Column] = words) -> Retriever:
+        docs = docs.select("doc_id", "text")
+        return Retriever(docs, build_index(docs, tokens=tokens), fixed(embedded(docs, embed, "doc_id", "vector")), embed)
+
+
+@dataclass
+class Found:
+    """lists (query_id, list, doc_id, score, rank) of both kinds, even numbers lexical and odd ones dense, and their fusion."""
 
-def fused_with_overlap(lexical: DataFrame, docs: DataFrame, questions: DataFrame, top: int = TOP) -> DataFrame:
-    """BM25's candidates fused with their order by shared words. The candidates, `top` a question, are kept, as three parts of the plan read them."""
-    lexical = lexical.persist(StorageLevel.MEMORY_AND_DISK)
-    full = lexical.select("query_id", "doc_id").join(docs.select("doc_id", "text"), "doc_id").join(questions.select("query_id", F.col("text").alias("question")), "query_id")
-    second = ranked(full.select("query_id", "doc_id", F.round(overlap_score(F.col("question"), F.col("text")), 6).alias("score")), top)
-    return rrf(lexical.withColumn("list", F.lit(0)).unionByName(second.withColumn("list", F.lit(1))))
+    lists: DataFrame
+    fused: DataFrame
+
+    @property
+    def lexical(self) -> DataFrame:
+        return self.lists.filter("list % 2 = 0")
+
+    @property
+    def dense(self) -> DataFrame:
+        return self.lists.filter("list % 2 = 1")
+
+
+def variants(queries: DataFrame) -> DataFrame:
+    """query_id, place (from 0) and text of a question's queries: stripped, empty ones left out, repeats left out behind the first. queries: query_id, ord, text."""
+    bare = queries.select("query_id", "ord", F.regexp_replace("text", r"(?U)^\s+|\s+$", "").alias("text")).filter("text <> ''")
+    once = bare.groupBy("query_id", "text").agg(F.min("ord").alias("ord"))
+    return once.select("query_id", (F.row_number().over(Window.partitionBy("query_id").orderBy("ord")) - 1).alias("place"), "text")
+
+
+def retrieve_multi(retriever: Retriever, queries: DataFrame, top: int = TOP) -> Found:
+    """Lexical and dense lists of each of a question's queries, all fused by reciprocal rank. queries: query_id, ord, text.
+
+    A document keeps its best score of each kind, with the rank it had there. What is kept is a few rows a question.
+    """
+    asked = fixed(variants(queries).withColumn("asked", F.xxhash64(F.col("query_id").cast("string"), "place")))
+    lexical = bm25(retriever.index, asked.select(F.col("asked").alias("query_id"), "text"), top=top)
+    vectors = embedded(asked, retriever.embed, "asked", "qvector").withColumnRenamed("asked", "query_id")
+    near = dense(retriever.vectors, vectors, top=top)
+    named = lambda rows, odd: rows.withColumnRenamed("query_id", "asked").join(asked.select("asked", "query_id", "place"), "asked").select("query_id", (F.col("place") * 2 + odd).alias("list"), "doc_id", "score", "rank")
+    lists = fixed(named(lexical, 0).unionByName(named(near, 1)))
+    fused = rrf(lists)
+    for kind, odd in (("bm25", 0), ("dense", 1)):
+        fused = fused.join(best_per_source(lists.filter(f"list % 2 = {odd}"), kind), ["query_id", "doc_id"], "left")
+    return Found(lists, fixed(fused))
+
+
+def retrieve(retriever: Retriever, questions: DataFrame, top: int = TOP) -> Found:
+    """One query a question. questions: query_id, text."""
+    return retrieve_multi(retriever, questions.select("query_id", F.lit(0).alias("ord"), "text"), top)
+
+
+def hybrid(docs: DataFrame, questions: DataFrame, embed: Embedder = hashed_vectors, top: int = TOP) -> DataFrame:
+    """The fused list of BM25's and the dense list."""
+    return retrieve(Retriever.of(docs, embed), questions, top).fused
+
+
+def _window(k: int):
+    return lambda _, i: F.xxhash64(*[F.get("w", i + j) for j in range(k)])
+
+
+def containing(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", width: int = 4, most: int = 200_000) -> DataFrame:
+    """(item_id, doc_id) where the document's text contains the item's, letter by letter. docs: doc_id, text; items: item_id, text.
+
+    An item's words but the first and last are words of any text that contains it. The first `width` of them are hashed and
+    met by the hashed windows of the documents, and what meets is checked. Items of fewer than three words have no such
+    window; these are compared directly, broadcast in blocks of a thousand. An empty item is in every text, a null in none.
+    """
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col("text").alias("body"))
+    asked = items.select(F.col(item_id).alias("item_id"), F.col("text").alias("part")).filter("part is not null").withColumn("words", F.split("part", r"\s+"))
+    long = asked.filter(F.size("words") >= 3).withColumn("k", F.least(F.size("words") - 2, F.lit(width)))
+    # a null beyond the end leaves a hash as it is
+    inner = F.xxhash64(*[F.when(F.lit(j) < F.col("k"), F.get("words", F.lit(j + 1))) for j in range(width)])
+    long = long.select("item_id", "part", "k", inner.alias("h"))
+    widths = sorted(r.k for r in long.select("k").distinct().collect())  # of 1 to `width`
+    found = None
+    if widths:
+        split = rows.withColumn("w", F.split("body", r"\s+"))
+        each = [F.transform("w", _window(k)) for k in widths]
+        met = split.select("doc_id", "body", F.explode(F.array_distinct(F.concat(*each))).alias("h")).join(small(long.select("item_id", "part", "h"), most), "h")
+        found = met.filter(F.col("body").contains(F.col("part"))).select("item_id", "doc_id")
+    short = asked.filter(F.size("words") < 3).select("item_id", "part").withColumn("block", F.floor((F.row_number().over(Window.orderBy("item_id", "part")) - 1) / 1000))
+    for i in range(short.agg(F.coalesce(F.max("block"), F.lit(-1))).first()[0] + 1):
+        pairs = rows.join(F.broadcast(short.filter(F.col("block") == i)), F.col("body").contains(F.col("part"))).select("item_id", "doc_id")
+        found = pairs if found is None else found.unionByName(pairs)
+    return found if found is not None else rows.limit(0).select(F.lit(None).cast(dict(items.dtypes)[item_id]).alias("item_id"), "doc_id")
 
 
 def recall_regression(fused: DataFrame, gold: DataFrame, at: int = 20, least: float = 0.9) -> DataFrame:

@@ -70,9 +70,9 @@ def route_question(question: Column, aliases: dict[str, str] | None = None, patt
         F.when(q.rlike(p["meta"]), _result("no_retrieval", "asks about the system itself", 0.99, none, "meta_response"))
         .when(q.rlike(p["enumeration"]) & one.isNotNull(), _result("structured", "asks for the catalogue of a known law", 0.99, F.array(one), "law_overview"))
         .when(q.rlike(p["global"]) & (F.size(laws) > 0), _result("global_or_multi_hop", "asks about whole laws or chapters", 0.96, laws, "chapter_summary"))
-        .when((F.length(q) < 5) | q.rlike(p["ambiguous"]), _result("corrective_candidate", "too short or leans on missing context", 0.82, none, None))
+        .when((F.length(q) < 5) | q.rlike(p["ambiguous"]), _result("corrective_candidate", "too short or leans on missing context", 0.82, none, "hybrid_retrieval"))
         .when(q.rlike(p["multi_hop"]), _result("global_or_multi_hop", "joins several conditions", 0.78, none, "citation_graph"))
-        .otherwise(_result("single_hop", "a question of one scope", 0.90, none, None))
+        .otherwise(_result("single_hop", "a question of one scope", 0.90, none, "hybrid_retrieval"))
     )
 
 

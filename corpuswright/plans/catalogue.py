@@ -27,7 +27,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _load() -> None:
-    from . import queries_corpus, queries_gate, queries_retrieval, queries_trace  # noqa: F401  they register themselves
+    from . import queries_corpus, queries_evaluation, queries_gate, queries_retrieval, queries_trace  # noqa: F401  they register themselves
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -9,23 +9,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import composite_text, short_hash
-from ..functions.tokenize import words
 from ..operators import chunking, retrieval, versions
+from ..operators.retrieval import Embedder, hashed_vectors
 from .shared import fixed
 
-Embedder = Callable[[DataFrame], DataFrame]
-
-
-def hashed_vectors(rows: DataFrame, dim: int = 64) -> DataFrame:
-    """chunk_id and vector: the default embedder in place of a model, signed counts of words hashed to `dim` places, of unit length. rows: chunk_id, text."""
-    h = F.xxhash64(F.col("w"))
-    parts = rows.select("chunk_id", F.explode(words(F.col("text"))).alias("w")).groupBy("chunk_id", F.pmod(h, F.lit(dim)).cast("int").alias("i")).agg(F.sum(F.when(F.pmod(F.shiftright(h, 32), F.lit(2)) == 0, 1.0).otherwise(-1.0)).alias("x"))
-    filled = parts.groupBy("chunk_id").agg(F.map_from_entries(F.collect_list(F.struct("i", "x"))).alias("m"), F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("size"))
-    vector = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.try_divide(F.try_element_at("m", i), F.col("size")), F.lit(0.0)))
-    zero = F.array_repeat(F.lit(0.0), dim)
-    return rows.select("chunk_id").join(filled.select("chunk_id", vector.alias("vector")), "chunk_id", "left").select("chunk_id", F.coalesce("vector", zero).alias("vector"))
-
-
 @dataclass
 class Built:
     chunks: DataFrame  # chunk_id, parent_id, part, text, vector
@@ -52,16 +39,19 @@ def build(articles: DataFrame, gold: DataFrame, questions: DataFrame, previous:
     new = embed(known.filter("vector is null").select("chunk_id", "text")).withColumnRenamed("vector", "made")
     done = fixed(known.join(new, "chunk_id", "left").withColumn("vector", F.coalesce("vector", "made")).drop("made"))
     counts = known.agg(F.count("vector"), F.count_if(F.col("vector").isNull())).first()
-    recall = regression(done, questions, gold, embed, least_recall)
+    recall = regression(done, questions, gold, embed, least_recall).first()
     versions.check_activation("ready", recall["passed"])
     return Built(done, retrieval.build_index(done, "chunk_id", "text"), counts[0], counts[1], recall["recall"])
 
 
-def regression(chunks: DataFrame, questions: DataFrame, gold: DataFrame, embed: Embedder, least: float):
-    """Recall among the first twenty fused candidates, by article."""
-    lexical = retrieval.bm25(retrieval.build_index(chunks, "chunk_id", "text"), questions)
-    asked = embed(questions.select(F.col("query_id").alias("chunk_id"), "text")).toDF("query_id", "qvector")
-    dense = retrieval.dense(chunks.select(F.col("chunk_id").alias("doc_id"), "vector"), asked)
-    fused = retrieval.rrf(lexical.withColumn("list", F.lit(0)).unionByName(dense.withColumn("list", F.lit(1))))
-    by_article = fused.join(chunks.select(F.col("chunk_id").alias("doc_id"), F.col("parent_id").alias("article_id")), "doc_id").select("query_id", F.col("article_id").alias("doc_id"), "fused_rank")
-    return retrieval.recall_regression(by_article, gold.select("query_id", F.col("article_id").alias("doc_id")), 20, least).first()
+def regression(chunks: DataFrame, questions: DataFrame, gold: DataFrame, embed: Embedder, least: float) -> DataFrame:
+    """recall and passed, one row: recall among the first twenty fused candidates, by article."""
+    found = retrieval.retrieve(retriever_of(chunks, embed), questions)
+    by_article = found.fused.join(chunks.select(F.col("chunk_id").alias("doc_id"), F.col("parent_id").alias("article_id")), "doc_id").select("query_id", F.col("article_id").alias("doc_id"), "fused_rank")
+    return retrieval.recall_regression(by_article, gold.select("query_id", F.col("article_id").alias("doc_id")), 20, least)
+
+
+def retriever_of(chunks: DataFrame, embed: Embedder = hashed_vectors) -> retrieval.Retriever:
+    """Over chunks (chunk_id, text, vector) whose vectors are made already."""
+    docs = chunks.select(F.col("chunk_id").alias("doc_id"), "text")
+    return retrieval.Retriever(docs, retrieval.build_index(docs), chunks.select(F.col("chunk_id").alias("doc_id"), "vector"), embed)

@@ -214,12 +214,6 @@ def citation_edges(spark, sf_dir):
     return edges.groupBy("a", "b").agg(F.count(F.lit(1))).agg(F.count(F.lit(1)).alias("edges"))
 
 
-@query()
-def disjoint_edges(spark, sf_dir):
-    edges = table(spark, sf_dir, "lineitem").select(F.concat(F.lit("p"), "l_partkey").alias("source"), F.concat(F.lit("s"), "l_suppkey").alias("target")).distinct()
-    return sampling.disjoint_edges(edges, 7)
-
-
 @query()
 def law_packages(spark, sf_dir):
     """Articles of the pages, read as full-text law pages would be: one heading and its paragraphs."""

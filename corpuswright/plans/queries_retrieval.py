@@ -8,33 +8,50 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import citations, gate, metrics, retrieval, windows
+from ..operators import citations, evaluation, gate, metrics, retrieval, windows
 from . import index_build
 from .catalogue import query, table
+from .shared import fixed
 
 _TOKENS = r"list_filter(string_split_regex(lower({}), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '')"
-_BM25 = rf"""
-lists AS (SELECT doc_id, {_TOKENS.format("text")} AS t FROM documents),
+_LISTS = f"lists AS (SELECT doc_id, {_TOKENS.format('text')} AS t FROM documents)"
+_ASKED = "SELECT item_id AS query_id, text FROM benchmark"
+
+
+def _bm25(asked: str = _ASKED) -> str:
+    """bm: the best twenty of each query by BM25."""
+    return rf"""
 post AS (SELECT doc_id, len(t) AS dl, unnest(t) AS term FROM lists),
 tf AS (SELECT doc_id, term, any_value(dl) AS dl, count(*) AS tf FROM post GROUP BY 1, 2),
 df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
 tot AS (SELECT count(*)::DOUBLE AS n, avg(len(t)) AS avgdl FROM lists),
-q AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT item_id AS query_id, unnest({_TOKENS.format("text")}) AS term FROM benchmark) GROUP BY 1, 2),
+q AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT query_id, unnest({_TOKENS.format("text")}) AS term FROM ({asked})) GROUP BY 1, 2),
 sc AS (SELECT query_id, doc_id, round(sum(qtf * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (1 - 0.75 + 0.75 * dl / avgdl))), 6) AS score
        FROM q JOIN tf USING (term) JOIN df USING (term), tot GROUP BY 1, 2),
 bm AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM sc QUALIFY rank <= 20)"""
-_OVERLAP = rf"""
-asked AS (SELECT item_id AS query_id, list_distinct({_TOKENS.format("text")}) AS a FROM benchmark),
-ov AS (SELECT query_id, doc_id, coalesce(len(list_filter(a, lambda x: list_contains(t, x))) / nullif(len(a), 0)::DOUBLE, 0) * 4 - 2 AS raw, round(raw, 6) AS score
-       FROM bm JOIN lists USING (doc_id) JOIN asked USING (query_id)),
-sec AS (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM ov)"""
+
+
+def _dense(asked: str = _ASKED) -> str:
+    """de: the best twenty of each query by the cosine of hashed vectors."""
+    hashed = lambda name, key, rows: f"""
+{name}v AS (SELECT {key}, CAST('0x' || substr(h, 1, 8) AS BIGINT) % 64 AS i, sum(1 - 2 * (CAST('0x' || substr(h, 9, 8) AS BIGINT) % 2)) AS x FROM (SELECT {key}, md5(w) AS h FROM (SELECT {key}, unnest(t) AS w FROM {rows})) GROUP BY 1, 2),
+{name}n AS (SELECT {key}, sqrt(sum(x * x)) AS n FROM {name}v GROUP BY 1 HAVING sum(x * x) > 0),"""
+    return hashed("d", "doc_id", "lists") + hashed("q", "query_id", f"(SELECT query_id, {_TOKENS.format('text')} AS t FROM ({asked}))") + """
+dp AS (SELECT query_id, doc_id, sum(a.x * b.x) AS p FROM dv a JOIN qv b USING (i) GROUP BY 1, 2),
+dc AS (SELECT qn.query_id, dn.doc_id, round(coalesce(p, 0) / (dn.n * qn.n), 6) AS score FROM qn CROSS JOIN dn LEFT JOIN dp ON dp.query_id = qn.query_id AND dp.doc_id = dn.doc_id),
+de AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM dc QUALIFY rank <= 20)"""
+
+
 _FUSED = """
-al AS (SELECT query_id, doc_id, rank, 0 AS list FROM bm UNION ALL SELECT query_id, doc_id, rank, 1 FROM sec),
+al AS (SELECT query_id, doc_id, rank, 0 AS list FROM bm UNION ALL SELECT query_id, doc_id, rank, 1 FROM de),
 ru AS (SELECT query_id, doc_id, round(sum(1.0::DOUBLE / (60 + rank)), 12) AS exact, min((list, rank)) AS first, list_sort(list_distinct(list(list))) AS lists FROM al GROUP BY 1, 2),
 fu AS (SELECT query_id, doc_id, round(exact, 9) AS rrf_score, lists, row_number() OVER (PARTITION BY query_id ORDER BY exact DESC, first) AS fused_rank FROM ru)"""
-_RERANKED = """
-re AS (SELECT query_id, doc_id, fused_rank, round(1 / (1 + exp(-raw)), 9) AS rerank_score FROM fu JOIN ov USING (query_id, doc_id) WHERE fused_rank <= 20),
+_RERANKED = rf"""
+asked AS (SELECT item_id AS query_id, list_distinct({_TOKENS.format("text")}) AS a FROM benchmark),
+ov AS (SELECT query_id, doc_id, fused_rank, coalesce(len(list_filter(a, lambda x: list_contains(t, x))) / nullif(len(a), 0)::DOUBLE, 0) * 4 - 2 AS raw FROM fu JOIN lists USING (doc_id) JOIN asked USING (query_id) WHERE fused_rank <= 20),
+re AS (SELECT query_id, doc_id, fused_rank, round(CASE WHEN raw >= 0 THEN 1 / (1 + exp(-raw)) ELSE exp(raw) / (1 + exp(raw)) END, 9) AS rerank_score FROM ov),
 fi AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, fused_rank) AS rank FROM re QUALIFY rank <= 5)"""
+_HYBRID = f"{_LISTS}, {_bm25()}, {_dense()}, {_FUSED}"
 _GOLD = "gold AS (SELECT item_id AS query_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text))"
 _VECTORS = """
 e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings),
@@ -56,8 +73,8 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def gold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, asked = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("body")), questions(spark, sf_dir)
-    return docs.join(asked, F.col("body").contains(F.col("text"))).select("query_id", "doc_id")
+    """query_id and doc_id of the documents that hold a question's text."""
+    return fixed(retrieval.containing(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))).withColumnRenamed("item_id", "query_id")
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -65,22 +82,14 @@ def vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return all_, all_.filter("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), F.col("vector").alias("qvector"))
 
 
-def minus_l1(a, b):
-    return -F.aggregate(F.zip_with(a, b, lambda x, y: F.abs(x.cast("double") - y.cast("double"))), F.lit(0.0), lambda s, x: s + x)
-
-
-def dot32(a, b):
-    return retrieval.dot(F.slice(a, 1, 32), F.slice(b, 1, 32))
-
-
-@query(f"WITH {_BM25} SELECT query_id, doc_id, score, rank FROM bm")
+@query(f"WITH {_LISTS}, {_bm25()} SELECT query_id, doc_id, score, rank FROM bm")
 def bm25_top20(spark, sf_dir):
     return retrieval.bm25(retrieval.build_index(table(spark, sf_dir, "documents")), questions(spark, sf_dir))
 
 
 @query(f"WITH {_VECTORS}, {_ranked('r', _COS)} SELECT * FROM r")
 def dense_top20(spark, sf_dir):
-    return retrieval.dense(*vectors(spark, sf_dir))
+    return retrieval.dense(*vectors(spark, sf_dir), skip_self=True)
 
 
 @query(f"""WITH {_VECTORS}, {_ranked('x', _DOT)}, {_ranked('y', _L1)},
@@ -89,7 +98,7 @@ ru AS (SELECT query_id, doc_id, round(sum(1.0::DOUBLE / (60 + rank)), 12) AS exa
 SELECT query_id, doc_id, round(exact, 9) AS rrf_score, lists, row_number() OVER (PARTITION BY query_id ORDER BY exact DESC, first) AS fused_rank FROM ru""")
 def rrf_hybrid(spark, sf_dir):
     corpus, asked = vectors(spark, sf_dir)
-    x, y = retrieval.dense(corpus, asked, retrieval.dot), retrieval.dense(corpus, asked, minus_l1)
+    x, y = retrieval.dense(corpus, asked, "dot", skip_self=True), retrieval.dense(corpus, asked, "l1", skip_self=True)
     return retrieval.rrf(x.withColumn("list", F.lit(0)).unionByName(y.withColumn("list", F.lit(1))))
 
 
@@ -101,13 +110,13 @@ SELECT query_id, doc_id, round(exact, 9) AS rrf_score, row_number() OVER (PARTIT
 FROM ru LEFT JOIN be USING (query_id, doc_id)""")
 def rrf_multi_query(spark, sf_dir):
     corpus, asked = vectors(spark, sf_dir)
-    lists = [retrieval.dense(corpus, asked, f).withColumn("list", F.lit(i)) for i, f in enumerate((retrieval.dot, minus_l1, dot32))]
+    lists = [retrieval.dense(corpus, asked, f, dim, skip_self=True).withColumn("list", F.lit(i)) for i, (f, dim) in enumerate((("dot", None), ("l1", None), ("dot", 32)))]
     every = lists[0].unionByName(lists[1]).unionByName(lists[2])
     best = retrieval.best_per_source(every.filter("list in (0, 2)"), "dense")
     return retrieval.rrf(every).drop("lists").join(best, ["query_id", "doc_id"], "left")
 
 
-@query(f"WITH {_BM25}, {_OVERLAP}, {_FUSED}, {_RERANKED} SELECT query_id, doc_id, rerank_score, rank, fused_rank FROM fi")
+@query(f"WITH {_HYBRID}, {_RERANKED} SELECT query_id, doc_id, rerank_score, rank, fused_rank FROM fi")
 def rerank_top5(spark, sf_dir):
     docs, asked = table(spark, sf_dir, "documents"), questions(spark, sf_dir)
     return retrieval.rerank(retrieval.hybrid(docs, asked), docs, asked).select("query_id", "doc_id", "rerank_score", "rank", "fused_rank")
@@ -120,12 +129,12 @@ o AS (SELECT *, list_sort(list_filter(bm25_ids, lambda v: list_contains(dense_id
 SELECT query_id, bm25_ids, dense_ids, overlap_ids, len(overlap_ids) AS overlap_count, round(len(overlap_ids) / (len(bm25_ids) + len(dense_ids) - len(overlap_ids))::DOUBLE, 6) AS overlap_jaccard, round(margin, 6) AS top1_top2_margin FROM o""")
 def retrieval_diagnostics(spark, sf_dir):
     corpus, asked = vectors(spark, sf_dir)
-    x, y = retrieval.dense(corpus, asked, retrieval.dot), retrieval.dense(corpus, asked, minus_l1)
+    x, y = retrieval.dense(corpus, asked, "dot", skip_self=True), retrieval.dense(corpus, asked, "l1", skip_self=True)
     return retrieval.diagnostics(x, y, x.filter("rank <= 5"), "score")
 
 
 
-@query(f"""WITH {_BM25}, {_OVERLAP}, {_FUSED}, {_RERANKED}, {_GOLD},
+@query(f"""WITH {_HYBRID}, {_RERANKED}, {_GOLD},
 h AS (SELECT q.query_id, min(rank) FILTER (fi.doc_id IS NOT NULL) AS hit_rank FROM (SELECT DISTINCT query_id FROM gold) q LEFT JOIN (SELECT fi.* FROM fi JOIN gold USING (query_id, doc_id)) fi USING (query_id) GROUP BY 1)
 SELECT count(*) AS queries, avg((hit_rank IS NOT NULL)::INT::DOUBLE) AS recall, round(avg(coalesce(1.0 / hit_rank, 0)), 9) AS mrr FROM h""")
 def recall_mrr(spark, sf_dir):
@@ -143,19 +152,16 @@ def _recall(final: DataFrame, truth: DataFrame, by: tuple[str, ...] = ()) -> Dat
     return metrics.recall_mrr(joined, by).withColumn("mrr", F.round("mrr", 9))
 
 
-@query(f"""WITH {_BM25}, {_OVERLAP}, {_FUSED}, {_RERANKED}, {_GOLD},
-al2 AS (SELECT 'lexical' AS config, query_id, doc_id, rank FROM bm WHERE rank <= 5 UNION ALL SELECT 'overlap', query_id, doc_id, rank FROM sec WHERE rank <= 5
+@query(f"""WITH {_HYBRID}, {_RERANKED}, {_GOLD},
+al2 AS (SELECT 'lexical' AS config, query_id, doc_id, rank FROM bm WHERE rank <= 5 UNION ALL SELECT 'dense', query_id, doc_id, rank FROM de WHERE rank <= 5
  UNION ALL SELECT 'fused', query_id, doc_id, fused_rank FROM fu WHERE fused_rank <= 5 UNION ALL SELECT 'reranked', query_id, doc_id, rank FROM fi),
 h AS (SELECT config, q.query_id, min(rank) AS hit_rank FROM (SELECT DISTINCT query_id FROM gold) q CROSS JOIN (SELECT DISTINCT config FROM al2) LEFT JOIN (SELECT al2.* FROM al2 JOIN gold USING (query_id, doc_id)) x USING (config, query_id) GROUP BY 1, 2)
 SELECT config, count(*) AS queries, avg((hit_rank IS NOT NULL)::INT::DOUBLE) AS recall, round(avg(coalesce(1.0 / hit_rank, 0)), 9) AS mrr FROM h GROUP BY 1""")
 def config_matrix(spark, sf_dir):
     docs, asked, truth = table(spark, sf_dir, "documents"), questions(spark, sf_dir), gold(spark, sf_dir)
-    lexical = retrieval.bm25(retrieval.build_index(docs), asked)
-    full = lexical.select("query_id", "doc_id").join(docs.select("doc_id", "text"), "doc_id").join(asked.select("query_id", F.col("text").alias("question")), "query_id")
-    second = retrieval.ranked(full.select("query_id", "doc_id", F.round(retrieval.overlap_score(F.col("question"), F.col("text")), 6).alias("score")), 20)
-    fused = retrieval.rrf(lexical.withColumn("list", F.lit(0)).unionByName(second.withColumn("list", F.lit(1))))
-    final = retrieval.rerank(fused, docs, asked)
-    lists = [("lexical", lexical), ("overlap", second), ("fused", fused.withColumnRenamed("fused_rank", "rank")), ("reranked", final)]
+    found = retrieval.retrieve(retrieval.Retriever.of(docs), asked)
+    final = retrieval.rerank(found.fused, docs, asked)
+    lists = [("lexical", found.lexical), ("dense", found.dense), ("fused", found.fused.withColumnRenamed("fused_rank", "rank")), ("reranked", final)]
     every = None
     for name, rows in lists:
         part = rows.filter("rank <= 5").select(F.lit(name).alias("config"), "query_id", "doc_id", "rank")
@@ -231,7 +237,7 @@ def gate_decide(spark, sf_dir):
 
 def _signals(spark, sf_dir) -> DataFrame:
     corpus, asked = vectors(spark, sf_dir)
-    x, y = retrieval.dense(corpus, asked, retrieval.dot), retrieval.dense(corpus, asked, minus_l1)
+    x, y = retrieval.dense(corpus, asked, "dot", skip_self=True), retrieval.dense(corpus, asked, "l1", skip_self=True)
     top = gate.gate_signals(x.select("query_id", "rank", "score", F.col("doc_id").cast("string").alias("article_id")))
     seen = retrieval.diagnostics(x, y, x, "score").select("query_id", F.col("overlap_count").alias("bm25_dense_overlap_count"), (F.col("overlap_count") / (40 - F.col("overlap_count"))).alias("bm25_dense_overlap_jaccard"))
     none = F.lit(None).cast("double")
@@ -250,11 +256,10 @@ t AS (SELECT query_id, max(score) FILTER (rank = 1) AS s1, max(score) FILTER (ra
 s AS (SELECT query_id, s1, s1 - s2 AS margin, len(list_filter(xs, lambda v: list_contains(ys, v))) AS cnt FROM t JOIN u USING (query_id)),
 d AS (SELECT *, s1 < 0.6 AS low, (cnt >= 1 OR cnt / (40.0::DOUBLE - cnt) >= 0.03) AS ok, coalesce(margin < 0.015, false) AS small FROM s),
 m AS (SELECT 'current_baseline' AS mode, CASE WHEN s1 < 0.636 THEN 'refuse' ELSE 'answer' END AS decision FROM d
- UNION ALL SELECT 'confidence_gate_only', CASE WHEN low OR NOT ok THEN 'refuse' ELSE 'answer' END FROM d
- UNION ALL SELECT unnest(['refinement_enabled', 'full_adaptive_route']), CASE WHEN low OR NOT ok OR small OR s1 < 0.69 THEN 'refine_once' ELSE 'answer' END FROM d)
-SELECT mode, decision, count(*) AS n FROM m GROUP BY 1, 2""")
+ UNION ALL SELECT unnest(['confidence_gate_only', 'refinement_enabled', 'full_adaptive_route']), CASE WHEN low OR NOT ok OR small OR s1 < 0.69 THEN 'refine_once' ELSE 'answer' END FROM d)
+SELECT mode, decision, CASE WHEN mode LIKE 'c%' THEN decision <> 'answer' ELSE decision = 'refuse' END AS refused, count(*) AS n FROM m GROUP BY 1, 2, 3""")
 def gate_modes(spark, sf_dir):
-    return gate.with_modes(_signals(spark, sf_dir)).groupBy("mode", "decision").agg(F.count(F.lit(1)).alias("n"))
+    return gate.with_modes(_signals(spark, sf_dir)).groupBy("mode", "decision", "refused").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(f"""WITH {_VECTORS}, {_ranked('x', _DOT)}, {_ranked('y', _L1)},
@@ -279,12 +284,40 @@ def ml_features(spark, sf_dir):
     return made.withColumn("top1_top2_margin", F.round("top1_top2_margin", 6)).withColumn("bm25_dense_overlap_jaccard", F.round("bm25_dense_overlap_jaccard", 9))
 
 
-@query()
+@query(f"""WITH {_HYBRID}, {_GOLD}, h AS (SELECT DISTINCT query_id FROM fu JOIN gold USING (query_id, doc_id) WHERE fused_rank <= 20)
+SELECT count(h.query_id)::DOUBLE / nullif(count(*), 0) AS recall, count(h.query_id)::DOUBLE / nullif(count(*), 0) >= 0.9 AS passed FROM (SELECT DISTINCT query_id FROM gold) g LEFT JOIN h USING (query_id)""")
 def index_regression(spark, sf_dir):
     """Recall among the fused twenty of an index over the documents, with the hashing embedder."""
     docs, truth = table(spark, sf_dir, "documents"), gold(spark, sf_dir)
     rows = docs.select(F.col("doc_id").alias("chunk_id"), F.col("doc_id").alias("parent_id"), "text")
-    chunks = rows.join(index_build.hashed_vectors(rows.select("chunk_id", "text")), "chunk_id")
+    chunks = fixed(rows.join(retrieval.hashed_vectors(rows.select("chunk_id", "text")), "chunk_id"))
     asked = questions(spark, sf_dir).join(truth.select("query_id").distinct(), "query_id", "left_semi")
-    found = index_build.regression(chunks, asked, truth.select("query_id", F.col("doc_id").alias("article_id")), index_build.hashed_vectors, 0.9)
-    return spark.createDataFrame([(found["recall"], found["passed"])], "recall double, passed boolean")
+    return index_build.regression(chunks, asked, truth.select("query_id", F.col("doc_id").alias("article_id")), retrieval.hashed_vectors, 0.9)
+
+
+_TWICE = "SELECT item_id * 10 + place AS query_id, text FROM (SELECT item_id, 0 AS place, trim(text) AS text FROM benchmark UNION ALL SELECT item_id, 1, trim(substr(text, 1, CAST(length(text) // 2 AS BIGINT))) FROM benchmark) WHERE text <> ''"
+
+
+@query(rf"""WITH {_LISTS}, tw AS ({_TWICE}), {_bm25("SELECT * FROM tw")}, {_dense("SELECT * FROM tw")},
+al AS (SELECT query_id // 10 AS query_id, doc_id, score, rank, 2 * (query_id % 10) AS list FROM bm UNION ALL SELECT query_id // 10, doc_id, score, rank, 2 * (query_id % 10) + 1 FROM de),
+ru AS (SELECT query_id, doc_id, round(sum(1.0::DOUBLE / (60 + rank)), 12) AS exact, min((list, rank)) AS first FROM al GROUP BY 1, 2),
+be AS (SELECT query_id, doc_id, max(score) FILTER (list % 2 = 0) AS bm25_score, arg_max(rank, (score, -list)) FILTER (list % 2 = 0) AS bm25_rank, max(score) FILTER (list % 2 = 1) AS dense_score, arg_max(rank, (score, -list)) FILTER (list % 2 = 1) AS dense_rank FROM al GROUP BY 1, 2)
+SELECT query_id, doc_id, round(exact, 9) AS rrf_score, row_number() OVER (PARTITION BY query_id ORDER BY exact DESC, first) AS fused_rank, bm25_score, bm25_rank, dense_score, dense_rank FROM ru JOIN be USING (query_id, doc_id)""")
+def multi_query_retrieval(spark, sf_dir):
+    """A question and its first half as two queries, and the question again, which counts once."""
+    asked = questions(spark, sf_dir)
+    half = F.expr("substring(text, 1, cast(floor(length(text) / 2) as int))")
+    queries = asked.select("query_id", F.posexplode(F.array("text", half, F.concat(F.lit(" "), "text"))).alias("ord", "text"))
+    found = retrieval.retrieve_multi(retrieval.Retriever.of(table(spark, sf_dir, "documents")), queries)
+    return found.fused.drop("lists")
+
+
+@query(f"""WITH {_HYBRID}, {_RERANKED}, {_GOLD},
+st AS (SELECT 'question' AS strategy, query_id, doc_id, rank FROM fi),
+h AS (SELECT strategy, count(DISTINCT query_id) AS hits FROM st JOIN gold USING (query_id, doc_id) GROUP BY 1)
+SELECT strategy, hits, (SELECT count(DISTINCT query_id) FROM gold) AS queries FROM h""")
+def rewrite_strategies(spark, sf_dir):
+    """Questions with a document among the first five, by the queries that a strategy asks; here the question alone."""
+    docs, asked, truth = table(spark, sf_dir, "documents"), questions(spark, sf_dir), gold(spark, sf_dir)
+    retriever = retrieval.Retriever.of(docs)
+    return evaluation.strategy_hits(retriever, docs, asked, {"question": asked.select("query_id", F.lit(0).alias("ord"), "text")}, truth)

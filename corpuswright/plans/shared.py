@@ -1,15 +1,43 @@
-"""Rows fixed in the cluster's shared folder, where what follows depends on their being the same in every run."""
+"""Rows fixed in the cluster's shared folder, where what follows reads them several times or depends on their being the same in every run."""
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+_made: list[tuple[SparkSession, str]] = []
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir; on a local master without the setting, as in tests, a temporary one. On a cluster that is an error, as executors couldn't read it."""
+    sc = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not found:
+        if sc.master != "local" and not sc.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="corpuswright-"))
+        found = sc.getCheckpointDir()
+    return found.rstrip("/")
 
 
 def fixed(rows: DataFrame) -> DataFrame:
-    """rows written to the folder of spark.checkpoint.dir; a temporary one where the setting is absent, as in tests."""
-    sc = rows.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(rows.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="corpuswright-"))
-    return rows.checkpoint()
+    """rows written there as Parquet and read again, so that a lost executor costs a task; deleted when the interpreter ends."""
+    spark = rows.sparkSession
+    path = f"{shared_dir(spark)}/corpuswright/{uuid.uuid4().hex}"
+    if not _made:
+        atexit.register(_forget)
+    _made.append((spark, path))
+    rows.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(rows.schema).parquet(path)
+
+
+def _forget() -> None:
+    for spark, path in _made:
+        try:
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        except Exception:  # the JVM may be gone at exit
+            return

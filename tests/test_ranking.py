@@ -3,8 +3,9 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from corpuswright.operators import evidence, gate, grounding, metrics, mlgate, retrieval, routing
-from corpuswright.plans import pipeline, queries_gate
+from corpuswright.functions.text import question_hash
+from corpuswright.operators import evaluation, evidence, gate, grounding, metrics, mlgate, retrieval, routing
+from corpuswright.plans import pipeline, prospective, queries_gate
 
 
 def test_fusion_order_and_ties(spark):
@@ -28,8 +29,15 @@ def test_dense_blocks_agree(spark):
     r = np.random.default_rng(1)
     corpus = spark.createDataFrame([(i, r.normal(size=8).tolist()) for i in range(60)], "doc_id long, vector array<float>")
     asked = corpus.filter("doc_id < 7").toDF("query_id", "qvector")
-    one = retrieval.dense(corpus, asked, top=4).orderBy("query_id", "rank").collect()
-    assert one == retrieval.dense(corpus, asked, top=4, most_queries=2).orderBy("query_id", "rank").collect() and len(one) == 28
+    one = retrieval.dense(corpus, asked, top=4, skip_self=True).orderBy("query_id", "rank").collect()
+    assert one == retrieval.dense(corpus, asked, top=4, skip_self=True, most_bytes=300).orderBy("query_id", "rank").collect() and len(one) == 28
+    v = {x.doc_id: np.array(x.vector, float) for x in corpus.collect()}
+    for score, f in (("cosine", lambda a, b: a @ b / (a @ a * (b @ b)) ** 0.5), ("dot", lambda a, b: a @ b), ("l1", lambda a, b: -abs(a - b).sum())):
+        for dim in (None, 3):
+            got = retrieval.dense(corpus, asked, score, dim, top=5).collect()
+            for q in range(7):
+                want = sorted((-round(float(f(x[:dim], v[q][:dim])), 6), d) for d, x in v.items())[:5]
+                assert [(-x.score, x.doc_id) for x in sorted(got, key=lambda x: x.rank) if x.query_id == q] == [(pytest.approx(s), d) for s, d in want]
     assert spark.createDataFrame([([3.0, 4.0, 9.0],)], "v array<float>").select(retrieval.truncated(F.col("v"), 2)).first()[0] == pytest.approx([0.6, 0.8])
 
 
@@ -153,10 +161,111 @@ def test_answer_batch(spark):
     articles = spark.createDataFrame([(1, "L-1", "甲法", "1", "長照機構 設立 許可 應向主管機關申請。"), (2, "L-2", "甲法", "2", "喘息服務 給付 額度 依規定辦理。")], "doc_id long, article_id string, law_name string, article_no string, text string")
     edges = spark.createDataFrame([("L-1", "L-2", 0)], "source string, target string, ord int")
     asked = spark.createDataFrame([("meta", "你是誰啊請問"), ("hit", "長照機構 設立 許可"), ("miss", "zzz yyy xxx")], "query_id string, text string")
-    got = {r.query_id: r for r in pipeline.answer_batch(asked, articles, edges).collect()}
+    corpus = pipeline.Corpus.of(articles, edges)
+    got = {r.query_id: r for r in pipeline.answer_batch(asked, corpus, mode="confidence_gate_only").collect()}
     assert got["meta"].route == "no_retrieval" and got["meta"].decision is None and got["meta"].final_text == "handled by meta_response"
     assert got["hit"].decision == "answer" and got["hit"].final_text.startswith("長照機構") and "許可" in got["hit"].final_text
-    assert got["miss"].decision == "refuse" and got["miss"].final_text == grounding.REFUSAL_TEXT
+    assert got["miss"].served == "refuse" and got["miss"].final_text == grounding.REFUSAL_TEXT and got["miss"].retrieval == got["miss"].retrieval[:5]
+    with pytest.raises(ValueError, match="mode"):
+        pipeline.answer_batch(asked, corpus, mode="else")
+
+
+def test_one_refinement(spark):
+    """A question that the first retrieval doesn't answer is retrieved once more with the refined query, and only then served or refused."""
+    articles = spark.createDataFrame([(1, "L-1", "甲法", "1", "喘息服務 給付 額度 依規定辦理 不得超過。"), (2, "L-2", "甲法", "2", "完全 無關 內容 其他 事項。")], "doc_id long, article_id string, law_name string, article_no string, text string")
+    asked = spark.createDataFrame([("q", "休息 補貼 上限 多少"), ("z", "沒有 答案 的 問題")], "query_id string, text string")
+    replies = spark.createDataFrame([("q", "喘息服務 給付 額度")], "query_id string, reply string")
+    corpus = pipeline.Corpus.of(articles, spark.createDataFrame([], "source string, target string, ord int"))
+    # the scorer stands for a model that knows which article answers which question
+    scorer = lambda question, text: F.when(question.startswith("休息") & text.startswith("喘息"), 3.0).otherwise(-1.0)
+    run = lambda mode, **k: {r.query_id: r for r in pipeline.answer_batch(asked, corpus, mode=mode, scorer=scorer, **k).collect()}
+    got = run("refinement_enabled", replies=replies)
+    assert (got["q"].refinement_count, got["z"].refinement_count) == (1, 1) and got["z"].served == "refuse"
+    assert "no_lexical_semantic_overlap" not in got["q"].rules_triggered and got["q"].served == "answer" and got["q"].final_text.startswith("喘息服務")
+    before = run("confidence_gate_only", replies=replies)
+    assert before["q"].decision == "refine_once" and before["q"].served == "refuse" and before["q"].refinement_count == 0
+    assert "no_lexical_semantic_overlap" in before["q"].rules_triggered
+    plain, shadow = run("current_baseline"), run("current_baseline", shadow=True, replies=replies)
+    assert {k: (r.served, r.final_text) for k, r in plain.items()} == {k: (r.served, r.final_text) for k, r in shadow.items()}
+    s = shadow["q"].shadow_adaptive
+    assert s.refinement_executed and s.initial_gate.decision == "refine_once" and s.final_gate.decision == "answer" and plain["q"].shadow_adaptive is None
+    rewrites = spark.createDataFrame([("q", "喘息服務 給付")], "query_id string, rewritten string")
+    assert run("confidence_gate_only", rewrites=rewrites)["q"].retrieval[0] == "L-1"
+
+
+def test_ids_of_questions_and_documents_are_apart(spark):
+    corpus = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, None), (4, [0.0, 0.0])], "doc_id long, vector array<double>")
+    asked = spark.createDataFrame([(1, [1.0, 0.0]), (9, None)], "query_id long, qvector array<double>")
+    assert [(r.query_id, r.doc_id, r.score) for r in retrieval.dense(corpus, asked).orderBy("rank").collect()] == [(1, 1, 1.0), (1, 2, 0.0)]
+    assert [r.doc_id for r in retrieval.dense(corpus, asked, skip_self=True).collect()] == [2]
+    assert retrieval.dense(corpus.limit(0), asked).count() == retrieval.dense(corpus, asked.limit(0)).count() == 0
+
+
+def test_queries_of_a_question(spark):
+    docs = spark.createDataFrame([(1, "alpha beta"), (2, "gamma delta"), (3, "other words")], "doc_id long, text string")
+    queries = spark.createDataFrame([("q", 0, " alpha "), ("q", 1, "alpha"), ("q", 2, ""), ("q", 3, "gamma"), ("e", 0, " ")], "query_id string, ord int, text string")
+    assert [(r.query_id, r.place, r.text) for r in retrieval.variants(queries).orderBy("place").collect()] == [("q", 0, "alpha"), ("q", 1, "gamma")]
+    found = retrieval.retrieve_multi(retrieval.Retriever.of(docs), queries)
+    assert {r.list for r in found.lists.collect()} == {0, 1, 2, 3} and {r.query_id for r in found.fused.collect()} == {"q"}
+    best = {r.doc_id: r for r in found.fused.collect()}
+    assert best[1].bm25_rank == best[2].bm25_rank == 1 and best[3].bm25_score is None and best[1].dense_score > 0.5
+
+
+def test_containing(spark):
+    rng = np.random.default_rng(5)
+    word = lambda: "".join(rng.choice(list("abc"), 2))
+    docs = [(i, " ".join(word() for _ in range(rng.integers(0, 40)))) for i in range(60)] + [(99, None), (98, "")]
+    items = []
+    for i in range(40):
+        body = docs[rng.integers(0, 60)][1]
+        a = rng.integers(0, max(1, len(body)))
+        items.append((i, body[a : a + rng.integers(0, 40)]))
+    items += [(50, None), (51, ""), (52, "zz zz zz"), (53, "a\tb c d")]
+    d, q = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    want = sorted((i, j) for i, t in items for j, b in docs if t is not None and b is not None and t in b)
+    for most in (200_000, 1):
+        assert sorted(map(tuple, retrieval.containing(d, q, most=most).collect())) == want
+    assert retrieval.containing(d, q.limit(0)).count() == 0
+
+
+def test_datasets_keep_their_rules(spark):
+    known = spark.createDataFrame([("old question",)], "q string").select(question_hash(F.col("q")).alias("question_hash"))
+    rows = [(i, None, f"question {i}", None, "s") for i in range(1, 6)]
+    frame = lambda r: spark.createDataFrame(r, "ord int, id string, question string, source string, stratum string")
+    packet = evaluation.prepare_packet(frame(rows), known, least=5).orderBy("id").collect()
+    assert packet[0].id == "prod-0001" and packet[0].source == "anonymized_production"
+    for bad, what in (([(6, None, " OLD  question", None, None)], "overlaps"), ([(6, None, " ", None, None)], "empty"), ([(6, None, "Question 1", None, None)], "duplicate")):
+        with pytest.raises(evaluation.DatasetError, match=what):
+            evaluation.prepare_packet(frame(rows + bad), known, least=5)
+    with pytest.raises(evaluation.DatasetError, match="at least 100"):
+        evaluation.prepare_packet(frame(rows), known)
+    item = ("a", "q", "single_hop", True, True, "me", ["A-1"])
+    marked = lambda *r: spark.createDataFrame(r, "id string, question string, expected_route string, answerable boolean, reviewed boolean, reviewer string, expected_article_ids array<string>")
+    head = evaluation.freeze(marked(item, ("b", *item[1:])), least=2)[1].first()
+    assert head.item_count == 2 and head.dataset_sha256 == evaluation.freeze(marked(("b", *item[1:]), item), least=2)[1].first().dataset_sha256
+    for k, value, what in ((2, "x", "expected_route"), (3, None, "answerable"), (4, False, "review"), (5, "", "review"), (6, None, "expected_article_ids"), (6, [], "articles_needed")):
+        with pytest.raises(evaluation.DatasetError, match=what):
+            evaluation.freeze(marked((*item[:k], value, *item[k + 1 :])), least=1)
+    fine = {"split": "holdout", "locked": True, "represents_production_distribution": False, "dataset_sha256": "h"}
+    evaluation.verify_dataset(fine, "h", "holdout")
+    for change in ({"locked": False}, {"split": "calibration"}, {"represents_production_distribution": True}, {"evaluation_validity": "invalid: leak"}, {"dataset_sha256": "g"}):
+        with pytest.raises(evaluation.DatasetError):
+            evaluation.verify_dataset(fine | change, "h", "holdout")
+
+
+def test_calibration_and_adoption(spark):
+    rng = np.random.default_rng(7)
+    rows = pd.DataFrame({"id": range(120), "x": rng.normal(size=120), "expected_route": "a", "actual_route": "a"})
+    rows["needs_correction"], rows["rule_activates"] = rows["x"] > 0, (rows["x"] > 0) | (rng.random(120) < 0.5)
+    frame = spark.createDataFrame(rows)
+    model, threshold = prospective.calibrate(frame, ("x",), epochs=300)
+    got = prospective.judged(model.score(frame), "risk", threshold).first()
+    assert got.adopted and got.rule.recall == 1.0 and got.candidate.recall == 1.0 and got.candidate.false_activation_rate < got.rule.false_activation_rate
+    assert not prospective.judged(frame.withColumn("risk", F.lit(1.0)), "risk", 0.5).first().adopted
+    spent = prospective.read_once({"adoption_state": "pending_holdout", "cycle_id": "c"}, "c")
+    for artifact, cycle in ((spent, "c"), ({"adoption_state": "pending_holdout", "cycle_id": "c"}, "d")):
+        with pytest.raises(prospective.HoldoutSpent):
+            prospective.read_once(artifact, cycle)
 
 
 @pytest.mark.parametrize("most", [10**9, 5])
