@@ -225,6 +225,23 @@ def render_answer(c: Column) -> Column:
     return F.array_join(F.transform(merged, lambda x: F.concat(F.lit('<div class="answer-para">'), escape_html(x), F.lit("</div>"))), "\n")
 
 
+def render_citation(law_name: Column, article_no: Column, content: Column) -> Column:
+    """A citation that opens to its article, or is marked as missing where there is none (a null content)."""
+    label = escape_html(F.concat(F.lit("["), law_name, F.lit(" §"), article_no, F.lit("]")))
+    body = F.regexp_replace(escape_html(content), r"\r?\n", "<br>")
+    found = F.concat(F.lit('<details class="citation"><summary>'), label, F.lit('</summary><div class="citation-body">《'), escape_html(law_name), F.lit("》第 "), escape_html(article_no), F.lit(" 條：<br>"), body, F.lit("</div></details>"))
+    return F.when(content.isNull(), F.concat(F.lit('<span class="citation-missing">'), label, F.lit("</span>"))).otherwise(found)
+
+
+def render_article_list(items: Column, label: str) -> Column:
+    """A list of links, an article once. items: array of (article_id, law_name, article_no, url); empty without any."""
+    ids = F.transform(items, lambda x: x["article_id"])
+    once = F.filter(items, lambda x, i: F.array_position(ids, x["article_id"]) == i + 1)
+    row = lambda x: F.concat(F.lit('<li><a href="'), escape_html(x["url"]), F.lit('" target="_blank">《'), escape_html(x["law_name"]), F.lit("》第 "), escape_html(x["article_no"]), F.lit(" 條</a></li>"))
+    rows = F.array_join(F.transform(once, row), "")
+    return F.when(F.size(items) == 0, "").otherwise(F.concat(F.lit(f'<p><b>{label}</b></p><ul class="article-list">'), rows, F.lit("</ul>")))
+
+
 def friendly_error(c: Column) -> Column:
     """A class of error by what its message contains."""
     low = F.lower(c)

@@ -9,9 +9,15 @@ from pyspark.sql import functions as F
 
 from .text import quoted
 
-# fixed values: one-character stop words
+# fixed values: one-character stop words, and words of the domain that are kept whole
 STOPWORDS = "的之及或與其於者所如各由並而亦均即因此惟另嗣後暨等到自從、，。；：（）「」"
 
+USER_WORDS = (
+    "長期照顧 長期照顧服務法 長照 長照服務 長照機構 長照人員 長照體系 長照需要等級 長照特約單位 長照給付對象 失能者 身心失能 家庭照顧者 喘息服務 照顧管理中心 照管中心 "
+    "照顧服務員 照顧計畫 照顧組合 給付額度 社區整合型服務中心 住宿式機構 居家式服務 社區式服務 機構住宿式 個人看護者 外籍看護 主管機關 中央主管機關 地方主管機關 "
+    "衛生福利部 老人福利 老人福利機構 設立許可 施行細則 復能服務 輔具服務 交通接送 到宅沐浴 日間照顧 評估結果 準用 罰鍰 廢止許可"
+).split()
+
 
 def words(c: Column) -> Column:
     """Lower-cased runs of letters and digits."""
@@ -19,12 +25,17 @@ def words(c: Column) -> Column:
 
 
 def cjk_tokens(c: Column, user_words: Sequence[str] = ()) -> Column:
-    """Longest words of the user's list, bigrams' single characters for other Han text, and runs of other letters and digits; stop words left out."""
+    """Longest words of the user's list, other Han text cut at two characters, and runs of other letters and digits, in lower case; stop words left out."""
     listed = "|".join(quoted(w) for w in sorted(user_words, key=len, reverse=True))
     pattern = (listed + "|" if listed else "") + r"\p{IsHan}{1,2}|[\p{L}\p{N}&&[^\p{IsHan}]]+"
     found = F.regexp_extract_all(F.lower(c), F.lit(pattern), 0)
     return F.filter(found, lambda x: ~((F.length(x) == 1) & F.lit(STOPWORDS).contains(x)))
 
 
+def segmented(c: Column) -> Column:
+    """The default tokens of texts in any script: Han text by the words of the domain, longest first, and two characters at a time between them; other letters and digits as `words` has them."""
+    return cjk_tokens(c, USER_WORDS)
+
+
 def token_count(c: Column) -> Column:
     return F.size(words(c))

@@ -112,11 +112,23 @@ def expand(hits: DataFrame, edges: DataFrame, texts: DataFrame, most: int = 5) -
 
 
 def graph_stats(edges: DataFrame) -> DataFrame:
-    """Edges, connected nodes, and edges by provenance."""
+    """One row: edges, and nodes that have one."""
     ends = edges.select(F.col("source").alias("n")).unionByName(edges.select(F.col("target").alias("n")))
     return ends.agg(F.count_distinct("n").alias("connected_nodes")).crossJoin(edges.agg(F.count(F.lit(1)).alias("edges")))
 
 
+def edges_by_provenance(edges: DataFrame) -> DataFrame:
+    return edges.groupBy("provenance").agg(F.count(F.lit(1)).alias("edges"))
+
+
+def graph_metadata(articles: DataFrame, edges: DataFrame) -> DataFrame:
+    """pcode, articles, edges_out and isolated of each law: its articles, the edges that leave them, and articles without any edge. articles: article_id, pcode."""
+    out = edges.groupBy(F.col("source").alias("article_id")).agg(F.count(F.lit(1)).alias("out"))
+    ends = edges.select(F.col("target").alias("article_id")).distinct().withColumn("met", F.lit(True))
+    joined = articles.select("article_id", "pcode").join(out, "article_id", "left").join(ends, "article_id", "left")
+    return joined.groupBy("pcode").agg(F.count(F.lit(1)).alias("articles"), F.coalesce(F.sum("out"), F.lit(0)).alias("edges_out"), F.count_if(F.col("out").isNull() & F.col("met").isNull()).alias("isolated"))
+
+
 def verified_paragraphs(answers: DataFrame, chapters: DataFrame) -> DataFrame:
     """answer_id, text and removed: paragraphs that cite a chapter outside of the answer's chapters are left out. chapters: answer_id, law_name, chapter."""
     allowed = chapters.select("answer_id", F.struct("law_name", F.col("chapter").alias("article_no")).alias("c"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import extract_citations, long_tail, question_hash, sha256_json
+from ..functions.text import extract_citations, long_tail, question_hash, sanitize_question, sha256_json, valid_question
 from . import retrieval
 from .metrics import nearest_rank, rate
 
@@ -169,6 +169,14 @@ def locked_items(answerable: DataFrame, hard: DataFrame, traps: DataFrame) -> Da
     return a.unionByName(h).unionByName(u)
 
 
+def chosen_questions(replies: DataFrame, known: DataFrame, law_names: tuple[str, ...] = ()) -> DataFrame:
+    """id and question: of the cached replies of each id (id, attempt, reply) the first that is a valid question, not known and not taken by an earlier id. An id without one has no row, and has to be asked again."""
+    clean = replies.select("id", "attempt", sanitize_question(F.col("reply"), law_names).alias("question")).withColumn("question_hash", question_hash(F.col("question")))
+    fine = clean.filter(valid_question(F.col("question"), law_names)).join(known.select("question_hash"), "question_hash", "left_anti")
+    first = fine.groupBy("id").agg(F.min_by(F.struct("question", "question_hash"), "attempt").alias("q")).select("id", "q.*")
+    return first.groupBy("question_hash").agg(F.min(F.struct("id", "question")).alias("x")).select("x.id", "x.question")
+
+
 def materialised(specs: DataFrame, questions: DataFrame, split: str, tails: int = LONG_TAIL_COUNT) -> DataFrame:
     """Items of generated questions: id, question, stratum, expected_route, expected, source_laws. specs: spec_no, id, sources (array of article_id, law_name); questions: id, question.
 

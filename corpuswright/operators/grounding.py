@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import contains_any, json_slice
-from ..functions.tokenize import words
+from ..functions.tokenize import segmented
 
 # fixed values: the refusal's text and the marks of an answer-like query
 REFUSAL_TEXT = "查無明確法源。建議撥打 1966 長照服務專線洽詢。"
@@ -32,8 +32,8 @@ def reconciled(sentences: DataFrame, verdicts: DataFrame, contexts: DataFrame) -
 def overlap_judge(sentences: DataFrame, contexts: DataFrame, least: float = 0.5) -> DataFrame:
     """The default judge in place of a model: the context with the largest share of a sentence's words, if that is enough. contexts also have text."""
     both = sentences.join(contexts, "answer_id")
-    asked = F.array_distinct(words(F.col("sentence")))
-    share = F.coalesce(F.try_divide(F.size(F.array_intersect(asked, words(F.col("text")))).cast("double"), F.size(asked).cast("double")), F.lit(0.0))
+    asked = F.array_distinct(segmented(F.col("sentence")))
+    share = F.coalesce(F.try_divide(F.size(F.array_intersect(asked, segmented(F.col("text")))).cast("double"), F.size(asked).cast("double")), F.lit(0.0))
     best = both.groupBy("answer_id", "sentence_no").agg(F.max(F.struct(share.alias("share"), (-F.col("context_no")).alias("neg"))).alias("b"))
     return best.select("answer_id", F.col("sentence_no").alias("index"), (F.col("b.share") >= least).alias("supported"), (-F.col("b.neg")).alias("context_no"), F.lit("word overlap").alias("reason"))
 
@@ -80,6 +80,31 @@ def context_text(hits: DataFrame, articles: DataFrame) -> DataFrame:
     return joined.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", line.alias("line")))), lambda x: x["line"]), "\n\n").alias("context"))
 
 
+def related_context(related: DataFrame) -> DataFrame:
+    """query_id and context of related articles in order of place. related: query_id, place, law_name, article_no, content; five a question at most."""
+    line = F.format_string("《%s》第 %s 條：\n%s", "law_name", "article_no", "content")
+    return related.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", line.alias("line")))), lambda x: x["line"]), "\n\n").alias("context"))
+
+
+def global_context(chapters: DataFrame) -> DataFrame:
+    """query_id and context of chapter summaries. chapters: query_id, ord, law_name, chapter, article_lo, article_hi, summary."""
+    line = F.format_string("《%s》%s（第%s〜%s條）：\n%s", "law_name", "chapter", "article_lo", "article_hi", "summary")
+    return chapters.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", line.alias("line")))), lambda x: x["line"]), "\n\n").alias("context"))
+
+
+def global_answers(questions: DataFrame, chapters: DataFrame, answer) -> DataFrame:
+    """query_id, final_text and removed of questions about whole laws: the answerer reads chapter summaries, and paragraphs that cite a chapter it wasn't given go. Without chapters, or with nothing left, the refusal.
+
+    questions: query_id, text; chapters as for global_context; answer: from question and context to a text, as columns.
+    """
+    from .citations import verified_paragraphs
+
+    texts = questions.join(global_context(chapters), "query_id").select(F.col("query_id").alias("answer_id"), answer(F.col("text"), F.col("context")).alias("text"))
+    checked = verified_paragraphs(texts, chapters.select(F.col("query_id").alias("answer_id"), "law_name", "chapter")).withColumnRenamed("answer_id", "query_id")
+    out = questions.select("query_id").join(checked, "query_id", "left")
+    return out.select("query_id", F.when(F.trim(F.coalesce("text", F.lit(""))) == "", REFUSAL_TEXT).otherwise(F.col("text")).alias("final_text"), F.coalesce("removed", F.lit(0)).alias("removed"))
+
+
 def prompt(question: Column, context: Column, related: Column) -> Column:
     """The user's part of a prompt."""
     extra = F.when(F.length(related) > 0, F.concat(F.lit("關聯條文：\n\n"), related))

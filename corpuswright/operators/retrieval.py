@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import sigmoid
-from ..functions.tokenize import words
+from ..functions.tokenize import segmented
 from ..plans.shared import fixed
 
 TOP, POOL, FINAL, RRF_K = 20, 20, 5, 60
@@ -30,7 +30,7 @@ class Index:
     tokens: Callable[[Column], Column]
 
 
-def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokens: Callable[[Column], Column] = words) -> Index:
+def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokens: Callable[[Column], Column] = segmented) -> Index:
     lists = fixed(docs.select(F.col(id_col).alias("doc_id"), tokens(F.col(text_col)).alias("tokens")).withColumn("dl", F.size("tokens")))
     return Index(lists, lists.agg(F.count(F.lit(1)).cast("double").alias("n"), F.avg("dl").alias("avgdl")), tokens)
 
@@ -142,7 +142,7 @@ def _kind(ids: list) -> pa.DataType:
     return pa.string() if ids and isinstance(ids[0], str) else pa.int64()
 
 
-def hashed_vectors(rows: DataFrame, dim: int = 64, tokens: Callable[[Column], Column] = words) -> DataFrame:
+def hashed_vectors(rows: DataFrame, dim: int = 64, tokens: Callable[[Column], Column] = segmented) -> DataFrame:
     """chunk_id and vector: the default embedder in place of a model, signed counts of words hashed by MD5 to `dim` places, of unit length; zeros without words. rows: chunk_id, text.
 
     As a model would, it runs on Arrow batches, a row at a time and without a shuffle.
@@ -196,8 +196,8 @@ def best_per_source(lists: DataFrame, source: str) -> DataFrame:
 
 def overlap_score(question: Column, text: Column) -> Column:
     """The default scorer in place of a model: the share of a question's distinct words that a text holds, as a logit."""
-    asked = F.array_distinct(words(question))
-    share = F.try_divide(F.size(F.array_intersect(asked, words(text))).cast("double"), F.size(asked).cast("double"))
+    asked = F.array_distinct(segmented(question))
+    share = F.try_divide(F.size(F.array_intersect(asked, segmented(text))).cast("double"), F.size(asked).cast("double"))
     return F.coalesce(share, F.lit(0.0)) * 4 - 2
 
 
@@ -233,7 +233,7 @@ class Retriever:
     embed: Embedder
 
     @staticmethod
-    def of(docs: DataFrame, embed: Embedder = hashed_vectors, tokens: Callable[[Column], Column] = words) -> Retriever:
+    def of(docs: DataFrame, embed: Embedder = hashed_vectors, tokens: Callable[[Column], Column] = segmented) -> Retriever:
         docs = docs.select("doc_id", "text")
         return Retriever(docs, build_index(docs, tokens=tokens), fixed(embedded(docs, embed, "doc_id", "vector")), embed)
 

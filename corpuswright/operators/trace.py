@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, MapType, StringType, StructType
 
 from ..functions.text import redact_pii
 from .metrics import linear_percentile, rate
@@ -24,6 +25,56 @@ def sampled(key: Column, sample_rate: float, error: Column | None = None) -> Col
     return keep if error is None else F.coalesce(error, F.lit(False)) | keep
 
 
+def redacted_value(c: Column, kind: DataType) -> Column:
+    """A value of any type with personal data taken out of every string in it, at any depth; map keys stay."""
+    if isinstance(kind, StringType):
+        return redact_pii(c)
+    if isinstance(kind, ArrayType):
+        return F.transform(c, lambda x: redacted_value(x, kind.elementType))
+    if isinstance(kind, MapType):
+        return F.transform_values(c, lambda _, v: redacted_value(v, kind.valueType))
+    if isinstance(kind, StructType):
+        return F.when(c.isNotNull(), F.struct(*[redacted_value(c[f.name], f.dataType).alias(f.name) for f in kind.fields]))
+    return c
+
+
+def redacted_all(rows: DataFrame, but: tuple[str, ...] = ()) -> DataFrame:
+    """rows with every string redacted, nested ones too, but those of the columns `but`."""
+    return rows.select(*[F.col(f.name) if f.name in but else redacted_value(F.col(f.name), f.dataType).alias(f.name) for f in rows.schema.fields])
+
+
+def grounding_log(answers: DataFrame, verdicts: DataFrame, provider: str) -> DataFrame:
+    """timestamp, question, provider, original_text, final_text, removed_count and verdicts of each checked answer, to be appended as lines of JSON.
+
+    answers: answer_id, question, original_text, final_text; verdicts: answer_id, sentence_no, sentence, supported, article, reason.
+    """
+    one = F.struct("sentence_no", "sentence", "supported", "article", "reason")
+    each = verdicts.groupBy("answer_id").agg(F.array_sort(F.collect_list(one)).alias("verdicts"), F.count_if(~F.col("supported")).alias("removed_count"))
+    none = F.expr("cast(array() as array<struct<sentence_no: int, sentence: string, supported: boolean, article: string, reason: string>>)")
+    out = answers.join(each, "answer_id", "left")
+    return out.select(F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss").alias("timestamp"), "question", F.lit(provider).alias("provider"), "original_text", "final_text", F.coalesce("removed_count", F.lit(0)).alias("removed_count"), F.coalesce("verdicts", none).alias("verdicts"))
+
+
+def span_attributes(traces: DataFrame) -> DataFrame:
+    """request_id, attributes and gate_decision of each trace, as a span exporter takes them."""
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    named = {"rag.request_id": text("request_id"), "rag.run_id": text("run_id"), "rag.route": text("route.route"), "rag.final_status": text("final_status"), "rag.latency.total_ms": F.coalesce(F.col("latency_ms")["total"], F.lit(0.0)).cast("string")}
+    return traces.select("request_id", F.create_map(*[x for k, v in named.items() for x in (F.lit(k), v)]).alias("attributes"), text("confidence_gate.decision").alias("gate_decision"))
+
+
+def append(rows: DataFrame, path: str) -> bool:
+    """Appends lines of JSON. A log that can't be written must not fail what it tells of: then False."""
+    try:
+        rows.write.mode("append").json(path)
+    except OSError:
+        return False
+    except Exception as e:  # Spark wraps the file system's errors
+        if "IOException" not in str(e) and "Permission denied" not in str(e) and "FileAlreadyExists" not in str(e) and "ParentNotDirectory" not in str(e):
+            raise
+        return False
+    return True
+
+
 def redacted(traces: DataFrame, free_text: tuple[str, ...] = ("original_query",)) -> DataFrame:
     """Personal data out of the free texts; ids stay, which the phone pattern would hit."""
     return traces.withColumns({c: redact_pii(F.col(c)) for c in free_text}).withColumn("privacy", F.struct(F.lit(True).alias("pii_redacted")))

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import json
+import os
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,25 +60,40 @@ class Store:
     def _exists(self, name: str) -> bool:
         return self._fs.exists(self._fs_path(f"{self.path}/{name}"))
 
-    def pointer(self) -> dict | None:
-        if not self._exists("active.json"):
+    def pointer(self, name: str = "active.json") -> dict | None:
+        if not self._exists(name):
             return None
-        rows = self.spark.read.text(f"{self.path}/active.json", wholetext=True).collect()
-        return json.loads(rows[0][0])
+        source = self._fs.open(self._fs_path(f"{self.path}/{name}"))
+        try:
+            return json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(source, "UTF-8"))
+        except Py4JJavaError as e:
+            raise ValueError(f"the pointer {name} can't be read") from e
+        finally:
+            source.close()
 
     def _write_atomic(self, name: str, data: dict) -> None:
-        """Written beside, then renamed over."""
-        temp, final = self._fs_path(f"{self.path}/.{uuid.uuid4().hex}"), self._fs_path(f"{self.path}/{name}")
+        """Written beside, then renamed over in one step, so that there is an old or a new pointer at any time."""
+        text = json.dumps(data, ensure_ascii=False, sort_keys=True).encode()
+        temp, final = (self._fs.makeQualified(self._fs_path(f"{self.path}/{x}")) for x in (f".{uuid.uuid4().hex}", name))
+        self._fs.mkdirs(final.getParent())
+        if final.toUri().getScheme() == "file":  # where Hadoop's own rename first deletes
+            with open(temp.toUri().getPath(), "wb") as out:
+                out.write(text)
+                out.flush()
+                os.fsync(out.fileno())
+            self._fs.delete(self._fs_path(final.getParent(), f".{final.getName()}.crc"), False)
+            os.replace(temp.toUri().getPath(), final.toUri().getPath())
+            return
         out = self._fs.create(temp, True)
         try:
-            out.write(bytearray(json.dumps(data, ensure_ascii=False, sort_keys=True).encode()))
+            out.write(bytearray(text))
             out.hsync()
         finally:
             out.close()
-        if self._fs.exists(final):
-            self._fs.delete(final, False)
-        if not self._fs.rename(temp, final):
-            raise OSError(f"could not move the pointer {name}")
+        options = self.spark._jvm.org.apache.hadoop.fs.Options.Rename
+        how = self.spark.sparkContext._gateway.new_array(options, 1)
+        how[0] = options.OVERWRITE
+        self.spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), self.spark._jsc.hadoopConfiguration()).rename(temp, final, how)
 
     def publish(self, articles: DataFrame, date: str) -> dict:
         """Writes the version's snapshot if it is new, then moves the pointer. Publishing the same content again changes nothing; a new date alone is a refresh of metadata."""
@@ -107,6 +124,66 @@ class Store:
         return head["version"]
 
 
+#: Which version is active where no pointer says so, or one that can't be read.
+NO_INDEX, NO_LAWS, UNREADABLE, UNKNOWN = "legacy-unversioned", "legacy-current-laws", "manifest-unreadable", "unknown"
+
+
+class Indexes(Store):
+    """Built indexes beside the corpus versions that they were built from: indexes/<version> holds chunks with vectors, and index.json says which one serves.
+
+    An index is written in the state building; only what is complete and passed its regression becomes ready and active.
+    """
+
+    def write(self, chunks: DataFrame, version: str, law_version: str, embedding: str, dimension: int, contextual: bool) -> dict:
+        """Writes chunks (chunk_id, parent_id, part, text, vector) of a candidate; a version that is there already stays as it is."""
+        folder = f"indexes/{version}"
+        head = {"version": version, "law_version": law_version, "embedding": embedding, "dimension": dimension, "contextual": contextual, "state": "building", "path": folder}
+        if not self._exists(f"{folder}/_SUCCESS"):
+            chunks.write.mode("overwrite").parquet(f"{self.path}/{folder}")
+        self._write_atomic(f"{folder}.json", head)
+        return head
+
+    def activate(self, head: dict, recall: float, passed: bool) -> dict:
+        """Moves the pointer to a candidate that passed; an error leaves the pointer where it is."""
+        check_activation("ready" if self._exists(f"{head['path']}/_SUCCESS") else "incomplete", passed)
+        before = self.read_pointer()
+        ready = head | {"state": "ready", "active_version": head["version"], "recall": recall, "previous_version": before.get("active_version") if before else None}
+        self._write_atomic(f"{head['path']}.json", ready)
+        self._write_atomic("index.json", ready)
+        return ready
+
+    def read_pointer(self) -> dict | None:
+        """The pointer; None without one or where it can't be read."""
+        try:
+            return self.pointer("index.json")
+        except ValueError:
+            return None
+
+    def select(self, embedding: str, dimension: int, contextual: bool) -> tuple[str, DataFrame] | None:
+        """Version and chunks of the active index if it is ready and of this kind, else of the unversioned one, else None: then one has to be built."""
+        head = self.read_pointer()
+        wanted = {"state": "ready", "embedding": embedding, "dimension": dimension, "contextual": contextual}
+        if head and all(head.get(k) == v for k, v in wanted.items()) and self._exists(f"{head.get('path')}/_SUCCESS"):
+            return head.get("active_version") or head["version"], self.spark.read.parquet(f"{self.path}/{head['path']}")
+        legacy = f"indexes/{embedding}_{dimension}_{'ctx' if contextual else 'noctx'}"
+        return (NO_INDEX, self.spark.read.parquet(f"{self.path}/{legacy}")) if self._exists(f"{legacy}/_SUCCESS") else None
+
+    def active_laws(self) -> DataFrame:
+        """The corpus version that the serving index was built from, however new the published one is; without such a pair the published one."""
+        version = (self.read_pointer() or {}).get("law_version")
+        return self.load(version if version and self._exists(f"versions/{version}/_SUCCESS") else None)
+
+    def active_versions(self) -> tuple[str, str]:
+        """Versions of index and laws for traces, with a word of its own for each way in which there is none."""
+        try:
+            head = self.pointer("index.json")
+        except ValueError:
+            return UNREADABLE, UNREADABLE
+        if head is None:
+            return NO_INDEX, NO_LAWS
+        return str(head.get("active_version") or head.get("version") or UNKNOWN), str(head.get("law_version") or UNKNOWN)
+
+
 class ActivationRefused(RuntimeError):
     """An index that isn't ready or failed its regression."""
 
@@ -116,6 +193,22 @@ def check_activation(state: str, regression_passed: bool) -> None:
         raise ActivationRefused(f"state {state}, regression {'passed' if regression_passed else 'failed'}")
 
 
+def copy_missing(store: Store, seed: str, target: str, required: list[str]) -> dict[str, str]:
+    """Copies the required files that target lacks from seed and gives what became of each: copied, preserved or missing. Paths are folders of the store's file system."""
+    out = {}
+    for name in required:
+        to, come = store._fs_path(f"{target}/{name}"), store._fs_path(f"{seed}/{name}")
+        if store._fs.exists(to):
+            out[name] = "preserved"
+        elif not store._fs.exists(come):
+            out[name] = "missing"
+        else:
+            conf = store.spark._jsc.hadoopConfiguration()
+            store.spark._jvm.org.apache.hadoop.fs.FileUtil.copy(store._fs, come, store._fs, to, False, conf)
+            out[name] = "copied"
+    return out
+
+
 def missing_files(seed: DataFrame, present: DataFrame) -> DataFrame:
     """Seed files (path) with what a start has to do: copied or preserved."""
     return seed.join(present.select("path", F.lit(True).alias("there")), "path", "left").select("path", F.when(F.col("there"), "preserved").otherwise("copied").alias("action"))

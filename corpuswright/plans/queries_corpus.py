@@ -121,13 +121,6 @@ def runs_by_gap(spark, sf_dir):
     return windows.gap_runs(table(spark, sf_dir, "events"), "ts", 1800, "user_id", "ts", "event_id").select("event_id", "user_id", "run")
 
 
-@query(r"""SELECT page_id, regexp_extract_all(html, '<h1>([^<]*)</h1>', 1) AS headings, len(regexp_extract_all(html, '<p>')) AS paragraphs, len(regexp_extract_all(html, '<li>')) AS items FROM pages""")
-def html_events(spark, sf_dir):
-    pages = table(spark, sf_dir, "pages")
-    n = lambda p: F.regexp_count("html", F.lit(p)).cast("long")
-    return pages.select("page_id", F.regexp_extract_all("html", F.lit("<h1>([^<]*)</h1>"), 1).alias("headings"), n("<p>").alias("paragraphs"), n("<li>").alias("items"))
-
-
 @query(r"SELECT doc_id, regexp_extract_all(text, '([A-Za-z]+)\s*=\s*\"([^\"]*)\"', 1) AS names, regexp_extract_all(text, '([A-Za-z]+)\s*=\s*\"([^\"]*)\"', 2) AS texts FROM documents")
 def citation_extract(spark, sf_dir):
     found = text.extract_citations(F.col("text"), r'([A-Za-z]+)\s*=\s*"([^"]*)"')
@@ -140,12 +133,6 @@ def range_expand(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", F.explode(citations.expanded(low, low + F.col("o_orderkey") % 4)).alias("no"))
 
 
-@query()
-def cn_numeral(spark, sf_dir):
-    words = ["一", "十", "十一", "二十", "七十二", "一百零三", "三百二十", "一千零一", "二千五百", "八〇", "12"]
-    return spark.createDataFrame([(w,) for w in words], "numeral string").withColumn("value", text.cn_to_int(F.col("numeral")))
-
-
 @query()
 def sentence_split(spark, sf_dir):
     """Sentences of the documents; their Latin marks and vowels are made the ones that the splitter looks for."""
@@ -208,17 +195,74 @@ def question_norm_hash(spark, sf_dir):
     return table(spark, sf_dir, "benchmark").select("item_id", text.question_hash(F.col("text")).alias("question_hash"))
 
 
-@query("""WITH e AS (SELECT DISTINCT l_partkey AS a, l_suppkey AS b FROM lineitem) SELECT count(*) AS edges FROM e""")
-def citation_edges(spark, sf_dir):
-    edges = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("a"), F.col("l_suppkey").alias("b"))
-    return edges.groupBy("a", "b").agg(F.count(F.lit(1))).agg(F.count(F.lit(1)).alias("edges"))
+@query("SELECT p_partkey, p_partkey % 9999 + 1 AS value FROM part")
+def cn_numeral(spark, sf_dir):
+    """Numbers written in Chinese, read back."""
+    n = (F.col("p_partkey") % 9999 + 1).cast("int")
+    digit = lambda x: F.substring(F.lit("零一二三四五六七八九"), x + 1, F.lit(1))
+    part = lambda of, unit: F.when(F.floor(n / of) % 10 > 0, F.concat(digit((F.floor(n / of) % 10).cast("int")), F.lit(unit))).otherwise(F.when((n > of * 10) & (n % of > 0), "零").otherwise(""))
+    numeral = F.concat(part(1000, "千"), part(100, "百"), part(10, "十"), part(1, ""))
+    return table(spark, sf_dir, "part").select("p_partkey", text.cn_to_int(numeral).cast("long").alias("value"))
 
 
-@query()
+_GAP = "，" + "字" * 25
+
+
+@query("""WITH a AS (SELECT p_partkey AS no, p_partkey % 3 AS law FROM part), e AS (SELECT DISTINCT l_partkey AS p, l_suppkey AS s FROM lineitem),
+c AS (SELECT p, s, p % 3 AS law, CASE WHEN s % 2 = 0 THEN 2 ELSE p % 3 END AS target FROM e)
+SELECT 'L' || c.law || '-' || p AS source, 'L' || target || '-' || s AS target, 'regex' AS provenance FROM c JOIN a ON no = s AND a.law = c.target WHERE NOT (p = s AND c.law = c.target)""")
+def citation_edges(spark, sf_dir):
+    """Parts as articles of three laws whose text cites suppliers' numbers, every other one in the third law by its name; edges to articles that exist."""
+    part, lines = table(spark, sf_dir, "part"), table(spark, sf_dir, "lineitem")
+    cites = lines.select(F.col("l_partkey").alias("no"), F.col("l_suppkey").alias("s")).distinct()
+    # each part has a few suppliers
+    cited = cites.groupBy("no").agg(F.array_join(F.transform(F.array_sort(F.collect_list("s")), lambda s: F.concat(F.when(s % 2 == 0, "老人福利法").otherwise(""), F.lit("第"), s.cast("string"), F.lit("條"))), _GAP).alias("content"))
+    rows = part.select(F.col("p_partkey").alias("no")).join(cited, "no", "left")
+    articles = rows.select(F.format_string("L%d-%d", F.col("no") % 3, F.col("no")).alias("article_id"), F.concat(F.lit("L"), F.col("no") % 3).alias("pcode"), F.col("no").cast("string").alias("article_no"), F.col("no").cast("int").alias("ord"), F.coalesce("content", F.lit("")).alias("content"))
+    named = spark.createDataFrame([("L0", "甲法"), ("L1", "乙法"), ("L2", "老人福利法")], "pcode string, law_name string")
+    return citations.build_graph(articles, named, citations.alias_table(named, "丙法", "丙")).select("source", "target", "provenance")
+
+
+@query("""WITH a AS (SELECT p_partkey AS no, p_partkey % 3 AS law FROM part), e AS (SELECT DISTINCT l_partkey AS p, l_suppkey AS s FROM lineitem WHERE l_partkey % 2 = 0),
+o AS (SELECT p, count(*) AS n FROM e JOIN a ON no = s GROUP BY 1)
+SELECT 'L' || law AS pcode, count(*) AS articles, coalesce(sum(n), 0)::BIGINT AS edges_out, count(*) FILTER (n IS NULL AND a.no NOT IN (SELECT s FROM e)) AS isolated FROM a LEFT JOIN o ON p = no GROUP BY 1""")
+def graph_metadata(spark, sf_dir):
+    part, lines = table(spark, sf_dir, "part"), table(spark, sf_dir, "lineitem")
+    articles = part.select(F.col("p_partkey").alias("article_id"), F.concat(F.lit("L"), F.col("p_partkey") % 3).alias("pcode"))
+    edges = lines.filter("l_partkey % 2 = 0").select(F.col("l_partkey").alias("source"), F.col("l_suppkey").alias("target")).distinct()
+    return citations.graph_metadata(articles, citations.valid_edges(edges, articles.select(F.col("article_id").alias("target"))))
+
+
+def packed_laws(spark, sf_dir):
+    """A hundred documents of a source as a law, with a chapter before every fifth, in a package of JSON, XML or HTML."""
+    law = F.concat(F.translate("source", "-_ ", ""), F.lit("B"), F.floor(F.col("doc_id") / 100).cast("string"))
+    d = docs(spark, sf_dir).select(law.alias("law"), "doc_id", F.concat(F.lit("item "), "doc_id", F.lit("\n"), F.md5("text")).alias("body"))
+    each = F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "body"))), lambda x: F.struct(x["doc_id"].alias("no"), x["body"].alias("body"), (x["doc_id"] % 5 == 0).alias("opens")))
+    packs = d.groupBy("law").agg(each.alias("a")).withColumn("kind", F.element_at(F.array(F.lit("json"), F.lit("xml"), F.lit("html")), (F.pmod(F.crc32("law"), F.lit(3)) + 1).cast("int")))
+    chapter = lambda x: F.concat(F.lit("章 "), x["no"].cast("string"))
+    number = lambda x: F.concat(F.lit("第 "), x["no"].cast("string"), F.lit(" 條"))
+    item = lambda kind, no, content: F.struct(kind.alias("ArticleType"), no.alias("ArticleNo"), content.alias("ArticleContent"))
+    listed = F.flatten(F.transform("a", lambda x: F.when(x["opens"], F.array(item(F.lit("C"), F.lit(""), chapter(x)), item(F.lit("A"), number(x), F.replace(x["body"], F.lit("\n"), F.lit("\r\n"))))).otherwise(F.array(item(F.lit("A"), number(x), F.replace(x["body"], F.lit("\n"), F.lit("\r\n")))))))
+    as_json = F.to_json(F.struct(F.lit("2026/7/10 0:00").alias("UpdateDate"), F.array(F.struct(F.concat(F.lit("law "), "law").alias("LawName"), F.concat(F.lit("http://x?pcode="), "law").alias("LawURL"), F.lit("20200101").alias("LawModifiedDate"), listed.alias("LawArticles"))).alias("Laws")))
+    xml = F.array_join(F.transform("a", lambda x: F.concat(F.when(x["opens"], F.concat(F.lit("<編章節> "), chapter(x), F.lit("</編章節>"))).otherwise(""), F.lit("<條文><條號>"), number(x), F.lit("</條號><條文內容><![CDATA["), x["body"], F.lit("]]></條文內容></條文>"))), "")
+    as_xml = F.concat(F.lit('<?xml version="1.0" encoding="UTF-8"?><LAWS UpdateDate="2026/7/10"><法規><法規名稱>law '), "law", F.lit("</法規名稱><法規網址>http://x?pcode="), "law", F.lit("</法規網址><最新異動日期>20200101</最新異動日期><法規內容>"), xml, F.lit("</法規內容></法規></LAWS>"))
+    lines = lambda x: F.concat(F.lit('<div class="line-0000">'), F.replace(x["body"], F.lit("\n"), F.lit('</div><div class="line-0004">')), F.lit("</div>"))
+    page = F.array_join(F.transform("a", lambda x: F.concat(F.when(x["opens"], F.concat(F.lit('<div class="h3 char-2"> '), chapter(x), F.lit("</div>"))).otherwise(""), F.lit('<div class="row"><div class="col-no"><a href="?flno='), x["no"].cast("string"), F.lit('">'), number(x), F.lit('</a></div><div class="col-data"><div class="law-article">'), lines(x), F.lit("</div></div></div>"))), "\n")
+    as_page = F.concat(F.lit("<title>law "), "law", F.lit("-全國法規資料庫</title><th>修正日期：</th><td>民國 109 年 1 月 1 日</td><div class=\"law-reg-content\">"), page, F.lit("</div>"))
+    content = F.when(F.col("kind") == "json", as_json).when(F.col("kind") == "xml", as_xml).otherwise(as_page)
+    return packs.select(F.col("kind").alias("format"), F.encode(content, "UTF-8").alias("content"), F.col("law").alias("pcode"), F.lit("2026-07-10").alias("update_date"))
+
+
+_PACKED = """d AS (SELECT translate(source, '-_ ', '') || 'B' || (doc_id // 100) AS pcode, doc_id, 'item ' || doc_id || chr(13) || chr(10) || md5(text) AS content FROM documents),
+c AS (SELECT *, max(CASE WHEN doc_id % 5 = 0 THEN doc_id END) OVER (PARTITION BY pcode ORDER BY doc_id ROWS UNBOUNDED PRECEDING) AS opened FROM d)"""
+
+
+@query(f"""WITH {_PACKED} SELECT pcode, 'law ' || pcode AS law_name, '章 ' || opened AS chapter, doc_id::VARCHAR AS article_no, content, '20200101' AS law_modified_date, '2026-07-10' AS source_update_date, 'now' AS fetched_at FROM c""")
 def law_packages(spark, sf_dir):
-    """Articles of the pages, read as full-text law pages would be: one heading and its paragraphs."""
-    pages = table(spark, sf_dir, "pages")
-    cut = F.posexplode(F.regexp_extract_all("html", F.lit(r"<(?:h1|p)>([^<]*)"), 1)).alias("ord", "content")
-    rows = pages.select(F.col("page_id").cast("string").alias("pcode"), cut)
-    typed = rows.select("pcode", F.lit("").alias("law_name"), F.lit("").alias("law_modified_date"), F.lit("").alias("source_update_date"), "ord", F.when(F.col("ord") == 0, "C").otherwise("A").alias("article_type"), F.format_string("第 %d 條", "ord").alias("article_no"), "content")
-    return laws.extract_articles(typed).select("pcode", "chapter", "article_no", "content", "ord")
+    """Articles of packages of all three formats."""
+    return laws.extract_articles(laws.events(packed_laws(spark, sf_dir)), "now").select("pcode", "law_name", "chapter", "article_no", "content", "law_modified_date", "source_update_date", "fetched_at")
+
+
+@query(f"""WITH {_PACKED} SELECT pcode, any_value('law ' || pcode) AS law_name, count(*) AS article_count, count(DISTINCT CASE WHEN doc_id % 5 = 0 THEN doc_id END) AS chapter_count, '20200101' AS law_modified_date FROM c GROUP BY 1""")
+def law_metadata(spark, sf_dir):
+    return laws.law_meta(laws.events(packed_laws(spark, sf_dir))).select("pcode", "law_name", "article_count", "chapter_count", "law_modified_date")

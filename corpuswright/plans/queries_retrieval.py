@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import tokenize
 from ..operators import citations, evaluation, gate, metrics, retrieval, windows
 from . import index_build
 from .catalogue import query, table
@@ -18,14 +19,14 @@ _LISTS = f"lists AS (SELECT doc_id, {_TOKENS.format('text')} AS t FROM documents
 _ASKED = "SELECT item_id AS query_id, text FROM benchmark"
 
 
-def _bm25(asked: str = _ASKED) -> str:
+def _bm25(asked: str = _ASKED, tokens: str = _TOKENS) -> str:
     """bm: the best twenty of each query by BM25."""
     return rf"""
 post AS (SELECT doc_id, len(t) AS dl, unnest(t) AS term FROM lists),
 tf AS (SELECT doc_id, term, any_value(dl) AS dl, count(*) AS tf FROM post GROUP BY 1, 2),
 df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
 tot AS (SELECT count(*)::DOUBLE AS n, avg(len(t)) AS avgdl FROM lists),
-q AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT query_id, unnest({_TOKENS.format("text")}) AS term FROM ({asked})) GROUP BY 1, 2),
+q AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT query_id, unnest({tokens.format("text")}) AS term FROM ({asked})) GROUP BY 1, 2),
 sc AS (SELECT query_id, doc_id, round(sum(qtf * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (1 - 0.75 + 0.75 * dl / avgdl))), 6) AS score
        FROM q JOIN tf USING (term) JOIN df USING (term), tot GROUP BY 1, 2),
 bm AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM sc QUALIFY rank <= 20)"""
@@ -87,6 +88,22 @@ def bm25_top20(spark, sf_dir):
     return retrieval.bm25(retrieval.build_index(table(spark, sf_dir, "documents")), questions(spark, sf_dir))
 
 
+#: Letters of the synthetic prose as Han characters, so that words of the domain arise.
+_FROM, _TO = "aeiournthsldcm", "長期照顧服務法老人福利機構"
+_HAN = "translate(lower({}), '%s', '%s')" % (_FROM, _TO)
+_HAN_WORDS = "|".join(sorted(tokenize.USER_WORDS, key=len, reverse=True))
+_HAN_TOKENS = r"list_filter(regexp_extract_all(lower({}), '(%s|\p{{Han}}{{1,2}}|[0-9\p{{Latin}}]+)'), lambda x: NOT (length(x) = 1 AND contains('%s', x)))" % (_HAN_WORDS, tokenize.STOPWORDS)
+
+
+@query(rf"""WITH han AS (SELECT doc_id, {_HAN.format("text")} AS text FROM documents), lists AS (SELECT doc_id, {_HAN_TOKENS.format("text")} AS t FROM han),
+{_bm25(f"SELECT item_id AS query_id, {_HAN.format('text')} AS text FROM benchmark", _HAN_TOKENS)} SELECT query_id, doc_id, score, rank FROM bm""")
+def bm25_han(spark, sf_dir):
+    """BM25 over Han text, segmented by the words of the domain."""
+    han = F.translate(F.lower("text"), _FROM, _TO)
+    docs, asked = table(spark, sf_dir, "documents").withColumn("text", han), questions(spark, sf_dir).withColumn("text", han)
+    return retrieval.bm25(retrieval.build_index(docs), asked)
+
+
 @query(f"WITH {_VECTORS}, {_ranked('r', _COS)} SELECT * FROM r")
 def dense_top20(spark, sf_dir):
     return retrieval.dense(*vectors(spark, sf_dir), skip_self=True)

@@ -1,9 +1,11 @@
 import datetime as dt
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from corpuswright.operators import trace
+from corpuswright.plans import settings
 from corpuswright.streaming import events as streams
 
 RECORDS = [
@@ -56,3 +58,43 @@ def test_streams_equal_their_batch_twins(spark, tmp_path):
     for _ in range(2):  # the second run finds nothing new
         streams.append(stream, str(tmp_path / "a"), str(tmp_path / "a-ck"), 0.5).awaitTermination(120)
     assert spark.read.parquet(str(tmp_path / "a")).count() == batch.filter(trace.sampled(F.col("event_id").cast("string"), 0.5)).count()
+
+
+def test_redaction_at_any_depth(spark):
+    mail = "a.b@c.org"
+    rows = spark.createDataFrame([(mail, [mail, None], {"k": mail}, (mail, [(mail, 7)], None), 5, mail)], "s string, a array<string>, m map<string, string>, t struct<x: string, y: array<struct<z: string, n: int>>, u: struct<v: string>>, n int, kept string")
+    got = trace.redacted_all(rows, ("kept",))
+    assert got.schema.simpleString() == rows.schema.simpleString()
+    r = got.first()
+    assert (r.s, r.a, r.m, r.t.x, r.t.y[0].z, r.t.y[0].n, r.t.u, r.n, r.kept) == ("[EMAIL]", ["[EMAIL]", None], {"k": "[EMAIL]"}, "[EMAIL]", "[EMAIL]", 7, None, 5, mail)
+
+
+def test_grounding_log_and_spans(spark, tmp_path):
+    answers = spark.createDataFrame([("a", "q", "x y", "x"), ("b", "q2", "", "")], "answer_id string, question string, original_text string, final_text string")
+    verdicts = spark.createDataFrame([("a", 2, "y", False, None, "no"), ("a", 1, "x", True, "L-1", "")], "answer_id string, sentence_no int, sentence string, supported boolean, article string, reason string")
+    log = trace.grounding_log(answers, verdicts, "local")
+    assert trace.append(log, str(tmp_path / "log")) and trace.append(log, str(tmp_path / "log"))
+    rows = spark.read.json(str(tmp_path / "log")).collect()
+    assert len(rows) == 4 and {r.question: (r.removed_count, [v.sentence for v in r.verdicts or []]) for r in rows} == {"q": (1, ["x", "y"]), "q2": (0, [])}
+    (tmp_path / "file").write_text("x")
+    assert not trace.append(log, str(tmp_path / "file" / "below"))
+    spans = {r.attributes["rag.run_id"]: r for r in trace.span_attributes(frame(spark, tmp_path)).collect()}
+    assert spans["1"].attributes["rag.latency.total_ms"] == "10.0" and spans["2"].attributes["rag.final_status"] == "error" and spans["3"].gate_decision == ""
+
+
+def test_settings(spark):
+    assert settings.Settings.of(spark) == settings.Settings()
+    spark.conf.set("spark.corpuswright.shadow", "yes")
+    spark.conf.set("spark.corpuswright.max_refinements", "0")
+    try:
+        assert settings.Settings.of(spark) == settings.Settings(shadow=True, max_refinements=0)
+    finally:
+        spark.conf.unset("spark.corpuswright.shadow")
+        spark.conf.unset("spark.corpuswright.max_refinements")
+    for wrong in ({"max_refinements": 2}, {"max_total_tokens": 0}, {"execute_refinement": True}):
+        with pytest.raises(ValueError):
+            settings.Settings(**wrong)
+    models = settings.default_models()
+    assert models.get("embedder", "hashed") and models.get("answerer", "extractive")
+    with pytest.raises(LookupError, match="hashed"):
+        models.get("embedder", "none")

@@ -1,23 +1,25 @@
 import io
 import json
 import random
+import threading
 import zipfile
 
 import pytest
 from pyspark.sql import functions as F
 
 from corpuswright.operators import catalog, citations, sampling, versions, windows
-from corpuswright.sources import laws, tables
+from corpuswright.sources import laws, packages, tables
 
 
 def test_carried_headings_reset(spark):
     rows = [("p", 0, "A", "before"), ("p", 1, "C", "第一章"), ("p", 2, "A", "x"), ("p", 3, "C", " "), ("p", 4, "A", "y")]
-    events = spark.createDataFrame([(p, "法", "", "", o, t, f"第 {o} 條", c) for p, o, t, c in rows], laws.EVENTS)
+    events = spark.createDataFrame([(p, "法", "", "", "", "", o, t, f"第 {o} 條", c) for p, o, t, c in rows], laws.EVENTS)
     got = laws.extract_articles(events).orderBy("ord").collect()
     assert [(r.article_no, r.chapter) for r in got] == [("0", None), ("2", "第一章"), ("4", None)]
 
 
-XML = """<?xml version="1.0"?><LAWS UpdateDate="2026/7/10 上午"><法規><法規名稱>甲法</法規名稱><法規網址>http://x?pcode=L1</法規網址><最新異動日期>20200101</最新異動日期>
+XML = """<?xml version="1.0"?><LAWS UpdateDate="2026/7/10 上午"><法規><法規名稱>甲法</法規名稱><法規網址>http://x?pcode=L1</法規網址><最新異動日期>20200101</最新異動日期><生效日期>20210101</生效日期><生效內容><![CDATA[note
+more]]></生效內容>
 <法規內容><編章節> 第 一 章 </編章節><條文><條號>第 1 條</條號><條文內容><![CDATA[一
 二]]></條文內容></條文><編章節>第二章</編章節><條文><條號>第 2-1 條</條號><條文內容>三</條文內容></條文></法規內容></法規></LAWS>"""
 PAGE = """<title> 甲法-全國法規資料庫</title><th>修正日期：</th><td>民國 109 年 1 月 1 日</td><div class="law-reg-content"><div class="h3 char-2"> 第一章 </div>
@@ -36,6 +38,15 @@ def test_packages(spark):
     got = [tuple(r) for r in laws.extract_articles(kept).select("pcode", "law_name", "chapter", "article_no", "content", "law_modified_date").orderBy("pcode", "ord").collect()]
     assert got == [("L1", "甲法", "第 一 章", "1", "一\r\n二", "20200101"), ("L1", "甲法", "第二章", "2-1", "三", "20200101"), ("L2", "乙法", None, "1", "a", "20200101"), ("L3", "甲法", "第一章", "1", "一 & 二\r\n三", "20200101")]
     assert {r.source_update_date for r in found.collect()} == {"2026-07-10"}
+    meta = {r.pcode: r for r in laws.law_meta(kept).collect()}
+    assert (meta["L1"].law_effective_date, meta["L1"].law_effective_note, meta["L1"].article_count, meta["L1"].chapter_count) == ("20210101", "note\r\nmore", 2, 2)
+    assert set(laws.extract_articles(kept, "now").columns) - {"ord"} == {"law_name", "pcode", "chapter", "article_no", "content", "url", "law_modified_date", "fetched_at", "source_update_date"}
+    assert {r.fetched_at for r in laws.extract_articles(kept, "now").collect()} == {"now"}
+    assert laws.load_first([lambda: kept], {"L1": "甲法", "L2": None}).count() == kept.count()
+    with pytest.raises(OSError, match="another name"):
+        laws.load_first([lambda: kept], {"L1": "丙法"})
+    with pytest.raises(OSError, match="without articles"):
+        laws.load_first([lambda: kept.filter("article_type = 'C' or pcode <> 'L1'")], ["L1"])
 
     def broken():
         raise OSError("no network")
@@ -172,3 +183,70 @@ def test_json_sources(spark, tmp_path):
         tables.read_reviewed(spark, str(tmp_path / "r.json"), "id string").collect()
     nested = spark.createDataFrame([('{"a": [{"question": "q1"}, {"b": {"question": "q\\"2"}}]}',)], "j string")
     assert {r.value for r in tables.json_strings(nested, "j", "question").collect()} == {"q1", 'q"2'}
+
+
+def test_package_cache(spark, tmp_path, monkeypatch):
+    cache = packages.PackageCache(spark, str(tmp_path / "raw"))
+    with pytest.raises(OSError, match="not in the cache"):
+        cache.newest(["law"])
+    cache.put("2026-07-03", {"law": b"old", "order": b"o"})
+    cache.put("2026-07-10", {"law": b"new"})
+    got = {r.package: (r.date, bytes(r.content)) for r in cache.newest(["law", "order"]).collect()}
+    assert got == {"law": ("2026-07-10", b"new"), "order": ("2026-07-03", b"o")}
+    with pytest.raises(TypeError):  # the second can't be written, so the first isn't there either
+        cache.put("2026-08-01", {"law": b"x", "order": None})
+    assert cache.dates() == {"law": ["2026-07-03", "2026-07-10"], "order": ["2026-07-03"]}
+    with pytest.raises(ValueError):
+        cache.put("yesterday", {})
+
+
+def test_index_lifecycle(spark, tmp_path):
+    rows = lambda h: spark.createDataFrame([("L-1", "L", h)], "article_id string, pcode string, hash string")
+    chunks = lambda t: spark.createDataFrame([("c", "L-1", 0, t, [1.0])], "chunk_id string, parent_id string, part int, text string, vector array<double>")
+    store = versions.Indexes(spark, str(tmp_path))
+    assert store.select("hashed", 64, False) is None and store.active_versions() == (versions.NO_INDEX, versions.NO_LAWS)
+    chunks("legacy").write.parquet(f"{tmp_path}/indexes/hashed_64_noctx")
+    assert store.select("hashed", 64, False)[0] == versions.NO_INDEX
+    v1 = store.publish(rows("a"), "2025")["version"]
+    one = store.write(chunks("one"), "i1", v1, "hashed", 64, False)
+    store.activate(one, 1.0, True)
+    store.publish(rows("b"), "2026")  # newer laws wait until an index of theirs serves
+    assert store.load().first().hash == "b" and store.active_laws().first().hash == "a"
+    version, found = store.select("hashed", 64, False)
+    assert (version, found.first().text) == ("i1", "one") and store.active_versions() == ("i1", v1)
+    assert store.select("hashed", 64, True) is None and store.select("hashed", 32, False) is None
+    two = store.write(chunks("two"), "i2", store.pointer()["version"], "hashed", 64, False)
+    with pytest.raises(versions.ActivationRefused):
+        store.activate(two, 0.5, False)
+    with pytest.raises(versions.ActivationRefused):
+        store.activate(two | {"path": "indexes/none"}, 1.0, True)
+    assert store.select("hashed", 64, False)[0] == "i1"
+    assert store.activate(two, 1.0, True)["previous_version"] == "i1" and store.active_laws().first().hash == "b"
+    (tmp_path / "index.json").write_text("{broken")
+    assert store.active_versions() == (versions.UNREADABLE,) * 2 and store.select("hashed", 64, False)[0] == versions.NO_INDEX
+
+
+def test_pointer_is_never_absent(spark, tmp_path):
+    store = versions.Store(spark, str(tmp_path))
+    store._write_atomic("active.json", {"v": 0})
+    seen, stop = set(), threading.Event()
+
+    def look():
+        while not stop.is_set():
+            seen.add((tmp_path / "active.json").exists())
+
+    watcher = threading.Thread(target=look)
+    watcher.start()
+    for v in range(1, 20):
+        store._write_atomic("active.json", {"v": v})
+    stop.set()
+    watcher.join()
+    assert seen == {True} and store.pointer() == {"v": 19}
+
+
+def test_copy_missing(spark, tmp_path):
+    for name, text in (("seed/a", "new"), ("seed/b", "new"), ("run/a", "own")):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text(text)
+    got = versions.copy_missing(versions.Store(spark, str(tmp_path)), f"{tmp_path}/seed", f"{tmp_path}/run", ["a", "b", "c"])
+    assert got == {"a": "preserved", "b": "copied", "c": "missing"} and (tmp_path / "run/a").read_text() == "own" and (tmp_path / "run/b").read_text() == "new"

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpuswright.functions import text, tokenize
-from corpuswright.operators import chunking, sentences
+from corpuswright.operators import chunking, evaluation, grounding, sentences
 
 
 def one(spark, value, f):
@@ -112,3 +112,32 @@ def test_sentences(spark):
         assert [s for _, s in sentences.split_sentences(body)] == want
     rows = spark.createDataFrame([("a", k) for k in cases] + [("n", None)], "answer_id string, text string")
     assert sentences.sentences(rows).count() == sum(map(len, cases.values()))
+
+
+def test_more_of_questions_and_pages(spark):
+    assert one(spark, "可以請假嗎？", text.long_tail) == "想請問一下，可以請假嗎？"
+    assert [one(spark, c, text.trivial) for c in ("本辦法自發布日施行。", " 本細則依本法第十條規定訂定之。\r\n", "由中央主管機關定之。", "申請人應檢附文件。", "主管機關應於三十日內核定，並通知申請人補正文件後施行。其他事項。")] == [True, True, True, False, False]
+    cite = lambda c: text.render_citation(F.lit("甲<法"), F.lit("8-1"), c)
+    assert one(spark, "a&b\r\nc", cite) == '<details class="citation"><summary>[甲&lt;法 §8-1]</summary><div class="citation-body">《甲&lt;法》第 8-1 條：<br>a&amp;b<br>c</div></details>'
+    assert one(spark, None, cite) == '<span class="citation-missing">[甲&lt;法 §8-1]</span>'
+    items = spark.createDataFrame([([("L-1", "甲", "1", "u?a&b"), ("L-2", "乙", "2", "v"), ("L-1", "甲", "1", "w")],), ([],)], "i array<struct<article_id: string, law_name: string, article_no: string, url: string>>").coalesce(1)
+    got = [r[0] for r in items.select(text.render_article_list(F.col("i"), "x")).collect()]
+    assert got == ['<p><b>x</b></p><ul class="article-list"><li><a href="u?a&amp;b" target="_blank">《甲》第 1 條</a></li><li><a href="v" target="_blank">《乙》第 2 條</a></li></ul>', ""]
+    assert one(spark, "長期照顧服務法之罰鍰abc 甲乙丙 的x", tokenize.segmented) == ["長期照顧服務法", "之罰", "鍰", "abc", "甲乙", "丙", "x"]
+
+
+def test_chosen_questions(spark):
+    replies = spark.createDataFrame([("a", 0, "短"), ("a", 1, "長照機構要怎麼申請？"), ("b", 0, "長照機構要怎麼申請？"), ("c", 0, "依本法要怎麼申請呢？"), ("d", 0, "已經問過的問題是什麼？"), ("e", 0, "喘息服務可以用幾天呢？")], "id string, attempt int, reply string")
+    known = spark.createDataFrame([("已經問過的問題是什麼？",)], "q string").select(text.question_hash(F.col("q")).alias("question_hash"))
+    assert sorted(map(tuple, evaluation.chosen_questions(replies, known).collect())) == [("a", "長照機構要怎麼申請？"), ("e", "喘息服務可以用幾天呢？")]
+
+
+def test_contexts(spark):
+    rows = spark.createDataFrame([("q", 2, "乙法", "2", "y"), ("q", 1, "甲法", "1", "x")], "query_id string, place int, law_name string, article_no string, content string")
+    assert grounding.related_context(rows).first().context == "《甲法》第 1 條：\nx\n\n《乙法》第 2 條：\ny"
+    chapters = spark.createDataFrame([("q", 0, "甲法", "第一章總則", "1", "3", "s")], "query_id string, ord int, law_name string, chapter string, article_lo string, article_hi string, summary string")
+    assert grounding.global_context(chapters).first().context == "《甲法》第一章總則（第1〜3條）：\ns"
+    asked = spark.createDataFrame([("q", "好"), ("none", "x")], "query_id string, text string")
+    made = lambda t: {r.query_id: (r.final_text, r.removed) for r in grounding.global_answers(asked, chapters, lambda question, context: F.lit(t)).collect()}
+    assert made("好[甲法 第一章總則]\n壞[乙法 第九章]") == {"q": ("好[甲法 第一章總則]", 1), "none": (grounding.REFUSAL_TEXT, 0)}
+    assert made("壞[乙法 第九章]")["q"] == (grounding.REFUSAL_TEXT, 1)
