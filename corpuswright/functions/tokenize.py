@@ -34,7 +34,8 @@ def cjk_tokens(c: Column, user_words: Sequence[str] = ()) -> Column:
 
 def segmented(c: Column) -> Column:
     """The default tokens of texts in any script: Han text by the words of the domain, longest first, and two characters at a time between them; other letters and digits as `words` has them."""
-    return cjk_tokens(c, USER_WORDS)
+    other = F.regexp_extract_all(F.lower(c), F.lit(r"[\p{L}\p{N}]+"), 0)
+    return F.when(c.rlike(r"\p{IsHan}"), cjk_tokens(c, USER_WORDS)).otherwise(other)
 
 
 def token_count(c: Column) -> Column:

@@ -40,23 +40,81 @@ def small(rows: DataFrame, most: int) -> DataFrame:
     return F.broadcast(rows) if rows.limit(most + 1).count() <= most else rows
 
 
-def bm25(index: Index, questions: DataFrame, id_col: str = "query_id", text_col: str = "text", top: int = TOP, most_terms: int = 500_000) -> DataFrame:
+def bm25(index: Index, questions: DataFrame, id_col: str = "query_id", text_col: str = "text", top: int = TOP, most_terms: int = 500_000, most_bytes: int = 32 << 20) -> DataFrame:
     """query_id, doc_id, score, rank: the best documents with a term in common. idf = ln(1 + (N - df + 0.5) / (df + 0.5)).
 
-    Only the questions' terms leave the documents' token lists: up to most_terms they are broadcast to them, so that what is
-    shuffled is a row for each document and asked term; beyond that they are joined. A document's score is summed before it
-    is ranked, and texts come later.
+    Documents stay where they are. Only the questions' terms are counted over them (up to most_terms are broadcast to the
+    token lists, more are joined). Then a task weighs a batch's terms, multiplies them with the questions' weights, which
+    are broadcast in blocks of about most_bytes whatever their number, and keeps its best `top` of each question.
     """
-    asked = fixed(questions.select(F.col(id_col).alias("query_id"), F.explode(index.tokens(F.col(text_col))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf")))
+    asked = questions.select(F.col(id_col).alias("query_id"), F.explode(index.tokens(F.col(text_col))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
+    asked = fixed(asked)
     wanted = small(asked.select("term").distinct(), most_terms)
-    found = index.lists.select("doc_id", "dl", F.explode("tokens").alias("term")).join(wanted, "term", "left_semi")
-    postings = fixed(found.groupBy("term", "doc_id").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl")))
-    weighed = asked.join(postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")), "term").crossJoin(F.broadcast(index.totals))
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    joined = postings.join(small(weighed, most_terms), "term")
-    part = F.col("qtf") * idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    scored = joined.groupBy("query_id", "doc_id").agg(F.round(F.sum(part), 6).alias("score"))
-    return ranked(scored, top)
+    seen = index.lists.select(F.explode(F.array_distinct("tokens")).alias("term")).join(wanted, "term", "left_semi")
+    weighed = fixed(asked.join(seen.groupBy("term").agg(F.count(F.lit(1)).alias("df")), "term").select("query_id", "term", "qtf", "df"))
+    total = index.totals.first()
+    size = weighed.agg(F.count_distinct("query_id") * 8, F.count_distinct("term"), F.coalesce(F.sum(F.length("term") + 64), F.lit(0))).first()
+    blocks = max(1, -(-max(size[0] * min(size[1], most_bytes // 64), size[2]) // most_bytes))
+    kinds = {"query_id": dict(weighed.dtypes)["query_id"], "doc_id": dict(index.lists.dtypes)["doc_id"]}
+    out = None
+    for i in range(blocks):
+        block = weighed if blocks == 1 else weighed.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i)
+        rows = block.collect()  # about most_bytes
+        sent = index.lists.sparkSession.sparkContext.broadcast([tuple(r) for r in rows])
+        part = ranked(index.lists.select("doc_id", "tokens", "dl").mapInArrow(_scored(sent, total, top), f"query_id {kinds['query_id']}, doc_id {kinds['doc_id']}, score double"), top)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def _scored(sent, total, top: int):
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        rows = sent.value
+        ids, terms = sorted({r[0] for r in rows}), sorted({r[1] for r in rows})
+        column, place = {t: k for k, t in enumerate(terms)}, {q: k for k, q in enumerate(ids)}
+        weights = np.zeros((len(terms), len(ids)))
+        for query, term, qtf, df in rows:
+            weights[column[term], place[query]] = qtf * np.log(1 + (total.n - df + 0.5) / (df + 0.5))
+        step = max(16, 2_000_000 // max(1, len(terms)))
+        for whole in batches:
+            for at in range(0, whole.num_rows, step):
+                batch = whole.slice(at, step)
+                if not rows:
+                    continue
+                tf = counts_of(batch.column(1), column, len(terms))
+                length = np.array([x or 0 for x in batch.column(2).to_pylist()], float)[:, None]
+                share = tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / (total.avgdl or 1)))
+                yield best_of(np.round(share @ weights, 6).T, ids, batch.column(0), top, lambda got: got > 0)
+
+    return run
+
+
+def counts_of(lists: pa.Array, column: dict[str, int], width: int) -> np.ndarray:
+    """How often each row's list holds each word that has a column."""
+    rows, words, names = coded(lists)
+    known = np.array([column.get(w, -1) for w in names], int)[words] if len(words) else np.zeros(0, int)
+    cells = (rows * width + known)[known >= 0]
+    return np.bincount(cells, minlength=len(lists) * width).reshape(len(lists), width).astype(float)
+
+
+def coded(lists: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """Of lists of strings: the row and the word's number of each string, and the words by number."""
+    if not len(lists):
+        return np.zeros(0, int), np.zeros(0, int), []
+    sizes = np.where(lists.is_valid().to_numpy(zero_copy_only=False), np.diff(lists.offsets.to_numpy()), 0)
+    flat = lists.flatten().dictionary_encode()
+    return np.repeat(np.arange(len(lists)), sizes), flat.indices.to_numpy(), flat.dictionary.to_pylist()
+
+
+def best_of(scores: np.ndarray, queries: list, docs: pa.Array, top: int, fine) -> pa.RecordBatch:
+    """query_id, doc_id and score of the `top` best documents of each query (a row of scores) that are fine; ties go to the smaller id."""
+    names, found = docs.to_pylist(), []
+    for query, got in zip(queries, scores):
+        at = np.flatnonzero(fine(got))
+        if len(at) > top:
+            at = at[got[at] >= np.partition(got[at], len(at) - top)[len(at) - top]]
+        found += [(query, d, float(-s)) for s, d in sorted((-got[j], names[j]) for j in at.tolist())[:top]]
+    kinds = (_kind(queries), docs.type, pa.float64())
+    return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], kind) for k, kind in enumerate(kinds)], ["query_id", "doc_id", "score"])
 
 
 def ranked(scored: DataFrame, top: int, by: str = "query_id", item: str = "doc_id", score: str = "score") -> DataFrame:
@@ -120,20 +178,16 @@ def _nearest(sent, score: str, dim: int | None, top: int, skip_self: bool):
         for whole in batches:
             for at in range(0, whole.num_rows, 4096):
                 batch = whole.slice(at, 4096)
-                docs = batch.column(0).to_pylist()
-                found: list[tuple] = []
-                matrix = np.array(batch.column(1).to_pylist(), np.float64)[:, :dim] if docs and vectors else np.zeros((0, 1))
-                for query, vector in zip(ids, vectors):
-                    if not len(matrix):
-                        break
-                    got = np.round(similarities(matrix, vector, score), 6) + 0.0
-                    fine = np.flatnonzero(~np.isnan(got) & np.array([d != query for d in docs]) if skip_self else ~np.isnan(got))
-                    if len(fine) > top:
-                        least = np.partition(got[fine], len(fine) - top)[len(fine) - top]
-                        fine = fine[got[fine] >= least]
-                    best = sorted(((-got[j], docs[j]) for j in fine.tolist()))[:top]
-                    found += [(query, d, float(-s)) for s, d in best]
-                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], kind) for k, kind in enumerate((_kind(ids), batch.schema.field(0).type, pa.float64()))], ["query_id", "doc_id", "score"])
+                if not vectors or not batch.num_rows:
+                    continue
+                matrix = np.array(batch.column(1).to_pylist(), np.float64)[:, :dim]
+                got = np.round(np.array([similarities(matrix, v, score) for v in vectors]), 6) + 0.0
+                if skip_self:
+                    place = {d: k for k, d in enumerate(batch.column(0).to_pylist())}
+                    for i, query in enumerate(ids):
+                        if query in place:
+                            got[i, place[query]] = np.nan
+                yield best_of(got, ids, batch.column(0), top, lambda x: ~np.isnan(x))
 
     return run
 
@@ -143,7 +197,7 @@ def _kind(ids: list) -> pa.DataType:
 
 
 def hashed_vectors(rows: DataFrame, dim: int = 64, tokens: Callable[[Column], Column] = segmented) -> DataFrame:
-    """chunk_id and vector: the default embedder in place of a model, signed counts of words hashed by MD5 to `dim` places, of unit length; zeros without words. rows: chunk_id, text.
+    """chunk_id and vector: the default embedder in place of a model, signed counts of words hashed by MD5 to `dim` places, of unit length; zeros without words. rows: chunk_id, text, or tokens where they are made already.
 
     As a model would, it runs on Arrow batches, a row at a time and without a shuffle.
     """
@@ -151,23 +205,27 @@ def hashed_vectors(rows: DataFrame, dim: int = 64, tokens: Callable[[Column], Co
     def run(batches) -> Iterator[pa.RecordBatch]:
         known: dict[str, tuple[int, float]] = {}
         for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                batch = whole.slice(at, 256)
-                out = np.zeros((batch.num_rows, dim))
-                for i, found in enumerate(batch.column(1).to_pylist()):
-                    for w in found or ():
-                        if w not in known:
-                            if len(known) >= 200_000:
-                                known.clear()
-                            h = hashlib.md5(w.encode()).digest()
-                            known[w] = int.from_bytes(h[:4]) % dim, 1.0 - 2 * (h[7] % 2)
-                        place, sign = known[w]
-                        out[i, place] += sign
-                sizes = np.sqrt((out * out).sum(axis=1, keepdims=True))
-                out = np.divide(out, sizes, out=out, where=sizes > 0)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(out), pa.list_(pa.float64()))], ["chunk_id", "vector"])
-
-    picked = rows.select("chunk_id", tokens(F.col("text")).alias("tokens"))
+            for at in range(0, whole.num_rows, 1024):
+                batch = whole.slice(at, 1024)
+                n = batch.num_rows
+                rows_, words, names = coded(batch.column(1))
+                hashed = []
+                for w in names:
+                    if w not in known:
+                        if len(known) >= 200_000:
+                            known.clear()
+                        h = hashlib.md5(w.encode()).digest()
+                        known[w] = int.from_bytes(h[:4]) % dim, 1.0 - 2 * (h[7] % 2)
+                    hashed.append(known[w])
+                places, signs = np.array([p for p, _ in hashed], int), np.array([s for _, s in hashed])
+                flat = np.bincount(rows_ * dim + places[words], signs[words], n * dim) if len(words) else np.zeros(n * dim)
+                out = flat.reshape(-1, dim)
+                length = np.sqrt((out * out).sum(axis=1, keepdims=True))
+                out = np.divide(out, length, out=out, where=length > 0)
+                made = pa.ListArray.from_arrays(pa.array(np.arange(0, n * dim + 1, dim), pa.int32()), pa.array(out.reshape(-1)))
+                yield pa.RecordBatch.from_arrays([batch.column(0), made], ["chunk_id", "vector"])
+
+    picked = rows.select("chunk_id", "tokens" if "tokens" in rows.columns else tokens(F.col("text")).alias("tokens"))
     return picked.mapInArrow(run, f"chunk_id {dict(rows.dtypes)['chunk_id']}, vector array<double>")
 
 
@@ -196,16 +254,17 @@ def best_per_source(lists: DataFrame, source: str) -> DataFrame:
 
 def overlap_score(question: Column, text: Column) -> Column:
     """The default scorer in place of a model: the share of a question's distinct words that a text holds, as a logit."""
-    asked = F.array_distinct(segmented(question))
-    share = F.try_divide(F.size(F.array_intersect(asked, segmented(text))).cast("double"), F.size(asked).cast("double"))
-    return F.coalesce(share, F.lit(0.0)) * 4 - 2
+    pair = F.array(F.struct(F.array_distinct(segmented(question)).alias("asked"), segmented(text).alias("words")))
+    share = F.transform(pair, lambda p: F.try_divide(F.size(F.array_intersect(p["asked"], p["words"])).cast("double"), F.size(p["asked"]).cast("double")))
+    return F.coalesce(share[0], F.lit(0.0)) * 4 - 2
 
 
 def rerank(fused: DataFrame, texts: DataFrame, questions: DataFrame, scorer: Callable[[Column, Column], Column] = overlap_score, pool: int = POOL, top: int = FINAL) -> DataFrame:
     """The pool's documents by the scorer's logistic score. Texts join here, behind the pool's limit."""
     cut = fused.filter(F.col("fused_rank") <= pool)
     full = cut.join(texts.select("doc_id", F.col("text").alias("doc_text")), "doc_id").join(questions.select("query_id", F.col("text").alias("question")), "query_id")
-    scored = full.withColumn("rerank_score", F.round(sigmoid(scorer(F.col("question"), F.col("doc_text"))), 9))
+    # in a column of its own, as the logistic function names it several times
+    scored = full.withColumn("__raw", scorer(F.col("question"), F.col("doc_text"))).withColumn("rerank_score", F.round(sigmoid(F.col("__raw")), 9)).drop("__raw")
     w = Window.partitionBy("query_id").orderBy(F.desc("rerank_score"), "fused_rank")
     return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top).drop("question")
 
@@ -235,7 +294,10 @@ class Retriever:
     @staticmethod
     def of(docs: DataFrame, embed: Embedder = hashed_vectors, tokens: Callable[[Column], Column] = segmented) -> Retriever:
         docs = docs.select("doc_id", "text")
-        return Retriever(docs, build_index(docs, tokens=tokens), fixed(embedded(docs, embed, "doc_id", "vector")), embed)
+        index = build_index(docs, tokens=tokens)
+        # the default embedder reads the words that the index has
+        vectors = embed(index.lists.select(F.col("doc_id").alias("chunk_id"), "tokens")).toDF("doc_id", "vector") if embed is hashed_vectors else embedded(docs, embed, "doc_id", "vector")
+        return Retriever(docs, index, fixed(vectors), embed)
 
 
 @dataclass

@@ -24,13 +24,16 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def fixed(rows: DataFrame) -> DataFrame:
-    """rows written there as Parquet and read again, so that a lost executor costs a task; deleted when the interpreter ends."""
+    """rows written there as Parquet and read again, so that a lost executor costs a task; deleted when the interpreter ends.
+
+    Row groups are small, so that what one task wrote can be read by several.
+    """
     spark = rows.sparkSession
     path = f"{shared_dir(spark)}/corpuswright/{uuid.uuid4().hex}"
     if not _made:
         atexit.register(_forget)
     _made.append((spark, path))
-    rows.write.option("compression", "zstd").parquet(path)
+    rows.write.option("compression", "zstd").option("parquet.block.size", 8 << 20).parquet(path)
     return spark.read.schema(rows.schema).parquet(path)
 
 
