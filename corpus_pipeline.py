@@ -2,6 +2,8 @@
 
 Every stage takes the rows that the one before kept and returns those that it keeps, with the columns of documents; the
 last returns pieces. Between stages the rows are written as Parquet in the shared folder and read again.
+
+Each stage reads whole texts of any length, takes an empty table (and gives an empty one) and columns of any other name.
 """
 
 from __future__ import annotations
@@ -12,27 +14,27 @@ from corpuswright.llm import common, decontam, exactdup, langid, neardup, packin
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can't be told with confidence, and those without a letter, go."""
+    """Documents whose language can't be told with confidence go, and so do null and empty texts and those without a letter. Repeated rows and rows without an id are judged each; the model learns from rows with id, text and lang."""
     return langid.keep_identified(docs, langid.fit(langid.learnable(docs)))
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the smallest doc_id stays."""
+    """Of equal texts the smallest doc_id stays, an id before none; null counts as empty. Of rows that repeat id and text one stays."""
     return exactdup.drop_exact_duplicates(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays."""
+    """One document of each group of near copies stays, the one with the smallest doc_id. Null and empty texts and rows without an id are in no group and stay."""
     return neardup.drop_near_duplicates(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a passage of the benchmark go."""
+    """Documents with a passage of the benchmark go. Null and empty texts stay; items without words hit nothing."""
     return decontam.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents' tokens in sequences of 2048."""
+    """Pieces of the documents' tokens in sequences of 2048. A null or empty text is its end token alone; every row, repeated ones and those without an id too, is packed."""
     return packing.pack(docs).drop("n_pieces")
 
 
