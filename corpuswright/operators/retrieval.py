@@ -14,7 +14,7 @@ from pyspark.sql.window import Window
 
 from ..functions.text import sigmoid
 from ..functions.tokenize import segmented
-from ..plans.shared import fixed
+from ..plans.shared import fixed, together
 
 TOP, POOL, FINAL, RRF_K = 20, 20, 5, 60
 K1, B = 1.5, 0.75
@@ -329,11 +329,13 @@ def retrieve_multi(retriever: Retriever, queries: DataFrame, top: int = TOP) ->
     A document keeps its best score of each kind, with the rank it had there. What is kept is a few rows a question.
     """
     asked = fixed(variants(queries).withColumn("asked", F.xxhash64(F.col("query_id").cast("string"), "place")))
-    lexical = bm25(retriever.index, asked.select(F.col("asked").alias("query_id"), "text"), top=top)
     vectors = embedded(asked, retriever.embed, "asked", "qvector").withColumnRenamed("asked", "query_id")
-    near = dense(retriever.vectors, vectors, top=top)
+    lexical, near = together(
+        lambda: fixed(bm25(retriever.index, asked.select(F.col("asked").alias("query_id"), "text"), top=top)),
+        lambda: fixed(dense(retriever.vectors, vectors, top=top)),
+    )
     named = lambda rows, odd: rows.withColumnRenamed("query_id", "asked").join(asked.select("asked", "query_id", "place"), "asked").select("query_id", (F.col("place") * 2 + odd).alias("list"), "doc_id", "score", "rank")
-    lists = fixed(named(lexical, 0).unionByName(named(near, 1)))
+    lists = named(lexical, 0).unionByName(named(near, 1))
     fused = rrf(lists)
     for kind, odd in (("bm25", 0), ("dense", 1)):
         fused = fused.join(best_per_source(lists.filter(f"list % 2 = {odd}"), kind), ["query_id", "doc_id"], "left")

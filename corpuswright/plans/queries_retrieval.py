@@ -12,7 +12,7 @@ from ..functions import tokenize
 from ..operators import citations, evaluation, gate, metrics, retrieval, windows
 from . import index_build
 from .catalogue import query, table
-from .shared import fixed
+from .shared import fixed, together
 
 _TOKENS = r"list_filter(string_split_regex(lower({}), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '')"
 _LISTS = f"lists AS (SELECT doc_id, {_TOKENS.format('text')} AS t FROM documents)"
@@ -155,8 +155,9 @@ def retrieval_diagnostics(spark, sf_dir):
 h AS (SELECT q.query_id, min(rank) FILTER (fi.doc_id IS NOT NULL) AS hit_rank FROM (SELECT DISTINCT query_id FROM gold) q LEFT JOIN (SELECT fi.* FROM fi JOIN gold USING (query_id, doc_id)) fi USING (query_id) GROUP BY 1)
 SELECT count(*) AS queries, avg((hit_rank IS NOT NULL)::INT::DOUBLE) AS recall, round(avg(coalesce(1.0 / hit_rank, 0)), 9) AS mrr FROM h""")
 def recall_mrr(spark, sf_dir):
-    docs, asked, truth = table(spark, sf_dir, "documents"), questions(spark, sf_dir), gold(spark, sf_dir)
-    final = retrieval.rerank(retrieval.hybrid(docs, asked), docs, asked)
+    docs, asked = table(spark, sf_dir, "documents"), questions(spark, sf_dir)
+    truth, fused = together(lambda: gold(spark, sf_dir), lambda: retrieval.hybrid(docs, asked))
+    final = retrieval.rerank(fused, docs, asked)
     return _recall(final.select("query_id", "doc_id", "rank"), truth)
 
 
@@ -175,8 +176,8 @@ al2 AS (SELECT 'lexical' AS config, query_id, doc_id, rank FROM bm WHERE rank <=
 h AS (SELECT config, q.query_id, min(rank) AS hit_rank FROM (SELECT DISTINCT query_id FROM gold) q CROSS JOIN (SELECT DISTINCT config FROM al2) LEFT JOIN (SELECT al2.* FROM al2 JOIN gold USING (query_id, doc_id)) x USING (config, query_id) GROUP BY 1, 2)
 SELECT config, count(*) AS queries, avg((hit_rank IS NOT NULL)::INT::DOUBLE) AS recall, round(avg(coalesce(1.0 / hit_rank, 0)), 9) AS mrr FROM h GROUP BY 1""")
 def config_matrix(spark, sf_dir):
-    docs, asked, truth = table(spark, sf_dir, "documents"), questions(spark, sf_dir), gold(spark, sf_dir)
-    found = retrieval.retrieve(retrieval.Retriever.of(docs), asked)
+    docs, asked = table(spark, sf_dir, "documents"), questions(spark, sf_dir)
+    truth, found = together(lambda: gold(spark, sf_dir), lambda: retrieval.retrieve(retrieval.Retriever.of(docs), asked))
     final = retrieval.rerank(found.fused, docs, asked)
     lists = [("lexical", found.lexical), ("dense", found.dense), ("fused", found.fused.withColumnRenamed("fused_rank", "rank")), ("reranked", final)]
     every = None

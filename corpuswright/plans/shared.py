@@ -5,8 +5,11 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.util import inheritable_thread_target
 
 _made: list[tuple[SparkSession, str]] = []
 
@@ -37,6 +40,13 @@ def fixed(rows: DataFrame) -> DataFrame:
     return spark.read.schema(rows.schema).parquet(path)
 
 
+def together(*tasks: Callable):
+    """What the tasks give, in order. Their jobs run beside each other, so that a small one doesn't wait for a large one's last task; the first error is raised."""
+    with ThreadPoolExecutor(len(tasks)) as pool:
+        futures = [pool.submit(inheritable_thread_target(task)) for task in tasks]
+        return [f.result() for f in futures]
+
+
 def _forget() -> None:
     for spark, path in _made:
         try:
