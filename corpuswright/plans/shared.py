@@ -42,8 +42,9 @@ def fixed(rows: DataFrame) -> DataFrame:
 
 def together(*tasks: Callable):
     """What the tasks give, in order. Their jobs run beside each other, so that a small one doesn't wait for a large one's last task; the first error is raised."""
+    as_here = inheritable_thread_target(SparkSession.active())
     with ThreadPoolExecutor(len(tasks)) as pool:
-        futures = [pool.submit(inheritable_thread_target(task)) for task in tasks]
+        futures = [pool.submit(as_here(task)) for task in tasks]
         return [f.result() for f in futures]
 
 

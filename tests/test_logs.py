@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpuswright.operators import trace
-from corpuswright.plans import settings
+from corpuswright.plans import settings, shared
 from corpuswright.streaming import events as streams
 
 RECORDS = [
@@ -98,3 +98,11 @@ def test_settings(spark):
     assert models.get("embedder", "hashed") and models.get("answerer", "extractive")
     with pytest.raises(LookupError, match="hashed"):
         models.get("embedder", "none")
+
+
+def test_jobs_together(spark):
+    assert shared.together(lambda: spark.range(3).count(), lambda: "x") == [3, "x"]
+    with pytest.raises(ZeroDivisionError):
+        shared.together(lambda: 1, lambda: 1 // 0)
+    rows = spark.range(50).toDF("i")
+    assert shared.fixed(rows).count() == 50 and shared.fixed(rows.limit(0)).columns == ["i"]
