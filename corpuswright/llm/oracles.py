@@ -48,4 +48,53 @@ SELECT page_id, CAST(strlen(body) AS BIGINT) AS payload_bytes,
 FROM f
 """
 
-SQL = {"op1_decontam": _DECONTAM, "op5_near_dedup": _NEAR, "op9_exact_dedup": _EXACT, "op10_warc": _WARC}
+_CRC = "list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda ch: CAST(ascii(ch) AS BIGINT))), lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda r, k: xor(r >> 1, (r & 1) * 3988292384)))"
+_FIELD = "coalesce(CAST(strlen(CAST({0} AS VARCHAR)) AS VARCHAR) || ':' || CAST({0} AS VARCHAR), '-')"
+
+
+def _row(text: str) -> str:
+    return " || ".join(_FIELD.format(c) for c in ("doc_id", "source", "lang", "n_chars", text))
+
+
+_MERKLE = rf"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, source, sha256({_row("text")}) AS leaf, CASE WHEN xor({_CRC}, 4294967295) % 5 = 0 THEN sha256({_row(_LOWER.format("text"))}) END AS changed FROM documents),
+l AS (SELECT *, coalesce('s' || source, '-') AS grp, row_number() OVER w - 1 AS pos, count(*) OVER (PARTITION BY source) AS n
+      FROM d WINDOW w AS (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf)),
+below(lv, grp, pos, n, h) AS (
+  SELECT 0, grp, pos, n, leaf FROM l
+  UNION ALL SELECT max(lv) + 1, grp, pos // 16, (max(n) + 15) // 16, sha256(string_agg(h, '' ORDER BY pos)) FROM below WHERE n > 1 GROUP BY grp, pos // 16),
+s AS (SELECT grp, h, lv AS deep, row_number() OVER (ORDER BY grp) - 1 AS pos, count(*) OVER () AS n FROM below WHERE n = 1),
+above(lv, pos, n, h) AS (
+  SELECT 0, pos, n, h FROM s
+  UNION ALL SELECT max(lv) + 1, pos // 16, (max(n) + 15) // 16, sha256(string_agg(h, '' ORDER BY pos)) FROM above WHERE n > 1 GROUP BY pos // 16),
+root AS (SELECT h AS root FROM above WHERE n = 1),
+nodes AS (SELECT grp, lv, pos, h FROM below WHERE n > 1 UNION ALL SELECT '', lv, pos, h FROM above WHERE n > 1),
+sides AS (SELECT a.grp, a.lv, a.pos, coalesce(string_agg(b.h, '' ORDER BY b.pos) FILTER (b.pos < a.pos), '') AS l, coalesce(string_agg(b.h, '' ORDER BY b.pos) FILTER (b.pos > a.pos), '') AS r
+          FROM nodes a JOIN nodes b ON a.grp = b.grp AND a.lv = b.lv AND a.pos // 16 = b.pos // 16 GROUP BY ALL),
+steps AS (SELECT l.doc_id, l.leaf, l.grp, l.pos, lv AS step, x.l, x.r FROM l JOIN sides x ON x.grp = l.grp AND x.pos = l.pos // CAST(16 ** lv AS BIGINT)
+          UNION ALL SELECT l.doc_id, l.leaf, l.grp, l.pos, s.deep + lv, x.l, x.r FROM l JOIN s ON s.grp = l.grp JOIN sides x ON x.grp = '' AND x.pos = s.pos // CAST(16 ** lv AS BIGINT)),
+fold(grp, pos, step, h) AS (
+  SELECT grp, pos, 0, coalesce(changed, leaf) FROM l
+  UNION ALL SELECT f.grp, f.pos, f.step + 1, sha256(t.l || f.h || t.r) FROM fold f JOIN steps t ON t.grp = f.grp AND t.pos = f.pos AND t.step = f.step),
+ends AS (SELECT grp, pos, arg_max(h, step) AS folded_root FROM fold GROUP BY ALL),
+proof AS (SELECT grp, pos, sha256(string_agg(l || r, '' ORDER BY step)) AS p FROM steps GROUP BY ALL)
+SELECT doc_id, leaf, s.h AS subroot, root, coalesce(p, sha256('')) AS proof_sha256, folded_root, folded_root = root AS verified
+FROM l JOIN s USING (grp) CROSS JOIN root JOIN ends e ON e.grp = l.grp AND e.pos = l.pos LEFT JOIN proof p ON p.grp = l.grp AND p.pos = l.pos
+"""
+
+_NEGATIVES = """
+WITH e AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v,
+                  row_number() OVER () AS k
+           FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.k AS ak, a.vec_id AS anchor_id, b.k, b.vec_id, a.label = b.label AS same, CAST(list_inner_product(a.v, b.v) AS BIGINT) AS score
+      FROM e a JOIN e b ON a.k <> b.k WHERE a.vec_id % 100 = 0),
+p AS (SELECT ak, anchor_id, k, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+      QUALIFY row_number() OVER (PARTITION BY ak ORDER BY score DESC, vec_id, k) <= 5)
+SELECT p.anchor_id, positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, s.vec_id AS negative_id, positive_score, s.score AS negative_score
+FROM p JOIN s ON s.ak = p.ak AND NOT s.same AND 30 * positive_score <= 100 * s.score AND 100 * s.score <= 90 * positive_score
+WINDOW w AS (PARTITION BY p.ak, p.k ORDER BY s.score DESC, s.vec_id, s.k)
+QUALIFY row_number() OVER w <= 10
+"""
+
+SQL = {"op1_decontam": _DECONTAM, "op5_near_dedup": _NEAR, "op9_exact_dedup": _EXACT, "op10_warc": _WARC, "op11_merkle": _MERKLE, "op12_hard_negatives": _NEGATIVES}
