@@ -1,7 +1,7 @@
 """Main text of pages by wrapper induction.
 
-A page is parsed to blocks of text, each under a node of the page's tree; runs of siblings with one label (tag and classes)
-are folded into one node, so that a tree is its layout. Pages of a host are aligned by simple tree matching: a wrapper
+A page is parsed to blocks of text, each under a node of the page's tree; siblings with one label (tag and classes) are folded
+into one node, so that a tree is its layout and no longer than its labels. Pages of a host are aligned by simple tree matching: a wrapper
 grows by the nodes that no earlier page had, and each of its nodes counts the block texts seen there. A text that most of a
 host's pages share at a node, over several different pages, is constant and so template; varying slots are content. What
 elements, roles and class names say (navigation, adverts, forms, comments and so on) is left out as well, inline elements
@@ -30,9 +30,9 @@ from pyspark.sql import functions as F
 from .common import staged
 from .neardup import groups
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|([^<]+|<)", re.S)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]|=\s*(?:\"[^\"]*\"|'[^']*')?)*+)>|([^<]+|<)", re.S)
 _REST = re.compile(r"()()()((?:(?!<(?:!--|/?[a-zA-Z])).)*)", re.S)
-_ATTRIBUTE = re.compile(r"([^\s=\"'>/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+_ATTRIBUTE = re.compile(r"([^\s=\"'>/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>][^\s>]*)))?")
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 # fixed values: elements by their part in a page
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -46,6 +46,9 @@ _ROLES = frozenset("navigation banner contentinfo complementary search form aler
 _WORDS = frozenset("ad ads adsense adsbygoogle adv advert adverts advertisement advertising alert announcement sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices popup modal overlay sidebar menu nav navbar navigation breadcrumb breadcrumbs pagination pager footer masthead comment comments disqus respond replies related recommended share sharing social newsletter subscribe subscription signup login search widget toolbar hidden".split())
 _AROUND = frozenset("area article articles banner bar block bottom box btn button buttons center col column container content desktop entry fixed form global google group header icon icons inner item items left link links list main media message mobile module outer page panel policy post posts primary region right row secondary section site slot sticky story text title top unit visually wrap wrapper zone".split())
 _TOP = frozenset("header site page top main global primary bar inner wrap wrapper container".split())
+#: These decide as the last word of a name, unless its first one says that the name is a state of the page.
+_HEADS = frozenset("comment comments notice notices advert adverts advertisement advertisements".split())
+_STATES = frozenset("no has have with without is not non show enable disable hide".split())
 _UNSEEN = frozenset("sr-only screen-reader-text".split())
 _SPARED = frozenset("html body main article".split())
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -70,25 +73,32 @@ def attributes(raw: str) -> dict[str, str]:
 def described(tag: str, raw: str) -> tuple[str, int, bool, int]:
     """An element's label, whether it is beside the text (2 by what it is, 1 by its class or id), whether it is a header (which is beside the text outside of an article), and its rank as a container of text.
 
-    A class or id speaks for an element beside the text if it consists of such a word and of words for parts of a page:
-    `share`, `share-links` and `cookieNotice` do, `share-price`, `hidden-xs` and `no-sidebar` don't.
+    A class or id speaks for an element beside the text if it consists of such a word and of words for parts of a page, or if
+    its last word is one for comments, notices or adverts: `share`, `share-links`, `cookieNotice`, `reader-comments` and
+    `legal-notice` do, `share-price`, `hidden-xs`, `no-sidebar`, `has-comments` and `comment-free-zone` don't.
     """
     at = attributes(raw)
-    named = [(x.lower(), {w.lower() for w in _NAME.findall(x)}) for x in f"{at.get('class', '')} {at.get('id', '')}".split()]
+    named = [(x.lower(), [w.lower() for w in _NAME.findall(x)]) for x in f"{at.get('class', '')} {at.get('id', '')}".split()]
     label = ".".join([tag, *sorted({w.lower() for w in _NAME.findall(at.get("class", ""))})])
     role, style = at.get("role", "").lower(), at.get("style", "").replace(" ", "").lower()
     aside = 2 * (tag in _ASIDE or role in _ROLES or "hidden" in at or at.get("aria-hidden") == "true" or "display:none" in style or "visibility:hidden" in style)
     if tag not in _SPARED:
-        aside = aside or +any(x in _UNSEEN or (words & _WORDS and words <= _WORDS | _AROUND) for x, words in named)
+        aside = aside or +any(x in _UNSEEN or beside_text(words) for x, words in named)
     elif tag == "article":
-        aside = aside or +any(words & {"comment", "comments"} for _, words in named)
+        aside = aside or +any({"comment", "comments"} & {*words} for _, words in named)
     rank = 3 if tag == "article" else 2 if tag == "main" or role == "main" else 0
-    header = tag == "header" or (tag not in _SPARED | _HEADINGS and any("header" in words and words <= _TOP for _, words in named))
+    header = tag == "header" or (tag not in _SPARED | _HEADINGS and any("header" in words and _TOP.issuperset(words) for _, words in named))
     return label, aside, header, rank
 
 
+def beside_text(words: list[str]) -> bool:
+    if not words:
+        return False
+    return (not _WORDS.isdisjoint(words) and (_WORDS | _AROUND).issuperset(words)) or (words[-1] in _HEADS and words[0] not in _STATES)
+
+
 def parse(page: str) -> tuple[Node, list[tuple[Node, str, bool, int]]]:
-    """The page's folded tree and its blocks in order: node, text, whether a heading inside the article, rank of the container.
+    """The page's folded tree and its blocks in order: node, text, whether a heading inside the article, rank of the container (3 article, 2.5 a title beside it, 2 main, 0 page).
 
     Text of an element beside the text is left out. Only elements that are blocks end a block, so an inline advert or hidden
     span leaves the block around it whole; what is inside an element beside the text ends none.
@@ -100,6 +110,7 @@ def parse(page: str) -> tuple[Node, list[tuple[Node, str, bool, int]]]:
     blocks: list[tuple[Node, str, bool, int]] = []
     buffer: list[str] = []
     where = stack[0]
+    folds: dict[tuple[int, str], Node] = {}  # a node's child of each label
 
     def flush() -> None:
         if buffer:
@@ -161,13 +172,12 @@ def parse(page: str) -> tuple[Node, list[tuple[Node, str, bool, int]]]:
         # a main element inside one with the class sidebar-left or so shows that the class spoke of the layout
         parent, beside = up[1], aside if up[2] == 1 and tag == "main" else max(up[2], aside)
         if tag == "h1" and up[3] == 2:  # a title beside the article
-            rank = 3
+            rank = 2.5
         if len(stack) >= DEEPEST:
             node = parent
-        elif parent.kids and parent.kids[-1].label == label:
-            node = parent.kids[-1]
-        else:
+        elif (node := folds.get((id(parent), label))) is None:
             parent.kids.append(node := Node(label))
+            folds[id(parent), label] = node
         opened[tag].append(len(stack))
         stack.append((tag, node, beside, max(up[3], rank), len(stack) if tag in _BLOCK else up[4], tag in _HEADINGS and up[3] >= 2))
     flush()
@@ -182,30 +192,46 @@ def skeleton(node: Node) -> tuple:
 @lru_cache(1 << 16)
 def matching(a: tuple, b: tuple) -> int:
     """Simple tree matching: nodes in the largest match of two trees that keeps labels, order and ancestors."""
-    return 1 + table(a[1:], b[1:])[-1][-1] if a[0] == b[0] else 0
+    return 1 + best_pairs(a[1:], b[1:])[0] if a[0] == b[0] else 0
+
 
+def best_pairs(a: tuple, b: tuple) -> tuple[int, tuple | None]:
+    """The most nodes that pairs of children can match in order, and the pairs as a chain from the last: (i, j, the rest).
 
-def table(a: tuple, b: tuple) -> list[list[int]]:
-    out = [[0] * (len(b) + 1)]
-    for x in a:
-        row, above = [0], out[-1]
-        for j, y in enumerate(b):
-            row.append(max(row[j], above[j + 1], above[j] + matching(x, y)))
-        out.append(row)
-    return out
+    Only children of one label can be a pair. So instead of a table of all places, pairs are met by label in the order of a,
+    and a tree of prefix maxima over b's places gives the best chain that each can go on from.
+    """
+    places: dict[str, list[int]] = {}
+    for j in range(len(b) - 1, -1, -1):
+        places.setdefault(b[j][0], []).append(j)
+    top: list[tuple[int, tuple | None]] = [(0, None)] * (len(b) + 1)
+    for i, x in enumerate(a):
+        for j in places.get(x[0], ()):  # from the last, so that no chain holds i twice
+            size, chain = 0, None
+            k = j
+            while k:
+                if top[k][0] > size:
+                    size, chain = top[k]
+                k &= k - 1
+            new, k = (size + matching(x, b[j]), (i, j, chain)), j + 1
+            while k <= len(b):
+                if top[k][0] < new[0]:
+                    top[k] = new
+                k += k & -k
+    size, chain, k = 0, None, len(b)
+    while k:
+        if top[k][0] > size:
+            size, chain = top[k]
+        k &= k - 1
+    return size, chain
 
 
 def aligned(a: tuple, b: tuple) -> list[tuple[int, int]]:
     """Places of the children of a and b that the largest match pairs."""
-    score, i, j, out = table(a[1:], b[1:]), len(a) - 1, len(b) - 1, []
-    while i and j:
-        if score[i][j] == score[i - 1][j]:
-            i -= 1
-        elif score[i][j] == score[i][j - 1]:
-            j -= 1
-        else:
-            i, j = i - 1, j - 1
-            out.append((i, j))
+    chain, out = best_pairs(a[1:], b[1:])[1], []
+    while chain:
+        out.append(chain[:2])
+        chain = chain[2]
     return out[::-1]
 
 
@@ -237,15 +263,16 @@ class Wrapper:
             for kid in layout[1:]:
                 self._place(None, kid, out, grow)
             return
-        pairs = dict((j, i) for i, j in aligned(skeleton(node), layout)) if node.kids else {}
-        found: list[Node | None] = [node.kids[pairs[j]] if j in pairs else None for j in range(len(layout) - 1)]
-        if grow:
-            at = 0
-            for j, kid in enumerate(layout[1:]):
-                if found[j] is None:
-                    found[j] = Node(kid[0])
-                    node.kids.insert(at, found[j])
-                at = next(k for k, x in enumerate(node.kids) if x is found[j]) + 1
+        pairs = {j: i for i, j in aligned(skeleton(node), layout)} if node.kids else {}
+        found: list[Node | None] = [node.kids[pairs[j]] if j in pairs else Node(kid[0]) if grow else None for j, kid in enumerate(layout[1:])]
+        if grow and len(pairs) < len(found):
+            kids, at = [], 0
+            for j, x in enumerate(found):  # a new node comes right behind the one before it
+                if j in pairs:
+                    kids += node.kids[at : pairs[j]]
+                    at = pairs[j] + 1
+                kids.append(x)
+            node.kids = kids + node.kids[at:]
         for x, kid in zip(found, layout[1:]):
             self._place(x, kid, out, grow)
 
@@ -329,13 +356,20 @@ def hashed(text: str) -> int:
 
 
 def main_text(page: str, wrapper: Wrapper | None, share: float = 0.6, least: int = 5) -> str:
-    """The page's blocks that the wrapper doesn't call constant. Headings inside the article stay however often a host has them; of the blocks only those in the best container stay: article, else main, else the page."""
+    """The page's blocks that the wrapper doesn't call constant. Headings inside the article stay however often a host has them.
+
+    Of the blocks only those in the best container stay: the articles, where main's text outside of them is no longer than
+    theirs, else main with what is in it, else the page.
+    """
     root, blocks = parse(page)
     if wrapper is not None and wrapper.pages >= least:
         of = {id(x): w for x, w in zip(walk(root), wrapper.place(skeleton(root), False))}
         blocks = [b for b in blocks if b[2] or not wrapper.constant(of[id(b[0])], b[1], share, least)]
-    rank = max((b[3] for b in blocks), default=0)
-    return "\n\n".join(b[1] for b in blocks if b[3] == rank)
+    sizes: defaultdict[float, int] = defaultdict(int)
+    for _, text, _, rank in blocks:
+        sizes[rank] += len(text)
+    least = 2.5 if sizes[3] and sizes[3] >= sizes[2] else 2 if sizes[2] or sizes[2.5] else 3 if sizes[3] else 0
+    return "\n\n".join(b[1] for b in blocks if b[3] >= least)
 
 
 def merged(parts: DataFrame) -> DataFrame:

@@ -1,4 +1,5 @@
 import random
+import time
 from html.parser import HTMLParser
 
 import pytest
@@ -50,7 +51,9 @@ def test_deep_and_broken_pages():
     w = H.Wrapper()
     for page in ("<div>" * 5000 + "x" + "</div>" * 9000 + "y", "<b>" * 20_000 + "x<p>y", "<p><i>" * 3000 + "x<p>y", "<" * 10_000 + "<p>x", "</p></div>x<p>y", '<p title="a>x</p><p>y', "<p>x" + "<a " * 50_000, "<p>x" + "<a '" * 50_000, "<p>x" + "<!--" * 30_000, "x<p>y<"):
         w.add(page)
-        assert H.main_text(page, H.Wrapper.load(w.dump()))
+        own = H.Wrapper()
+        own.add(page)
+        assert H.main_text(page, H.Wrapper.load(own.dump())) and H.main_text(page, H.Wrapper.load(w.dump())) is not None
 
 
 def test_what_does_not_end_is_left_out():
@@ -187,39 +190,61 @@ class Dom(HTMLParser):
         self.stack[-1][2].append(data)
 
 
-BLOCKS, GONE = ("div", "p", "h1", "h2", "article", "ul", "li", "section", "nav", "aside", "footer", "header", "form", "body"), ("nav", "aside", "footer", "form", "button", "label", "script")
+BLOCKS, GONE = ("div", "p", "h1", "h2", "article", "main", "ul", "li", "section", "nav", "aside", "footer", "header", "form", "body"), ("nav", "aside", "footer", "form", "button", "label", "script")
+GONE_CLASSES = ("ad", "share-links", "comments", "reader-comments", "userComments", "legal-notice", "top_notice", "comment-list", "text-advert")
 
 
 def brute(page):
-    """What main_text should give without a wrapper, from a tree: the articles' subtrees if they have text, else the page's."""
+    """What main_text should give without a wrapper, from a tree: blocks of text with the container that each is in, of which one kind is chosen."""
+    out = []  # text and container, or None where a block ends
 
-    def gone(tag, at, inside):
-        return tag in GONE or "hidden" in at or at.get("class") in ("ad", "share-links", "comments") or (tag == "header" and not inside)
-
-    def find(x):
-        return [x] if x[0] == "article" else [y for k in x[2] if not isinstance(k, str) and not gone(k[0], k[1], False) for y in find(k)]
-
-    def write(x, inside):
+    def write(x, kind, gone):
+        """gone: 2 below what is beside the text by its kind, 1 by its class alone, which a main element in it overrules."""
         if isinstance(x, str):
-            return x
+            if not gone:
+                out.append((x, kind))
+            return
         tag, at, kids = x
         if tag == "br":
-            return " "
-        if gone(tag, at, inside):
-            return "\0" if tag in BLOCKS else ""
-        text = "".join(write(k, inside or tag == "article") for k in kids)
-        return f"\0{text}\0" if tag in BLOCKS else text
-
-    root = Dom(page).stack[0]
-    found = find(root)
-    joined = lambda text: "\n\n".join(b for b in (" ".join(b.split()) for b in text.split("\0")) if b)
-    return joined("\0".join(write(x, True) for x in found)) or joined(write(root, False))
+            if not gone:
+                out.append((" ", kind))
+            return
+        edge = tag in BLOCKS and not gone
+        if edge:
+            out.append(None)
+        own = 2 if tag in GONE or "hidden" in at or (tag == "header" and kind == "page") else 1 if at.get("class") in GONE_CLASSES else 0
+        gone = own if gone == 1 and tag == "main" else max(gone, own)
+        kind = "article" if "article" in (tag, kind) else "main" if "main" in (tag, kind) and tag != "h1" else "title" if kind in ("main", "title") else kind
+        for k in kids:
+            write(k, kind, gone)
+        if edge:
+            out.append(None)
+
+    write(Dom(page).stack[0], "page", 0)
+    blocks, now = [], []
+    for x in [*out, None]:
+        if x is not None:
+            now.append(x)
+        elif now:
+            text = " ".join("".join(t for t, _ in now).split())
+            if text:
+                blocks.append((text, now[0][1]))
+            now = []
+    size = lambda kind: sum(len(t) for t, k in blocks if k == kind)
+    held = {k for _, k in blocks}
+    if "article" in held and size("article") >= size("main"):
+        chosen = {"article", "title"}
+    elif held & {"main", "title"}:
+        chosen = {"article", "main", "title"}
+    else:
+        chosen = held
+    return "\n\n".join(t for t, k in blocks if k in chosen)
 
 
 def test_against_a_tree_of_the_page():
     r = random.Random(8)
-    words = ["a", "b &amp; c", "é", "x\n y", " ", "&lt;p&gt;", "1&nbsp;2"]
-    marks = ["", "", "", " hidden", " class=ad", " class='share-links'", " class=comments", " class='share-price'", " class=body", " id='x'"]
+    words = ["a", "b &amp; c", "é", "x\n y", " ", "&lt;p&gt;", "1&nbsp;2", "a long run of words"]
+    marks = ["", "", "", "", " hidden", *(f" class='{c}'" for c in GONE_CLASSES), " class=ad", " class='share-price'", " class=body", " id='x'", " class=no-comments", " class='comment-free-zone'", " title=it's", " title=\"it's > that\"", " title='a \"b\" > c'", " data-x=a'b'c\"d class=body"]
 
     def inline(d):
         if d == 0 or r.random() < 0.5:
@@ -227,14 +252,49 @@ def test_against_a_tree_of_the_page():
         tag = r.choice(["b", "i", "span", "a", "button", "label"])
         return f"<{tag}{r.choice(marks)}>{''.join(inline(d - 1) for _ in range(r.randrange(3)))}</{tag}>"
 
-    def block(d, in_article=False):
+    def block(d, inside=()):
         if d == 0 or r.random() < 0.3:
-            tag = r.choice(["p", "h1", "h2"])
+            tag = r.choice(["p", "p", "h1", "h2"])
             return f"<{tag}{r.choice(marks)}>{' '.join(inline(2) for _ in range(r.randrange(4)))}</{tag}>"
-        tag = r.choice(["div", "div", "section", "ul", "nav", "aside", "footer", "header", "form", "div" if in_article else "article"])
-        kids = (f"<li>{inline(2)}</li>" if tag == "ul" else r.choice([inline(1), block(d - 1, in_article or tag == "article"), block(d - 1, in_article or tag == "article")]) for _ in range(r.randrange(4)))
-        return f"<{tag}{r.choice(marks) if tag != 'article' else ''}>{''.join(kids)}</{tag}>"
+        tag = r.choice(["div", "div", "section", "ul", "nav", "aside", "footer", "header", "form", "div" if "article" in inside else "article", "div" if inside else "main"])
+        own = (*inside, tag) if tag in ("article", "main") else inside
+        kids = (f"<li>{inline(2)}</li>" if tag == "ul" else r.choice([inline(1), block(d - 1, own), block(d - 1, own)]) for _ in range(r.randrange(4)))
+        return f"<{tag}{r.choice(marks) if tag not in ('article', 'main') else ''}>{''.join(kids)}</{tag}>"
 
-    for _ in range(3000):
+    kinds = set()
+    for _ in range(6000):
         page = f"<html><body>{''.join(block(4) for _ in range(r.randrange(1, 5)))}<script>var a='<p>';</script></body></html>"
-        assert H.main_text(page, None) == brute(page), page
+        want = brute(page)
+        assert H.main_text(page, None) == want, page
+        kinds.add(("<main" in page, "<article" in page, bool(want)))
+    assert len(kinds) == 8
+
+
+def test_main_with_a_teaser():
+    assert H.main_text("<main><p>Long text of the page.</p><article><p>teaser</p></article></main>", None) == "Long text of the page.\n\nteaser"
+    assert H.main_text("<main><h1>T</h1><p>x</p></main>", None) == "T\n\nx"
+    assert H.main_text("<p>out</p><main><article><p>The text itself.</p></article><p>More</p></main>", None) == "The text itself."
+
+
+def test_names_of_comments_and_notices():
+    for name in ("user-comments", "reader-comments", "legal-notice", "siteNotice", "comment-list", "comments-list", "inline_advert"):
+        assert H.main_text(f"<p>a</p><div class='{name}'><p>b</p></div>", None) == "a", name
+    for name in ("has-comments", "no-notice", "comment-free-zone", "noticeable", "commentary"):
+        assert H.main_text(f"<p>a</p><div class='{name}'><p>b</p></div>", None) == "a\n\nb", name
+
+
+def test_quotes_inside_values():
+    assert H.main_text("<p title=it's>one</p>", None) == "one"
+    assert H.main_text("<p title=it's class=ad>one</p><p>two", None) == "two"
+    assert H.main_text("<p title = 'a>b' class = \"body\">one</p>", None) == "one"
+    for page in ("<p " + "a='" * 40_000 + ">x", "<p " + "=" * 40_000 + ">x", '<a ="' * 40_000 + ">x", "<p " + "= " * 40_000):  # in linear time
+        H.main_text(page, None)
+
+
+def test_long_pages_are_aligned_in_time():
+    began, w, n = time.time(), H.Wrapper(), 10_000
+    w.add("<div>" + "<h3>a</h3><p>b</p>" * n + "</div>")
+    w.add("<div>" + "<h3>a</h3><p>b</p><ul><li>x</ul>" * n + "</div>")
+    for k in range(2):  # labels of which half are new, in another order
+        w.add("<div>" + "".join(f"<p class={'abcdefghij'[i % 10]}{'klmnop'[i // 10 % 6]}{'qrstuvw'[i // 60 % 7]}{chr(97 + i // 420)}{'xy'[(i + k) % 2]}>t</p>" for i in sorted(range(n), key=lambda i: (i % (3 + k), i))) + "</div>")
+    assert time.time() - began < 15
