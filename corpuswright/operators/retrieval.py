@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -14,7 +15,7 @@ from pyspark.sql.window import Window
 
 from ..functions.text import sigmoid
 from ..functions.tokenize import segmented
-from ..plans.shared import fixed, together
+from ..plans.shared import fixed, spread, together
 
 TOP, POOL, FINAL, RRF_K = 20, 20, 5, 60
 K1, B = 1.5, 0.75
@@ -31,7 +32,7 @@ class Index:
 
 
 def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokens: Callable[[Column], Column] = segmented) -> Index:
-    lists = fixed(docs.select(F.col(id_col).alias("doc_id"), tokens(F.col(text_col)).alias("tokens")).withColumn("dl", F.size("tokens")))
+    lists = fixed(spread(docs).select(F.col(id_col).alias("doc_id"), tokens(F.col(text_col)).alias("tokens")).withColumn("dl", F.size("tokens")))
     return Index(lists, lists.agg(F.count(F.lit(1)).cast("double").alias("n"), F.avg("dl").alias("avgdl")), tokens)
 
 
@@ -44,8 +45,8 @@ def bm25(index: Index, questions: DataFrame, id_col: str = "query_id", text_col:
     """query_id, doc_id, score, rank: the best documents with a term in common. idf = ln(1 + (N - df + 0.5) / (df + 0.5)).
 
     Documents stay where they are. Only the questions' terms are counted over them (up to most_terms are broadcast to the
-    token lists, more are joined). Then a task weighs a batch's terms, multiplies them with the questions' weights, which
-    are broadcast in blocks of about most_bytes whatever their number, and keeps its best `top` of each question.
+    token lists, more are joined). Then a task takes each of these terms that a batch holds, adds its part to the scores of the
+    questions that have it, and keeps its best `top` of each question. Questions are broadcast in blocks of about most_bytes.
     """
     asked = questions.select(F.col(id_col).alias("query_id"), F.explode(index.tokens(F.col(text_col))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
     asked = fixed(asked)
@@ -53,49 +54,71 @@ def bm25(index: Index, questions: DataFrame, id_col: str = "query_id", text_col:
     seen = index.lists.select(F.explode(F.array_distinct("tokens")).alias("term")).join(wanted, "term", "left_semi")
     weighed = fixed(asked.join(seen.groupBy("term").agg(F.count(F.lit(1)).alias("df")), "term").select("query_id", "term", "qtf", "df"))
     total = index.totals.first()
-    size = weighed.agg(F.count_distinct("query_id") * 8, F.count_distinct("term"), F.coalesce(F.sum(F.length("term") + 64), F.lit(0))).first()
-    blocks = max(1, -(-max(size[0] * min(size[1], most_bytes // 64), size[2]) // most_bytes))
+    size = weighed.agg(F.coalesce(F.sum(F.length("term") + 80), F.lit(0))).first()[0]
+    blocks = max(1, -(-size // most_bytes))
     kinds = {"query_id": dict(weighed.dtypes)["query_id"], "doc_id": dict(index.lists.dtypes)["doc_id"]}
     out = None
     for i in range(blocks):
         block = weighed if blocks == 1 else weighed.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i)
         rows = block.collect()  # about most_bytes
-        sent = index.lists.sparkSession.sparkContext.broadcast([tuple(r) for r in rows])
+        idf = lambda df: float(np.log(1 + (total.n - df + 0.5) / (df + 0.5)))
+        sent = index.lists.sparkSession.sparkContext.broadcast(Weights([(q, t, qtf * idf(df)) for q, t, qtf, df in rows]))
         part = ranked(index.lists.select("doc_id", "tokens", "dl").mapInArrow(_scored(sent, total, top), f"query_id {kinds['query_id']}, doc_id {kinds['doc_id']}, score double"), top)
         out = part if out is None else out.unionByName(part)
     return out
 
 
+def share(tf, dl, mean: float):
+    """What a term's count adds to a score, without the term's weight."""
+    return tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / mean))
+
+
+class Weights:
+    """A block of questions as tasks get it: the questions, and for each term the places and weights of those that have it."""
+
+    def __init__(self, rows: list[tuple]):
+        """rows: query_id, term and weight."""
+        self.ids = sorted({q for q, _, _ in rows})
+        place, found = {q: k for k, q in enumerate(self.ids)}, {}
+        for query, term, weight in sorted(rows):
+            found.setdefault(term, []).append((place[query], weight))
+        self.terms = {t: (np.array([p for p, _ in x]), np.array([w for _, w in x])) for t, x in found.items()}
+
+    def add(self, held: np.ndarray, term: str, docs: np.ndarray, parts: np.ndarray, rows: np.ndarray | None = None) -> None:
+        """Adds a term's parts at its documents to the scores (a row a question) of the questions that have the term. rows: each question's row, or -1 without one."""
+        at, weights = self.terms[term]
+        if rows is not None:
+            at = rows[at]
+            weights, at = weights[at >= 0], at[at >= 0]
+        for r, w in zip(at.tolist(), weights.tolist()):
+            held[r, docs] += w * parts
+
+
 def _scored(sent, total, top: int):
     def run(batches) -> Iterator[pa.RecordBatch]:
-        rows = sent.value
-        ids, terms = sorted({r[0] for r in rows}), sorted({r[1] for r in rows})
-        column, place = {t: k for k, t in enumerate(terms)}, {q: k for k, q in enumerate(ids)}
-        weights = np.zeros((len(terms), len(ids)))
-        for query, term, qtf, df in rows:
-            weights[column[term], place[query]] = qtf * np.log(1 + (total.n - df + 0.5) / (df + 0.5))
-        step = max(16, 2_000_000 // max(1, len(terms)))
+        asked = sent.value
+        mean, ids = total.avgdl or 1, asked.ids
+        step = max(64, min(4096, 2_000_000 // max(1, len(ids))))
         for whole in batches:
             for at in range(0, whole.num_rows, step):
                 batch = whole.slice(at, step)
-                if not rows:
+                if not ids:
                     continue
-                tf = counts_of(batch.column(1), column, len(terms))
-                length = np.array([x or 0 for x in batch.column(2).to_pylist()], float)[:, None]
-                share = tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / (total.avgdl or 1)))
-                yield best_of(np.round(share @ weights, 6).T, ids, batch.column(0), top, lambda got: got > 0)
+                rows, words, names = coded(batch.column(1))
+                length = np.array([x or 0 for x in batch.column(2).to_pylist()], float)
+                known = np.array([k for k, w in enumerate(names) if w in asked.terms], int)
+                here = np.isin(words, known)
+                cells, tf = np.unique(words[here].astype(np.int64) * batch.num_rows + rows[here], return_counts=True)
+                docs, parts = cells % batch.num_rows, share(tf.astype(float), length[cells % batch.num_rows], mean)
+                ends = np.searchsorted(cells // batch.num_rows, known, "right")
+                held = np.zeros((len(ids), batch.num_rows))
+                for k, a, b in zip(known.tolist(), [0, *ends], ends):
+                    asked.add(held, names[k], docs[a:b], parts[a:b])
+                yield best_of(np.round(held, 6), ids, batch.column(0), top, lambda got: got > 0)
 
     return run
 
 
-def counts_of(lists: pa.Array, column: dict[str, int], width: int) -> np.ndarray:
-    """How often each row's list holds each word that has a column."""
-    rows, words, names = coded(lists)
-    known = np.array([column.get(w, -1) for w in names], int)[words] if len(words) else np.zeros(0, int)
-    cells = (rows * width + known)[known >= 0]
-    return np.bincount(cells, minlength=len(lists) * width).reshape(len(lists), width).astype(float)
-
-
 def coded(lists: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
     """Of lists of strings: the row and the word's number of each string, and the words by number."""
     if not len(lists):
@@ -295,6 +318,9 @@ class Retriever:
     def of(docs: DataFrame, embed: Embedder = hashed_vectors, tokens: Callable[[Column], Column] = segmented) -> Retriever:
         docs = docs.select("doc_id", "text")
         index = build_index(docs, tokens=tokens)
+        if embed is hashed_vectors and tokens is not segmented:  # questions have the same words
+            vectors = embed(index.lists.select(F.col("doc_id").alias("chunk_id"), "tokens")).toDF("doc_id", "vector")
+            return Retriever(docs, index, fixed(vectors), partial(hashed_vectors, tokens=tokens))
         # the default embedder reads the words that the index has
         vectors = embed(index.lists.select(F.col("doc_id").alias("chunk_id"), "tokens")).toDF("doc_id", "vector") if embed is hashed_vectors else embedded(docs, embed, "doc_id", "vector")
         return Retriever(docs, index, fixed(vectors), embed)

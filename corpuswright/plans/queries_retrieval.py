@@ -9,10 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import tokenize
-from ..operators import citations, evaluation, gate, metrics, retrieval, windows
+from ..operators import citations, evaluation, gate, metrics, postings, retrieval, segmentation, windows
 from . import index_build
 from .catalogue import query, table
-from .shared import fixed, together
+from .shared import fixed, new_path, together
 
 _TOKENS = r"list_filter(string_split_regex(lower({}), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '')"
 _LISTS = f"lists AS (SELECT doc_id, {_TOKENS.format('text')} AS t FROM documents)"
@@ -104,6 +104,48 @@ def bm25_han(spark, sf_dir):
     return retrieval.bm25(retrieval.build_index(docs), asked)
 
 
+@query(f"WITH {_LISTS}, {_bm25()} SELECT query_id, doc_id, score, rank FROM bm")
+def bm25_inverted(spark, sf_dir):
+    """BM25 from an inverted index that is written and opened again, by its postings' blocks."""
+    path = new_path(spark)
+    postings.build(table(spark, sf_dir, "documents"), path)
+    return postings.search(postings.Postings(spark, [postings.Segment(path)]), questions(spark, sf_dir))
+
+
+_GRAMS = " UNION ALL ".join(f"SELECT substr(run, CAST(i AS BIGINT), {n}) AS word FROM (SELECT run, unnest(range(1, length(run) - {n} + 2)) AS i FROM runs WHERE length(run) >= {n})" for n in range(1, 5))
+
+
+@query(rf"""WITH runs AS (SELECT unnest(regexp_extract_all({_HAN.format("text")}, '\p{{Han}}+')) AS run FROM documents),
+g AS (SELECT word, count(*) AS n FROM ({_GRAMS}) GROUP BY 1),
+t AS (SELECT sum(n)::HUGEINT AS total FROM g WHERE length(word) = 1),
+often AS (SELECT * FROM g WHERE length(word) = 1 OR n >= 5),
+cuts AS (SELECT word, n, unnest(range(1, length(word))) AS i FROM often WHERE length(word) > 1),
+held AS (SELECT c.word FROM cuts c JOIN often a ON a.word = substr(c.word, 1, CAST(i AS BIGINT)) JOIN often b ON b.word = substr(c.word, CAST(i + 1 AS BIGINT)), t
+         GROUP BY 1 HAVING bool_and(c.n::HUGEINT * total >= a.n::HUGEINT * b.n * 2))
+SELECT word, n, round(ln(n / total::DOUBLE), 9) AS weight FROM often, t WHERE length(word) = 1 OR word IN (SELECT word FROM held)""")
+def han_vocabulary(spark, sf_dir):
+    """Words of Han text and their weights, as the corpus has them."""
+    return segmentation.vocabulary(_han(spark, sf_dir), cohesion=2)
+
+
+@query()
+def han_segments(spark, sf_dir):
+    """How often each word stands on the best path of any text, by the learned vocabulary and the listed words."""
+    docs = _han(spark, sf_dir)
+    return segmentation.word_counts(docs, segmentation.learned(docs, cohesion=2))
+
+
+@query()
+def bm25_segmented(spark, sf_dir):
+    """BM25 over Han text in words of the best path, documents and questions alike."""
+    docs, asked = _han(spark, sf_dir), questions(spark, sf_dir).withColumn("text", F.translate(F.lower("text"), _FROM, _TO))
+    return retrieval.bm25(retrieval.build_index(docs, tokens=segmentation.learned(docs, cohesion=2).tokens), asked)
+
+
+def _han(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "documents").withColumn("text", F.translate(F.lower("text"), _FROM, _TO))
+
+
 @query(f"WITH {_VECTORS}, {_ranked('r', _COS)} SELECT * FROM r")
 def dense_top20(spark, sf_dir):
     return retrieval.dense(*vectors(spark, sf_dir), skip_self=True)

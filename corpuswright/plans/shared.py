@@ -26,20 +26,32 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def new_path(spark: SparkSession) -> str:
+    """A fresh path in the shared folder, deleted when the interpreter ends."""
+    path = f"{shared_dir(spark)}/corpuswright/{uuid.uuid4().hex}"
+    if not _made:
+        atexit.register(_forget)
+    _made.append((spark, path))
+    return path
+
+
 def fixed(rows: DataFrame) -> DataFrame:
     """rows written there as Parquet and read again, so that a lost executor costs a task; deleted when the interpreter ends.
 
     Row groups are small, so that what one task wrote can be read by several.
     """
     spark = rows.sparkSession
-    path = f"{shared_dir(spark)}/corpuswright/{uuid.uuid4().hex}"
-    if not _made:
-        atexit.register(_forget)
-    _made.append((spark, path))
+    path = new_path(spark)
     rows.write.option("compression", "zstd").option("parquet.block.size", 8 << 20).parquet(path)
     return spark.read.schema(rows.schema).parquet(path)
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """rows of a few files dealt out to all slots, as a file of one row group is read by one task; rows of many files, or of none, stay where they are."""
+    slots = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(slots) if 0 < len(rows.inputFiles()) < slots // 2 else rows
+
+
 def together(*tasks: Callable):
     """What the tasks give, in order. Their jobs run beside each other, so that a small one doesn't wait for a large one's last task; the first error is raised."""
     as_here = inheritable_thread_target(SparkSession.active())
