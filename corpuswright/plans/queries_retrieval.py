@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import tokenize
-from ..operators import citations, evaluation, gate, metrics, postings, retrieval, segmentation, windows
+from ..operators import citations, evaluation, gate, metrics, postings, retrieval, segmentation, vectorindex, windows
 from . import index_build
 from .catalogue import query, table
 from .shared import fixed, new_path, together
@@ -151,6 +151,24 @@ def dense_top20(spark, sf_dir):
     return retrieval.dense(*vectors(spark, sf_dir), skip_self=True)
 
 
+@query(f"WITH {_VECTORS}, {_ranked('r', _COS)} SELECT * FROM r")
+def vector_index_top20(spark, sf_dir):
+    """The exact search of a vector index that is written and opened again."""
+    corpus, asked = vectors(spark, sf_dir)
+    path = new_path(spark)
+    vectorindex.build(corpus, path)
+    return vectorindex.search(vectorindex.VectorIndex(spark, path), asked, skip_self=True)
+
+
+@query()
+def vector_probe_recall(spark, sf_dir):
+    """How much of each query's exact hits the probing search finds."""
+    corpus, asked = vectors(spark, sf_dir)
+    index = vectorindex.build(corpus, new_path(spark))
+    found = vectorindex.search(index, asked, probes=index.probes, skip_self=True)
+    return vectorindex.recall_of(found, retrieval.dense(corpus, asked, skip_self=True))
+
+
 @query(f"""WITH {_VECTORS}, {_ranked('x', _DOT)}, {_ranked('y', _L1)},
 al AS (SELECT query_id, doc_id, rank, 0 AS list FROM x UNION ALL SELECT query_id, doc_id, rank, 1 FROM y),
 ru AS (SELECT query_id, doc_id, round(sum(1.0::DOUBLE / (60 + rank)), 12) AS exact, min((list, rank)) AS first, list_sort(list_distinct(list(list))) AS lists FROM al GROUP BY 1, 2)
