@@ -131,7 +131,7 @@ class Postings:
         """term and df of the wanted terms (a column term) that any document holds."""
         found = self.table("terms").select("term", "df")
         if self.less is not None:
-            found = found.unionByName(self.less.select("term", -F.col("df")))
+            found = found.unionByName(self.less.select("term", (-F.col("df")).alias("df")))
         return found.join(terms.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.sum("df").alias("df")).filter("df > 0")
 
     def files_of(self, terms: DataFrame) -> list[list[str]]:

@@ -32,7 +32,7 @@ class Index:
 
 
 def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokens: Callable[[Column], Column] = segmented) -> Index:
-    lists = fixed(spread(docs).select(F.col(id_col).alias("doc_id"), tokens(F.col(text_col)).alias("tokens")).withColumn("dl", F.size("tokens")))
+    lists = fixed(spread(docs).select(F.col(id_col).alias("doc_id"), tokens(F.col(text_col)).alias("tokens")).withColumn("dl", F.coalesce(F.size("tokens"), F.lit(0))))
     return Index(lists, lists.agg(F.count(F.lit(1)).cast("double").alias("n"), F.avg("dl").alias("avgdl")), tokens)
 
 
