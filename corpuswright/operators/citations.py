@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import CHAPTER_CITATION, article_no_of, extract_citations, paragraphs
+from .names import Names
 
 # fixed values: numerals, an article token, and what stands between the tokens of a run
 NUMERAL = "[〇零一二三四五六七八九十百千0-9]+"
@@ -63,21 +64,35 @@ def alias_table(laws: DataFrame, parent_name: str, marker: str) -> DataFrame:
     return rows.select("pcode", "a.alias", "a.target")
 
 
-def resolved(refs: DataFrame, laws: DataFrame, aliases: DataFrame) -> DataFrame:
-    """refs with the target law: the full name nearest before the token within the window, the longer one at the same place, else the nearest alias, else the citing law."""
+def resolved(refs: DataFrame, laws: DataFrame, aliases: DataFrame, most: int = 200_000) -> DataFrame:
+    """refs with the target law: the full name nearest before the token within the window, the longer one at the same place, else the nearest alias, else the citing law.
+
+    Up to `most` names go to the tasks as one automaton, which finds all of an article's names in one pass; beyond, and for
+    the few aliases that a law's own pcode decides on, names are joined to the windows.
+    """
     seen = F.substring(F.col("content"), F.greatest(F.col("at") - WINDOW, F.lit(0)) + 1, F.least(F.col("at"), F.lit(WINDOW)))
-    keyed = refs.withColumn("seen", seen)
-    # the last place of a word is found from the reversed texts
-    place = lambda word: F.length("seen") - F.expr(f"instr(reverse(seen), reverse({word}))") - F.length(word) + 2
     ids = ["article_id", "seq", "step"]
-    by_name = keyed.select(*ids, "seen").join(F.broadcast(laws.select("law_name", F.col("pcode").alias("named"))), F.expr("contains(seen, law_name)"))
-    by_name = by_name.groupBy(*ids).agg(F.max_by("named", F.struct(place("law_name"), F.length("law_name"))).alias("named"))
-    by_alias = keyed.select(*ids, "pcode", "seen").join(F.broadcast(aliases), "pcode").filter("contains(seen, alias)")
-    by_alias = by_alias.groupBy(*ids).agg(F.max_by("target", F.struct(place("alias"), F.length("alias"))).alias("by_alias"))
-    out = refs.join(by_name, ids, "left").join(by_alias, ids, "left")
+    known = laws.select("law_name", "pcode").filter("law_name <> ''")
+    if known.limit(most + 1).count() <= most:
+        names = Names(refs.sparkSession, {r.law_name: r.pcode for r in known.orderBy("law_name", "pcode").collect()})
+        found = refs.withColumn("seen", seen).withColumn("names", names.offsets(F.col("seen")))
+        nearest = F.array_max(F.transform("names", lambda x: F.struct(x["start"].alias("start"), (x["end"] - x["start"]).alias("n"), x["code"].alias("code"))))
+        keyed = found.withColumn("named", nearest["code"]).drop("names")
+    else:
+        windows = refs.withColumn("seen", seen)
+        met = windows.select(*ids, "seen").join(known.select("law_name", F.col("pcode").alias("code")), F.expr("contains(seen, law_name)"))
+        keyed = windows.join(met.groupBy(*ids).agg(F.max_by("code", F.struct(_place("law_name"), F.length("law_name"), "code")).alias("named")), ids, "left")
+    by_alias = keyed.select(*ids, "pcode", "seen").join(aliases, "pcode").filter("contains(seen, alias)")
+    by_alias = by_alias.groupBy(*ids).agg(F.max_by("target", F.struct(_place("alias"), F.length("alias"))).alias("by_alias"))
+    out = keyed.drop("seen").join(by_alias, ids, "left")
     return out.withColumn("target_pcode", F.coalesce("named", "by_alias", "pcode")).drop("named", "by_alias")
 
 
+def _place(word: str) -> Column:
+    """The last place of a word in the window, found from the reversed texts."""
+    return F.length("seen") - F.expr(f"instr(reverse(seen), reverse({word}))") - F.length(word) + 2
+
+
 def edges_of(articles: DataFrame, laws: DataFrame, aliases: DataFrame) -> DataFrame:
     """source, target, provenance, ord: citations by number and by 前條, without loops, the first of each pair of articles."""
     refs = resolved(article_references(articles), laws, aliases)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .names import Names
 
 # fixed values: law names and short names, and the patterns of intents
 LAW_ALIASES = {
@@ -29,10 +30,11 @@ MULTI_HOP = r"(同時|以及|還有).{0,20}(資格|給付|申請|處罰|設立)|
 ARTICLE = r"第\s*([0-9]+(?:\s*[-之]\s*[0-9]+)?)\s*條"
 
 
-def named_laws(question: Column, aliases: dict[str, str] | None = None) -> Column:
-    """Codes of the laws that a question names, once each; longer names first, and a name found is taken out before shorter ones are sought."""
+def named_laws(question: Column, aliases: dict[str, str] | Names | None = None) -> Column:
+    """Codes of the laws that a question names, once each; longer names first, and a name found is taken out before shorter ones are sought. Names (as Names) beyond some dozens take one pass instead of one each."""
+    if isinstance(aliases, Names):
+        return aliases.codes(question)
     aliases = LAW_ALIASES if aliases is None else aliases
-
     ordered = sorted(aliases, key=len, reverse=True)
     rest, found = question, []
     for name in ordered:
@@ -41,14 +43,18 @@ def named_laws(question: Column, aliases: dict[str, str] | None = None) -> Colum
     return F.array_distinct(F.array_compact(F.array(*found)))
 
 
-def first_law(question: Column, aliases: dict[str, str] | None = None) -> Column:
+def first_law(question: Column, aliases: dict[str, str] | Names | None = None) -> Column:
     """The code of the longest name that occurs, or null."""
+    if isinstance(aliases, Names):
+        return aliases.first(question)
     aliases = LAW_ALIASES if aliases is None else aliases
     return F.coalesce(*[F.when(question.contains(n), F.lit(aliases[n])) for n in sorted(aliases, key=len, reverse=True)])
 
 
-def required_articles(question: Column, aliases: dict[str, str] | None = None) -> Column:
+def required_articles(question: Column, aliases: dict[str, str] | Names | None = None) -> Column:
     """Each law named with each article number named."""
+    if isinstance(aliases, Names):
+        return aliases.with_articles(question, ARTICLE)
     aliases = LAW_ALIASES if aliases is None else aliases
     bare = question
     for name in sorted(aliases, key=len, reverse=True):
@@ -61,7 +67,7 @@ def _result(route: str, reason: str, confidence: float, laws: Column, handler: s
     return F.struct(F.lit(route).alias("route"), F.lit(reason).alias("reason"), F.lit(confidence).alias("confidence"), laws.alias("matched_pcodes"), F.lit(handler).cast("string").alias("handler"))
 
 
-def route_question(question: Column, aliases: dict[str, str] | None = None, patterns: dict[str, str] | None = None) -> Column:
+def route_question(question: Column, aliases: dict[str, str] | Names | None = None, patterns: dict[str, str] | None = None) -> Column:
     """route, reason, confidence, matched_pcodes and handler of a question. The order of the cascade is its meaning."""
     p = {"meta": META, "enumeration": ENUMERATION, "global": GLOBAL, "ambiguous": AMBIGUOUS, "multi_hop": MULTI_HOP} | (patterns or {})
     q = F.regexp_replace(question, r"(?U)^\s+|\s+$", "")

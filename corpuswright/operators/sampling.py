@@ -54,7 +54,7 @@ def unflipped(winner: Column, flip: Column) -> Column:
 
 def disjoint_edges(edges: DataFrame, seed: int) -> DataFrame:
     """A maximal set of edges (source, target) without a common node: in each round edges that come first at both ends are taken and their neighbours leave. The result is the greedy one in seeded order."""
-    left = edges.filter("source <> target").withColumn("p", F.struct(seeded(seed, "source", "target").alias("h"), "source", "target"))
+    left = fixed(edges.filter("source <> target").withColumn("p", F.struct(seeded(seed, "source", "target").alias("h"), "source", "target")))
     taken = None
     while True:
         ends = left.select(F.col("source").alias("n"), "p").unionByName(left.select(F.col("target").alias("n"), "p"))
@@ -66,7 +66,8 @@ def disjoint_edges(edges: DataFrame, seed: int) -> DataFrame:
             break
         taken = won if taken is None else taken.unionByName(won)
         used = won.select(F.col("source").alias("n")).unionByName(won.select(F.col("target").alias("n")))
-        left = left.join(used.withColumnRenamed("n", "source"), "source", "left_anti").join(used.withColumnRenamed("n", "target"), "target", "left_anti").select("source", "target", "p")
+        # written, so that a round reads what the one before left and not all rounds again
+        left = fixed(left.join(used.withColumnRenamed("n", "source"), "source", "left_anti").join(used.withColumnRenamed("n", "target"), "target", "left_anti").select("source", "target", "p"))
     return (taken if taken is not None else left.limit(0)).select("source", "target")
 
 

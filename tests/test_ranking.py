@@ -280,3 +280,16 @@ def test_percentiles_of_hot_groups(spark, most):
         for q in qs:
             assert got[k, q][0] == pytest.approx(np.percentile(v, q * 100)) and got[k, q][1] == v[max(0, int(np.ceil(q * len(v))) - 1)]
     assert len(got) == 4 * len(qs)
+
+
+def test_training_where_the_rows_are(spark):
+    """Summed gradients give what the driver's fit gives, and no number of rows is refused."""
+    r = np.random.default_rng(5)
+    rows = pd.DataFrame(r.normal(size=(10_000, 3)) * [1, 5, 0.1] + [0, 3, 9], columns=["a", "b", "c"])
+    rows["label"] = (rows["a"] + rows["b"] / 5 + r.normal(size=len(rows)) > 0.6).astype(float)
+    frame = spark.createDataFrame(rows).repartition(4)
+    plain, dealt = (mlgate.train(frame, ("a", "b", "c"), most=most, epochs=60) for most in (10_000, 9_999))
+    assert abs(plain.intercept - dealt.intercept) < 1e-6 and all(abs(plain.coefficients[f] - dealt.coefficients[f]) < 1e-6 for f in "abc")
+    assert (plain.training_count, plain.positive_count) == (dealt.training_count, dealt.positive_count)
+    b, w, _, _ = mlgate.descended(frame.limit(60).withColumn("__y", frame.label), ("a",), epochs=100, near=10.0)  # ends at once
+    assert len(w) == 1
