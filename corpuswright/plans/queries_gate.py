@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import text
-from ..operators import evidence, gate, grounding, metrics, mlgate, retrieval, routing, sampling
+from ..operators import calls, evidence, gate, grounding, metrics, mlgate, retrieval, routing, sampling, sentences
 from . import pipeline
 from .catalogue import query, table
 from .queries_retrieval import _HYBRID, _RERANKED
+from .shared import fixed, new_path
 
 #: Names and patterns for the synthetic languages, in the places of the laws' names and of the intents.
 ALIASES = {"und der": "A1", "der": "A2", "la de": "B1", "la": "B2", "the": "C1"}
@@ -211,3 +215,32 @@ def context_assembly(spark, sf_dir):
     best = top.join(docs.select("doc_id", "lang", "text"), "doc_id").withColumn("parent_id", F.col("doc_id").cast("string"))
     articles = best.select("parent_id", F.col("lang").alias("law_name"), F.col("parent_id").alias("article_no"), F.lit(None).cast("string").alias("content"))
     return grounding.context_text(best.select(F.col("source").alias("query_id"), "parent_id", "rank", "text"), articles).withColumn("context", F.md5("context"))
+
+
+@query(f"""WITH s AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_returnflag) AS i FROM lineitem),
+k AS (SELECT l_orderkey AS answer_id, i, (i - 1) // 3 AS para, '第' || i || '項貨品' || l_partkey || '依規定可以辦理。' AS sentence, l_partkey % 11 <> 0 AND l_returnflag <> 'R' AND i % 4 < 3 AS ok FROM s),
+p AS (SELECT answer_id, para, string_agg(sentence, '' ORDER BY i) FILTER (ok) AS t, count(*) FILTER (NOT ok) AS gone FROM k GROUP BY 1, 2)
+SELECT answer_id, coalesce(string_agg(t, chr(10) ORDER BY para) FILTER (t IS NOT NULL), '{grounding.REFUSAL_TEXT}') AS final_text, sum(gone)::BIGINT AS removed_count FROM p GROUP BY 1""")
+def checked_answers(spark, sf_dir):
+    """Answers of several paragraphs, a sentence a line of an order, checked by a judge's replies: what it supports stays, by paragraph, and an answer without any is the refusal.
+
+    The judge leaves out every eleventh part, doesn't support returned lines, and names a context that there isn't for every fourth sentence.
+    """
+    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_returnflag")
+    lines = table(spark, sf_dir, "lineitem").withColumn("i", F.row_number().over(order))
+    sentence = F.concat(F.lit("第"), F.col("i").cast("string"), F.lit("項貨品"), F.col("l_partkey").cast("string"), F.lit("依規定可以辦理。"))
+    mark = F.when((F.col("i") > 1) & (F.col("i") % 3 == 1), "\n").otherwise("")
+    verdict = F.when(F.col("l_partkey") % 11 != 0, F.struct(F.col("i").alias("index"), (F.col("l_returnflag") != "R").alias("supported"), (F.col("i") % 4 + 1).alias("context_no"), F.lit("").alias("reason")))
+    # an order has a few lines
+    each = lines.groupBy(F.col("l_orderkey").alias("answer_id")).agg(F.array_sort(F.collect_list(F.struct("i", F.concat(mark, sentence).alias("s")))).alias("parts"), F.array_sort(F.collect_list(verdict)).alias("verdicts"))
+    answers = fixed(each.select("answer_id", F.array_join(F.transform("parts", lambda x: x["s"]), "").alias("text"), F.concat(F.lit("評核：\n"), F.to_json("verdicts")).alias("reply")))
+    contexts = answers.select("answer_id", F.explode(F.sequence(F.lit(1), F.lit(3))).alias("context_no")).withColumn("article", F.concat(F.lit("L-"), F.col("context_no")))
+    checked = grounding.reconciled(sentences.sentences(answers), grounding.parsed_verdicts(answers), contexts)
+    return grounding.applied(answers, checked)
+
+
+@query("""SELECT doc_id, sha256(text) AS prompt_hash, CASE WHEN NOT starts_with(md5(text), '0') THEN md5(text) END AS reply, CASE WHEN starts_with(md5(text), '0') THEN 'invalid' ELSE 'made' END AS status FROM documents""")
+def model_replies(spark, sf_dir):
+    """Replies of a model, here a digest, to every document; those that begin with a nought count as invalid. Equal texts are sent once."""
+    items = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("prompt"))
+    return calls.replies(items, new_path(spark), lambda prompts: [hashlib.md5(p.encode()).hexdigest() for p in prompts], lambda reply: not reply.startswith("0"), "doc_id", tries=2)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import tokenize
-from ..operators import citations, evaluation, gate, metrics, postings, retrieval, segmentation, vectorindex, windows
+from ..operators import citations, evaluation, gate, metrics, postings, retrieval, segmentation, segments, vectorindex, windows
 from . import index_build
 from .catalogue import query, table
 from .shared import fixed, new_path, together
@@ -112,6 +112,18 @@ def bm25_inverted(spark, sf_dir):
     return postings.search(postings.Postings(spark, [postings.Segment(path)]), questions(spark, sf_dir))
 
 
+@query(f"""WITH now AS (SELECT doc_id, CASE WHEN doc_id % 10 = 3 THEN 'renewed text ' || text ELSE text END AS text FROM documents WHERE doc_id % 10 <> 4),
+{_LISTS.replace('FROM documents', 'FROM now')}, {_bm25()} SELECT query_id, doc_id, score, rank FROM bm""")
+def incremental_bm25(spark, sf_dir):
+    """BM25 from an index of two versions: all documents, then with every tenth one's text renewed and another tenth taken out, of which only the changes are written."""
+    first = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
+    then = first.filter("chunk_id % 10 <> 4").withColumn("text", F.when(F.col("chunk_id") % 10 == 3, F.concat(F.lit("renewed text "), "text")).otherwise(F.col("text")))
+    store = segments.Segments(spark, new_path(spark))
+    store.build(first, "1")
+    store.build(then, "2")
+    return postings.search(store.index(), questions(spark, sf_dir))
+
+
 _GRAMS = " UNION ALL ".join(f"SELECT substr(run, CAST(i AS BIGINT), {n}) AS word FROM (SELECT run, unnest(range(1, length(run) - {n} + 2)) AS i FROM runs WHERE length(run) >= {n})" for n in range(1, 5))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import metrics, trace
 from ..sources import tables
 from ..streaming import events as streams
+from ..streaming import sinks
 from .catalogue import query, table
 
 
@@ -92,3 +93,11 @@ g AS (SELECT user_id, ts, sum(s) OVER (PARTITION BY user_id ORDER BY ts ROWS UNB
 SELECT user_id, min(ts)::VARCHAR AS session_start, count(*) AS n, count(*) > 1 AS over_quota FROM g GROUP BY user_id, run""")
 def session_quota(spark, sf_dir):
     return streams.sessions(log(spark, sf_dir), quota=1).withColumn("session_start", _plain(F.col("session_start")))
+
+
+@query("""WITH m AS (SELECT *, (lag(ts) OVER w IS NULL OR ts - lag(ts) OVER w > INTERVAL 30 MINUTE)::INT AS s FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+g AS (SELECT *, sum(s) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS run FROM m)
+SELECT event_id, user_id, (min(ts) OVER (PARTITION BY user_id, run))::VARCHAR AS session_start, row_number() OVER r AS n, row_number() OVER r > 1 AS over_quota FROM g WINDOW r AS (PARTITION BY user_id, run ORDER BY ts, event_id)""")
+def session_decisions(spark, sf_dir):
+    """What the quota says of each event as it comes, by the batch twin of the stream's state."""
+    return sinks.decided_batch(log(spark, sf_dir), quota=1).withColumn("session_start", _plain(F.col("session_start")))
