@@ -1,8 +1,9 @@
 """Token ids of a byte-level BPE vocabulary, by way of a cache of pre-tokens.
 
-The library's own encoder repeats the merges of every word. Here a text is split by the vocabulary's pre-token pattern and
-each pre-token is encoded by the library once and remembered. Texts with characters on which regular-expression engines
-may differ, or with the text of a special token, go to the library whole, so that results are the library's in every case.
+The library's own encoder repeats the merges of every word. Here a text is split into pre-tokens and each pre-token is encoded
+by the library once and remembered. Texts of Latin characters are split by the vocabulary's pattern; where regular-expression
+engines may differ, as in any other script, the library's own pre-tokeniser splits. Only texts with the text of a special
+token go to the library whole, so that results are the library's in every case.
 """
 
 from __future__ import annotations
@@ -75,17 +76,18 @@ class Encoder:
         shown = piece.replace(" ", _SPACE) if piece.isascii() and piece.isprintable() else piece.encode().decode("latin-1").translate(_BYTES)
         return [t.id for t in self.model.tokenize(shown)]
 
-    def plain(self, text: str) -> bool:
-        return not _OTHER.search(text) and not (self.special and self.special.search(text))
-
-    def split(self, text: str) -> list[str]:
-        return _PIECE.findall(text)
+    def split(self, text: str) -> list[str] | None:
+        """The text's pre-tokens in order; None for a text that holds a special token's text."""
+        if self.special and self.special.search(text):
+            return None
+        if not _OTHER.search(text):
+            return _PIECE.findall(text)
+        return [text[a:b] for _, (a, b) in self.library.pre_tokenizer.pre_tokenize_str(text)]
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit numbers."""
-        if not self.plain(text):
-            return self.ids_of(text).tobytes()
-        return b"".join(map(self.pieces.__getitem__, _PIECE.findall(text)))
+        pieces = self.split(text)
+        return self.ids_of(text).tobytes() if pieces is None else b"".join(map(self.pieces.__getitem__, pieces))
 
 
 def encoder(spec: str) -> Encoder:

@@ -44,6 +44,26 @@ def test_token_counts(spark, library):
     assert tokencount.count_tokens(docs_of(spark, [])).collect() == []
 
 
+def test_every_script_goes_through_the_table(spark, library):
+    """Texts in other scripts are split too, met in the table, and counted as the library counts them."""
+    r = random.Random(9)
+    pools = ["привет мир как дела".split(), "長期 照顧 服務法 日本語 テスト".split(), "שלום عربى ไทย ელ €5 😀👍🏽 ²³ Ⅳ ９".split(), "naïve Straße œuvre ǅ ʼn".split()]
+    texts = [r.choice(["", " "]).join(r.choices(pool, k=40)) + r.choice(["", "\n\n", "!  "]) for pool in pools for _ in range(40)]
+    r.shuffle(texts)
+    texts += ["".join(chr(r.choice([r.randrange(32, 0xD800), r.randrange(0xE000, 0x30000)])) for _ in range(30)) for _ in range(2000)] + ["日本<|endoftext|>語", "a\u2028b\u3000c\u200d"]
+    got = {x.doc_id: x.n_tokens for x in tokencount.count_tokens(docs_of(spark, list(enumerate(texts)))).collect()}
+    assert all(got[i] == len(library.encode(t, add_special_tokens=False).ids) for i, t in enumerate(texts))
+    enc = encoder(tokenizer_json())
+    for text in texts[:160]:
+        assert "".join(enc.split(text)) == text
+    table = tokencount.frequent_pieces(docs_of(spark, list(enumerate(texts[:120]))).select("text"), spark.sparkContext.broadcast(tokenizer_json()), 4096, 1000)
+    held = [p in table for t in texts[:120] for p in enc.split(t)]
+    assert sum(held) / len(held) > 0.6
+    few = tokencount.count_tokens(docs_of(spark, list(enumerate(texts))), sample=100).collect()  # a table of some rows only
+    assert {x.doc_id: x.n_tokens for x in few} == got
+    assert all(enc.encode(t) == enc.ids_of(t).tobytes() for t in texts)
+
+
 def test_packing_round_trip(spark, library):
     r = random.Random(2)
     rows = [(i, " ".join(r.choices(["alpha", "Beta,", "ñu", "x"], k=r.randrange(70)))) for i in range(40)] + [(90, None), (90, "same"), (90, "same"), (None, "q"), (91, "very long\n" * 20_000)] + list(enumerate(ODD, 100))
