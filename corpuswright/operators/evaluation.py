@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import extract_citations, long_tail, question_hash, sanitize_question, sha256_json, valid_question
-from . import retrieval
+from . import digests, retrieval
 from .metrics import nearest_rank, rate
 
 # fixed values: routes of questions, and those that need no article
@@ -135,8 +135,8 @@ def annotation_problems(items: DataFrame) -> DataFrame:
 
 def dataset_hash(items: DataFrame, order: str, fields: list[str]) -> DataFrame:
     """One row, item_count and dataset_sha256: a hash over the items' hashes in order. An item's hash goes over its fields as compact JSON."""
-    hashed = items.select(F.struct(F.col(order).alias("o"), sha256_json({f: F.col(f) for f in fields}).alias("h")).alias("x"))
-    return hashed.agg(F.count(F.lit(1)).alias("item_count"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["h"]), ","), 256).alias("dataset_sha256"))
+    found = digests.ordered(items, None, [F.col(order), sha256_json({f: F.col(f) for f in fields})], sha256_json({f: F.col(f) for f in fields}))
+    return found.agg(F.coalesce(F.max("n"), F.lit(0)).alias("item_count"), F.coalesce(F.max("digest"), F.sha2(F.lit(""), 256)).alias("dataset_sha256"))
 
 
 def freeze(items: DataFrame, least: int = 100) -> tuple[DataFrame, DataFrame]:

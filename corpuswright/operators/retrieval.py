@@ -399,12 +399,21 @@ def containing(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_i
     found = None
     if widths:
         split = rows.withColumn("w", F.split("body", r"\s+"))
-        each = [F.transform("w", _window(k)) for k in widths]
-        met = split.select("doc_id", "body", F.explode(F.array_distinct(F.concat(*each))).alias("h")).join(small(long.select("item_id", "part", "h"), most), "h")
+        hashed = F.array_distinct(F.concat(*[F.transform("w", _window(k)) for k in widths]))
+        asked_for = long.select("item_id", "part", "h")
+        few = asked_for.limit(most + 1).count() <= most
+        if few:
+            met = split.select("doc_id", "body", F.explode(hashed).alias("h")).join(F.broadcast(asked_for), "h")
+        else:  # ids alone meet the items, and texts join behind the match
+            pairs = split.select("doc_id", F.explode(hashed).alias("h")).join(asked_for.select("item_id", "h"), "h").select("doc_id", "item_id").distinct()
+            met = pairs.join(asked_for.select("item_id", "part"), "item_id").join(rows, "doc_id")
         found = met.filter(F.col("body").contains(F.col("part"))).select("item_id", "doc_id")
-    short = asked.filter(F.size("words") < 3).select("item_id", "part").withColumn("block", F.floor((F.row_number().over(Window.orderBy("item_id", "part")) - 1) / 1000))
-    for i in range(short.agg(F.coalesce(F.max("block"), F.lit(-1))).first()[0] + 1):
-        pairs = rows.join(F.broadcast(short.filter(F.col("block") == i)), F.col("body").contains(F.col("part"))).select("item_id", "doc_id")
+        found = found if few else found.distinct()
+    short = asked.filter(F.size("words") < 3).select("item_id", "part")
+    blocks = -(-short.count() // 1000)
+    for i in range(blocks):
+        mine = short if blocks == 1 else short.filter(F.pmod(F.xxhash64("item_id", "part"), F.lit(blocks)) == i)
+        pairs = rows.join(F.broadcast(mine), F.col("body").contains(F.col("part"))).select("item_id", "doc_id")
         found = pairs if found is None else found.unionByName(pairs)
     return found if found is not None else rows.limit(0).select(F.lit(None).cast(dict(items.dtypes)[item_id]).alias("item_id"), "doc_id")
 

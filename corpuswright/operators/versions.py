@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import short_hash
+from ..plans.shared import fixed
+from . import digests
 
 
 def pair_list_hash(key: Column, value: Column) -> Column:
@@ -19,14 +21,16 @@ def pair_list_hash(key: Column, value: Column) -> Column:
 
 
 def document_hashes(articles: DataFrame) -> DataFrame:
-    """pcode, article_count, document_hash from article_id, pcode and hash."""
-    return articles.groupBy("pcode").agg(F.count(F.lit(1)).alias("article_count"), pair_list_hash(F.col("article_id"), F.col("hash")).alias("document_hash"))
+    """pcode, article_count, document_hash from article_id, pcode and hash: pair_list_hash of each pcode's articles, in constant memory."""
+    return digests.pairs(articles, F.col("pcode"), F.col("article_id"), F.col("hash")).select(F.col("key").cast(dict(articles.dtypes)["pcode"]).alias("pcode"), F.col("n").alias("article_count"), F.col("digest").alias("document_hash"))
 
 
 def manifest(articles: DataFrame, date: str) -> DataFrame:
     """One row: version (date and twelve digits of the corpus hash), corpus_hash, counts. The corpus hash goes over the documents' hashes, so that a document's articles meet in its own group."""
-    docs = document_hashes(articles)
-    total = docs.agg(F.sum("article_count").alias("article_count"), F.count(F.lit(1)).alias("document_count"), pair_list_hash(F.col("pcode"), F.col("document_hash")).alias("corpus_hash"))
+    docs = fixed(document_hashes(articles))
+    counts = docs.agg(F.sum("article_count").alias("article_count"), F.count(F.lit(1)).alias("document_count"))
+    whole = digests.pairs(docs, None, F.col("pcode"), F.col("document_hash")).agg(F.coalesce(F.max("digest"), F.sha2(F.lit("[]"), 256)).alias("corpus_hash"))
+    total = counts.crossJoin(F.broadcast(whole))  # one row each
     return total.withColumn("version", F.concat(F.lit(f"{date}-"), F.substring("corpus_hash", 1, 12)))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import sys
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -29,6 +31,8 @@ MOST = 5_000_000
 
 def hot(rows: DataFrame, by: str, most: int) -> bool:
     """Whether a key has more rows than a task should sort; counts are combined before they are dealt out."""
+    if most in (0, sys.maxsize):  # known already
+        return most == 0
     return (rows.groupBy(by).count().agg(F.max("count")).first()[0] or 0) > most
 
 
@@ -89,6 +93,7 @@ def carried(rows: DataFrame, heading: Column, value: Column, by: str, *order: st
 def gap_runs(rows: DataFrame, time: str, seconds: int, by: str, *order: str, name: str = "run", most: int = MOST) -> DataFrame:
     """A number for each run in which neighbours are at most `seconds` apart."""
     timed = rows.withColumn("__t", F.col(time).cast("timestamp").cast("double"))
+    most = 0 if hot(rows, by, most) else sys.maxsize  # keys are counted once for both steps
     before = previous(timed, "__t", by, *order, name="__before", most=most)
     starts = F.coalesce(F.col("__t") - F.col("__before") > seconds, F.lit(True))
     return running_sum(before, starts.cast("int"), by, *order, name=name, most=most).drop("__t", "__before")
