@@ -164,7 +164,9 @@ def plausible(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose sizes allow the similarity and whose signatures don't speak against it, with the share of equal registers."""
     x = nodes.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("sig").alias("sa"))
     y = nodes.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("sb"))
-    joined = pairs.join(x, "a").join(y, "b").filter(similar_size("na", "nb", percent)).select("a", "b", "sa", "sb")
+    # a leader of many pairs is sent to them
+    x = x.join(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("pairs")), "a")
+    joined = split_hot(pairs, x, ["a"], "pairs").join(y, "b").filter(similar_size("na", "nb", percent)).select("a", "b", "sa", "sb")
 
     def run(batches):
         for batch in batches:
@@ -176,8 +178,15 @@ def plausible(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     return joined.mapInArrow(run, "a long, b long, like double")
 
 
-def node_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """node and text of the wanted nodes (node, doc_id, set_id). Ids may repeat, so a row counts if its set is the node's."""
+def node_texts(docs: DataFrame, wanted: DataFrame, most: int = 2_000_000) -> DataFrame:
+    """node and text of the wanted nodes (node, doc_id, set_id). Ids may repeat, so a row counts if its set is the node's.
+
+    Up to `most` ids are broadcast, so that other rows' texts never leave their task; beyond, it is Spark that filters a large
+    scan by the ids before it deals it out.
+    """
+    ids = wanted.select("doc_id").distinct()
+    if ids.limit(most + 1).count() <= most:
+        docs = docs.join(F.broadcast(ids), "doc_id", "left_semi")
     found = docs.join(wanted, "doc_id").select("node", "set_id", "text")
 
     def run(batches):
@@ -325,8 +334,10 @@ def marked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", perc
     nodes = staged(linked.join(sets.select(F.col("node").alias("row_id")), "row_id", "left_semi").select(F.col("row_id").alias("node"), F.col("n_shingles").alias("n"), "sig", "bands"), "nodes")
     entries = nodes.select("node", F.explode("bands").alias("key"))
     buckets = entries.groupBy("key").agg(F.min("node").alias("leader"), F.count(F.lit(1)).alias("size")).filter("size > 1")
-    members = staged(entries.join(buckets, "key").select("key", "node", "leader", "size"), "members")
-    stars = staged(plausible(members.filter("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct(), nodes, percent).select("a", "b"), "stars")
+    buckets = staged(buckets.withColumn("uses", F.col("size")), "buckets")
+    members = staged(split_hot(entries, buckets, ["key"], "uses").filter("leader is not null").select("key", "node", "leader", "size"), "members")
+    led = staged(members.filter("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct(), "led")
+    stars = staged(plausible(led, nodes, percent).select("a", "b"), "stars")
     blocks = components(stars)
     # buckets that hold several blocks, where a plausible pair may not have met
     named = members.filter("size > 2").join(blocks, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
@@ -336,14 +347,17 @@ def marked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", perc
     if not bridges.isEmpty():
         blocks = components(stars.unionByName(bridges))
     reps = sets.select("node", F.col("of_doc").alias("doc_id"), "set_id")
-    texts = staged(node_texts(docs, reps.join(blocks.select("node"), "node")), "texts")
+    texts = staged(node_texts(docs, staged(reps.join(blocks.select("node"), "node"), "wanted")), "texts")
     held = blocks.withColumnRenamed("comp", "block").join(nodes.select("node", "n", "sig"), "node").join(texts, "node").select("block", "node", "n", "sig", "text")
     comps = components(staged(block_links(held, percent, most_nodes), "links"))
     least = sets.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node")).select("set_id", "comp", "least_doc", "uses")
     least = staged(least, "least")
     ids = staged(least.groupBy("comp").agg(F.min("least_doc").alias("component_id"), F.sum("uses").alias("total"), F.count(F.lit(1)).alias("sets")).filter("total > 1").drop("total"), "ids")
-    known = split_hot(least, ids, ["comp"], "sets").filter("component_id is not null").select("set_id", "component_id", "comp")
-    found = rows.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.col("set_id")).alias("set_id")).join(known, "set_id", "left")
+    known = staged(split_hot(least, ids, ["comp"], "sets").filter("component_id is not null").select("set_id", "component_id", "comp", "uses"), "known")
+    # rows that are linked with nothing have no key to be dealt by, and copies of a frequent set stay where they are
+    apart = F.col("doc_id").isNull() | (F.col("n_shingles") == 0)
+    alone = rows.filter(apart).select(F.lit(None).cast("binary").alias("set_id"), "doc_id", "n_shingles", F.lit(None).cast("long").alias("component_id"), F.lit(None).cast("long").alias("comp"))
+    found = split_hot(rows.filter(~apart).select("set_id", "doc_id", "n_shingles"), known, ["set_id"], "uses").unionByName(alone)
     own = F.coalesce("component_id", "doc_id")
     return found.select("doc_id", "n_shingles", own.alias("component_id"), F.col("doc_id").eqNullSafe(own).alias("kept"), "set_id", "comp")
 

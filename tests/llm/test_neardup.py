@@ -145,3 +145,28 @@ def test_dropping_where_ids_repeat(spark):
     got = sorted(x.k for x in neardup.drop_near_duplicates(docs).collect())
     assert [k for k in got if k not in (3, 4, 5, 6)] == [0, 2, 7, 8, 9, 10]
     assert len({3, 4} & set(got)) == 1 and len({5, 6} & set(got)) == 1 and len(got) == 8
+
+
+def test_many_copies_of_one_text(spark):
+    """A third of all rows in one set, and as many with no set at all."""
+    rows = [(i, "the same text for all of these rows and no other") for i in range(50_000)] + [(60_000 + i, None) for i in range(30_000)] + [(100_000 + i, f"a text of its own number{i} and more words {i} here") for i in range(2000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    got = neardup.near_duplicates(docs).groupBy("component_id").count().orderBy("component_id").collect()
+    assert (got[0].component_id, got[0]["count"]) == (0, 50_000) and len(got) == 1 + 30_000 + 2000
+
+
+def test_only_texts_of_candidates_are_dealt_out(spark):
+    texts = [" ".join(f"w{i}x{k}" for k in range(40)) for i in range(400)]
+    rows = list(enumerate(texts)) + [(1000 + i, texts[i] + " end") for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    wanted = spark.createDataFrame([(i, i, neardup.set_key(neardup.shingle_set(texts[i]))) for i in range(10)], "node long, doc_id long, set_id binary")
+    found = neardup.node_texts(docs, wanted)
+    assert {(x.node, x.text) for x in found.collect()} == {(i, texts[i]) for i in range(10)}
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = neardup.node_texts(docs, wanted)._jdf.queryExecution().executedPlan().toString()
+        assert plan.index("SortMergeJoin") < plan.index("LeftSemi")  # the rows are filtered below the exchange
+        assert len(neardup.near_duplicates(docs).filter("not kept").collect()) == 20
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
