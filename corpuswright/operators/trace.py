@@ -55,6 +55,18 @@ def grounding_log(answers: DataFrame, verdicts: DataFrame, provider: str) -> Dat
     return out.select(F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss").alias("timestamp"), "question", F.lit(provider).alias("provider"), "original_text", "final_text", F.coalesce("removed_count", F.lit(0)).alias("removed_count"), F.coalesce("verdicts", none).alias("verdicts"))
 
 
+def hit_records(final: DataFrame) -> DataFrame:
+    """query_id and hits: a record for each hit that was ranked again, in order of rank, with the lists that it came from and its scores and ranks there. final: as rerank() gives it."""
+    sources = F.array_distinct(F.transform("lists", lambda x: F.when(x % 2 == 0, "bm25").otherwise("vector")))
+    one = F.struct("rank", "doc_id", sources.alias("sources"), "bm25_score", "bm25_rank", "dense_score", "dense_rank", "rrf_score", "rerank_score")
+    return final.groupBy("query_id").agg(F.array_sort(F.collect_list(one)).alias("hits"))  # a few a question
+
+
+def graph_records(related: DataFrame) -> DataFrame:
+    """query_id and related: a record for each article that a hit led to, with the hit. related: query_id, place, target, via."""
+    return related.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "target", "via"))), lambda x: F.struct(x["target"].alias("article_id"), x["via"].alias("via_article_id"))).alias("related"))
+
+
 def span_attributes(traces: DataFrame) -> DataFrame:
     """request_id, attributes and gate_decision of each trace, as a span exporter takes them."""
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))

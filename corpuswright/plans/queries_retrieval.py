@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import tokenize
-from ..operators import citations, evaluation, gate, metrics, postings, retrieval, segmentation, segments, vectorindex, windows
+from ..operators import citations, evaluation, gate, metrics, postings, retrieval, segmentation, segments, trace, vectorindex, windows
 from . import index_build
 from .catalogue import query, table
 from .shared import fixed, new_path, together
@@ -402,12 +402,38 @@ def multi_query_retrieval(spark, sf_dir):
     return found.fused.drop("lists")
 
 
-@query(f"""WITH {_HYBRID}, {_RERANKED}, {_GOLD},
-st AS (SELECT 'question' AS strategy, query_id, doc_id, rank FROM fi),
-h AS (SELECT strategy, count(DISTINCT query_id) AS hits FROM st JOIN gold USING (query_id, doc_id) GROUP BY 1)
-SELECT strategy, hits, (SELECT count(DISTINCT query_id) FROM gold) AS queries FROM h""")
+_HALF = "SELECT item_id AS query_id, trim(substr(text, 1, CAST(length(text) // 2 AS BIGINT))) AS text FROM benchmark WHERE trim(substr(text, 1, CAST(length(text) // 2 AS BIGINT))) <> ''"
+_RERANKED_HALF = _RERANKED.replace("SELECT item_id AS query_id, list_distinct", "SELECT query_id, list_distinct").replace("FROM benchmark),", f"FROM ({_HALF})),")
+_FUSED_BOTH = """
+al AS (SELECT query_id // 10 AS query_id, doc_id, rank, 2 * (query_id % 10) AS list FROM bm UNION ALL SELECT query_id // 10, doc_id, rank, 2 * (query_id % 10) + 1 FROM de),
+ru AS (SELECT query_id, doc_id, round(sum(1.0::DOUBLE / (60 + rank)), 12) AS exact, min((list, rank)) AS first FROM al GROUP BY 1, 2),
+fu AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY exact DESC, first) AS fused_rank FROM ru)"""
+
+
+def _hits(name: str, inner: str) -> str:
+    return f"SELECT '{name}' AS strategy, count(DISTINCT query_id) AS hits FROM (WITH {inner} SELECT query_id, doc_id FROM fi) JOIN gold USING (query_id, doc_id)"
+
+
+@query(f"""WITH {_GOLD}, st AS (
+{_hits("question", f"{_HYBRID}, {_RERANKED}")}
+UNION ALL {_hits("first half", f"{_LISTS}, {_bm25(_HALF)}, {_dense(_HALF)}, {_FUSED}, {_RERANKED_HALF}")}
+UNION ALL {_hits("both", f"{_LISTS}, tw AS ({_TWICE}), {_bm25('SELECT * FROM tw')}, {_dense('SELECT * FROM tw')}, {_FUSED_BOTH}, {_RERANKED}")})
+SELECT strategy, hits, (SELECT count(DISTINCT query_id) FROM gold) AS queries FROM st""")
 def rewrite_strategies(spark, sf_dir):
-    """Questions with a document among the first five, by the queries that a strategy asks; here the question alone."""
+    """Questions with a document among the first five, by the queries that a strategy asks: the question, its first half, or both."""
     docs, asked, truth = table(spark, sf_dir, "documents"), questions(spark, sf_dir), gold(spark, sf_dir)
-    retriever = retrieval.Retriever.of(docs)
-    return evaluation.strategy_hits(retriever, docs, asked, {"question": asked.select("query_id", F.lit(0).alias("ord"), "text")}, truth)
+    half = F.expr("substring(text, 1, cast(floor(length(text) / 2) as int))")
+    as_queries = lambda *texts: asked.select("query_id", F.posexplode(F.array(*texts)).alias("ord", "text"))
+    strategies = {"question": as_queries("text"), "first half": as_queries(half), "both": as_queries("text", half)}
+    return evaluation.strategy_hits(retrieval.Retriever.of(docs), docs, asked, strategies, truth)
+
+
+@query(f"""WITH {_HYBRID}, {_RERANKED}
+SELECT fi.query_id, fi.rank, fi.doc_id, list_transform(fu.lists, lambda x: CASE x WHEN 0 THEN 'bm25' ELSE 'vector' END) AS sources, bm.score AS bm25_score, bm.rank AS bm25_rank, de.score AS dense_score, de.rank AS dense_rank, fu.rrf_score, fi.rerank_score
+FROM fi JOIN fu ON fu.query_id = fi.query_id AND fu.doc_id = fi.doc_id LEFT JOIN bm ON bm.query_id = fi.query_id AND bm.doc_id = fi.doc_id LEFT JOIN de ON de.query_id = fi.query_id AND de.doc_id = fi.doc_id""")
+def hit_records(spark, sf_dir):
+    """What a trace holds of each hit: its scores and ranks in each list, fused and ranked again."""
+    docs, asked = table(spark, sf_dir, "documents"), questions(spark, sf_dir)
+    found = retrieval.retrieve(retrieval.Retriever.of(docs), asked)
+    each = trace.hit_records(retrieval.rerank(found.fused, docs, asked))
+    return each.select("query_id", F.explode("hits").alias("h")).select("query_id", "h.*")
