@@ -19,7 +19,7 @@ CN_UNITS = {"十": 10, "百": 100, "千": 1000}
 FORBIDDEN_QUESTION_MARKERS = ("第1條", "第 1 條", "依本法", "依該法", "根據條文")
 TYPO_MAP = {"長照": "長炤", "機構": "機搆", "申請": "申晴", "補助": "補住", "許可": "許課", "服務": "服物", "主管機關": "主管機觀"}
 
-
+# fixed values: the polite opening of a long-tail question, and articles about procedure alone
 LONG_TAIL_PREFIX = "想請問一下，"
 PROCEDURAL = (
     r"^(本法|本細則|本辦法)?[^。]{0,20}"

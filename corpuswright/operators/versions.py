@@ -10,7 +10,7 @@ from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import short_hash
+from ..functions.text import generation_cost, short_hash
 from ..plans.shared import fixed
 from . import digests
 
@@ -46,6 +46,21 @@ def pending(chunks: DataFrame, cache: DataFrame) -> DataFrame:
     return chunks.withColumn("hash", short_hash(F.col("text"))).join(cache.select("chunk_id", "hash"), ["chunk_id", "hash"], "left_anti")
 
 
+# fixed values: prices of a million tokens, tokens of the instruction and of a summary, and how much of the input a cached prefix is and costs
+PRICE_IN, PRICE_OUT, INSTRUCTION_TOKENS, SUMMARY_TOKENS, CACHED_SHARE, CACHED_PRICE = 0.25, 1.50, 160, 60, 0.95, 0.25
+
+
+def summary_cost(chunks: DataFrame, laws: DataFrame, count) -> DataFrame:
+    """One row: n_chunks, input_tokens, output_tokens, cost_no_cache and cost_with_implicit_cache of the summaries that are still to be made. Each call reads the chunk's whole law.
+
+    chunks: law and text, as pending() gives them; laws: law and tokens, a row a law; count: from a text to its tokens, as columns.
+    """
+    each = chunks.join(laws.select("law", "tokens"), "law", "left").select((F.coalesce("tokens", F.lit(0)) + count(F.col("text")) + INSTRUCTION_TOKENS).alias("t"))
+    total = each.agg(F.count(F.lit(1)).alias("n_chunks"), F.coalesce(F.sum("t"), F.lit(0)).cast("long").alias("input_tokens")).withColumn("output_tokens", F.col("n_chunks") * SUMMARY_TOKENS)
+    cost = lambda shared: generation_cost(F.col("input_tokens"), F.col("output_tokens"), PRICE_IN, PRICE_OUT, shared, CACHED_PRICE)
+    return total.withColumns({"cost_no_cache": cost(0.0), "cost_with_implicit_cache": cost(CACHED_SHARE)})
+
+
 def reused(chunks: DataFrame, previous: DataFrame) -> DataFrame:
     """chunks (chunk_id, text) with the previous version's vector where the text is the same; null where it has to be made."""
     old = previous.select("chunk_id", F.col("text").alias("old_text"), "vector")

@@ -95,6 +95,22 @@ def cache_pending(spark, sf_dir):
     return versions.pending(b, a.select("chunk_id", text.short_hash(F.col("text")).alias("hash"))).select("chunk_id", "hash")
 
 
+_WORDS = r"len(list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> ''))"
+
+
+@query(f"""WITH w AS (SELECT doc_id, source, {_WORDS} AS t FROM documents), l AS (SELECT source, sum(t) AS tokens FROM w GROUP BY 1),
+c AS (SELECT count(*) AS n_chunks, coalesce(sum(tokens + t + 160), 0)::BIGINT AS input_tokens FROM w JOIN l USING (source) WHERE doc_id % 13 = 0)
+SELECT n_chunks, input_tokens, n_chunks * 60 AS output_tokens, round((input_tokens * 0.25 + n_chunks * 60 * 1.5) / 1e6, 6) AS cost_no_cache,
+ round((input_tokens * 0.95 * 0.25 * 0.25 + input_tokens * 0.05 * 0.25 + n_chunks * 60 * 1.5) / 1e6, 6) AS cost_with_implicit_cache FROM c""")
+def summary_cost(spark, sf_dir):
+    """What summaries of the documents that the cache lacks would cost; a source stands for a law."""
+    rows = docs(spark, sf_dir).select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("law"), "text")
+    cache = rows.filter("chunk_id % 13 <> 0").select("chunk_id", text.short_hash(F.col("text")).alias("hash"))
+    laws_ = rows.groupBy("law").agg(F.sum(tokenize.token_count(F.col("text"))).alias("tokens"))
+    out = versions.summary_cost(versions.pending(rows, cache), laws_, tokenize.token_count)
+    return out.withColumns({c: F.round(c, 6) for c in ("cost_no_cache", "cost_with_implicit_cache")})
+
+
 @query(f"WITH {_OLD}, {_NEW} SELECT count(*) FILTER (o.h = n.h) AS reused, count(*) FILTER (o.h IS NULL OR o.h <> n.h) AS computed FROM n LEFT JOIN o USING (doc_id)")
 def vector_reuse(spark, sf_dir):
     a, b = (x.withColumnRenamed("doc_id", "chunk_id") for x in two_versions(spark, sf_dir))
