@@ -307,23 +307,24 @@ def diagnostics(lexical: DataFrame, dense_hits: DataFrame, final: DataFrame, sco
 
 @dataclass
 class Retriever:
-    """An index and vectors over the same documents (doc_id, text), with what embeds questions."""
+    """An index and vectors over the same documents (doc_id, text), with what embeds questions: the documents' embedder, or one of their own."""
 
     docs: DataFrame
     index: Index
     vectors: DataFrame
     embed: Embedder
+    embed_question: Embedder | None = None
 
     @staticmethod
-    def of(docs: DataFrame, embed: Embedder = hashed_vectors, tokens: Callable[[Column], Column] = segmented) -> Retriever:
+    def of(docs: DataFrame, embed: Embedder = hashed_vectors, tokens: Callable[[Column], Column] = segmented, embed_question: Embedder | None = None) -> Retriever:
         docs = docs.select("doc_id", "text")
         index = build_index(docs, tokens=tokens)
         if embed is hashed_vectors and tokens is not segmented:  # questions have the same words
             vectors = embed(index.lists.select(F.col("doc_id").alias("chunk_id"), "tokens")).toDF("doc_id", "vector")
-            return Retriever(docs, index, fixed(vectors), partial(hashed_vectors, tokens=tokens))
+            return Retriever(docs, index, fixed(vectors), partial(hashed_vectors, tokens=tokens), embed_question)
         # the default embedder reads the words that the index has
         vectors = embed(index.lists.select(F.col("doc_id").alias("chunk_id"), "tokens")).toDF("doc_id", "vector") if embed is hashed_vectors else embedded(docs, embed, "doc_id", "vector")
-        return Retriever(docs, index, fixed(vectors), embed)
+        return Retriever(docs, index, fixed(vectors), embed, embed_question)
 
 
 @dataclass
@@ -355,7 +356,7 @@ def retrieve_multi(retriever: Retriever, queries: DataFrame, top: int = TOP) ->
     A document keeps its best score of each kind, with the rank it had there. What is kept is a few rows a question.
     """
     asked = fixed(variants(queries).withColumn("asked", F.xxhash64(F.col("query_id").cast("string"), "place")))
-    vectors = embedded(asked, retriever.embed, "asked", "qvector").withColumnRenamed("asked", "query_id")
+    vectors = embedded(asked, retriever.embed_question or retriever.embed, "asked", "qvector").withColumnRenamed("asked", "query_id")
     lexical, near = together(
         lambda: fixed(bm25(retriever.index, asked.select(F.col("asked").alias("query_id"), "text"), top=top)),
         lambda: fixed(dense(retriever.vectors, vectors, top=top)),

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.text import composite_text, short_hash
 from ..operators import chunking, retrieval, versions
 from ..operators.retrieval import Embedder, hashed_vectors
+from ..operators.segments import Segments
 from .shared import fixed
 
 @dataclass
@@ -55,3 +56,24 @@ def retriever_of(chunks: DataFrame, embed: Embedder = hashed_vectors) -> retriev
     """Over chunks (chunk_id, text, vector) whose vectors are made already."""
     docs = chunks.select(F.col("chunk_id").alias("doc_id"), "text")
     return retrieval.Retriever(docs, retrieval.build_index(docs), chunks.select(F.col("chunk_id").alias("doc_id"), "vector"), embed)
+
+
+def drill(first: DataFrame, then: DataFrame, path: str, embed: Embedder = hashed_vectors) -> DataFrame:
+    """A law update played through below a path of its own: a version is built, then the next one from what changed, then the first is made active again.
+
+    first, then: chunk_id, text. One row: unchanged, new, changed and deleted chunks, and passed: only new and changed chunks
+    were written, the second version holds just `then`, and the first is back as it was.
+    """
+    spark = first.sparkSession
+    store = Segments(spark, path, embed)
+    digest = F.sha2(F.coalesce("text", F.lit("")), 256).alias("hash")
+    a, b = (x.select("chunk_id", digest) for x in (first, then))
+    n = {r.status: r["count"] for r in versions.diff(a, b, "chunk_id").groupBy("status").count().collect()}
+    store.build(first, "before")
+    head = store.build(then, "after")
+    same = lambda want: store.chunks().select("chunk_id", "hash").exceptAll(want).isEmpty() and store.chunks().count() == want.count()
+    passed = head["written"] == n.get("NEW", 0) + n.get("CHANGED", 0) and head["reused"] == n.get("UNCHANGED", 0) and same(b)
+    store.rollback()
+    passed = passed and store.manifest()["version"] == "before" and same(a)
+    counts = [(n.get("UNCHANGED", 0), n.get("NEW", 0), n.get("CHANGED", 0), n.get("DELETED", 0), passed)]
+    return spark.createDataFrame(counts, "unchanged long, new long, changed long, deleted long, passed boolean")

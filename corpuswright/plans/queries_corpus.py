@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from ..functions import text, tokenize
 from ..operators import catalog, chunking, citations, sampling, sentences, versions, windows
 from ..sources import laws
+from . import index_build
 from .catalogue import query, table
+from .shared import new_path
 
 _WORDS = r"len(list_filter(string_split_regex(lower({}), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> ''))"
 _CHUNKS = rf"""
@@ -95,10 +97,7 @@ def cache_pending(spark, sf_dir):
     return versions.pending(b, a.select("chunk_id", text.short_hash(F.col("text")).alias("hash"))).select("chunk_id", "hash")
 
 
-_WORDS = r"len(list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> ''))"
-
-
-@query(f"""WITH w AS (SELECT doc_id, source, {_WORDS} AS t FROM documents), l AS (SELECT source, sum(t) AS tokens FROM w GROUP BY 1),
+@query(f"""WITH w AS (SELECT doc_id, source, {_WORDS.format('text')} AS t FROM documents), l AS (SELECT source, sum(t) AS tokens FROM w GROUP BY 1),
 c AS (SELECT count(*) AS n_chunks, coalesce(sum(tokens + t + 160), 0)::BIGINT AS input_tokens FROM w JOIN l USING (source) WHERE doc_id % 13 = 0)
 SELECT n_chunks, input_tokens, n_chunks * 60 AS output_tokens, round((input_tokens * 0.25 + n_chunks * 60 * 1.5) / 1e6, 6) AS cost_no_cache,
  round((input_tokens * 0.95 * 0.25 * 0.25 + input_tokens * 0.05 * 0.25 + n_chunks * 60 * 1.5) / 1e6, 6) AS cost_with_implicit_cache FROM c""")
@@ -111,6 +110,14 @@ def summary_cost(spark, sf_dir):
     return out.withColumns({c: F.round(c, 6) for c in ("cost_no_cache", "cost_with_implicit_cache")})
 
 
+@query(f"""WITH {_OLD}, {_NEW}, j AS (SELECT o.h AS a, n.h AS b FROM o FULL JOIN n USING (doc_id))
+SELECT count(*) FILTER (a = b) AS unchanged, count(*) FILTER (a IS NULL) AS new, count(*) FILTER (a <> b) AS changed, count(*) FILTER (b IS NULL) AS deleted, true AS passed FROM j""")
+def update_drill(spark, sf_dir):
+    """The second of two versions built from what changed, and the first made active again."""
+    first, then = (x.select(F.col("doc_id").alias("chunk_id"), "text") for x in two_versions(spark, sf_dir))
+    return index_build.drill(first, then, new_path(spark))
+
+
 @query(f"WITH {_OLD}, {_NEW} SELECT count(*) FILTER (o.h = n.h) AS reused, count(*) FILTER (o.h IS NULL OR o.h <> n.h) AS computed FROM n LEFT JOIN o USING (doc_id)")
 def vector_reuse(spark, sf_dir):
     a, b = (x.withColumnRenamed("doc_id", "chunk_id") for x in two_versions(spark, sf_dir))

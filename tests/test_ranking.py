@@ -293,3 +293,17 @@ def test_training_where_the_rows_are(spark):
     assert (plain.training_count, plain.positive_count) == (dealt.training_count, dealt.positive_count)
     b, w, _, _ = mlgate.descended(frame.limit(60).withColumn("__y", frame.label), ("a",), epochs=100, near=10.0)  # ends at once
     assert len(w) == 1
+
+
+def test_questions_may_have_an_embedder_of_their_own(spark):
+    docs = spark.createDataFrame([(1, "alpha beta"), (2, "gamma delta")], "doc_id long, text string")
+    asked = spark.createDataFrame([(7, "ALPHA?beta")], "query_id long, text string")
+    seen = []
+
+    def of_questions(rows):
+        seen.append([r.text for r in rows.collect()])
+        return retrieval.hashed_vectors(rows.withColumn("text", F.lit("gamma delta")))
+
+    plain = retrieval.retrieve(retrieval.Retriever.of(docs), asked).dense.filter("rank = 1").first()
+    other = retrieval.retrieve(retrieval.Retriever.of(docs, embed_question=of_questions), asked).dense.filter("rank = 1").first()
+    assert (plain.doc_id, other.doc_id) == (1, 2) and seen == [["ALPHA?beta"]]
