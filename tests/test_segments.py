@@ -39,8 +39,7 @@ def test_versions_of_a_changing_corpus(spark, tmp_path):
         now |= {1000 + r.randrange(10_000): text() for _ in range(6)}
     assert len(store.manifest()["segments"]) == 3 and store.manifest()["written"] < 30
     # earlier versions are read from the segments that they had
-    for version in ("v1", "v2"):
-        assert rows_of(postings.search(store.index(version), asked)) == wanted[version]
+    assert rows_of(postings.search(store.index("v1"), asked)) == wanted["v1"]
     assert store.rollback()["version"] == "v2" and {x.chunk_id: x.text for x in store.chunks().collect()} == kept["v2"]
     assert rows_of(postings.search(store.index(), asked)) == wanted["v2"]
     store.build(spark.createDataFrame([], "chunk_id long, text string"), "v3")  # is there already
