@@ -11,24 +11,32 @@ import re
 import uuid
 from collections.abc import Callable, Iterator, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.tokenize import STOPWORDS, USER_WORDS
+from ..plans.shared import fixed
 
 #: Java's and Python's name for Han characters in a pattern; Python's re has none, so their blocks are given.
 _HAN = r"⺀-⿕々〇〡-〩〸-〻㐀-䶿一-鿿豈-龎\U00016fe2\U00016fe3\U00016ff0\U00016ff1\U00020000-\U0003347f"
-_RUNS = re.compile(rf"([{_HAN}]+)|((?:(?![{_HAN}])[^\W_])+)")
+_RUNS = re.compile(rf"[{_HAN}]+|[^\W_{_HAN}]+")
+_FIRST = re.compile(rf"[{_HAN}]")
 LONGEST = 4
 
 
-def ngram_counts(texts: Column, source: DataFrame, longest: int = LONGEST) -> DataFrame:
-    """word and count of every sequence of up to `longest` Han characters inside a run of them; counted before it is dealt out."""
-    runs = F.filter(F.regexp_extract_all(texts, F.lit(r"\p{IsHan}+"), 0), lambda r: r != "")
-    grams = lambda n: F.flatten(F.transform(F.filter("runs", lambda r: F.length(r) >= n), lambda r: F.transform(F.sequence(F.lit(1), F.length(r) - (n - 1)), lambda i: r.substr(i, F.lit(n)))))
-    split = source.select(runs.alias("runs")).filter(F.size("runs") > 0)
-    return split.select(F.explode(F.concat(*[grams(n) for n in range(1, longest + 1)])).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+def ngram_counts(texts: Column, source: DataFrame, longest: int = LONGEST, starts: int = 8) -> DataFrame:
+    """word and count of every sequence of up to `longest` Han characters inside a run of them.
+
+    Runs are cut into pieces of `starts` characters, each with the few that follow it, so that each sequence begins in one
+    piece. Pieces are counted before they are dealt out, and only different ones are taken apart.
+    """
+    cut = F.lit(rf"(?=(\p{{IsHan}}{{1,{starts + longest - 1}}}))\p{{IsHan}}{{1,{starts}}}")
+    pieces = source.select(F.explode(F.regexp_extract_all(texts, cut, 1)).alias("piece")).filter("piece <> ''")
+    pieces = pieces.groupBy("piece").agg(F.count(F.lit(1)).alias("times"))
+    begins = lambda n: F.least(F.lit(starts), F.length("piece") - (n - 1))
+    grams = lambda n: F.when(begins(n) >= 1, F.transform(F.sequence(F.lit(1), begins(n)), lambda i: F.col("piece").substr(i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+    return pieces.select(F.explode(F.concat(*[grams(n) for n in range(1, longest + 1)])).alias("word"), "times").groupBy("word").agg(F.sum("times").alias("n"))
 
 
 def vocabulary(docs: DataFrame, text_col: str = "text", least: int = 5, cohesion: int = 10, most_words: int = 500_000, longest: int = LONGEST) -> DataFrame:
@@ -38,8 +46,8 @@ def vocabulary(docs: DataFrame, text_col: str = "text", least: int = 5, cohesion
     sends to the tasks, and what it leaves out is split into shorter words.
     """
     counts = ngram_counts(F.col(text_col), docs, longest)
-    often = counts.filter((F.length("word") == 1) | (F.col("n") >= least))
-    total = counts.filter(F.length("word") == 1).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"))
+    often = fixed(counts.filter((F.length("word") == 1) | (F.col("n") >= least)))  # read five times below
+    total = often.filter(F.length("word") == 1).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"))
     # each way to cut a longer word, met with the counts of its two parts, which are at least as frequent and so kept too
     cuts = often.filter(F.length("word") > 1).select("word", "n", F.explode(F.sequence(F.lit(1), F.length("word") - 1)).alias("at"))
     cuts = cuts.select("word", "n", F.expr("substring(word, 1, at)").alias("left"), F.expr("substring(word, at + 1)").alias("right"))
@@ -94,24 +102,41 @@ class Trie:
         return out
 
 
-def han_tokens(trie: Trie, text: str, known: dict[str, list[str]]) -> list[str]:
+class Runs(dict):
+    """The words of runs by the trie, without stop words of one character; runs of other letters and digits are words. Short runs are kept, 250,000 at most."""
+
+    def __init__(self, trie: Trie):
+        super().__init__()
+        self.trie = trie
+
+    def __missing__(self, run: str) -> list[str]:
+        words = self.trie.path(run) if _FIRST.match(run) else [run]
+        words = [w for w in words if len(w) > 1 or w not in STOPWORDS]
+        if len(run) <= 64:
+            if len(self) >= 250_000:
+                self.clear()
+            self[run] = words
+        return words
+
+
+def han_tokens(trie: Trie, text: str, known: Runs | None = None) -> list[str]:
     """A text's words in order, in lower case: Han runs by the trie, other runs of letters and digits whole; stop words of one character are left out."""
-    out: list[str] = []
-    for han, other in _RUNS.findall(text.lower()):
-        if other:
-            out.append(other)
-        elif len(han) > 64:
-            out += trie.path(han)
-        else:
-            if han not in known:
-                if len(known) >= 100_000:
-                    known.clear()
-                known[han] = trie.path(han)
-            out += known[han]
-    return [w for w in out if len(w) > 1 or w not in STOPWORDS]
+    known = Runs(trie) if known is None else known
+    return [w for run in _RUNS.findall(text.lower()) for w in known[run]]
+
+
+def _listed(texts: pa.Array, known: Runs) -> pa.Array:
+    """The words of each text, null for null."""
+    ends, flat, runs = [0], [], _RUNS.findall
+    for text in texts.to_pylist():
+        if text is not None:
+            for run in runs(text.lower()):
+                flat += known[run]
+        ends.append(len(flat))
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.string()), mask=texts.is_null())
 
 
-_tries: dict[str, Trie] = {}
+_tries: dict[str, Runs] = {}
 
 
 class Segmenter:
@@ -131,15 +156,15 @@ class Segmenter:
     def tokens(self) -> Callable[[Column], Column]:
         sent = self._sent
 
-        @F.pandas_udf("array<string>")
-        def segment(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        @F.arrow_udf("array<string>")
+        def segment(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
             name, words, listed = sent.value
             if name not in _tries:  # a worker holds one
                 _tries.clear()
-                _tries[name] = Trie(words, listed)
-            trie, known = _tries[name], {}
+                _tries[name] = Runs(Trie(words, listed))
             for texts in parts:
-                yield pd.Series([None if t is None else han_tokens(trie, t, known) for t in texts], dtype=object)
+                # a few texts at a time, as Python's strings are many times as large
+                yield pa.concat_arrays([_listed(texts.slice(at, 256), _tries[name]) for at in range(0, max(1, len(texts)), 256)])
 
         return lambda c: segment(c)
 

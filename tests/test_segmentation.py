@@ -103,3 +103,37 @@ def test_index_and_questions_use_it(spark):
     assert {(x.query_id, x.doc_id) for x in both.lexical.collect()} == {(7, 1), (8, 3)}
     assert {x.doc_id for x in both.dense.filter("query_id = 8 and rank = 1").collect()} == {3}
     assert "的" in STOPWORDS
+
+
+def test_texts_are_read_once_for_a_vocabulary(spark):
+    from pyspark.sql import functions as F
+
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def text(t):
+        seen.add(1)
+        return t
+
+    rows = spark.createDataFrame([("天地山水" * 5,), ("天地",), ("山水火",)] * 4, "text string")
+    got = {w.word: w.n for w in segmentation.vocabulary(rows.select(text("text").alias("text")), cohesion=1).collect()}
+    assert seen.value == 12 and got["天地"] == 24 and got["天地山水"] == 20
+
+
+@pytest.mark.parametrize("starts", [1, 2, 8])
+def test_sequences_of_long_runs(spark, starts):
+    from collections import Counter
+
+    r = random.Random(starts)
+    runs = ["".join(r.choices("天地山水\U00020001", k=k)) for k in (1, 2, 3, 4, 7, 8, 9, 10, 11, 12, 16, 19, 40)]
+    want = Counter(x[i : i + n] for x in runs for n in range(1, 5) for i in range(len(x) - n + 1))
+    rows = spark.createDataFrame([("a".join(runs),), (None,), ("",), ("abc",)], "text string")
+    assert {w.word: w.n for w in segmentation.ngram_counts(rows.text, rows, starts=starts).collect()} == want
+
+
+def test_batches_of_many_texts(spark):
+    seg = Segmenter(spark, [("天地", -0.1)])
+    texts = [None if i % 7 == 0 else "" if i % 7 == 1 else "天地" * (i % 50) + f" x{i}" for i in range(1500)]
+    got = spark.createDataFrame(list(enumerate(texts)), "i long, t string").coalesce(1)
+    want = [None if t is None else ["天地"] * (i % 50) * (t != "") + ([f"x{i}"] if t else []) for i, t in enumerate(texts)]
+    assert [r.w for r in got.select("i", seg.tokens(got.t).alias("w")).orderBy("i").collect()] == want
