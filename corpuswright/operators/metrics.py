@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..plans.shared import fixed
+from ..plans.shared import fixed, tasks_for
 from .windows import MOST, hot
 
 
@@ -92,8 +92,17 @@ def recall_mrr(hits: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
 
 def citation_metrics(citations: DataFrame, known: DataFrame, gold: DataFrame) -> DataFrame:
     """Per answer: citations that exist, and that are gold. citations: answer_id, article_id; known: article_id; gold: answer_id, article_id."""
-    cited = citations.distinct()
-    marked = cited.join(known.select("article_id", F.lit(True).alias("valid")).distinct(), "article_id", "left").join(gold.select("answer_id", "article_id", F.lit(True).alias("right")).distinct(), ["answer_id", "article_id"], "left")
+    parts, none = tasks_for(citations), F.lit(None).cast("boolean")
+    known = known.select("article_id", F.lit(True).alias("valid")).distinct()
+    if known.limit(2_000_001).count() <= 2_000_000:
+        said = citations.join(F.broadcast(known), "article_id", "left")
+    else:
+        said = citations.repartition(parts, "article_id").join(known.repartition(parts, "article_id"), "article_id", "left")
+    said = said.select("answer_id", "article_id", F.lit(True).alias("said"), "valid", none.alias("right"))
+    # an answer's rows meet once, and are then made distinct, marked and summed up where they are
+    right = gold.filter("answer_id is not null and article_id is not null").select("answer_id", "article_id", none.alias("said"), none.alias("valid"), F.lit(True).alias("right"))
+    met = said.unionByName(right).repartition(parts, "answer_id").groupBy("answer_id", "article_id")
+    marked = met.agg(F.max("said").alias("said"), F.max("valid").alias("valid"), F.max("right").alias("right")).filter("said")
     return marked.groupBy("answer_id").agg(F.count(F.lit(1)).alias("citations"), F.coalesce(rate(F.count("valid"), F.count(F.lit(1))), F.lit(0.0)).alias("validity"), rate(F.count("right"), F.count(F.lit(1))).alias("correctness"))
 
 
