@@ -4,12 +4,16 @@ from __future__ import annotations
 
 import re
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import CHAPTER_CITATION, article_no_of, extract_citations, paragraphs
+from ..plans.shared import fixed
 from .names import Names
+from .retrieval import small
+from .windows import previous
 
 # fixed values: numerals, an article token, and what stands between the tokens of a run
 NUMERAL = "[〇零一二三四五六七八九十百千0-9]+"
@@ -22,17 +26,23 @@ OFFSETS = "array<struct<at: int, end: int, base: string, suffix: string, joint:
 def token_offsets(text: Column) -> Column:
     """Article tokens with their offsets, and the joint to the token before where they are of one run. Offsets aren't to be had from SQL's patterns, so this is an Arrow function."""
 
-    @F.pandas_udf(OFFSETS)
-    def scan(texts):
-        def one(text):
-            out, end = [], None
+    @F.arrow_udf(OFFSETS)
+    def scan(texts: pa.Array) -> pa.Array:
+        ends, at, to, base, suffix, joint = [0], [], [], [], [], []
+        for text in texts.to_pylist():
+            end = None
             for m in TOKEN.finditer(text or ""):
-                gap = text[end : m.start()] if end is not None else ""
-                out.append({"at": m.start(), "end": m.end(), "base": m[1], "suffix": m[2], "joint": gap if JOINT.fullmatch(gap) else None})
+                start = m.start()
+                gap = text[end:start] if end is not None else ""
+                joint.append(gap if JOINT.fullmatch(gap) else None)
                 end = m.end()
-            return out
-
-        return texts.map(one)
+                at.append(start)
+                to.append(end)
+                base.append(m[1])
+                suffix.append(m[2])
+            ends.append(len(at))
+        fields = {"at": pa.array(at, pa.int32()), "end": pa.array(to, pa.int32()), "base": pa.array(base, pa.string()), "suffix": pa.array(suffix, pa.string()), "joint": pa.array(joint, pa.string())}
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(list(fields.values()), list(fields)))
 
     return scan(text)
 
@@ -44,13 +54,16 @@ def expanded(low: Column, high: Column) -> Column:
 
 def article_references(articles: DataFrame) -> DataFrame:
     """article_id, pcode, article_no, ord, content, seq, at, no: every article number cited, ranges written out."""
-    tokens = articles.select("article_id", "pcode", "article_no", "ord", "content", F.posexplode(token_offsets(F.col("content"))).alias("seq", "t"))
-    named = tokens.select("article_id", "pcode", "article_no", "ord", "content", "seq", F.col("t.at").alias("at"), F.col("t.joint").alias("joint"), article_no_of(F.col("t.base"), F.col("t.suffix")).alias("no"))
-    before = F.lag("no").over(Window.partitionBy("article_id").orderBy("seq"))
+    kept = ["article_id", "pcode", "article_no", "ord", "content"]
+    tokens = articles.select(*kept, token_offsets(F.col("content")).alias("tokens"))
+    numbers = tokens.withColumn("tokens", F.transform("tokens", lambda t: F.struct(t["at"].alias("at"), t["joint"].alias("joint"), article_no_of(t["base"], t["suffix"]).alias("no"))))
+    # the number before is in the same list, so that nothing is moved
+    both = F.transform("tokens", lambda t, i: F.struct(t["at"].alias("at"), t["joint"].alias("joint"), t["no"].alias("no"), F.get("tokens", i - 1)["no"].alias("before")))
+    named = numbers.select(*kept, F.posexplode(both).alias("seq", "t")).select(*kept, "seq", "t.*")
     low, high = F.col("before").try_cast("int"), F.col("no").try_cast("int")
     ranged = (F.col("joint") == THROUGH) & low.isNotNull() & high.isNotNull()
     numbers = F.when(ranged, expanded(low, high).cast("array<string>")).otherwise(F.array("no"))
-    return named.withColumn("before", before).select("article_id", "pcode", "article_no", "ord", "content", "seq", "at", F.posexplode(numbers).alias("step", "no"))
+    return named.select(*kept, "seq", "at", F.posexplode(numbers).alias("step", "no"))
 
 
 def alias_table(laws: DataFrame, parent_name: str, marker: str) -> DataFrame:
@@ -81,25 +94,30 @@ def resolved(refs: DataFrame, laws: DataFrame, aliases: DataFrame, most: int = 2
     else:
         windows = refs.withColumn("seen", seen)
         met = windows.select(*ids, "seen").join(known.select("law_name", F.col("pcode").alias("code")), F.expr("contains(seen, law_name)"))
-        keyed = windows.join(met.groupBy(*ids).agg(F.max_by("code", F.struct(_place("law_name"), F.length("law_name"), "code")).alias("named")), ids, "left")
-    by_alias = keyed.select(*ids, "pcode", "seen").join(aliases, "pcode").filter("contains(seen, alias)")
-    by_alias = by_alias.groupBy(*ids).agg(F.max_by("target", F.struct(_place("alias"), F.length("alias"))).alias("by_alias"))
-    out = keyed.drop("seen").join(by_alias, ids, "left")
-    return out.withColumn("target_pcode", F.coalesce("named", "by_alias", "pcode")).drop("named", "by_alias")
+        keyed = windows.join(met.groupBy(*ids).agg(F.max_by("code", F.struct(F.expr(_PLACE.format("law_name")), F.length("law_name"), "code")).alias("named")), ids, "left")
+    # a law has a few aliases, which go to its references as a list
+    of_law = small(aliases.groupBy("pcode").agg(F.collect_list(F.struct("alias", "target")).alias("__aliases")), most)
+    nearest = F.expr(f"array_max(transform(filter(__aliases, a -> contains(seen, a.alias)), a -> struct({_PLACE.format('a.alias')} AS place, length(a.alias) AS n, a.target AS target))).target")
+    out = keyed.join(of_law, "pcode", "left").withColumn("target_pcode", F.coalesce("named", nearest, "pcode"))
+    return out.drop("seen", "named", "__aliases")
 
 
-def _place(word: str) -> Column:
-    """The last place of a word in the window, found from the reversed texts."""
-    return F.length("seen") - F.expr(f"instr(reverse(seen), reverse({word}))") - F.length(word) + 2
+#: The last place of a word in the window, found from the reversed texts.
+_PLACE = "length(seen) - instr(reverse(seen), reverse({0})) - length({0}) + 2"
 
 
 def edges_of(articles: DataFrame, laws: DataFrame, aliases: DataFrame) -> DataFrame:
     """source, target, provenance, ord: citations by number and by 前條, without loops, the first of each pair of articles."""
     refs = resolved(article_references(articles), laws, aliases)
     cited = refs.select(F.col("article_id").alias("source"), F.concat_ws("-", "target_pcode", "no").alias("target"), F.struct(F.lit(0).alias("kind"), "seq", "step").alias("ord"))
-    before = articles.withColumn("prev", F.lag("article_no").over(Window.partitionBy("pcode").orderBy("ord"))).filter(F.col("prev").isNotNull() & F.col("content").contains(PREVIOUS))
-    prior = before.select(F.col("article_id").alias("source"), F.concat_ws("-", "pcode", "prev").alias("target"), F.struct(F.lit(1).alias("kind"), F.lit(0).alias("seq"), F.lit(0).alias("step")).alias("ord"))
-    both = cited.unionByName(prior).filter("source <> target")
+    # without the texts, which would go through a law's one task
+    marked = fixed(articles.select("article_id", "pcode", "article_no", "ord", F.coalesce(F.col("content").contains(PREVIOUS), F.lit(False)).alias("says")))
+    both = cited
+    if not marked.filter("says").isEmpty():
+        before = previous(marked, "article_no", "pcode", "ord", name="prev").filter("says and prev is not null")
+        prior = before.select(F.col("article_id").alias("source"), F.concat_ws("-", "pcode", "prev").alias("target"), F.struct(F.lit(1).alias("kind"), F.lit(0).alias("seq"), F.lit(0).alias("step")).alias("ord"))
+        both = cited.unionByName(prior)
+    both = both.filter("source <> target")
     return both.groupBy("source", "target").agg(F.min("ord").alias("ord")).withColumn("provenance", F.lit("regex"))
 
 
@@ -113,7 +131,10 @@ def build_graph(articles: DataFrame, laws: DataFrame, aliases: DataFrame, supple
     return valid_edges(found, articles.select(F.col("article_id").alias("target")))
 
 
-def valid_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+def valid_edges(edges: DataFrame, nodes: DataFrame, parts: int | None = None) -> DataFrame:
+    """parts: the number of tasks that edges and nodes are dealt to, if given."""
+    if parts:
+        edges, nodes = edges.repartition(parts, "target"), nodes.repartition(parts, "target")
     return edges.join(nodes.distinct(), "target", "left_semi")
 
 

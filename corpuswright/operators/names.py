@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import ahocorasick
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
@@ -96,5 +97,20 @@ class Names:
 
     def offsets(self, text: Column) -> Column:
         """Every occurrence: start and end in characters from 0, and what its name stands for."""
-        found = self._each(lambda a, codes, t: [{"start": s, "end": e, "code": codes[n]} for s, e, n in places(a, t)], "array<struct<start: int, end: int, code: string>>")
-        return found(text)
+        sent = self._sent
+
+        @F.arrow_udf("array<struct<start: int, end: int, code: string>>")
+        def run(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            key, codes = sent.value
+            if key not in _held:
+                _held.clear()
+                _held[key] = _automaton(codes)
+            for texts in parts:
+                ends, found = [0], []
+                for t in texts.to_pylist():
+                    found += places(_held[key], t) if t else []
+                    ends.append(len(found))
+                fields = {"start": pa.array([s for s, _, _ in found], pa.int32()), "end": pa.array([e for _, e, _ in found], pa.int32()), "code": pa.array([codes[n] for _, _, n in found], pa.string())}
+                yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(list(fields.values()), list(fields)), mask=texts.is_null())
+
+        return run(text)

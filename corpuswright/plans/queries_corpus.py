@@ -10,7 +10,7 @@ from ..operators import catalog, chunking, citations, sampling, sentences, versi
 from ..sources import laws
 from . import index_build
 from .catalogue import query, table
-from .shared import new_path
+from .shared import new_path, tasks_for
 
 _WORDS = r"len(list_filter(string_split_regex(lower({}), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> ''))"
 _CHUNKS = rf"""
@@ -237,9 +237,9 @@ SELECT 'L' || c.law || '-' || p AS source, 'L' || target || '-' || s AS target,
 def citation_edges(spark, sf_dir):
     """Parts as articles of three laws whose text cites suppliers' numbers, every other one in the third law by its name; edges to articles that exist."""
     part, lines = table(spark, sf_dir, "part"), table(spark, sf_dir, "lineitem")
-    cites = lines.select(F.col("l_partkey").alias("no"), F.col("l_suppkey").alias("s")).distinct()
+    cites = lines.select(F.col("l_partkey").alias("no"), F.col("l_suppkey").alias("s"))
     # each part has a few suppliers
-    cited = cites.groupBy("no").agg(F.array_join(F.transform(F.array_sort(F.collect_list("s")), lambda s: F.concat(F.when(s % 2 == 0, "老人福利法").otherwise(""), F.lit("第"), s.cast("string"), F.lit("條"))), _GAP).alias("content"))
+    cited = cites.groupBy("no").agg(F.array_join(F.transform(F.array_sort(F.collect_set("s")), lambda s: F.concat(F.when(s % 2 == 0, "老人福利法").otherwise(""), F.lit("第"), s.cast("string"), F.lit("條"))), _GAP).alias("content"))
     rows = part.select(F.col("p_partkey").alias("no")).join(cited, "no", "left")
     articles = rows.select(F.format_string("L%d-%d", F.col("no") % 3, F.col("no")).alias("article_id"), F.concat(F.lit("L"), F.col("no") % 3).alias("pcode"), F.col("no").cast("string").alias("article_no"), F.col("no").cast("int").alias("ord"), F.coalesce("content", F.lit("")).alias("content"))
     named = spark.createDataFrame([("L0", "甲法"), ("L1", "乙法"), ("L2", "老人福利法")], "pcode string, law_name string")
@@ -252,8 +252,9 @@ SELECT 'L' || law AS pcode, count(*) AS articles, coalesce(sum(n), 0)::BIGINT AS
 def graph_metadata(spark, sf_dir):
     part, lines = table(spark, sf_dir, "part"), table(spark, sf_dir, "lineitem")
     articles = part.select(F.col("p_partkey").alias("article_id"), F.concat(F.lit("L"), F.col("p_partkey") % 3).alias("pcode"))
-    edges = lines.select(F.col("l_partkey").alias("source"), F.col("l_suppkey").alias("target")).distinct()
-    return citations.graph_metadata(articles, citations.valid_edges(edges, articles.select(F.col("article_id").alias("target"))))
+    edges, parts = lines.select(F.col("l_partkey").alias("source"), F.col("l_suppkey").alias("target")), tasks_for(lines)
+    valid = citations.valid_edges(edges, articles.select(F.col("article_id").alias("target")), parts)
+    return citations.graph_metadata(articles, valid.distinct())
 
 
 def packed_laws(spark, sf_dir):

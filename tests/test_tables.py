@@ -250,3 +250,35 @@ def test_copy_missing(spark, tmp_path):
         (tmp_path / name).write_text(text)
     got = versions.copy_missing(versions.Store(spark, str(tmp_path)), f"{tmp_path}/seed", f"{tmp_path}/run", ["a", "b", "c"])
     assert got == {"a": "preserved", "b": "copied", "c": "missing"} and (tmp_path / "run/a").read_text() == "own" and (tmp_path / "run/b").read_text() == "new"
+
+
+def test_references_are_not_moved_with_their_texts(spark):
+    """No shuffle carries articles' texts, nor the windows before references."""
+    from corpuswright.operators import citations
+
+    filler = "字" * 30
+    articles = spark.createDataFrame([("A-1", "A", "1", 1, f"依第3條至第5條{filler}本法第7條"), ("A-2", "A", "2", 2, "依前條規定"), ("A-3", "A", "3", 3, ""), ("B-1", "B", "1", 1, None)], "article_id string, pcode string, article_no string, ord int, content string")
+    laws = spark.createDataFrame([("A", "甲法"), ("B", "乙法")], "pcode string, law_name string")
+    aliases = spark.createDataFrame([("A", "本法", "B"), ("A", "本細則", "A")], "pcode string, alias string, target string")
+    refs = citations.article_references(articles)
+    assert [(r.seq, r.no) for r in refs.filter("article_id = 'A-1'").orderBy("seq", "step").collect()] == [(0, "3"), (1, "4"), (1, "5"), (2, "7")]
+    assert "Exchange" not in refs._jdf.queryExecution().executedPlan().toString()
+    got = {(e.source, e.target) for e in citations.edges_of(articles, laws, aliases).collect()}
+    assert got == {("A-1", "A-3"), ("A-1", "A-4"), ("A-1", "A-5"), ("A-1", "B-7"), ("A-2", "A-1")}
+
+
+def test_citation_metrics_with_nulls_and_repeats(spark):
+    from corpuswright.operators import metrics
+
+    said = spark.createDataFrame([(1, 10), (1, 10), (1, 11), (1, None), (2, 12)], "answer_id long, article_id long")
+    known = spark.createDataFrame([(10,), (10,), (12,), (None,)], "article_id long")
+    gold = spark.createDataFrame([(1, 11), (1, None), (2, 13), (3, 10)], "answer_id long, article_id long")
+    got = {r.answer_id: (r.citations, round(r.validity, 6), round(r.correctness, 6)) for r in metrics.citation_metrics(said, known, gold).collect()}
+    assert got == {1: (3, round(1 / 3, 6), round(1 / 3, 6)), 2: (1, 1.0, 0.0)}
+
+
+def test_tasks_grow_with_the_rows(spark):
+    from corpuswright.plans.shared import tasks_for
+
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert tasks_for(spark.range(10)) == least and tasks_for(spark.range(1000), each=10) == 100
