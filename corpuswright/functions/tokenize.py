@@ -24,11 +24,34 @@ def words(c: Column) -> Column:
     return F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}]+"), lambda x: x != "")
 
 
+def longest_of(words: Sequence[str]) -> str:
+    """A pattern for the longest of some words at a place, branched by character, so that a place where none begins costs one look."""
+    tree: dict = {}
+    for word in words:
+        node = tree
+        for c in word:
+            node = node.setdefault(c, {})
+        node[""] = {}
+
+    def branch(node: dict) -> str:
+        heads = sorted(c for c in node if c)
+        if not heads:
+            return ""
+        body = "|".join(quoted(c) + branch(node[c]) for c in heads)
+        return f"(?:{body})?" if "" in node else body if len(heads) == 1 else f"(?:{body})"
+
+    firsts = "".join(quoted(c) for c in sorted(tree))
+    return f"(?=[{firsts}]){branch(tree)}"
+
+
 def cjk_tokens(c: Column, user_words: Sequence[str] = ()) -> Column:
     """Longest words of the user's list, other Han text cut at two characters, and runs of other letters and digits, in lower case; stop words left out."""
-    listed = "|".join(quoted(w) for w in sorted(user_words, key=len, reverse=True))
-    pattern = (listed + "|" if listed else "") + r"\p{IsHan}{1,2}|[\p{L}\p{N}&&[^\p{IsHan}]]+"
-    found = F.regexp_extract_all(F.lower(c), F.lit(pattern), 0)
+    listed = longest_of([w for w in user_words if w]) + "|" if any(user_words) else ""
+    alone = [w for w in user_words if len(w) == 1]
+    single = r"\p{IsHan}" if alone else rf"(?![{STOPWORDS}])\p{{IsHan}}"
+    found = F.regexp_extract_all(F.lower(c), F.lit(listed + r"\p{IsHan}{2}|" + single + r"|[\p{L}\p{N}&&[^\p{IsHan}]]+"), 0)
+    if not alone:
+        return found
     return F.filter(found, lambda x: ~((F.length(x) == 1) & F.lit(STOPWORDS).contains(x)))
 
 

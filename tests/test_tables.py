@@ -282,3 +282,15 @@ def test_tasks_grow_with_the_rows(spark):
 
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
     assert tasks_for(spark.range(10)) == least and tasks_for(spark.range(1000), each=10) == 100
+
+
+def test_large_tables_are_dealt_to_more_tasks(spark, tmp_path):
+    from corpuswright.plans.shared import spread
+
+    slots = spark.sparkContext.defaultParallelism
+    spark.range(1000).coalesce(1).write.parquet(str(tmp_path / "one"))
+    one = spark.read.parquet(str(tmp_path / "one"))
+    assert spread(one).rdd.getNumPartitions() == slots and spread(one, 10).rdd.getNumPartitions() == 100
+    spark.range(1000).repartition(slots).write.parquet(str(tmp_path / "many"))
+    many = spark.read.parquet(str(tmp_path / "many"))
+    assert spread(many, 10).rdd.getNumPartitions() == 100 and spread(many).rdd.getNumPartitions() == many.rdd.getNumPartitions()
