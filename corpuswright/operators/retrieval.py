@@ -9,6 +9,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -97,35 +98,43 @@ class Weights:
 def _scored(sent, total, top: int):
     def run(batches) -> Iterator[pa.RecordBatch]:
         asked = sent.value
-        mean, ids = total.avgdl or 1, asked.ids
+        mean, ids, wanted = total.avgdl or 1, asked.ids, pa.array(list(asked.terms), pa.string())
         step = max(64, min(4096, 2_000_000 // max(1, len(ids))))
         for whole in batches:
             for at in range(0, whole.num_rows, step):
                 batch = whole.slice(at, step)
                 if not ids:
                     continue
-                rows, words, names = coded(batch.column(1))
+                rows, words, names = numbered(batch.column(1))
                 length = np.array([x or 0 for x in batch.column(2).to_pylist()], float)
-                known = np.array([k for k, w in enumerate(names) if w in asked.terms], int)
-                here = np.isin(words, known)
+                known = np.flatnonzero(pc.is_in(names, value_set=wanted).to_numpy(zero_copy_only=False))  # no question has the other words
+                here = np.zeros(len(names), bool)
+                here[known] = True
+                here = here[words]
                 cells, tf = np.unique(words[here].astype(np.int64) * batch.num_rows + rows[here], return_counts=True)
                 docs, parts = cells % batch.num_rows, share(tf.astype(float), length[cells % batch.num_rows], mean)
                 ends = np.searchsorted(cells // batch.num_rows, known, "right")
                 held = np.zeros((len(ids), batch.num_rows))
-                for k, a, b in zip(known.tolist(), [0, *ends], ends):
-                    asked.add(held, names[k], docs[a:b], parts[a:b])
+                for word, a, b in zip(names.take(pa.array(known)).to_pylist(), [0, *ends], ends):
+                    asked.add(held, word, docs[a:b], parts[a:b])
                 yield best_of(np.round(held, 6), ids, batch.column(0), top, lambda got: got > 0)
 
     return run
 
 
-def coded(lists: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
+def numbered(lists: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     """Of lists of strings: the row and the word's number of each string, and the words by number."""
     if not len(lists):
-        return np.zeros(0, int), np.zeros(0, int), []
+        return np.zeros(0, int), np.zeros(0, int), pa.array([], pa.string())
     sizes = np.where(lists.is_valid().to_numpy(zero_copy_only=False), np.diff(lists.offsets.to_numpy()), 0)
     flat = lists.flatten().dictionary_encode()
-    return np.repeat(np.arange(len(lists)), sizes), flat.indices.to_numpy(), flat.dictionary.to_pylist()
+    return np.repeat(np.arange(len(lists)), sizes), flat.indices.to_numpy(), flat.dictionary
+
+
+def coded(lists: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """As numbered, with the words as a list."""
+    rows, words, names = numbered(lists)
+    return rows, words, names.to_pylist()
 
 
 def best_of(scores: np.ndarray, queries: list, docs: pa.Array, top: int, fine) -> pa.RecordBatch:
@@ -161,13 +170,18 @@ def truncated(v: Column, dim: int) -> Column:
     return F.transform(cut, lambda x: x.cast("double") / F.sqrt(dot(cut, cut)))
 
 
-def similarities(corpus: np.ndarray, query: np.ndarray, score: str) -> np.ndarray:
+def lengths_of(corpus: np.ndarray) -> np.ndarray:
+    return np.sqrt((corpus * corpus).sum(axis=1))
+
+
+def similarities(corpus: np.ndarray, query: np.ndarray, score: str, lengths: np.ndarray | None = None) -> np.ndarray:
+    """lengths: of the corpus' vectors, if they are known."""
     if score == "l1":
         return -np.abs(corpus - query).sum(axis=1)
     found = corpus @ query
     if score == "dot":
         return found
-    sizes = np.sqrt((corpus * corpus).sum(axis=1)) * np.sqrt((query * query).sum())
+    sizes = (lengths_of(corpus) if lengths is None else lengths) * np.sqrt((query * query).sum())
     return np.divide(found, sizes, out=np.full(len(found), np.nan), where=sizes > 0)
 
 
@@ -195,6 +209,16 @@ def dense(corpus: DataFrame, queries: DataFrame, score: str = "cosine", dim: int
     return out
 
 
+#: Scores that a task holds at once.
+CELLS = 1 << 19
+
+
+def matrix_of(vectors: pa.Array) -> np.ndarray:
+    """Vectors of one length as rows. A null component is no number."""
+    flat = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False)
+    return flat.reshape(len(vectors), -1)
+
+
 def _nearest(sent, score: str, dim: int | None, top: int, skip_self: bool):
     def run(batches) -> Iterator[pa.RecordBatch]:
         ids, vectors = sent.value
@@ -203,14 +227,16 @@ def _nearest(sent, score: str, dim: int | None, top: int, skip_self: bool):
                 batch = whole.slice(at, 4096)
                 if not vectors or not batch.num_rows:
                     continue
-                matrix = np.array(batch.column(1).to_pylist(), np.float64)[:, :dim]
-                got = np.round(np.array([similarities(matrix, v, score) for v in vectors]), 6) + 0.0
-                if skip_self:
-                    place = {d: k for k, d in enumerate(batch.column(0).to_pylist())}
-                    for i, query in enumerate(ids):
+                matrix = matrix_of(batch.column(1))[:, :dim]
+                lengths = lengths_of(matrix)
+                place = {d: k for k, d in enumerate(batch.column(0).to_pylist())} if skip_self else {}
+                for first in range(0, len(ids), CELLS // 4096):  # scores of a few queries at a time
+                    asked = ids[first : first + CELLS // 4096]
+                    got = np.round(np.array([similarities(matrix, v, score, lengths) for v in vectors[first : first + len(asked)]]), 6) + 0.0
+                    for i, query in enumerate(asked):
                         if query in place:
                             got[i, place[query]] = np.nan
-                yield best_of(got, ids, batch.column(0), top, lambda x: ~np.isnan(x))
+                    yield best_of(got, asked, batch.column(0), top, lambda x: ~np.isnan(x))
 
     return run
 
@@ -226,21 +252,22 @@ def hashed_vectors(rows: DataFrame, dim: int = 64, tokens: Callable[[Column], Co
     """
 
     def run(batches) -> Iterator[pa.RecordBatch]:
-        known: dict[str, tuple[int, float]] = {}
+        known: dict[str, int] = {}  # twice the place, and one more for a minus
         for whole in batches:
             for at in range(0, whole.num_rows, 1024):
                 batch = whole.slice(at, 1024)
                 n = batch.num_rows
                 rows_, words, names = coded(batch.column(1))
-                hashed = []
-                for w in names:
-                    if w not in known:
-                        if len(known) >= 200_000:
-                            known.clear()
+                hashed = [known.get(w, -1) for w in names]
+                for k, w in enumerate(names):
+                    if hashed[k] < 0:
                         h = hashlib.md5(w.encode()).digest()
-                        known[w] = int.from_bytes(h[:4]) % dim, 1.0 - 2 * (h[7] % 2)
-                    hashed.append(known[w])
-                places, signs = np.array([p for p, _ in hashed], int), np.array([s for _, s in hashed])
+                        hashed[k] = int.from_bytes(h[:4]) % dim * 2 + h[7] % 2
+                        if len(known) >= 400_000:
+                            known.clear()
+                        known[w] = hashed[k]
+                hashed = np.array(hashed, int)
+                places, signs = hashed // 2, 1.0 - 2 * (hashed % 2)
                 flat = np.bincount(rows_ * dim + places[words], signs[words], n * dim) if len(words) else np.zeros(n * dim)
                 out = flat.reshape(-1, dim)
                 length = np.sqrt((out * out).sum(axis=1, keepdims=True))

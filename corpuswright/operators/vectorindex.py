@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.shared import fixed
-from .retrieval import TOP, best_of, ranked, similarities
+from .retrieval import CELLS, TOP, best_of, lengths_of, matrix_of, ranked, similarities
 
 #: Vectors that centroids are made from and, of these, the ones that probes are tuned by.
 SAMPLE, ASKED = 20_000, 500
@@ -94,10 +94,11 @@ def build(corpus: DataFrame, path: str, cells: int | None = None, sample: int =
 
     def assign(batches) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, 2048):
-                batch = whole.slice(at, 2048)
+            step = max(1, CELLS // max(1, len(centroids)))
+            for at in range(0, whole.num_rows, step):
+                batch = whole.slice(at, step)
                 if batch.num_rows:
-                    near = distances(directions(np.array(batch.column(1).to_pylist(), float)), centroids)
+                    near = distances(directions(matrix_of(batch.column(1))), centroids)
                     own = near.argmin(axis=1)
                     yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own, pa.int32()), pa.array(near[np.arange(len(own)), own])], ["doc_id", "vector", "cell", "far"])
 
@@ -175,15 +176,17 @@ def _read(index: VectorIndex, ids: list, vectors: np.ndarray, wanted: np.ndarray
                 rows = np.flatnonzero(cell == c)
                 for at in range(0, len(rows), 4096):
                     batch = whole.take(pa.array(rows[at : at + 4096]))
-                    matrix, names = np.array(batch.column(1).to_pylist(), float), batch.column(0)
-                    mine = ask.get(int(c), [])
-                    got = np.round(np.array([similarities(matrix, vectors[q], "cosine") for q in mine]).reshape(len(mine), -1), 6) + 0.0
-                    if skip_self:
-                        place = {d: k for k, d in enumerate(names.to_pylist())}
+                    matrix, names = matrix_of(batch.column(1)), batch.column(0)
+                    lengths = lengths_of(matrix)
+                    place = {d: k for k, d in enumerate(names.to_pylist())} if skip_self else {}
+                    every = ask.get(int(c), [])
+                    for first in range(0, len(every), CELLS // 4096):  # scores of a few queries at a time
+                        mine = every[first : first + CELLS // 4096]
+                        got = np.round(np.array([similarities(matrix, vectors[q], "cosine", lengths) for q in mine]), 6) + 0.0
                         for k, q in enumerate(mine):
                             if ids[q] in place:
                                 got[k, place[ids[q]]] = np.nan
-                    yield best_of(got, [ids[q] for q in mine], names, top, lambda x: ~np.isnan(x))
+                        yield best_of(got, [ids[q] for q in mine], names, top, lambda x: ~np.isnan(x))
 
     rows = index.vectors.filter(F.col("cell").isin([int(c) for c in ask])).select("doc_id", "vector", "cell")
     return ranked(rows.mapInArrow(run, kinds), top)
