@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import extract_citations, long_tail, question_hash, sanitize_question, sha256_json, valid_question
+from ..plans.shared import fixed
 from . import digests, retrieval
 from .metrics import nearest_rank, rate
 
@@ -30,13 +31,18 @@ def strategy_hits(retriever: retrieval.Retriever, docs: DataFrame, questions: Da
     strategies: queries by name (query_id, ord, text), of which the first is what candidates are ranked again by; gold:
     query_id, doc_id. A question that a strategy leaves out is no hit.
     """
-    total, out = gold.select("query_id").distinct().agg(F.count(F.lit(1)).alias("queries")), None
+    total, every = gold.select("query_id").distinct().agg(F.count(F.lit(1)).alias("queries")), None
     for name, queries in strategies.items():
-        first = queries.groupBy("query_id").agg(F.min_by("text", "ord").alias("text"))
-        final = retrieval.rerank(retrieval.retrieve_multi(retriever, queries).fused, docs, first, scorer)
-        hits = final.join(gold, ["query_id", "doc_id"], "left_semi").agg(F.count_distinct("query_id").alias("hits")).select(F.lit(name).alias("strategy"), "hits")
-        out = hits if out is None else out.unionByName(hits)
-    return out.crossJoin(F.broadcast(total))
+        part = queries.select(F.lit(name).alias("strategy"), "query_id", "ord", "text")
+        every = part if every is None else every.unionByName(part)
+    # one retrieval for all: a strategy's question has a key of its own
+    every = fixed(every.withColumn("key", F.to_json(F.array("strategy", F.col("query_id").cast("string")))))
+    queries = every.select(F.col("key").alias("query_id"), "ord", "text")
+    first = queries.groupBy("query_id").agg(F.min_by("text", "ord").alias("text"))
+    final = retrieval.rerank(retrieval.retrieve_multi(retriever, queries).fused, docs, first, scorer).select(F.col("query_id").alias("key"), "doc_id")
+    hits = final.join(every.select("key", "strategy", "query_id").distinct(), "key").join(gold, ["query_id", "doc_id"], "left_semi").groupBy("strategy").agg(F.count_distinct("query_id").alias("hits"))
+    names = gold.sparkSession.createDataFrame([(name,) for name in strategies], "strategy string")
+    return names.join(hits, "strategy", "left").select("strategy", F.coalesce("hits", F.lit(0)).alias("hits")).crossJoin(F.broadcast(total))
 
 
 def answer_metrics(answers: DataFrame, laws: DataFrame, expected: DataFrame) -> DataFrame:

@@ -25,16 +25,50 @@ Embedder = Callable[[DataFrame], DataFrame]
 
 @dataclass
 class Index:
-    """The forward index: a row a document (doc_id, tokens, dl), written once, and the corpus's size and mean length as one row."""
+    """The forward index: a row a block of documents (ids, dls, words, ends, places, tfs), written once, and the corpus's size and mean length as one row. lists: doc_id, tokens and dl of each document, made anew when they are read."""
 
     lists: DataFrame
     totals: DataFrame
     tokens: Callable[[Column], Column]
+    blocks: DataFrame
+
+
+#: Documents and words that a block holds at most; a longer document is a block of its own.
+BLOCK_DOCS, BLOCK_WORDS = 1024, 1 << 18
 
 
 def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokens: Callable[[Column], Column] = segmented) -> Index:
-    lists = fixed(spread(docs).select(F.col(id_col).alias("doc_id"), tokens(F.col(text_col)).alias("tokens")).withColumn("dl", F.coalesce(F.size("tokens"), F.lit(0))))
-    return Index(lists, lists.agg(F.count(F.lit(1)).cast("double").alias("n"), F.avg("dl").alias("avgdl")), tokens)
+    lists = spread(docs).select(F.col(id_col).alias("doc_id"), tokens(F.col(text_col)).alias("tokens"))
+    blocks = fixed(lists.mapInArrow(_blocks, f"ids array<{dict(lists.dtypes)['doc_id']}>, dls array<int>, words array<string>, ends array<int>, places array<int>, tfs array<int>"))
+    n, length = F.sum(F.size("ids")), F.sum(F.aggregate("dls", F.lit(0).cast("long"), lambda s, x: s + x))
+    totals = blocks.agg(F.coalesce(n, F.lit(0)).cast("double").alias("n"), F.try_divide(length.cast("double"), n.cast("double")).alias("avgdl"))
+    return Index(lists.withColumn("dl", F.coalesce(F.size("tokens"), F.lit(0))), totals, tokens, blocks)
+
+
+def _blocks(batches) -> Iterator[pa.RecordBatch]:
+    """Blocks of lists (doc_id, tokens): each word once, and where its documents' places and counts end."""
+    for batch in batches:
+        sizes = np.cumsum([0, *(pc.fill_null(pc.list_value_length(batch.column(1)), 0).to_pylist())])
+        at = 0
+        while at < batch.num_rows:
+            end = min(at + BLOCK_DOCS, max(at + 1, int(np.searchsorted(sizes, sizes[at] + BLOCK_WORDS, "right")) - 1))
+            part, at = batch.slice(at, end - at), end
+            rows, words, names = numbered(part.column(1))
+            n = part.num_rows
+            cells, tfs = np.unique(words.astype(np.int64) * n + rows, return_counts=True)
+            ends = np.searchsorted(cells // n, np.arange(len(names)), "right")
+            one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+            ints = lambda values: one(pa.array(values, pa.int32()))
+            columns = {"ids": one(part.column(0)), "dls": ints(np.bincount(rows, minlength=n)), "words": one(names), "ends": ints(ends), "places": ints(cells % n), "tfs": ints(tfs)}
+            yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+
+
+def _opened(batches, *names: str) -> Iterator[tuple]:
+    """The named columns of each block: words and ids as Arrow's arrays, numbers as numpy's."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            found = [batch.column(name)[i].values for name in names]
+            yield tuple(x if name in ("words", "ids") else x.to_numpy() for name, x in zip(names, found))
 
 
 def small(rows: DataFrame, most: int) -> DataFrame:
@@ -42,33 +76,47 @@ def small(rows: DataFrame, most: int) -> DataFrame:
     return F.broadcast(rows) if rows.limit(most + 1).count() <= most else rows
 
 
-def bm25(index: Index, questions: DataFrame, id_col: str = "query_id", text_col: str = "text", top: int = TOP, most_terms: int = 500_000, most_bytes: int = 32 << 20) -> DataFrame:
+def bm25(index: Index, questions: DataFrame, id_col: str = "query_id", text_col: str = "text", top: int = TOP, most_bytes: int = 32 << 20) -> DataFrame:
     """query_id, doc_id, score, rank: the best documents with a term in common. idf = ln(1 + (N - df + 0.5) / (df + 0.5)).
 
-    Documents stay where they are. Only the questions' terms are counted over them (up to most_terms are broadcast to the
-    token lists, more are joined). Then a task takes each of these terms that a batch holds, adds its part to the scores of the
-    questions that have it, and keeps its best `top` of each question. Questions are broadcast in blocks of about most_bytes.
+    Documents stay where they are. Questions are broadcast in blocks of about most_bytes. Their terms are counted over the
+    documents' blocks, of which words and ends alone are read; then a task takes each of these terms that a block holds, adds its
+    part to the scores of the questions that have it, and keeps its best `top` of each question.
     """
     asked = questions.select(F.col(id_col).alias("query_id"), F.explode(index.tokens(F.col(text_col))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
     asked = fixed(asked)
-    wanted = small(asked.select("term").distinct(), most_terms)
-    seen = index.lists.select(F.explode(F.array_distinct("tokens")).alias("term")).join(wanted, "term", "left_semi")
-    weighed = fixed(asked.join(seen.groupBy("term").agg(F.count(F.lit(1)).alias("df")), "term").select("query_id", "term", "qtf", "df"))
     total = index.totals.first()
-    size = weighed.agg(F.coalesce(F.sum(F.length("term") + 80), F.lit(0))).first()[0]
+    size = asked.agg(F.coalesce(F.sum(F.length("term") + 80), F.lit(0))).first()[0]
     blocks = max(1, -(-size // most_bytes))
-    kinds = {"query_id": dict(weighed.dtypes)["query_id"], "doc_id": dict(index.lists.dtypes)["doc_id"]}
+    sc, doc_kind = index.blocks.sparkSession.sparkContext, dict(index.blocks.dtypes)["ids"].removeprefix("array<").removesuffix(">")
     out = None
     for i in range(blocks):
-        block = weighed if blocks == 1 else weighed.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i)
+        block = asked if blocks == 1 else asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i)
         rows = block.collect()  # about most_bytes
-        idf = lambda df: float(np.log(1 + (total.n - df + 0.5) / (df + 0.5)))
-        sent = index.lists.sparkSession.sparkContext.broadcast(Weights([(q, t, qtf * idf(df)) for q, t, qtf, df in rows]))
-        part = ranked(index.lists.select("doc_id", "tokens", "dl").mapInArrow(_scored(sent, total, top), f"query_id {kinds['query_id']}, doc_id {kinds['doc_id']}, score double"), top)
+        terms = sorted({r.term for r in rows})
+        counts = index.blocks.select("words", "ends").mapInArrow(_counted(sc.broadcast(terms)), "term int, df long").groupBy("term").agg(F.sum("df").alias("df"))
+        idf = {terms[r.term]: float(np.log(1 + (total.n - r.df + 0.5) / (r.df + 0.5))) for r in counts.collect()}  # no more than rows
+        sent = sc.broadcast(Weights([(q, t, qtf * idf[t]) for q, t, qtf in rows if t in idf]))
+        part = ranked(index.blocks.mapInArrow(_scored(sent, total, top), f"query_id {dict(asked.dtypes)['query_id']}, doc_id {doc_kind}, score double"), top)
         out = part if out is None else out.unionByName(part)
     return out
 
 
+def _counted(sent):
+    """The number of a term in the list that was sent, and of the task's documents that hold it."""
+
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        wanted = pa.array(sent.value, pa.string())
+        found = np.zeros(len(wanted), np.int64)
+        for words, ends in _opened(batches, "words", "ends"):
+            at = pc.fill_null(pc.index_in(words, value_set=wanted), -1).to_numpy()
+            found[at[at >= 0]] += np.diff(ends, prepend=0)[at >= 0]  # a block has a word once
+        held = np.flatnonzero(found)
+        yield pa.RecordBatch.from_arrays([pa.array(held, pa.int32()), pa.array(found[held])], ["term", "df"])
+
+    return run
+
+
 def share(tf, dl, mean: float):
     """What a term's count adds to a score, without the term's weight."""
     return tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / mean))
@@ -99,25 +147,23 @@ def _scored(sent, total, top: int):
     def run(batches) -> Iterator[pa.RecordBatch]:
         asked = sent.value
         mean, ids, wanted = total.avgdl or 1, asked.ids, pa.array(list(asked.terms), pa.string())
-        step = max(64, min(4096, 2_000_000 // max(1, len(ids))))
-        for whole in batches:
-            for at in range(0, whole.num_rows, step):
-                batch = whole.slice(at, step)
-                if not ids:
-                    continue
-                rows, words, names = numbered(batch.column(1))
-                length = np.array([x or 0 for x in batch.column(2).to_pylist()], float)
-                known = np.flatnonzero(pc.is_in(names, value_set=wanted).to_numpy(zero_copy_only=False))  # no question has the other words
-                here = np.zeros(len(names), bool)
-                here[known] = True
-                here = here[words]
-                cells, tf = np.unique(words[here].astype(np.int64) * batch.num_rows + rows[here], return_counts=True)
-                docs, parts = cells % batch.num_rows, share(tf.astype(float), length[cells % batch.num_rows], mean)
-                ends = np.searchsorted(cells // batch.num_rows, known, "right")
-                held = np.zeros((len(ids), batch.num_rows))
-                for word, a, b in zip(names.take(pa.array(known)).to_pylist(), [0, *ends], ends):
-                    asked.add(held, word, docs[a:b], parts[a:b])
-                yield best_of(np.round(held, 6), ids, batch.column(0), top, lambda got: got > 0)
+        step = max(64, 2_000_000 // max(1, len(ids)))
+        for names, dls, words, ends, places, tfs in _opened(batches, "ids", "dls", "words", "ends", "places", "tfs"):
+            if not ids:
+                continue
+            known = np.flatnonzero(pc.is_in(words, value_set=wanted).to_numpy(zero_copy_only=False))  # no question has the other words
+            sizes = np.diff(ends, prepend=0)[known]
+            which = np.repeat(np.arange(len(known)), sizes)
+            cells = np.arange(len(which)) + (ends[known] - np.cumsum(sizes))[which]
+            docs = places[cells]
+            parts, known = share(tfs[cells].astype(float), dls[docs].astype(float), mean), words.take(pa.array(known)).to_pylist()
+            for at in range(0, len(names), step):
+                here = (docs >= at) & (docs < at + step)
+                mine, its, held = docs[here] - at, parts[here], np.zeros((len(ids), min(step, len(names) - at)))
+                edges = np.searchsorted(which[here], np.arange(len(known)), "right")
+                for word, a, b in zip(known, [0, *edges], edges):
+                    asked.add(held, word, mine[a:b], its[a:b])
+                yield best_of(np.round(held, 6), ids, names.slice(at, step), top, lambda got: got > 0)
 
     return run
 
@@ -245,6 +291,44 @@ def _kind(ids: list) -> pa.DataType:
     return pa.string() if ids and isinstance(ids[0], str) else pa.int64()
 
 
+class _Hashed:
+    """Hashed places and signs of a task's words, kept up to a bound."""
+
+    def __init__(self, dim: int):
+        self.dim, self.known = dim, {}  # twice the place, and one more for a minus
+
+    def _place(self, word: str) -> int:
+        h = hashlib.md5(word.encode()).digest()
+        if len(self.known) >= 400_000:
+            self.known.clear()
+        self.known[word] = out = int.from_bytes(h[:4]) % self.dim * 2 + h[7] % 2
+        return out
+
+    def vectors(self, ids: pa.Array, names: pa.Array, words: np.ndarray, rows: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+        """chunk_id and vector of rows that hold the named words (by number) so many times."""
+        n, dim, get = len(ids), self.dim, self.known.get
+        hashed = np.array([h if (h := get(w)) is not None else self._place(w) for w in names.to_pylist()], int)
+        places, signs = hashed // 2, 1.0 - 2 * (hashed % 2)
+        flat = np.bincount(rows * dim + places[words], signs[words] * counts, n * dim) if len(words) else np.zeros(n * dim)
+        out = flat.reshape(-1, dim)
+        length = np.sqrt((out * out).sum(axis=1, keepdims=True))
+        out = np.divide(out, length, out=out, where=length > 0)
+        made = pa.ListArray.from_arrays(pa.array(np.arange(0, n * dim + 1, dim), pa.int32()), pa.array(out.reshape(-1)))
+        return pa.RecordBatch.from_arrays([ids, made], ["chunk_id", "vector"])
+
+
+def indexed_vectors(index: Index, dim: int = 64) -> DataFrame:
+    """hashed_vectors of an index's documents, from its blocks: a word is hashed once a block."""
+
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        hashed = _Hashed(dim)
+        for ids, words, ends, places, tfs in _opened(batches, "ids", "words", "ends", "places", "tfs"):
+            yield hashed.vectors(ids, words, np.repeat(np.arange(len(words)), np.diff(ends, prepend=0)), places.astype(np.int64), tfs)
+
+    kind = dict(index.blocks.dtypes)["ids"].removeprefix("array<").removesuffix(">")
+    return index.blocks.select("ids", "words", "ends", "places", "tfs").mapInArrow(run, f"chunk_id {kind}, vector array<double>")
+
+
 def hashed_vectors(rows: DataFrame, dim: int = 64, tokens: Callable[[Column], Column] = segmented) -> DataFrame:
     """chunk_id and vector: the default embedder in place of a model, signed counts of words hashed by MD5 to `dim` places, of unit length; zeros without words. rows: chunk_id, text, or tokens where they are made already.
 
@@ -252,28 +336,12 @@ def hashed_vectors(rows: DataFrame, dim: int = 64, tokens: Callable[[Column], Co
     """
 
     def run(batches) -> Iterator[pa.RecordBatch]:
-        known: dict[str, int] = {}  # twice the place, and one more for a minus
+        hashed = _Hashed(dim)
         for whole in batches:
             for at in range(0, whole.num_rows, 1024):
                 batch = whole.slice(at, 1024)
-                n = batch.num_rows
-                rows_, words, names = coded(batch.column(1))
-                hashed = [known.get(w, -1) for w in names]
-                for k, w in enumerate(names):
-                    if hashed[k] < 0:
-                        h = hashlib.md5(w.encode()).digest()
-                        hashed[k] = int.from_bytes(h[:4]) % dim * 2 + h[7] % 2
-                        if len(known) >= 400_000:
-                            known.clear()
-                        known[w] = hashed[k]
-                hashed = np.array(hashed, int)
-                places, signs = hashed // 2, 1.0 - 2 * (hashed % 2)
-                flat = np.bincount(rows_ * dim + places[words], signs[words], n * dim) if len(words) else np.zeros(n * dim)
-                out = flat.reshape(-1, dim)
-                length = np.sqrt((out * out).sum(axis=1, keepdims=True))
-                out = np.divide(out, length, out=out, where=length > 0)
-                made = pa.ListArray.from_arrays(pa.array(np.arange(0, n * dim + 1, dim), pa.int32()), pa.array(out.reshape(-1)))
-                yield pa.RecordBatch.from_arrays([batch.column(0), made], ["chunk_id", "vector"])
+                rows_, words, names = numbered(batch.column(1))
+                yield hashed.vectors(batch.column(0), names, words, rows_, np.ones(len(words)))
 
     picked = rows.select("chunk_id", "tokens" if "tokens" in rows.columns else tokens(F.col("text")).alias("tokens"))
     return picked.mapInArrow(run, f"chunk_id {dict(rows.dtypes)['chunk_id']}, vector array<double>")
@@ -311,7 +379,7 @@ def overlap_score(question: Column, text: Column) -> Column:
 
 def rerank(fused: DataFrame, texts: DataFrame, questions: DataFrame, scorer: Callable[[Column, Column], Column] = overlap_score, pool: int = POOL, top: int = FINAL) -> DataFrame:
     """The pool's documents by the scorer's logistic score. Texts join here, behind the pool's limit."""
-    cut = fused.filter(F.col("fused_rank") <= pool)
+    cut = small(fused.filter(F.col("fused_rank") <= pool), 100_000)  # so that texts stay where they are
     full = cut.join(texts.select("doc_id", F.col("text").alias("doc_text")), "doc_id").join(questions.select("query_id", F.col("text").alias("question")), "query_id")
     # in a column of its own, as the logistic function names it several times
     scored = full.withColumn("__raw", scorer(F.col("question"), F.col("doc_text"))).withColumn("rerank_score", F.round(sigmoid(F.col("__raw")), 9)).drop("__raw")
@@ -346,11 +414,10 @@ class Retriever:
     def of(docs: DataFrame, embed: Embedder = hashed_vectors, tokens: Callable[[Column], Column] = segmented, embed_question: Embedder | None = None) -> Retriever:
         docs = docs.select("doc_id", "text")
         index = build_index(docs, tokens=tokens)
-        if embed is hashed_vectors and tokens is not segmented:  # questions have the same words
-            vectors = embed(index.lists.select(F.col("doc_id").alias("chunk_id"), "tokens")).toDF("doc_id", "vector")
-            return Retriever(docs, index, fixed(vectors), partial(hashed_vectors, tokens=tokens), embed_question)
-        # the default embedder reads the words that the index has
-        vectors = embed(index.lists.select(F.col("doc_id").alias("chunk_id"), "tokens")).toDF("doc_id", "vector") if embed is hashed_vectors else embedded(docs, embed, "doc_id", "vector")
+        if embed is hashed_vectors:  # it reads the words that the index has, and questions have the same words
+            asks = embed if tokens is segmented else partial(hashed_vectors, tokens=tokens)
+            return Retriever(docs, index, fixed(indexed_vectors(index).toDF("doc_id", "vector")), asks, embed_question)
+        vectors = embedded(docs, embed, "doc_id", "vector")
         return Retriever(docs, index, fixed(vectors), embed, embed_question)
 
 
@@ -380,12 +447,14 @@ def variants(queries: DataFrame) -> DataFrame:
 def retrieve_multi(retriever: Retriever, queries: DataFrame, top: int = TOP) -> Found:
     """Lexical and dense lists of each of a question's queries, all fused by reciprocal rank. queries: query_id, ord, text.
 
-    A document keeps its best score of each kind, with the rank it had there. What is kept is a few rows a question.
+    A document keeps its best score of each kind, with the rank it had there. What is kept is a few rows a question. A text is
+    searched once, whichever questions ask it.
     """
-    asked = fixed(variants(queries).withColumn("asked", F.xxhash64(F.col("query_id").cast("string"), "place")))
-    vectors = embedded(asked, retriever.embed_question or retriever.embed, "asked", "qvector").withColumnRenamed("asked", "query_id")
+    asked = fixed(variants(queries).withColumn("asked", F.xxhash64("text")))
+    texts = asked.select("asked", "text").dropDuplicates(["asked"])
+    vectors = embedded(texts, retriever.embed_question or retriever.embed, "asked", "qvector").withColumnRenamed("asked", "query_id")
     lexical, near = together(
-        lambda: fixed(bm25(retriever.index, asked.select(F.col("asked").alias("query_id"), "text"), top=top)),
+        lambda: fixed(bm25(retriever.index, texts.select(F.col("asked").alias("query_id"), "text"), top=top)),
         lambda: fixed(dense(retriever.vectors, vectors, top=top)),
     )
     named = lambda rows, odd: rows.withColumnRenamed("query_id", "asked").join(asked.select("asked", "query_id", "place"), "asked").select("query_id", (F.col("place") * 2 + odd).alias("list"), "doc_id", "score", "rank")
@@ -406,37 +475,112 @@ def hybrid(docs: DataFrame, questions: DataFrame, embed: Embedder = hashed_vecto
     return retrieve(Retriever.of(docs, embed), questions, top).fused
 
 
+#: White space, of whose bytes no other character of UTF-8 has any.
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+
+
+class _Anchors:
+    """Items by the bytes from their second word on, up to 32: keys by their number of bytes, and each key's items."""
+
+    def __init__(self, items: list[tuple[str, str]]):
+        """items: id and text, of three words or more."""
+        self.items, found = [(i, t.encode()) for i, t in items], {}
+        for k, (_, data) in enumerate(self.items):
+            raw = np.frombuffer(data, np.uint8)
+            rest = data[int(_starts(raw)[0]) :]
+            size = next(n for n in (32, 16, *range(8, 0, -1)) if len(rest) >= n)
+            padded = np.frombuffer(rest[:size].ljust(40, b"\0"), np.uint8)
+            found.setdefault(size, {}).setdefault(int(_keys(padded, np.zeros(1, int), size)[0]), []).append(k)
+        self.keys = {size: (np.array(sorted(x), np.uint64), [x[h] for h in sorted(x)]) for size, x in found.items()}
+
+    def held(self, texts: pa.Array) -> tuple[list[int], list[str]]:
+        """Rows of texts and ids of the items that they contain."""
+        texts = texts.cast(pa.large_binary())
+        ends = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+        body = texts.buffers()[2]
+        data = np.frombuffer(body, np.uint8)[ends[0] : ends[-1]] if body else np.zeros(0, np.uint8)
+        data, ends, met = np.concatenate([data, np.zeros(40, np.uint8)]), ends - ends[0], set()
+        starts = _starts(data)
+        for size, (keys, members) in self.keys.items():
+            got = _keys(data, starts, size)
+            at = np.minimum(np.searchsorted(keys, got), len(keys) - 1)
+            hit = np.flatnonzero(keys[at] == got)
+            rows = np.searchsorted(ends, starts[hit], "right") - 1
+            met |= {(r, k) for r, a in set(zip(rows.tolist(), at[hit].tolist())) if r < len(texts) for k in members[a]}
+        met, cache = sorted(met), (None, None)
+        out = []
+        for r, k in met:
+            if cache[0] != r:
+                cache = r, texts[r].as_py()
+            if cache[1] is not None and self.items[k][1] in cache[1]:
+                out.append((r, self.items[k][0]))
+        return [r for r, _ in out], [i for _, i in out]
+
+
+def _starts(data: np.ndarray) -> np.ndarray:
+    """Where words begin behind white space."""
+    space = _SPACE[data]
+    return np.flatnonzero(space[:-1] & ~space[1:]) + 1
+
+
+def _keys(data: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
+    """size bytes from each place as a number, mixed where they are more than eight. data goes on for 32 bytes behind the last place."""
+    at = np.minimum(at, len(data) - 40) if len(data) > 40 else at
+    longs = np.ndarray((len(data) - 7,), "<u8", np.ascontiguousarray(data), strides=(1,))
+    out = longs[at]
+    if size < 8:
+        return out & np.uint64((1 << 8 * size) - 1)
+    for k in range(8, size, 8):
+        out = out * np.uint64(0x9E3779B97F4A7C15) ^ longs[at + k]
+    return out
+
+
 def _window(k: int):
     return lambda _, i: F.xxhash64(*[F.get("w", i + j) for j in range(k)])
 
 
-def containing(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", width: int = 4, most: int = 200_000) -> DataFrame:
+def _holding(sent):
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1024):
+                batch = whole.slice(at, 1024)
+                rows, items = sent.value.held(batch.column(1))
+                yield pa.RecordBatch.from_arrays([pa.array(items, pa.string()), batch.column(0).take(pa.array(rows, pa.int64()))], ["item_id", "doc_id"])
+
+    return run
+
+
+def containing(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", width: int = 4, most: int = 200_000, most_bytes: int = 32 << 20) -> DataFrame:
     """(item_id, doc_id) where the document's text contains the item's, letter by letter. docs: doc_id, text; items: item_id, text.
 
-    An item's words but the first and last are words of any text that contains it. The first `width` of them are hashed and
-    met by the hashed windows of the documents, and what meets is checked. Items of fewer than three words have no such
-    window; these are compared directly, broadcast in blocks of a thousand. An empty item is in every text, a null in none.
+    An item's second word begins behind white space in any text that contains it. The bytes from there on are met by those
+    from each word of the documents on, and what meets is checked; items are broadcast in blocks of about most_bytes. More than
+    `most` items are not sent to the texts: an item's words but the first and last are words of any text that contains it, so the
+    first `width` of them are hashed and met by the hashed windows of the documents, with ids alone. Items of fewer than three
+    words are compared directly, broadcast in blocks of a thousand. An empty item is in every text, a null in none.
     """
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col("text").alias("body"))
     asked = items.select(F.col(item_id).alias("item_id"), F.col("text").alias("part")).filter("part is not null").withColumn("words", F.split("part", r"\s+"))
-    long = asked.filter(F.size("words") >= 3).withColumn("k", F.least(F.size("words") - 2, F.lit(width)))
-    # a null beyond the end leaves a hash as it is
-    inner = F.xxhash64(*[F.when(F.lit(j) < F.col("k"), F.get("words", F.lit(j + 1))) for j in range(width)])
-    long = long.select("item_id", "part", "k", inner.alias("h"))
-    widths = sorted(r.k for r in long.select("k").distinct().collect())  # of 1 to `width`
-    found = None
-    if widths:
-        split = rows.withColumn("w", F.split("body", r"\s+"))
+    long, found = asked.filter(F.size("words") >= 3), None
+    n, size = long.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("part") + 200), F.lit(0))).first()
+    if n > most:  # ids alone meet the items, and texts join behind the match
+        long = long.withColumn("k", F.least(F.size("words") - 2, F.lit(width)))
+        # a null beyond the end leaves a hash as it is
+        inner = F.xxhash64(*[F.when(F.lit(j) < F.col("k"), F.get("words", F.lit(j + 1))) for j in range(width)])
+        long = long.select("item_id", "part", "k", inner.alias("h"))
+        widths = sorted(r.k for r in long.select("k").distinct().collect())  # of 1 to `width`
         hashed = F.array_distinct(F.concat(*[F.transform("w", _window(k)) for k in widths]))
-        asked_for = long.select("item_id", "part", "h")
-        few = asked_for.limit(most + 1).count() <= most
-        if few:
-            met = split.select("doc_id", "body", F.explode(hashed).alias("h")).join(F.broadcast(asked_for), "h")
-        else:  # ids alone meet the items, and texts join behind the match
-            pairs = split.select("doc_id", F.explode(hashed).alias("h")).join(asked_for.select("item_id", "h"), "h").select("doc_id", "item_id").distinct()
-            met = pairs.join(asked_for.select("item_id", "part"), "item_id").join(rows, "doc_id")
-        found = met.filter(F.col("body").contains(F.col("part"))).select("item_id", "doc_id")
-        found = found if few else found.distinct()
+        pairs = rows.withColumn("w", F.split("body", r"\s+")).select("doc_id", F.explode(hashed).alias("h")).join(long.select("item_id", "h"), "h").select("doc_id", "item_id").distinct()
+        met = pairs.join(long.select("item_id", "part"), "item_id").join(rows, "doc_id")
+        found = met.filter(F.col("body").contains(F.col("part"))).select("item_id", "doc_id").distinct()
+    elif n:
+        kinds, blocks = {**dict(asked.dtypes), **dict(rows.dtypes)}, -(-size // most_bytes)
+        for i in range(blocks):
+            mine = (long if blocks == 1 else long.filter(F.pmod(F.xxhash64("item_id", "part"), F.lit(blocks)) == i)).select(F.col("item_id").cast("string"), "part")
+            sent = rows.sparkSession.sparkContext.broadcast(_Anchors([tuple(r) for r in mine.collect()]))  # about most_bytes
+            pairs = rows.mapInArrow(_holding(sent), f"item_id string, doc_id {kinds['doc_id']}").select(F.col("item_id").cast(kinds["item_id"]).alias("item_id"), "doc_id")
+            found = pairs if found is None else found.unionByName(pairs)
     short = asked.filter(F.size("words") < 3).select("item_id", "part")
     blocks = -(-short.count() // 1000)
     for i in range(blocks):

@@ -307,3 +307,30 @@ def test_questions_may_have_an_embedder_of_their_own(spark):
     plain = retrieval.retrieve(retrieval.Retriever.of(docs), asked).dense.filter("rank = 1").first()
     other = retrieval.retrieve(retrieval.Retriever.of(docs, embed_question=of_questions), asked).dense.filter("rank = 1").first()
     assert (plain.doc_id, other.doc_id) == (1, 2) and seen == [["ALPHA?beta"]]
+
+
+def test_strategies_share_one_search_of_each_text(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "alpha beta"), (2, "gamma delta"), (3, "other words")], "doc_id long, text string")
+    asked = lambda *texts: spark.createDataFrame([("q", i, t) for i, t in enumerate(texts)], "query_id string, ord int, text string")
+    searched, bm25 = [], retrieval.bm25
+
+    def counted(index, questions, **k):
+        searched.append(questions.count())
+        return bm25(index, questions, **k)
+
+    monkeypatch.setattr(retrieval, "bm25", counted)
+    gold = spark.createDataFrame([("q", 2)], "query_id string, doc_id long")
+    strategies = {"one": asked("alpha"), "both": asked("alpha", "gamma"), "none": asked("").limit(0)}
+    got = {r.strategy: (r.hits, r.queries) for r in evaluation.strategy_hits(retrieval.Retriever.of(docs.filter("doc_id < 3")), docs, asked("alpha"), strategies, gold).collect()}
+    assert searched == [2] and got["none"] == (0, 1) and got["both"] == (1, 1)
+
+
+def test_index_keeps_a_word_once_a_block(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "b a b"), (2, None), (3, "c"), (4, "a c a a")], "doc_id long, text string").coalesce(1)
+    index = retrieval.build_index(docs)
+    blocks = index.blocks.collect()
+    assert sorted(i for b in blocks for i in b.ids) == [1, 2, 3, 4] and all(len(set(b.words)) == len(b.words) for b in blocks)
+    found = {(b.ids[p], b.words[k], n) for b in blocks for k, (lo, hi) in enumerate(zip([0, *b.ends], b.ends)) for p, n in zip(b.places[lo:hi], b.tfs[lo:hi])}
+    assert found == {(1, "b", 2), (1, "a", 1), (3, "c", 1), (4, "a", 3), (4, "c", 1)} and tuple(index.totals.first()) == (4.0, 2.0)
+    vectors = {r.chunk_id: r.vector for r in retrieval.indexed_vectors(index).collect()}
+    assert vectors == {r.chunk_id: r.vector for r in retrieval.hashed_vectors(docs.toDF("chunk_id", "text")).collect()}
