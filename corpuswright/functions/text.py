@@ -156,9 +156,7 @@ def parse_retention_days(c: Column) -> Column:
 
 def json_slice(c: Column, opening: str = "[", closing: str = "]") -> Column:
     """What a model's reply holds from the first opening to the last closing bracket, code fences taken off; null without both."""
-    body = F.regexp_replace(F.trim(c), r"^```(?:json)?\s*|\s*```$", "")
-    first, last = F.instr(body, opening), F.length(body) - F.instr(F.reverse(body), closing) + 1
-    return F.when((first > 0) & body.contains(closing) & (last > first), F.substr(body, first, last - first + 1))
+    return F.nullif(F.regexp_extract(c, rf"(?s)\{opening}.*\{closing}", 0), F.lit(""))  # fences stand before and behind
 
 
 def sanitize_question(c: Column, law_names: Sequence[str] = ()) -> Column:

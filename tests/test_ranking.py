@@ -334,3 +334,10 @@ def test_index_keeps_a_word_once_a_block(spark, monkeypatch):
     assert found == {(1, "b", 2), (1, "a", 1), (3, "c", 1), (4, "a", 3), (4, "c", 1)} and tuple(index.totals.first()) == (4.0, 2.0)
     vectors = {r.chunk_id: r.vector for r in retrieval.indexed_vectors(index).collect()}
     assert vectors == {r.chunk_id: r.vector for r in retrieval.hashed_vectors(docs.toDF("chunk_id", "text")).collect()}
+
+
+def test_a_reply_is_read_once(spark):
+    replies = spark.createDataFrame([("a", '```json\n[{"index": 1, "supported": true}, {"index": 1, "supported": false}]\n```'), ("b", "nothing"), ("c", None)], "answer_id string, reply string")
+    got = grounding.parsed_verdicts(replies)
+    assert [(r.answer_id, r["index"], r.supported) for r in got.collect()] == [("a", 1, False)]
+    assert got._jdf.queryExecution().optimizedPlan().toString().lower().count("regexp_extract") == 1
