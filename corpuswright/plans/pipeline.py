@@ -22,14 +22,14 @@ def extractive(question: Column, context: Column) -> Column:
 
 @dataclass
 class Corpus:
-    """articles (doc_id, article_id, law_name, article_no, text), their citations (source, target, ord) and a retriever over them."""
+    """articles (doc_id, article_id, law_name, article_no, text), their citations (source, target, ord) and a retriever over them. edges: all citations, or a function that gives those of some articles (source)."""
 
     articles: DataFrame
-    edges: DataFrame
+    edges: DataFrame | Callable[[DataFrame], DataFrame]
     retriever: retrieval.Retriever
 
     @staticmethod
-    def of(articles: DataFrame, edges: DataFrame, embed: retrieval.Embedder = retrieval.hashed_vectors) -> Corpus:
+    def of(articles: DataFrame, edges: DataFrame | Callable[[DataFrame], DataFrame], embed: retrieval.Embedder = retrieval.hashed_vectors) -> Corpus:
         return Corpus(articles, edges, retrieval.Retriever.of(articles, embed))
 
 
@@ -44,9 +44,14 @@ def graded(corpus: Corpus, asked: DataFrame, queries: DataFrame, by: DataFrame,
     """asked (query_id, text, route, required) with hits, related articles, the evidence plan, signals and the gate's result. by: what hits are ranked again by."""
     final, seen = retrieved(corpus, queries, by, scorer)
     articles = corpus.articles
-    hits = final.join(articles.select("doc_id", "article_id", "law_name", "article_no"), "doc_id").withColumn("score", F.col("rerank_score"))
-    related = citations.expand(hits.select("query_id", F.col("article_id").alias("item"), "rank"), corpus.edges, articles.select(F.col("article_id").alias("target")))
-    near = related.join(articles.select(F.col("article_id").alias("target"), F.col("text").alias("doc_text")), "target")
+    # few rows meet the articles and citations where these are
+    named = articles.select("doc_id", "article_id", "law_name", "article_no").join(retrieval.small(final.select("doc_id").distinct(), 100_000), "doc_id", "left_semi")
+    hits = fixed(final.join(fixed(named), "doc_id").withColumn("score", F.col("rerank_score")))
+    sources = retrieval.small(hits.select(F.col("article_id").alias("source")).distinct(), 100_000)
+    edges = fixed(corpus.edges(sources) if callable(corpus.edges) else corpus.edges.join(sources, "source", "left_semi"))
+    targets = articles.select(F.col("article_id").alias("target")).join(retrieval.small(edges.select("target").distinct(), 100_000), "target", "left_semi")
+    related = fixed(citations.expand(hits.select("query_id", F.col("article_id").alias("item"), "rank"), edges, targets))
+    near = retrieval.small(related, 100_000).join(articles.select(F.col("article_id").alias("target"), F.col("text").alias("doc_text")), "target")
     rows = hits.select("query_id", F.struct(F.lit(0).alias("kind"), "rank", "article_id", F.col("doc_text").alias("text")).alias("r")).unionByName(near.select("query_id", F.struct(F.lit(1).alias("kind"), F.col("place").alias("rank"), F.col("target").alias("article_id"), F.col("doc_text").alias("text")).alias("r")))
     # five hits and five related articles a question at most
     rows = rows.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list("r")), lambda r: F.struct(r["article_id"].alias("article_id"), r["text"].alias("text"))).alias("rows"))

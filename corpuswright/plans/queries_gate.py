@@ -140,9 +140,15 @@ def answer_corpus(spark, sf_dir) -> pipeline.Corpus:
     """Documents as articles, with edges between those whose ids a line item joins."""
     docs = table(spark, sf_dir, "documents")
     articles = docs.select("doc_id", F.concat_ws("-", "source", "doc_id").alias("article_id"), F.col("source").alias("law_name"), F.col("doc_id").cast("string").alias("article_no"), "text")
-    pairs = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_suppkey").agg(F.min("l_linenumber").alias("ord"))
     names = articles.select("doc_id", "article_id")
-    edges = pairs.join(names.toDF("l_orderkey", "source"), "l_orderkey").join(names.toDF("l_suppkey", "target"), "l_suppkey").select("source", "target", "ord")
+
+    def edges(sources: DataFrame) -> DataFrame:
+        """Lines of the sources alone, before they are put together."""
+        orders = fixed(names.toDF("l_orderkey", "source").join(sources, "source", "left_semi"))
+        lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", F.col("l_linenumber").alias("ord"))
+        pairs = lines.join(retrieval.small(orders, 100_000), "l_orderkey").groupBy("source", "l_suppkey").agg(F.min("ord").alias("ord"))
+        return retrieval.small(fixed(pairs), 100_000).join(names.toDF("l_suppkey", "target"), "l_suppkey").select("source", "target", "ord")
+
     return pipeline.Corpus.of(articles, edges)
 
 
