@@ -23,41 +23,37 @@ from pyspark.sql.window import Window
 
 from ..functions.tokenize import segmented
 from ..plans.shared import fixed, spread
-from .retrieval import TOP, Weights, best_of, coded, ranked, share
+from .retrieval import TOP, Weights, best_of, in_blocks, opened, ranked, share, totals_of
 
 BLOCK = 1024
 
 
 def inverted(lists: DataFrame, mean: float, size: int = BLOCK) -> DataFrame:
     """A row a term and block (block, term, places, tfs, most), and one without a term a block (block, ids, dls). lists: doc_id, tokens; null tokens are none. most: the largest share at a mean length of `mean`."""
-    kind = dict(lists.dtypes)["doc_id"]
+    return of_blocks(in_blocks(lists.select("doc_id", "tokens"), size), mean)
+
+
+def of_blocks(blocks: DataFrame, mean: float) -> DataFrame:
+    """inverted of a forward index's blocks."""
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
-        for whole in batches:
-            for at in range(0, whole.num_rows, size):
-                batch = whole.slice(at, size)
-                yield _block(batch, number, mean)
-                number += 1
-
-    return lists.select("doc_id", "tokens").mapInArrow(run, f"block long, term string, places array<int>, tfs array<int>, most double, ids array<{kind}>, dls array<int>")
-
-
-def _block(batch: pa.RecordBatch, number: int, mean: float) -> pa.RecordBatch:
-    rows, words, names = coded(batch.column(1))
-    n = batch.num_rows
-    dls = np.bincount(rows, minlength=n)
-    cells, tfs = np.unique(words.astype(np.int64) * n + rows, return_counts=True)
-    term, place = cells // n, (cells % n).astype(np.int32)
-    starts = np.flatnonzero(np.diff(term, prepend=-1))
-    ends = np.append(starts, len(term)).astype(np.int32)
-    lists = lambda values, kind: pa.concat_arrays([pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values, kind)), pa.nulls(1, pa.list_(kind))])
-    most = np.maximum.reduceat(share(tfs.astype(float), dls[place], mean), starts).tolist() if len(starts) else []
-    alone = lambda value, kind: pa.concat_arrays([pa.nulls(len(starts), pa.list_(kind)), pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), value)])
+        for block in opened(batches, "ids", "dls", "words", "ends", "places", "tfs"):
+            yield _block(*block, number, mean)
+            number += 1
+
+    return blocks.mapInArrow(run, f"block long, term string, places array<int>, tfs array<int>, most double, ids {dict(blocks.dtypes)['ids']}, dls array<int>")
+
+
+def _block(ids: pa.Array, dls: np.ndarray, words: pa.Array, ends: np.ndarray, places: np.ndarray, tfs: np.ndarray, number: int, mean: float) -> pa.RecordBatch:
+    n, starts = len(ids), np.append(0, ends).astype(np.int32)
+    lists = lambda values: pa.concat_arrays([pa.ListArray.from_arrays(pa.array(starts), pa.array(values, pa.int32())), pa.nulls(1, pa.list_(pa.int32()))])
+    most = np.maximum.reduceat(share(tfs.astype(float), dls[places], mean), starts[:-1]).tolist() if len(words) else []
+    alone = lambda values: pa.concat_arrays([pa.nulls(len(words), pa.list_(values.type)), pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), values)])
     columns = {
-        "block": pa.array(np.full(len(starts) + 1, number), pa.int64()), "term": pa.array([*(names[t] for t in term[starts]), None], pa.string()),
-        "places": lists(place, pa.int32()), "tfs": lists(tfs, pa.int32()), "most": pa.array([*most, None], pa.float64()),
-        "ids": alone(batch.column(0), batch.column(0).type), "dls": alone(pa.array(dls, pa.int32()), pa.int32()),
+        "block": pa.array(np.full(len(words) + 1, number), pa.int64()), "term": pa.concat_arrays([words, pa.nulls(1, words.type)]),
+        "places": lists(places), "tfs": lists(tfs), "most": pa.array([*most, None], pa.float64()),
+        "ids": alone(ids), "dls": alone(pa.array(dls, pa.int32())),
     }
     return pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
@@ -65,9 +61,9 @@ def _block(batch: pa.RecordBatch, number: int, mean: float) -> pa.RecordBatch:
 def write(lists: DataFrame, path: str, size: int = BLOCK, parts: int | None = None) -> None:
     """Writes lists' (doc_id, tokens) postings, blocks and terms below path, and which terms each file of postings begins and ends with. parts: the number of files, a million rows each or one a shuffle partition if not given."""
     spark = lists.sparkSession
-    lists = fixed(lists)
-    mean = lists.agg(F.avg(F.coalesce(F.size("tokens"), F.lit(0)))).first()[0] or 1.0
-    made = fixed(inverted(lists, mean, size))
+    blocks = in_blocks(lists.select("doc_id", "tokens"), size)
+    mean = totals_of(blocks).first().avgdl or 1.0
+    made = fixed(of_blocks(blocks, mean))
     rows = made.filter("term is not null").drop("ids", "dls")
     parts = parts or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // 1_000_000))
     out = lambda df, name: df.write.option("compression", "zstd").option("parquet.block.size", 4 << 20).parquet(f"{path}/{name}")
@@ -76,7 +72,11 @@ def write(lists: DataFrame, path: str, size: int = BLOCK, parts: int | None = No
     done = spark.read.parquet(f"{path}/postings")
     # the lists' lengths alone are read for the number of documents that hold a term
     out(done.groupBy("term").agg(F.sum(F.size("places")).cast("long").alias("df")).repartitionByRange("term").sortWithinPartitions("term"), "terms")
-    out(done.groupBy(F.input_file_name().alias("file")).agg(F.min("term").alias("first"), F.max("term").alias("last")).coalesce(1), "files")
+    # a file's rows are sorted, so its first and last one tell; minima of strings would sort all rows of a task again
+    place = done.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at"), "term")
+    ends = F.broadcast(place.groupBy("file").agg(F.max("at").alias("end")))
+    edges = place.join(ends, "file").filter("at = 0 or at = end")
+    out(edges.groupBy("file").agg(F.min("term").alias("first"), F.max("term").alias("last")).coalesce(1), "files")
 
 
 @dataclass

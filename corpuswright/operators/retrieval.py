@@ -25,7 +25,7 @@ Embedder = Callable[[DataFrame], DataFrame]
 
 @dataclass
 class Index:
-    """The forward index: a row a block of documents (ids, dls, words, ends, places, tfs), written once, and the corpus's size and mean length as one row. lists: doc_id, tokens and dl of each document, made anew when they are read."""
+    """The forward index: a row a block of documents (ids, dls, words, ends, places, tfs), written once, and the corpus's size and mean length as one row. lists: doc_id, tokens (in no order) and dl of each document, taken from the blocks."""
 
     lists: DataFrame
     totals: DataFrame
@@ -34,24 +34,41 @@ class Index:
 
 
 #: Documents and words that a block holds at most; a longer document is a block of its own.
-BLOCK_DOCS, BLOCK_WORDS = 1024, 1 << 18
+BLOCK_DOCS, BLOCK_WORDS = 1024, 1 << 19
 
 
 def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokens: Callable[[Column], Column] = segmented) -> Index:
     lists = spread(docs).select(F.col(id_col).alias("doc_id"), tokens(F.col(text_col)).alias("tokens"))
-    blocks = fixed(lists.mapInArrow(_blocks, f"ids array<{dict(lists.dtypes)['doc_id']}>, dls array<int>, words array<string>, ends array<int>, places array<int>, tfs array<int>"))
+    blocks = in_blocks(lists)
+    return Index(blocks.mapInArrow(_unblocked, f"doc_id {dict(lists.dtypes)['doc_id']}, tokens array<string>, dl int"), totals_of(blocks), tokens, blocks)
+
+
+def _unblocked(batches) -> Iterator[pa.RecordBatch]:
+    for ids, dls, words, ends, places, tfs in opened(batches, "ids", "dls", "words", "ends", "places", "tfs"):
+        said = np.repeat(np.repeat(np.arange(len(words)), np.diff(ends, prepend=0)), tfs)
+        order = np.argsort(np.repeat(places, tfs), kind="stable")
+        tokens = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(dls)), pa.int32()), words.take(pa.array(said[order], pa.int64())))
+        yield pa.RecordBatch.from_arrays([ids, tokens, pa.array(dls, pa.int32())], ["doc_id", "tokens", "dl"])
+
+
+def in_blocks(lists: DataFrame, docs: int = BLOCK_DOCS) -> DataFrame:
+    """lists (doc_id, tokens) as blocks, written once."""
+    kind = dict(lists.dtypes)["doc_id"]
+    return fixed(lists.mapInArrow(partial(_blocks, docs=docs), f"ids array<{kind}>, dls array<int>, words array<string>, ends array<int>, places array<int>, tfs array<int>"))
+
+
+def totals_of(blocks: DataFrame) -> DataFrame:
     n, length = F.sum(F.size("ids")), F.sum(F.aggregate("dls", F.lit(0).cast("long"), lambda s, x: s + x))
-    totals = blocks.agg(F.coalesce(n, F.lit(0)).cast("double").alias("n"), F.try_divide(length.cast("double"), n.cast("double")).alias("avgdl"))
-    return Index(lists.withColumn("dl", F.coalesce(F.size("tokens"), F.lit(0))), totals, tokens, blocks)
+    return blocks.agg(F.coalesce(n, F.lit(0)).cast("double").alias("n"), F.try_divide(length.cast("double"), n.cast("double")).alias("avgdl"))
 
 
-def _blocks(batches) -> Iterator[pa.RecordBatch]:
+def _blocks(batches, docs: int = BLOCK_DOCS) -> Iterator[pa.RecordBatch]:
     """Blocks of lists (doc_id, tokens): each word once, and where its documents' places and counts end."""
     for batch in batches:
         sizes = np.cumsum([0, *(pc.fill_null(pc.list_value_length(batch.column(1)), 0).to_pylist())])
         at = 0
         while at < batch.num_rows:
-            end = min(at + BLOCK_DOCS, max(at + 1, int(np.searchsorted(sizes, sizes[at] + BLOCK_WORDS, "right")) - 1))
+            end = min(at + docs, batch.num_rows, max(at + 1, int(np.searchsorted(sizes, sizes[at] + BLOCK_WORDS, "right")) - 1))
             part, at = batch.slice(at, end - at), end
             rows, words, names = numbered(part.column(1))
             n = part.num_rows
@@ -63,7 +80,7 @@ def _blocks(batches) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
 
-def _opened(batches, *names: str) -> Iterator[tuple]:
+def opened(batches, *names: str) -> Iterator[tuple]:
     """The named columns of each block: words and ids as Arrow's arrays, numbers as numpy's."""
     for batch in batches:
         for i in range(batch.num_rows):
@@ -108,7 +125,7 @@ def _counted(sent):
     def run(batches) -> Iterator[pa.RecordBatch]:
         wanted = pa.array(sent.value, pa.string())
         found = np.zeros(len(wanted), np.int64)
-        for words, ends in _opened(batches, "words", "ends"):
+        for words, ends in opened(batches, "words", "ends"):
             at = pc.fill_null(pc.index_in(words, value_set=wanted), -1).to_numpy()
             found[at[at >= 0]] += np.diff(ends, prepend=0)[at >= 0]  # a block has a word once
         held = np.flatnonzero(found)
@@ -148,7 +165,7 @@ def _scored(sent, total, top: int):
         asked = sent.value
         mean, ids, wanted = total.avgdl or 1, asked.ids, pa.array(list(asked.terms), pa.string())
         step = max(64, 2_000_000 // max(1, len(ids)))
-        for names, dls, words, ends, places, tfs in _opened(batches, "ids", "dls", "words", "ends", "places", "tfs"):
+        for names, dls, words, ends, places, tfs in opened(batches, "ids", "dls", "words", "ends", "places", "tfs"):
             if not ids:
                 continue
             known = np.flatnonzero(pc.is_in(words, value_set=wanted).to_numpy(zero_copy_only=False))  # no question has the other words
@@ -317,12 +334,28 @@ class _Hashed:
         return pa.RecordBatch.from_arrays([ids, made], ["chunk_id", "vector"])
 
 
+def with_vectors(rows: DataFrame, dim: int = 64, tokens: Callable[[Column], Column] = segmented) -> DataFrame:
+    """rows (text and others) with their hashed vector, made where they are."""
+
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        hashed = _Hashed(dim)
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1024):
+                batch = whole.slice(at, 1024)
+                *kept, lists = batch.columns
+                rows_, words, names = numbered(lists)
+                made = hashed.vectors(kept[0], names, words, rows_, np.ones(len(words))).column(1)
+                yield pa.RecordBatch.from_arrays([*kept, made], [*batch.schema.names[:-1], "vector"])
+
+    return rows.withColumn("__tokens", tokens(F.coalesce("text", F.lit("")))).mapInArrow(run, ", ".join(f"`{n}` {kind}" for n, kind in [*rows.dtypes, ("vector", "array<double>")]))
+
+
 def indexed_vectors(index: Index, dim: int = 64) -> DataFrame:
     """hashed_vectors of an index's documents, from its blocks: a word is hashed once a block."""
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         hashed = _Hashed(dim)
-        for ids, words, ends, places, tfs in _opened(batches, "ids", "words", "ends", "places", "tfs"):
+        for ids, words, ends, places, tfs in opened(batches, "ids", "words", "ends", "places", "tfs"):
             yield hashed.vectors(ids, words, np.repeat(np.arange(len(words)), np.diff(ends, prepend=0)), places.astype(np.int64), tfs)
 
     kind = dict(index.blocks.dtypes)["ids"].removeprefix("array<").removesuffix(">")

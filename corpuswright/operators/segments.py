@@ -16,9 +16,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.tokenize import segmented
-from ..plans.shared import fixed
+from ..plans.shared import fixed, spread
 from . import postings
-from .retrieval import Embedder, hashed_vectors
+from .retrieval import Embedder, hashed_vectors, with_vectors
 from .versions import Store, diff
 
 
@@ -47,7 +47,7 @@ class Segments(Store):
         before = self.manifest()
         hashed = chunks.select("chunk_id", "text", F.sha2(F.coalesce("text", F.lit("")), 256).alias("hash"))
         if before is None:
-            return self._publish(version, None, self._segment(hashed, None), reused=0)
+            return self._publish(version, None, self._segment(spread(hashed), None), reused=0)
         old = self.chunks(before["version"])
         status = diff(old.select("chunk_id", "hash"), hashed.select("chunk_id", "hash"), "chunk_id", "hash")
         status = fixed(status)
@@ -100,12 +100,14 @@ class Segments(Store):
         """Writes a segment of new (chunk_id, text, hash and perhaps vector) that takes gone (as chunks() has them) out."""
         name = uuid.uuid4().hex
         folder = f"{self.path}/segments/{name}"
-        if "vector" not in new.columns:
+        if "vector" not in new.columns and self.embed is hashed_vectors:
+            new = with_vectors(new)
+        elif "vector" not in new.columns:
             new = fixed(new)
             new = new.join(self.embed(new.select("chunk_id", F.coalesce("text", F.lit("")).alias("text"))), "chunk_id", "left")
         new.select("chunk_id", "text", "hash", "vector").write.parquet(f"{folder}/chunks")
         rows = self.spark.read.parquet(f"{folder}/chunks")
-        postings.write(rows.select(F.col("chunk_id").alias("doc_id"), self.tokens(F.col("text")).alias("tokens")), f"{folder}/index")
+        postings.write(spread(rows).select(F.col("chunk_id").alias("doc_id"), self.tokens(F.col("text")).alias("tokens")), f"{folder}/index")
         head = {"id": name, "rows": rows.count(), "gone": 0, "length_gone": 0}
         if gone is not None:
             gone = fixed(gone.select("chunk_id", "segment", self.tokens(F.col("text")).alias("tokens")))

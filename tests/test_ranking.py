@@ -332,6 +332,7 @@ def test_index_keeps_a_word_once_a_block(spark, monkeypatch):
     assert sorted(i for b in blocks for i in b.ids) == [1, 2, 3, 4] and all(len(set(b.words)) == len(b.words) for b in blocks)
     found = {(b.ids[p], b.words[k], n) for b in blocks for k, (lo, hi) in enumerate(zip([0, *b.ends], b.ends)) for p, n in zip(b.places[lo:hi], b.tfs[lo:hi])}
     assert found == {(1, "b", 2), (1, "a", 1), (3, "c", 1), (4, "a", 3), (4, "c", 1)} and tuple(index.totals.first()) == (4.0, 2.0)
+    assert {(r.doc_id, tuple(sorted(r.tokens)), r.dl) for r in index.lists.collect()} == {(1, ("a", "b", "b"), 3), (2, (), 0), (3, ("c",), 1), (4, ("a", "a", "a", "c"), 4)}
     vectors = {r.chunk_id: r.vector for r in retrieval.indexed_vectors(index).collect()}
     assert vectors == {r.chunk_id: r.vector for r in retrieval.hashed_vectors(docs.toDF("chunk_id", "text")).collect()}
 

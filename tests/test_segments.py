@@ -2,6 +2,7 @@ import os
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from corpuswright.operators import postings, retrieval
 from corpuswright.operators.segments import Segments
@@ -67,3 +68,19 @@ def test_vectors_are_made_for_changed_texts_only(spark, tmp_path):
     assert (same["written"], same["reused"], len(same["segments"])) == (0, 3, 2) and len(made) == 2
     with pytest.raises(LookupError):
         store.manifest("9")
+
+
+def test_vectors_are_made_beside_the_texts(spark):
+    rows = spark.createDataFrame([(1, "alpha beta alpha", "x"), (2, None, "y"), (3, "gamma", "z")], "chunk_id long, text string, hash string")
+    got = retrieval.with_vectors(rows)
+    assert got.columns == ["chunk_id", "text", "hash", "vector"] and "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    want = {r.chunk_id: r.vector for r in retrieval.hashed_vectors(rows.fillna("", "text")).collect()}
+    assert {r.chunk_id: r.vector for r in got.collect()} == want and {r.text for r in got.collect()} == {"alpha beta alpha", None, "gamma"}
+
+
+def test_files_of_postings_tell_their_ends_without_sorting(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"w{i % 7} v{i % 5}") for i in range(40)], "doc_id long, text string")
+    index = postings.build(docs, f"file://{tmp_path}/index", parts=3)
+    ends = {tuple(r) for r in index.table("files").select("first", "last").collect()}
+    held = index.spark.read.parquet(f"file://{tmp_path}/index/postings").groupBy(F.input_file_name()).agg(F.min("term").alias("a"), F.max("term").alias("b"))
+    assert ends == {(r.a, r.b) for r in held.collect()}
