@@ -6,6 +6,7 @@ import hashlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import partial
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +17,7 @@ from pyspark.sql.window import Window
 
 from ..functions.text import sigmoid
 from ..functions.tokenize import segmented
-from ..plans.shared import fixed, spread, together
+from ..plans.shared import fixed, lean, spread, together
 
 TOP, POOL, FINAL, RRF_K = 20, 20, 5, 60
 K1, B = 1.5, 0.75
@@ -53,6 +54,7 @@ def _unblocked(batches) -> Iterator[pa.RecordBatch]:
 
 def in_blocks(lists: DataFrame, docs: int = BLOCK_DOCS) -> DataFrame:
     """lists (doc_id, tokens) as blocks, written once."""
+    lean(lists.sparkSession)
     kind = dict(lists.dtypes)["doc_id"]
     return fixed(lists.mapInArrow(partial(_blocks, docs=docs), f"ids array<{kind}>, dls array<int>, words array<string>, ends array<int>, places array<int>, tfs array<int>"))
 
@@ -63,13 +65,19 @@ def totals_of(blocks: DataFrame) -> DataFrame:
 
 
 def _blocks(batches, docs: int = BLOCK_DOCS) -> Iterator[pa.RecordBatch]:
-    """Blocks of lists (doc_id, tokens): each word once, and where its documents' places and counts end."""
-    for batch in batches:
-        sizes = np.cumsum([0, *(pc.fill_null(pc.list_value_length(batch.column(1)), 0).to_pylist())])
-        at = 0
-        while at < batch.num_rows:
-            end = min(at + docs, batch.num_rows, max(at + 1, int(np.searchsorted(sizes, sizes[at] + BLOCK_WORDS, "right")) - 1))
-            part, at = batch.slice(at, end - at), end
+    """Blocks of lists (doc_id, tokens): each word once, and where its documents' places and counts end. Rows that don't fill a block wait for the next batch."""
+    rest: list[pa.RecordBatch] = []
+    for batch in chain(batches, [None]):
+        held = [*rest, *([] if batch is None else [batch])]
+        if not held:
+            return
+        whole, at = pa.concat_batches(held), 0
+        sizes = np.append(0, np.cumsum(pc.fill_null(pc.list_value_length(whole.column(1)), 0).to_numpy()))
+        while at < whole.num_rows:
+            end = min(at + docs, whole.num_rows, max(at + 1, int(np.searchsorted(sizes, sizes[at] + BLOCK_WORDS, "right")) - 1))
+            if end == whole.num_rows and batch is not None:
+                break
+            part, at = whole.slice(at, end - at), end
             rows, words, names = numbered(part.column(1))
             n = part.num_rows
             cells, tfs = np.unique(words.astype(np.int64) * n + rows, return_counts=True)
@@ -78,6 +86,7 @@ def _blocks(batches, docs: int = BLOCK_DOCS) -> Iterator[pa.RecordBatch]:
             ints = lambda values: one(pa.array(values, pa.int32()))
             columns = {"ids": one(part.column(0)), "dls": ints(np.bincount(rows, minlength=n)), "words": one(names), "ends": ints(ends), "places": ints(cells % n), "tfs": ints(tfs)}
             yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+        rest = [whole.slice(at)]
 
 
 def opened(batches, *names: str) -> Iterator[tuple]:

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.tokenize import segmented
-from ..plans.shared import fixed, spread
+from ..plans.shared import fixed, lean, spread
 from . import postings
 from .retrieval import Embedder, hashed_vectors, with_vectors
 from .versions import Store, diff
@@ -100,6 +100,7 @@ class Segments(Store):
         """Writes a segment of new (chunk_id, text, hash and perhaps vector) that takes gone (as chunks() has them) out."""
         name = uuid.uuid4().hex
         folder = f"{self.path}/segments/{name}"
+        lean(self.spark)
         if "vector" not in new.columns and self.embed is hashed_vectors:
             new = with_vectors(new)
         elif "vector" not in new.columns:

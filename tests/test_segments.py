@@ -1,11 +1,14 @@
 import os
 import random
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 from corpuswright.operators import postings, retrieval
 from corpuswright.operators.segments import Segments
+from corpuswright.plans.shared import fixed
 
 
 def rows_of(found):
@@ -84,3 +87,44 @@ def test_files_of_postings_tell_their_ends_without_sorting(spark, tmp_path):
     ends = {tuple(r) for r in index.table("files").select("first", "last").collect()}
     held = index.spark.read.parquet(f"file://{tmp_path}/index/postings").groupBy(F.input_file_name()).agg(F.min("term").alias("a"), F.max("term").alias("b"))
     assert ends == {(r.a, r.b) for r in held.collect()}
+
+
+def groups_of(files):
+    """Rows of each row group of the files."""
+    held = [pq.ParquetFile(f.removeprefix("file:")).metadata for f in files]
+    return [m.row_group(k).num_rows for m in held for k in range(m.num_row_groups)]
+
+
+def test_row_groups_stay_small_where_rows_are_large(spark, tmp_path):
+    rows = spark.range(0, 24, 1, 1).withColumn("a", F.expr("transform(sequence(1, 500000), x -> cast(rand(7) * 1000000000 as int))"))
+    held = groups_of(f.replace("file:///", "/") for f in fixed(rows).inputFiles())
+    assert sum(held) == 24 and max(held) <= 6
+
+
+def test_blocks_are_filled_from_several_batches(spark):
+    lists = spark.range(0, 250, 1, 1).select(F.col("id").alias("doc_id"), F.expr("CASE WHEN id % 9 > 0 THEN array(concat('w', id % 7), 'w1', 'w1') END").alias("tokens"))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "30")
+    try:
+        blocks = retrieval.in_blocks(lists, 64)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    rows = sorted(blocks.collect(), key=lambda r: r.ids)
+    assert [len(r.ids) for r in rows] == [64, 64, 64, 58] and [d for r in rows for d in r.ids] == list(range(250))
+    assert [n for r in rows for n in r.dls] == [3 * (i % 9 > 0) for i in range(250)]
+
+
+def test_few_bytes_go_to_python_at_once(spark):
+    other = spark.newSession()
+    rows = other.range(0, 2500, 1, 1).select(F.col("id").alias("doc_id"), F.array(F.expr("repeat('x', 10000)")).alias("tokens"))
+    retrieval.in_blocks(rows.limit(1))
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"n": pa.array([b.nbytes])})
+
+    held = [r.n for r in rows.mapInArrow(sizes, "n long").collect()]
+    assert sum(held) > 24_000_000 and max(held) < 10_000_000
+    another = spark.newSession()
+    another.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "20m")
+    retrieval.in_blocks(another.createDataFrame([(1, ["x"])], "doc_id long, tokens array<string>"))
+    assert another.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == "20m"
