@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.tokenize import segmented
-from ..plans.shared import fixed, lean, spread
+from ..plans.shared import fixed, in_groups, lean, spread
 from . import postings
 from .retrieval import Embedder, hashed_vectors, with_vectors
 from .versions import Store, diff
@@ -106,7 +106,7 @@ class Segments(Store):
         elif "vector" not in new.columns:
             new = fixed(new)
             new = new.join(self.embed(new.select("chunk_id", F.coalesce("text", F.lit("")).alias("text"))), "chunk_id", "left")
-        new.select("chunk_id", "text", "hash", "vector").write.parquet(f"{folder}/chunks")
+        in_groups(new.select("chunk_id", "text", "hash", "vector").write, 16 << 20).parquet(f"{folder}/chunks")
         rows = self.spark.read.parquet(f"{folder}/chunks")
         postings.write(spread(rows).select(F.col("chunk_id").alias("doc_id"), self.tokens(F.col("text")).alias("tokens")), f"{folder}/index")
         head = {"id": name, "rows": rows.count(), "gone": 0, "length_gone": 0}

@@ -1,3 +1,4 @@
+import glob
 import os
 import random
 
@@ -101,6 +102,14 @@ def test_row_groups_stay_small_where_rows_are_large(spark, tmp_path):
     assert sum(held) == 24 and max(held) <= 6
 
 
+def test_texts_are_written_in_small_row_groups(spark, tmp_path):
+    text = F.expr("array_join(transform(sequence(1, 1500), x -> sha2(cast(id * 1500 + x as string), 256)), '')")
+    store = Segments(spark, str(tmp_path))
+    store.build(spark.range(0, 600, 1, 1).select(F.col("id").alias("chunk_id"), text.alias("text")), "1")
+    held = groups_of(glob.glob(f"{tmp_path}/segments/*/chunks/part-*"))
+    assert sum(held) == 600 and max(held) < 400
+
+
 def test_blocks_are_filled_from_several_batches(spark):
     lists = spark.range(0, 250, 1, 1).select(F.col("id").alias("doc_id"), F.expr("CASE WHEN id % 9 > 0 THEN array(concat('w', id % 7), 'w1', 'w1') END").alias("tokens"))
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "30")
